@@ -322,12 +322,13 @@ def density(df: DataFrame, columns: list[str], bins: int = 30, points: int = 50,
         "part", "feature", "point", "x").agg(F.sum(kernel).alias("density"))
 
 
-def missingness_matrix(df: DataFrame, key: list[str], order: Column, rows: int = 10_000, fallback: int = 15) -> DataFrame:
-    """EDA-09: null flags of a repeatable sample of rows; columns with gaps, else the first fifteen.
+def missingness_matrix(df: DataFrame, key: list[str], rows: int | None = 10_000, fallback: int = 15) -> DataFrame:
+    """EDA-09: null flags per row; columns with gaps, else the first fifteen.
 
-    The row limit is the feature: the picture shows 10,000 rows.
+    The row limit is the feature, a repeatable sample for a picture of 10,000 rows; None keeps every row.
     """
     gaps = [r["feature"] for r in missing_values(df.drop(*key)).where("missing > 0").collect()]
     shown = gaps or [c for c in df.columns if c not in key][:fallback]
     types = _types(df)
-    return df.orderBy(order, *key).limit(rows).select(*key, *[is_missing(c, types[c]).alias(c) for c in shown])
+    sample = df if rows is None else df.orderBy(F.xxhash64(*key), *key).limit(rows)
+    return sample.select(*key, *[is_missing(c, types[c]).alias(c) for c in shown])

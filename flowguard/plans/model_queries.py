@@ -1 +1,181 @@
-"""Named queries."""
+"""Named queries over predictions, and the training, search and explanation jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from flowguard.operators import metrics
+from flowguard.plans.catalog import query
+from flowguard.sources import views
+
+KEY = views.FLOW_KEY
+MODELS = ["alpha", "beta"]
+# Model beta is right more often: it errs only where the mixed key ends in 8 or 9.
+SCORED_SQL = """
+    s AS (SELECT 'alpha' AS model, y, pred, p0, p1, p2 FROM scored
+          UNION ALL SELECT 'beta', y, CASE WHEN m % 10 < 8 THEN y ELSE pred END, p1, p2, p0 FROM scored)"""
+
+
+def _scored(spark, folder):
+    scored = views.scored(spark, folder)
+    alpha = scored.select(F.lit("alpha").alias("model"), "y", "pred", F.array("p0", "p1", "p2").alias("probabilities"))
+    beta = scored.select(F.lit("beta").alias("model"), "y", F.when(F.col("m") % 10 < 8, F.col("y")).otherwise(F.col("pred")).alias("pred"),
+                         F.array("p1", "p2", "p0").alias("probabilities"))
+    return alpha.unionByName(beta)
+
+
+def _six(df, digits=6):
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return df.select(*[F.round(c, digits).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns])
+
+
+@query("confusion_matrix", "scored", f"""
+    WITH {SCORED_SQL} SELECT model, y, pred, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY model, y)::DOUBLE, 6) AS share
+    FROM s GROUP BY model, y, pred""")
+def confusion_matrix(spark, folder):
+    return _six(metrics.confusion_matrix(_scored(spark, folder)))
+
+
+CLASS_SQL = SCORED_SQL + """,
+    u AS (SELECT model, y AS class, (y = pred)::INT AS d, 1 AS t, 0 AS p FROM s UNION ALL SELECT model, pred, 0, 0, 1 FROM s),
+    b AS (SELECT model, class, sum(d)::DOUBLE AS d, sum(t)::DOUBLE AS t, sum(p)::DOUBLE AS p, sum(sum(t)) OVER (PARTITION BY model)::DOUBLE AS n
+          FROM u GROUP BY model, class),
+    c0 AS (SELECT *, CASE WHEN p = 0 THEN 0 ELSE d / p END AS pr, CASE WHEN t = 0 THEN 0 ELSE d / t END AS re,
+                  CASE WHEN n = t THEN 0 ELSE (p - d) / (n - t) END AS fpr, CASE WHEN t = 0 THEN 0 ELSE (t - d) / t END AS fnr,
+                  CASE WHEN n = t THEN 0 ELSE (n - t - p + d) / (n - t) END AS spec FROM b),
+    c AS (SELECT *, CASE WHEN pr + re = 0 THEN 0 ELSE 2 * pr * re / (pr + re) END AS f1 FROM c0)"""
+SUITE_SQL = """
+    SELECT model, round(sum(d) / max(n), 6) AS accuracy, round(avg(CASE WHEN t > 0 THEN re END), 6) AS balanced_accuracy,
+           round(avg(pr), 6) AS precision_macro, round(sum(t * pr) / sum(t), 6) AS precision_weighted,
+           round(avg(re), 6) AS recall_macro, round(sum(t * re) / sum(t), 6) AS recall_weighted,
+           round(avg(f1), 6) AS f1_macro, round(sum(t * f1) / sum(t), 6) AS f1_weighted,
+           round((max(n) * sum(d) - sum(t * p)) / sqrt((max(n) * max(n) - sum(p * p)) * (max(n) * max(n) - sum(t * t))), 6) AS mcc,
+           round((max(n) * sum(d) - sum(t * p)) / (max(n) * max(n) - sum(t * p)), 6) AS kappa,
+           round(avg(fpr), 6) AS fpr, round(avg(fnr), 6) AS fnr, round(avg(spec), 6) AS specificity
+    FROM c GROUP BY model"""
+
+
+@query("metric_suite", "scored", f"WITH {CLASS_SQL} {SUITE_SQL}")
+def metric_suite(spark, folder):
+    return _six(metrics.metric_suite(_scored(spark, folder)))
+
+
+@query("class_report", "scored", f"""
+    WITH {CLASS_SQL}
+    SELECT model, class::VARCHAR AS class, round(pr, 6) AS precision, round(re, 6) AS recall, round(f1, 6) AS f1, t AS support FROM c
+    UNION ALL SELECT model, 'accuracy', a, a, a, a FROM (SELECT model, round(sum(d) / sum(t), 6) AS a FROM c GROUP BY model)
+    UNION ALL SELECT model, 'macro avg', round(avg(pr), 6), round(avg(re), 6), round(avg(f1), 6), sum(t) FROM c GROUP BY model
+    UNION ALL SELECT model, 'weighted avg', round(sum(t * pr) / sum(t), 6), round(sum(t * re) / sum(t), 6), round(sum(t * f1) / sum(t), 6), sum(t)
+    FROM c GROUP BY model""")
+def class_report(spark, folder):
+    return _six(metrics.class_report(_scored(spark, folder)))
+
+
+LONG_SQL = SCORED_SQL + """,
+    l AS (SELECT model, y, unnest([0, 1, 2]) AS class, unnest([p0, p1, p2]) AS score FROM s)"""
+
+
+@query("roc_auc_ovr", "scored", f"""
+    WITH {LONG_SQL},
+    r AS (SELECT *, rank() OVER (PARTITION BY model, class ORDER BY score) + (count(*) OVER (PARTITION BY model, class, score) - 1) / 2.0::DOUBLE AS rk FROM l),
+    a AS (SELECT model, class, count(*) FILTER (y = class) AS n1, count(*) FILTER (y <> class) AS n0, sum(rk) FILTER (y = class) AS rs FROM r GROUP BY ALL)
+    SELECT model, round(avg((rs - n1 * (n1 + 1) / 2.0::DOUBLE) / (n1 * n0)), 6) AS roc_auc FROM a GROUP BY model""")
+def roc_auc(spark, folder):
+    return _six(metrics.area_scores(metrics.score_steps(_scored(spark, folder))).select("model", "roc_auc"))
+
+
+STEP_SQL = LONG_SQL + """,
+    g AS (SELECT model, class, score, count(*) FILTER (y = class) AS pos, count(*) FILTER (y <> class) AS neg FROM l GROUP BY ALL),
+    st AS (SELECT *, (sum(pos) OVER w)::BIGINT AS tp, (sum(neg) OVER w)::BIGINT AS fp, (sum(pos) OVER (PARTITION BY model, class))::BIGINT AS PP,
+                  (sum(neg) OVER (PARTITION BY model, class))::BIGINT AS NN FROM g WINDOW w AS (PARTITION BY model, class ORDER BY score DESC))"""
+
+
+@query("pr_auc", "scored", f"""
+    WITH {STEP_SQL},
+    a AS (SELECT model, class, sum(pos * (tp / (tp + fp)::DOUBLE)) / max(PP) AS ap FROM st GROUP BY ALL)
+    SELECT model, round(avg(ap), 6) AS pr_auc FROM a GROUP BY model""")
+def pr_auc(spark, folder):
+    return _six(metrics.area_scores(metrics.score_steps(_scored(spark, folder))).select("model", "pr_auc"))
+
+
+GRID_SQL = """
+    gr AS (SELECT unnest(range(200)) AS point),
+    pts AS (SELECT model, class, {x} AS x, {y} AS v, row_number() OVER (PARTITION BY model, class ORDER BY score DESC) AS i FROM st
+            UNION ALL SELECT DISTINCT model, class, 0.0::DOUBLE, {start}, 0 FROM st),
+    seg AS (SELECT *, lead(x) OVER w AS x2, lead(v) OVER w AS v2 FROM pts WINDOW w AS (PARTITION BY model, class ORDER BY i)),
+    val AS (SELECT model, class, point, CASE WHEN x2 IS NULL THEN v ELSE v + (point / 199.0::DOUBLE - x) / (x2 - x) * (v2 - v) END AS v
+            FROM seg JOIN gr ON (round(x * 199, 9) <= point AND round(x2 * 199, 9) > point) OR (x2 IS NULL AND point = 199))"""
+
+
+@query("roc_points", "scored", f"""
+    WITH {STEP_SQL}, {GRID_SQL.format(x='fp / NN::DOUBLE', y='tp / PP::DOUBLE', start='0.0::DOUBLE')}
+    SELECT model, point, round(point / 199.0::DOUBLE, 6) AS fpr, round(avg(v), 6) AS tpr FROM val GROUP BY model, point""")
+def roc_points(spark, folder):
+    return _six(metrics.roc_points(metrics.score_steps(_scored(spark, folder))))
+
+
+@query("pr_points", "scored", f"""
+    WITH {STEP_SQL}, {GRID_SQL.format(x='tp / PP::DOUBLE', y='tp / (tp + fp)::DOUBLE', start='1.0::DOUBLE')}
+    SELECT model, point, round(point / 199.0::DOUBLE, 6) AS recall, round(avg(v), 6) AS precision FROM val GROUP BY model, point""")
+def pr_points(spark, folder):
+    return _six(metrics.pr_points(metrics.score_steps(_scored(spark, folder))))
+
+
+@query("calibration", "scored", f"""
+    WITH {SCORED_SQL}
+    SELECT model, least(9, floor(p0 * 10)::BIGINT) AS bin, round(avg(p0), 6) AS mean_predicted, round(avg((y = 0)::INT), 6) AS fraction_positive, count(*) AS rows
+    FROM s GROUP BY ALL""")
+def calibration(spark, folder):
+    return _six(metrics.calibration(_scored(spark, folder)))
+
+
+SUITE_RANK = f"""
+    WITH {CLASS_SQL}, q AS ({SUITE_SQL}),
+    k AS (SELECT *, row_number() OVER (ORDER BY f1_macro DESC, recall_macro DESC, fpr, model)::INT AS rank FROM q)"""
+
+
+@query("model_ranking", "scored", f"{SUITE_RANK} SELECT model, rank, f1_macro, recall_macro, fpr FROM k")
+def model_ranking(spark, folder):
+    return metrics.rank_models(_six(metrics.metric_suite(_scored(spark, folder)))).select("model", "rank", "f1_macro", "recall_macro", "fpr")
+
+
+@query("model_leaders", "scored", SUITE_RANK + " UNION ALL ".join(
+    f" SELECT '{title}' AS title, arg_max(model, {'-' if up else ''}{c}) AS model FROM k" for title, c, up in metrics.LEADERS
+    if c not in ("prediction_seconds", "roc_auc")))
+def model_leaders(spark, folder):
+    return metrics.model_leaders(metrics.rank_models(_six(metrics.metric_suite(_scored(spark, folder)))))
+
+
+@query("model_remarks", "scored", f"""{SUITE_RANK}
+    SELECT model, CASE WHEN f1_macro < 0.7 THEN 'Below-par macro F1 (< 0.70)' ELSE '' END AS below_par,
+           CASE WHEN fpr > 0.01 THEN 1 ELSE 0 END + CASE WHEN f1_macro < 0.7 THEN 1 ELSE 0 END + CASE WHEN recall_macro < 0.85 THEN 1 ELSE 0 END AS weaknesses
+    FROM k""")
+def model_remarks(spark, folder):
+    remarks = metrics.strengths_weaknesses(metrics.rank_models(_six(metrics.metric_suite(_scored(spark, folder)))))
+    below = "Below-par macro F1 (< 0.70)"
+    return remarks.select("model", F.when(F.array_contains("weaknesses", below), below).otherwise("").alias("below_par"),
+                          F.size(F.array_remove("weaknesses", "—")).alias("weaknesses"))
+
+
+@query("tuned_comparison", "scored", f"""{SUITE_RANK}
+    SELECT 'net' AS model, a.accuracy AS original_accuracy, b.accuracy AS tuned_accuracy, round(b.accuracy - a.accuracy, 6) AS delta_accuracy,
+           0.0::DOUBLE AS original_fit_seconds, 2.0::DOUBLE AS tuned_fit_seconds
+    FROM k a, k b WHERE a.model = 'alpha' AND b.model = 'beta'""")
+def tuned_comparison(spark, folder):
+    suite = _six(metrics.metric_suite(_scored(spark, folder)))
+    original = suite.where("model = 'alpha'").withColumns({"model": F.lit("net"), "fit_seconds": F.lit(None).cast("double")})
+    tuned = suite.where("model = 'beta'").withColumns({"model": F.lit("net"), "fit_seconds": F.lit(2.0)})
+    return _six(metrics.compare_tuned(original, tuned, ["accuracy"])).select(
+        "model", "original_accuracy", "tuned_accuracy", "delta_accuracy", "original_fit_seconds", "tuned_fit_seconds")
+
+
+OUTCOME_SQL = """CASE WHEN y = 0 AND pred = 0 THEN 'normal' WHEN y <> 0 AND pred = y THEN 'attack'
+    WHEN y = 0 AND pred <> 0 THEN 'false_positive' WHEN y <> 0 AND pred = 0 THEN 'false_negative' END"""
+
+
+@query("outcome_examples", "scored", f"""
+    SELECT outcome, {', '.join(KEY)}, y, pred, quantity FROM (
+      SELECT *, row_number() OVER (PARTITION BY outcome ORDER BY {', '.join(KEY)}) AS r
+      FROM (SELECT *, {OUTCOME_SQL} AS outcome FROM scored) WHERE outcome IS NOT NULL) WHERE r = 1""")
+def outcome_examples(spark, folder):
+    return metrics.outcome_examples(views.scored(spark, folder), KEY, ["quantity"])
