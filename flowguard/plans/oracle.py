@@ -95,4 +95,7 @@ def with_views(names: str, body: str) -> str:
                 wanted.append(part)
     views = ", ".join(f"{n} AS ({VIEWS[n]})" for n in wanted)
     body = body.strip()
-    return f"WITH {views}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {views} {body}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{views}, {body[len(start):]}"
+    return f"WITH {views} {body}"

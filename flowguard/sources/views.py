@@ -65,6 +65,11 @@ def dirty_flows(spark: SparkSession, folder: str) -> DataFrame:
 
 def alerts(spark: SparkSession, folder: str) -> DataFrame:
     """Twelve-column alerts without the probability text, from the event log."""
+    return alert_columns(table(spark, folder, "events"))
+
+
+def alert_columns(events: DataFrame) -> DataFrame:
+    """The alert projection, also used on a stream of the event log."""
     user, event = F.col("user_id"), F.col("event_id")
     host = F.pmod(user, F.lit(250)).cast("string")
     attack = (
@@ -76,7 +81,7 @@ def alerts(spark: SparkSession, folder: str) -> DataFrame:
         F.when(user % 5 == 0, "185.220.101.").when(user % 5 == 1, "10.0.0.").when(user % 5 == 2, "192.168.1.")
         .when(user % 5 == 3, "172.20.0.").otherwise("203.0.113.")
     )
-    base = table(spark, folder, "events").select(
+    base = events.select(
         "event_id",
         F.concat(F.lit("ALT-"), event.cast("string")).alias("id"),
         F.col("ts").cast("timestamp").alias("timestamp"),
