@@ -65,18 +65,26 @@ def add_slices(df: DataFrame, keys: list[str], slices: int, rows: int) -> DataFr
     )
     usable = sorted(tuple(r) for r in sample if all(v == v for v in r))
     picks = sorted({usable[(i * len(usable)) // slices] for i in range(1, slices)}) if usable else []
-    out = df.withColumn(SLICE, F.lit(0))
     if not picks:
-        return out
+        return df.withColumn(SLICE, F.lit(0))
     types = {f.name: f.dataType for f in df.schema.fields}
     bounds = F.sort_array(F.array(*[
         F.struct(*[F.lit(v).cast(types[k]).alias(k) for k, v in zip(keys, pick, strict=True)]) for pick in picks
     ]))
-    key = F.struct(*[F.col(k) for k in keys])
-    step = 1 << (len(picks).bit_length() - 1)
+    return count_below(df, bounds, F.struct(*[F.col(k) for k in keys]), SLICE, len(picks))
+
+
+def count_below(df: DataFrame, bounds: Column, value: Column, name: str, size: int, strict: bool = True) -> DataFrame:
+    """How many entries of a sorted array are below `value` (or equal, unless strict), by binary search.
+
+    One projection per step keeps the search inside generated code; `size` is the largest array length.
+    """
+    out = df.withColumn(name, F.lit(0))
+    step = 1 << (max(size, 1).bit_length() - 1)
     while step:
-        ahead = F.get(bounds, F.col(SLICE) + F.lit(step - 1))
-        out = out.withColumn(SLICE, F.when(key > ahead, F.col(SLICE) + F.lit(step)).otherwise(F.col(SLICE)))
+        ahead = F.get(bounds, F.col(name) + F.lit(step - 1))
+        passed = (value > ahead) if strict else (value >= ahead)
+        out = out.withColumn(name, F.when(passed, F.col(name) + F.lit(step)).otherwise(F.col(name)))
         step >>= 1
     return out
 
