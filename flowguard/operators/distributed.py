@@ -154,10 +154,11 @@ def pick_lowest(df: DataFrame, group: str, quotas: dict, mixed: Column, ties: li
     tagged = tagged.withColumn("_bucket", F.floor(F.col("_mix") * F.lit(buckets) / F.lit(MIX_PRIME)))
     counted = tagged.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
     upto = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    filled = counted.withColumn("_upto", F.sum("_n").over(upto))
+    reachable = F.least(quota, F.sum("_n").over(Window.partitionBy(group)))
+    filled = counted.select("*", F.sum("_n").over(upto).alias("_upto"), reachable.alias("_quota"))
     cuts = (
-        filled.where((F.col("_upto") >= quota) & (F.col("_upto") - F.col("_n") < quota))
-        .select(F.col(group).cast("string"), "_bucket", (quota - (F.col("_upto") - F.col("_n"))).alias("_need")).collect()
+        filled.where((F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("_n") < F.col("_quota")))
+        .select(F.col(group).cast("string"), "_bucket", (F.col("_quota") - (F.col("_upto") - F.col("_n"))).alias("_need")).collect()
     )
     cut = F.coalesce(F.try_element_at(_literal_map({c[0]: c[1] for c in cuts}), F.col(group).cast("string")), F.lit(-1).cast("bigint"))
     need = F.coalesce(F.try_element_at(_literal_map({c[0]: c[2] for c in cuts}), F.col(group).cast("string")), F.lit(0).cast("bigint"))

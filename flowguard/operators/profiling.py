@@ -210,8 +210,8 @@ def pearson_matrix(df: DataFrame, columns: list[str], pairs_per_pass: int = 300)
     pairs = list(combinations(columns, 2))
     found: dict[tuple[str, str], float | None] = {}
     if len(pairs) > pairs_per_pass:
-        vectors = VectorAssembler(inputCols=columns, outputCol="v", handleInvalid="error").transform(df.select(*[quoted(c).cast("double").alias(c) for c in columns]))
-        matrix = Correlation.corr(vectors, "v", "pearson").first()[0].toArray()
+        vectors = VectorAssembler(inputCols=columns, outputCol="_vector", handleInvalid="error").transform(df.select(*[quoted(c).cast("double").alias(c) for c in columns]))
+        matrix = Correlation.corr(vectors, "_vector", "pearson").first()[0].toArray()
         for (i, a), (j, b) in combinations(enumerate(columns), 2):
             found[a, b] = float(matrix[i, j])
         return found

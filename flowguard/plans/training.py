@@ -61,7 +61,7 @@ class BoostedTrees(Estimator):
 
     def __init__(self, seed: int, weighted: bool, early_stopping: bool = False, **given):
         super().__init__()
-        self.settings = _common(seed, weighted, maxIter=50, stepSize=0.1, maxDepth=6, subsamplingRate=0.8) | given
+        self.settings = _common(seed, weighted, maxIter=50, stepSize=0.1, maxDepth=6, subsamplingRate=0.8, validationTol=0.01) | given
         self.early_stopping = early_stopping
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
@@ -71,7 +71,7 @@ class BoostedTrees(Estimator):
             tree = GBTClassifier(**(self.settings | {"labelCol": "_is_class", "predictionCol": f"prediction_{k}"}))
             tree = tree.setRawPredictionCol(f"raw_{k}").setProbabilityCol(f"probability_{k}")
             if self.early_stopping:
-                tree = tree.setValidationIndicatorCol("is_validation").setValidationTol(0.01)
+                tree = tree.setValidationIndicatorCol("is_validation")
             stages.append(tree.fit(dataset.withColumn("_is_class", (F.col(LABEL) == k).cast("double"))))
         return PipelineModel(stages)
 

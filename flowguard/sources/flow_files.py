@@ -99,7 +99,7 @@ def load_split(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def write_predictions(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """SNK-06: results as CSV with the probability map as JSON text."""
     flat = df.withColumn("Class_Probabilities", F.to_json("Class_Probabilities"))
-    flat.write.mode(mode).option("header", True).csv(path)
+    flat.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -70,7 +70,7 @@ def append_alerts(batch: DataFrame, path: str, same_day_ids: bool = False) -> Da
 
 def append_csv(batch: DataFrame, path: str) -> None:
     """SNK-03."""
-    batch.write.mode("append").option("header", True).csv(path)
+    batch.write.mode("append").option("header", True).option("escape", '"').csv(path)
 
 
 def export_alerts(df: DataFrame, condition: Column, path: str, kind: str = "csv", limit: int = EXPORT_LIMIT) -> None:
