@@ -7,7 +7,6 @@ or splits the work into slices whose partial results are combined through a smal
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,16 +30,23 @@ def is_at_most(df: DataFrame, rows: int) -> bool:
 
 
 def lookup_join(fact: DataFrame, dimension: DataFrame, on: list[str], how: str = "left",
-                broadcast_rows: int = 200_000, salts: int = 32) -> DataFrame:
+                broadcast_rows: int = 200_000, salts: int = 32, hot_share: float = 0.001, hot: DataFrame | None = None) -> DataFrame:
     """Join a large frame to a dimension that is unique on `on`.
 
-    The dimension is broadcast only after its size was checked. A larger one is shuffled with its rows
-    replicated over `salts`, so a key that holds a large share of the facts is spread over many tasks.
+    The dimension is broadcast only after its size was checked. A larger one is shuffled; keys that hold
+    more than `hot_share` of the facts (there can be at most 1 / hot_share of them) are spread over
+    `salts` tasks, and only their dimension rows are repeated. A caller that knows the hot keys passes them.
     """
     if is_at_most(dimension, broadcast_rows):
         return fact.join(F.broadcast(dimension), on, how)
-    salted_fact = fact.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    salted_dimension = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if hot is None:
+        limit = F.lit(fact.count() * hot_share)
+        hot = fact.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
+    marks = F.broadcast(hot.select(*on, F.lit(True).alias("_hot")))
+    spread = F.pmod(F.spark_partition_id(), F.lit(salts))
+    salted_fact = fact.join(marks, on, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    salted_dimension = dimension.join(marks, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return salted_fact.join(salted_dimension, [*on, "_salt"], how).drop("_salt")
 
 
@@ -184,118 +190,109 @@ def group_counts(df: DataFrame, group: str, max_groups: int = 10_000) -> dict:
     return {r[0]: r[1] for r in found}
 
 
-@dataclass
-class _Bracket:
-    """An order statistic being narrowed: its value lies strictly between `low` and `high`."""
-    column: str
-    rank: int
-    below: int
-    inside: int
-    low: float | None = None
-    high: float | None = None
-    value: float | None = None
-
-    def holds(self, value: Column) -> Column:
-        test = value.isNotNull()
-        if self.low is not None:
-            test = test & (value > F.lit(self.low))
-        if self.high is not None:
-            test = test & (value < F.lit(self.high))
-        return test
-
-
 def _measure(name: str) -> Column:
-    value = F.col(f"`{name}`").cast("double")
+    value = F.col(f"`{name}`").cast("double") + F.lit(0.0)
     return F.when(~F.isnan(value), value)
 
 
 def exact_percentiles(df: DataFrame, columns: list[str], probabilities: list[float],
-                      cells_in_memory: int = 5_000_000, rows_in_one_task: int = 200_000) -> dict[str, list[float | None]]:
+                      rows_in_one_task: int = 1_000_000) -> dict[str, list[float | None]]:
     """Linear-interpolated percentiles of each column, nulls and NaN ignored, at any size.
 
-    Small tables use the built-in exact aggregate, whose buffer holds every distinct value. Larger ones
-    narrow each wanted rank with bounded sketches and exact counts until few rows are left to sort.
+    The value at a rank is found by narrowing: bounded sketches propose pivot values, one counting pass
+    says between which pivots the rank lies, until the interval holds few enough rows to be sorted. No
+    pass shuffles the table: cells shrink to (column, interval) counts before the exchange.
     """
     if not columns:
         return {}
-    head = df.agg(F.count("*").alias("_rows"), *[F.count(_measure(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    head = df.agg(*[F.count(_measure(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     sizes = {c: head[f"n{i}"] for i, c in enumerate(columns)}
-    if head["_rows"] * len(columns) <= cells_in_memory:
-        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-        row = df.agg(*[F.percentile(_measure(c), wanted).alias(f"p{i}") for i, c in enumerate(columns)]).first()
-        return {c: list(row[f"p{i}"]) if row[f"p{i}"] is not None else [None] * len(probabilities) for i, c in enumerate(columns)}
-    places = {(c, p): p * (sizes[c] - 1) for c in columns if sizes[c] for p in probabilities}
-    ranks = {(c, r) for (c, p), place in places.items() for r in (math.floor(place), math.ceil(place))}
-    values = _values_at(df, [_Bracket(c, r, 0, sizes[c]) for c, r in sorted(ranks)], rows_in_one_task)
-    result = {}
+    ranks = {c: sorted({r for p in probabilities for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))}) for c, n in sizes.items() if n}
+    values = _values_at(df, columns, ranks, sizes, rows_in_one_task)
+    result: dict[str, list[float | None]] = {}
     for c in columns:
-        line = []
+        result[c] = []
         for p in probabilities:
-            if not sizes[c]:
-                line.append(None)
-                continue
-            place = places[c, p]
-            low, high = values[c, math.floor(place)], values[c, math.ceil(place)]
-            line.append(low if low == high else low + (high - low) * (place - math.floor(place)))
-        result[c] = line
+            place = p * (sizes[c] - 1)
+            if sizes[c]:
+                low, high = values[c, math.floor(place)], values[c, math.ceil(place)]
+                result[c].append(low if low == high else low + (high - low) * (place - math.floor(place)))
+            else:
+                result[c].append(None)
     return result
 
 
-def _values_at(df: DataFrame, brackets: list[_Bracket], rows_in_one_task: int) -> dict[tuple[str, int], float]:
+def _slotted(df: DataFrame, columns: list[str], pivots: dict[str, list[float]]) -> DataFrame:
+    """One row (column number, slot, value) per cell; slot 2k lies between pivots, slot 2k+1 is pivot k."""
+    out, cells = df.select(*[_measure(c).alias(f"_v{i}") for i, c in enumerate(columns)]), []
+    for i, c in enumerate(columns):
+        value, marks = F.col(f"_v{i}"), pivots[c]
+        slot = F.lit(0)
+        if marks:
+            bounds = F.array(*[F.lit(m) for m in marks])
+            out = count_below(out, bounds, value, f"_b{i}", len(marks))
+            below = F.col(f"_b{i}")
+            slot = below * 2 + F.when(value == F.get(bounds, below), 1).otherwise(0)
+        cells.append(F.struct(F.lit(i).alias("i"), slot.alias("slot"), value.alias("v")))
+    return out.select(F.inline(F.array(*cells))).where("v IS NOT NULL")
+
+
+def _values_at(df: DataFrame, columns: list[str], ranks: dict[str, list[int]], sizes: dict[str, int], limit: int) -> dict[tuple[str, int], float]:
+    pivots: dict[str, list[float]] = {c: [] for c in columns}
+    counts = {(i, 0): sizes[c] for i, c in enumerate(columns)}
+    places = _locate(columns, ranks, counts)
     while True:
-        wide = [b for b in brackets if b.value is None and b.inside > rows_in_one_task]
+        wide = {at for at, _ in places.values() if at[1] % 2 == 0 and counts[at] > limit}
         if not wide:
             break
-        _narrow(df, wide)
-    rest = [b for b in brackets if b.value is None]
-    if rest:
-        tagged = F.array_compact(F.array(*[
-            F.when(b.holds(_measure(b.column)), F.struct(F.lit(i).alias("i"), _measure(b.column).alias("v"))) for i, b in enumerate(rest)]))
-        counted = df.select(F.inline(tagged)).groupBy("i", "v").agg(F.count("*").alias("n"))
-        window = Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        target = F.element_at(F.array(*[F.lit(b.rank - b.below).cast("bigint") for b in rest]), F.col("i") + 1)
-        hits = (
-            counted.withColumn("upto", F.sum("n").over(window))
-            .where((F.col("upto") > target) & (F.col("upto") - F.col("n") <= target)).collect()
-        )
-        for hit in hits:
-            rest[hit["i"]].value = hit["v"]
-    return {(b.column, b.rank): b.value for b in brackets}
-
-
-def _narrow(df: DataFrame, brackets: list[_Bracket]) -> None:
-    """One round: a sketch proposes two pivots per bracket, exact counts decide where the rank lies."""
-    slack = 3e-4
-    sketches = []
-    for i, b in enumerate(brackets):
-        share = (b.rank - b.below + 0.5) / b.inside
-        ends = F.array(F.lit(max(0.0, share - slack)), F.lit(min(1.0, share + slack)))
-        value = _measure(b.column)
-        sketches.append(F.percentile_approx(F.when(b.holds(value), value), ends, 10_000).alias(f"s{i}"))
-    proposal = df.agg(*sketches).first()
-    counts = []
-    for i, b in enumerate(brackets):
-        value, (first, second) = _measure(b.column), proposal[f"s{i}"]
-        inside = b.holds(value)
-        counts += [
-            F.count_if(inside & (value < first)).alias(f"a{i}"),
-            F.count_if(inside & (value == first)).alias(f"b{i}"),
-            F.count_if(inside & (value > first) & (value < second)).alias(f"c{i}"),
-            F.count_if(inside & (value == second) & F.lit(second != first)).alias(f"d{i}"),
-        ]
-    found = df.agg(*counts).first()
-    for i, b in enumerate(brackets):
-        first, second = proposal[f"s{i}"]
-        less, at_first, between, at_second = (found[f"{k}{i}"] for k in "abcd")
-        place = b.rank - b.below
-        if place < less:
-            b.high, b.inside = first, less
-        elif place < less + at_first:
-            b.value = first
-        elif place < less + at_first + between:
-            b.low, b.high, b.below, b.inside = first, second, b.below + less + at_first, between
-        elif place < less + at_first + between + at_second:
-            b.value = second
-        else:
-            taken = less + at_first + between + at_second
-            b.low, b.below, b.inside = second, b.below + taken, b.inside - taken
+        for i, marks in _propose(df, columns, pivots, ranks, sizes, wide):
+            pivots[columns[i]] = sorted({*pivots[columns[i]], *marks})
+        found = _slotted(df, columns, pivots).groupBy("i", "slot").agg(F.count("*").alias("n")).collect()
+        counts = {(r["i"], r["slot"]): r["n"] for r in found}
+        places = _locate(columns, ranks, counts)
+    values = {key: pivots[key[0]][at[1] // 2] for key, (at, _) in places.items() if at[1] % 2}
+    left = {key: place for key, place in places.items() if place[0][1] % 2 == 0}
+    if left:
+        targets = df.sparkSession.createDataFrame([(*at, offset, key[0], key[1]) for key, (at, offset) in left.items()],
+                                                  "i int, slot int, offset bigint, column string, rank bigint")
+        wanted = F.broadcast(targets.select("i", "slot").distinct())
+        counted = _slotted(df, columns, pivots).join(wanted, ["i", "slot"]).groupBy("i", "slot", "v").agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("i", "slot").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+        summed = counted.withColumn("upto", upto).join(F.broadcast(targets), ["i", "slot"])
+        hits = summed.where((F.col("upto") > F.col("offset")) & (F.col("upto") - F.col("n") <= F.col("offset")))
+        values |= {(r["column"], r["rank"]): r["v"] for r in hits.select("column", "rank", "v").collect()}
+    return values
+
+
+def _locate(columns: list[str], ranks: dict[str, list[int]], counts: dict[tuple[int, int], int]) -> dict:
+    """(column, rank) -> (slot key, rank within the slot)."""
+    found = {}
+    for i, c in enumerate(columns):
+        wanted, before = list(ranks.get(c, [])), 0
+        for slot in sorted(s for j, s in counts if j == i):
+            while wanted and wanted[0] < before + counts[i, slot]:
+                found[c, wanted[0]] = ((i, slot), wanted[0] - before)
+                wanted.pop(0)
+            before += counts[i, slot]
+    return found
+
+
+def _propose(df: DataFrame, columns: list[str], pivots: dict, ranks: dict, sizes: dict, wide: set) -> list[tuple[int, list[float]]]:
+    """New pivots: around the wanted ranks of whole columns at first, then an even cut of each wide slot."""
+    fresh = sorted({i for i, _ in wide if not pivots[columns[i]]})
+    result = []
+    if fresh:
+        slack, sketches = 3e-4, []
+        for i in fresh:
+            c = columns[i]
+            shares = sorted({min(1.0, max(0.0, (r + 0.5) / sizes[c] + d)) for r in ranks[c] for d in (-slack, slack)})
+            sketches.append(F.percentile_approx(_measure(c), F.array(*[F.lit(s) for s in shares]), 10_000).alias(f"s{i}"))
+        row = df.agg(*sketches).first()
+        result += [(i, list(row[f"s{i}"])) for i in fresh]
+    narrow = [at for at in wide if at[0] not in fresh]
+    if narrow:
+        wanted = F.broadcast(df.sparkSession.createDataFrame(narrow, "i int, slot int"))
+        cuts = F.array(*[F.lit(k / 64) for k in range(65)])
+        rows = _slotted(df, columns, pivots).join(wanted, ["i", "slot"]).groupBy("i", "slot").agg(F.percentile_approx("v", cuts, 10_000).alias("s")).collect()
+        result += [(r["i"], list(r["s"])) for r in rows]
+    return result

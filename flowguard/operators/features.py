@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from flowguard.functions.numbers import quoted, text_columns
-from flowguard.operators.distributed import exact_percentiles, group_counts, pick_lowest
+from flowguard.operators.distributed import count_below, exact_percentiles, group_counts, pick_lowest
 from flowguard.operators.profiling import duplicate_columns, pearson_matrix
 from flowguard.session import cut_lineage
 
@@ -167,13 +167,14 @@ def mutual_information(df: DataFrame, columns: list[str], label: str, bins: int
     Rows shrink to (feature, bin, label) counts before anything is shuffled.
     """
     edges = exact_percentiles(df, columns, [i / bins for i in range(1, bins)])
-    cells = []
-    for c in columns:
+    binned, cells = df, []
+    for i, c in enumerate(columns):
         cuts = sorted({e for e in edges[c] if e is not None})
-        place = sum((F.when(quoted(c) > F.lit(e), 1).otherwise(0) for e in cuts), F.lit(0))
-        cells.append(F.when(quoted(c).isNotNull(), F.struct(F.lit(c).alias("feature"), place.alias("bin"))))
-    joint = df.select(F.col(label).alias("y"), F.explode(F.array_compact(F.array(*cells))).alias("c")).groupBy(
-        "c.feature", "c.bin", "y").agg(F.count("*").alias("n"))
+        bounds = F.array(*[F.lit(e) for e in cuts]) if cuts else F.array().cast("array<double>")
+        binned = count_below(binned, bounds, quoted(c).cast("double"), f"_bin{i}", len(cuts))
+        cells.append(F.struct(F.lit(c).alias("feature"), F.when(quoted(c).isNotNull(), F.col(f"_bin{i}")).alias("bin")))
+    joint = binned.select(F.col(label).alias("y"), F.inline(F.array(*cells))).where("bin IS NOT NULL").groupBy(
+        "feature", "bin", "y").agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy("feature"))
     by_bin = F.sum("n").over(Window.partitionBy("feature", "bin"))
     by_label = F.sum("n").over(Window.partitionBy("feature", "y"))

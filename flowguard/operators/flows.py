@@ -89,16 +89,14 @@ def _links(nodes: DataFrame, active: int, reach: int) -> DataFrame:
 
 def _chain(links: DataFrame, nodes: DataFrame, reach: int) -> DataFrame:
     """Nodes reached from each session start by following links."""
-    marks = cut_lineage(nodes.select("session", F.col("session.start").alias("node")).distinct())
+    marks = nodes.select("session", F.col("session.start").alias("node")).distinct()
     jump = cut_lineage(links)
-    while True:
+    while not jump.isEmpty():
         reached = marks.join(jump, ["session", "node"]).select("session", F.col("next").alias("node"))
-        grown = cut_lineage(marks.unionByName(reached).distinct())
-        if grown.count() == marks.count():
-            return grown
+        marks = cut_lineage(marks.unionByName(reached).distinct())
         further = jump.select("session", F.col("node").alias("next"), F.col("next").alias("_far"))
         jump = cut_lineage(jump.join(further, ["session", "next"]).select("session", "node", F.col("_far").alias("next")))
-        marks = grown
+    return marks
 
 
 def _last_mark(nodes: DataFrame, marks: DataFrame, reach: int) -> DataFrame:

@@ -93,7 +93,8 @@ def score_steps(df: DataFrame, rows_per_task: int = 1_000_000) -> DataFrame:
     a frequent score nor a frequent class lands in one task. A class must occur in `y` to be counted;
     with two classes only class 1 is.
     """
-    cells = df.select("model", "y", F.posexplode("probabilities").alias("class", "score"))
+    by_class = F.transform("probabilities", lambda p, i: F.struct(i.alias("class"), p.alias("score")))
+    cells = df.select("model", "y", F.inline(by_class))
     merged = cut_lineage(cells.groupBy("model", "class", (-F.col("score")).alias("order")).agg(
         F.count_if(F.col("y") == F.col("class")).alias("pos"), F.count_if(F.col("y") != F.col("class")).alias("neg")))
     totals = merged.groupBy("model", "class").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).where("P > 0")

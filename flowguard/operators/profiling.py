@@ -238,12 +238,14 @@ def spearman_matrix(df: DataFrame, columns: list[str], rows_per_task: int = 1_00
         complete.select(F.array(*[quoted(c).cast("double") + F.lit(0.0) for c in columns]).alias("row")).groupBy("row").agg(F.count("*").alias("w")))
     cells = merged.select("row", "w", F.posexplode("row").alias("i", "v"))
     counted = cells.groupBy("i", "v").agg(F.sum("w").alias("n"))
+    counted = cut_lineage(counted)
+    size = merged.agg(F.sum("w").alias("n")).first()["n"]
     ranked = running_totals(counted, ["i"], ["v"], {"upto": F.col("n")}, rows_per_task)
-    ranks = ranked.select("i", "v", (F.col("upto") - (F.col("n") - 1) / 2.0).alias("rank"))
-    placed = lookup_join(cells, ranks, ["i", "v"])
+    ranks = cut_lineage(ranked.select("i", "v", (F.col("upto") - (F.col("n") - 1) / 2.0).alias("rank")))
+    hot = counted.where(F.col("n") > (size or 0) / 1000).select("i", "v")
+    placed = lookup_join(cells, ranks, ["i", "v"], hot=hot)
     by_row = placed.groupBy("row").agg(F.first("w").alias("w"), *[
         F.max(F.when(F.col("i") == i, F.col("rank"))).alias(f"r{i}") for i in range(len(columns))])
-    size = merged.agg(F.sum("w").alias("n")).first()["n"]
     if not size:
         return dict.fromkeys(((columns[a], columns[b]) for a, b in pairs))
     centre = (size + 1) / 2.0

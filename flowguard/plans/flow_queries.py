@@ -195,7 +195,7 @@ def ioc_match(spark, folder):
 @query("ioc_match_salted", "alerts ioc", f"WITH {LOOKUP_SQL} SELECT {', '.join(MATCH)} FROM mt")
 def ioc_match_salted(spark, folder):
     # The form for indicator tables too large to broadcast.
-    return enrich.match_indicators(views.alerts(spark, folder), views.ioc(spark, folder), broadcast_rows=0, salts=4).select(*MATCH)
+    return enrich.match_indicators(views.alerts(spark, folder), views.ioc(spark, folder), broadcast_rows=0, salts=4, hot_share=0.01).select(*MATCH)
 
 
 @query("ioc_counts", "ioc", "SELECT list_type, count(*) AS rules FROM ioc GROUP BY list_type")

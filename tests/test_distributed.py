@@ -35,13 +35,13 @@ def test_slices_keep_the_order(skewed):
     assert numbers == sorted(numbers) and len(set(numbers)) == 8
 
 
-@pytest.mark.parametrize("task", [30, 700])
+@pytest.mark.parametrize("task", [2, 30, 700])
 def test_percentiles_by_narrowing(spark, skewed, task):
     probabilities = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
     frame = skewed.withColumn("n", F.when(F.col("id") % 3 > 0, F.col("v"))).withColumn("c", F.lit(1.0)).withColumn("e", F.lit(None).cast("double"))
     names = ["v", "w", "n", "c", "e"]
     short = d.exact_percentiles(frame, names, probabilities)
-    long = d.exact_percentiles(frame, names, probabilities, cells_in_memory=0, rows_in_one_task=task)
+    long = d.exact_percentiles(frame, names, probabilities, rows_in_one_task=task)
     values = frame.select("v").toPandas()["v"]
     assert np.allclose(short["v"], np.quantile(values, probabilities))
     for c in names[:4]:
@@ -51,7 +51,7 @@ def test_percentiles_by_narrowing(spark, skewed, task):
 
 def test_percentiles_ignore_nan_and_keep_infinity(spark):
     df = spark.createDataFrame([(float("nan"),), (1.0,), (float("inf"),), (3.0,), (None,)], "v double")
-    for limits in ({}, {"cells_in_memory": 0, "rows_in_one_task": 1}):
+    for limits in ({}, {"rows_in_one_task": 1}):
         assert d.exact_percentiles(df, ["v"], [0.0, 0.5], **limits)["v"] == [1.0, 3.0]
 
 
@@ -84,7 +84,7 @@ def test_previous_and_carry_over_slices(spark):
 def test_lookup_join_forms_agree(spark, skewed):
     dimension = spark.createDataFrame([("hot", 1), ("g1", 2)], "g string, x int")
     whole = d.lookup_join(skewed, dimension, ["g"]).select("id", "x")
-    salted = d.lookup_join(skewed, dimension, ["g"], broadcast_rows=1, salts=3).select("id", "x")
+    salted = d.lookup_join(skewed, dimension, ["g"], broadcast_rows=1, salts=3, hot_share=0.1).select("id", "x")
     assert sorted(whole.collect(), key=str) == sorted(salted.collect(), key=str)
 
 
