@@ -111,22 +111,37 @@ def _last_mark(nodes: DataFrame, marks: DataFrame, reach: int) -> DataFrame:
 def flow_features(packets: DataFrame, idle_seconds: float = 2.0, active_seconds: float | None = 10.0, slice_seconds: int = 3600) -> DataFrame:
     """STR-05: the twenty features and the metadata of every flow of a packet table (STR-04: all are closed)."""
     sessions = idle_sessions(network_packets(packets), idle_seconds, slice_seconds)
-    if active_seconds is not None:
-        sessions = active_flows(cut_lineage(sessions), active_seconds, idle_seconds)
-    return features_of(sessions, slice_seconds)
+    if active_seconds is None:
+        return features_of_long(sessions, slice_seconds)
+    return features_of(active_flows(cut_lineage(sessions), active_seconds, idle_seconds))
 
 
-def features_of(rows: DataFrame, slice_seconds: int = 3600) -> DataFrame:
-    """Aggregate packets that know their flow (`key`, `start`); the first packet sets the direction."""
-    flow = ["key", "start"]
+FLOW = ["key", "start"]
+
+
+def features_of(rows: DataFrame) -> DataFrame:
+    """Aggregate packets that know their flow (`key`, `start`) when an active timeout bounds each flow.
+
+    The first packet sets the direction. All windows and the aggregate share one exchange by flow.
+    """
+    order = Window.partitionBy(*FLOW).orderBy("at", "seq")
+    directed = rows.withColumns({
+        "opener": F.first("src").over(order), "answerer": F.first("dst").over(order), "_before": F.lag("at").over(order)})
+    sided = directed.withColumn("fwd", F.col("src") == F.col("opener"))
+    same_side = Window.partitionBy(*FLOW, "fwd").orderBy("at", "seq")
+    return summarise(sided.withColumn("_before_dir", F.lag("at").over(same_side)), FLOW)
+
+
+def features_of_long(rows: DataFrame, slice_seconds: int = 3600) -> DataFrame:
+    """The same for flows without an upper length, which are handled time slice by time slice."""
     opening = (F.col("start.at") == F.col("at")) & (F.col("start.seq") == F.col("seq"))
     sliced = rows.withColumn(SLICE, F.floor(F.col("at") / (slice_seconds * MICROS)))
     ends = F.when(opening, F.struct(F.col("src").alias("opener"), F.col("dst").alias("answerer")))
-    directed = carry_forward(sliced, flow, ["at", "seq"], ends, "_ends").withColumns({
+    directed = carry_forward(sliced, FLOW, ["at", "seq"], ends, "_ends").withColumns({
         "opener": F.col("_ends.opener"), "answerer": F.col("_ends.answerer"), "fwd": F.col("src") == F.col("_ends.opener")}).drop("_ends")
-    gaps = previous_value(directed, flow, ["at", "seq"], F.col("at"), "_before")
-    gaps = previous_value(gaps, [*flow, "fwd"], ["at", "seq"], F.col("at"), "_before_dir")
-    return summarise(gaps, flow)
+    gaps = previous_value(directed, FLOW, ["at", "seq"], F.col("at"), "_before")
+    gaps = previous_value(gaps, [*FLOW, "fwd"], ["at", "seq"], F.col("at"), "_before_dir")
+    return summarise(gaps, FLOW)
 
 
 def summarise(rows: DataFrame, flow: list[str]) -> DataFrame:
