@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowguard.functions.risk import traffic_type
 from flowguard.operators import cleaning, features, profiling
 from flowguard.plans.catalog import query
 from flowguard.sources import flow_files, views
@@ -183,6 +184,13 @@ def class_distribution(spark, folder):
     return _six(profiling.class_distribution(views.flows(spark, folder), "label"))
 
 
+@query("traffic_types", "flows", """
+    SELECT CASE WHEN label = 'N' THEN 'Benign' ELSE 'Malicious' END AS traffic_type, count(*) AS rows FROM flows GROUP BY ALL""")
+def traffic_types(spark, folder):
+    named = views.flows(spark, folder).withColumn("label", F.when(F.col("label") == "N", " benign").otherwise(F.col("label")))
+    return named.groupBy(traffic_type(F.col("label")).alias("traffic_type")).agg(F.count("*").alias("rows"))
+
+
 STATS_SQL = ("round(avg({c}), 9) AS mean, round(stddev_samp({c}), 9) AS std, min({c}) AS min, round(quantile_cont({c}, 0.25), 6) AS p25,"
              " round(quantile_cont({c}, 0.5), 6) AS p50, round(quantile_cont({c}, 0.75), 6) AS p75, max({c}) AS max,"
              " round(var_samp({c}), 4) AS variance")

@@ -21,6 +21,7 @@ from flowguard.functions.constants import ATTACK_NAMES
 from flowguard.functions.risk import risk_level, risk_score, round_half_even
 from flowguard.operators import metrics
 from flowguard.operators.features import stratified_sample
+from flowguard.session import cut_lineage
 
 FEATURES, LABEL, WEIGHT = "features", "label_index", "weight"
 
@@ -310,7 +311,6 @@ def _fold_mean(estimator: Estimator, sample: DataFrame, folds: int) -> float:
 def tune(name: str, train_rows: DataFrame, test_rows: DataFrame, mixed: Column, ties: list[str], sample_size: int = 50_000,
          folds: int = 5, **options) -> tuple[Trained, DataFrame]:
     """ML-10: search on a stratified sample, refit the winner on all training rows, compare with the default."""
-    from flowguard.session import cut_lineage
     sample = cut_lineage(with_folds(stratified_sample(train_rows, LABEL, sample_size, mixed, ties), folds, mixed, ties))
     settings, _ = search(name, sample, folds, **options)
     original, _ = train([name], train_rows)
@@ -327,17 +327,16 @@ def _curve(rows: list[tuple], spark: SparkSession) -> DataFrame:
 
 
 def _fold_scores(estimator: Estimator, rows: DataFrame, folds: int) -> dict[str, tuple[float, float]]:
-    judge, found = MacroF1(), {"train": [], "test": []}
+    """Mean and deviation of macro F1 over folds, for both sides; all folds are scored by one job."""
+    scored = None
     for k in range(folds):
         inside = rows.where(F.col("fold") != k)
         model = estimator.fit(inside)
-        found["train"].append(judge.evaluate(model.transform(inside)))
-        found["test"].append(judge.evaluate(model.transform(rows.where(F.col("fold") == k))))
-    result = {}
-    for part, scores in found.items():
-        mean = sum(scores) / len(scores)
-        result[part] = (mean, (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5)
-    return result
+        for part, side in (("train", inside), ("test", rows.where(F.col("fold") == k))):
+            part_rows = predict(model, side).select(F.lit(f"{part}|{k}").alias("model"), F.col(LABEL).cast("int").alias("y"), "pred")
+            scored = part_rows if scored is None else scored.unionByName(part_rows)
+    table = metrics.metric_suite(scored).groupBy(F.split("model", r"\|")[0].alias("part")).agg(F.avg("f1_macro").alias("m"), F.stddev_pop("f1_macro").alias("s"))
+    return {r["part"]: (r["m"], r["s"]) for r in table.orderBy("part").collect()}
 
 
 def learning_curve(name: str, sample: DataFrame, mixed: Column, ties: list[str], sizes: list[float] | None = None, folds: int = 3, settings: dict | None = None) -> DataFrame:
@@ -345,7 +344,7 @@ def learning_curve(name: str, sample: DataFrame, mixed: Column, ties: list[str],
     shares = sizes or [0.1 + 0.9 * i / 7 for i in range(8)]
     total, rows = sample.count(), []
     for share in shares:
-        part = with_folds(stratified_sample(sample, LABEL, max(folds, round(total * share)), mixed, ties), folds, mixed, ties)
+        part = cut_lineage(with_folds(stratified_sample(sample, LABEL, max(folds, round(total * share)), mixed, ties), folds, mixed, ties))
         for kind, (mean, std) in _fold_scores(build(name, **(settings or {})), part, folds).items():
             rows.append((f"{share:.4f}", round(total * share), kind, mean, std))
     return _curve(rows, sample.sparkSession)
@@ -353,7 +352,7 @@ def learning_curve(name: str, sample: DataFrame, mixed: Column, ties: list[str],
 
 def validation_curve(name: str, sample: DataFrame, parameter: str, values: list, mixed: Column, ties: list[str], folds: int = 3, settings: dict | None = None) -> DataFrame:
     """ML-13: macro F1 over one parameter."""
-    part, rows = with_folds(sample, folds, mixed, ties), []
+    part, rows = cut_lineage(with_folds(sample, folds, mixed, ties)), []
     size = sample.count()
     for value in values:
         for kind, (mean, std) in _fold_scores(build(name, **((settings or {}) | {parameter: value})), part, folds).items():
