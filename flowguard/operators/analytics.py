@@ -167,8 +167,9 @@ def indicator_counts(indicators: DataFrame) -> DataFrame:
     return indicators.groupBy("list_type").agg(F.count("*").alias("rules"))
 
 
-def report_dataset(df: DataFrame, as_of: datetime) -> DataFrame:
-    """AGG-15: summary, severity, top ten attacks and the newest fifty alerts as one nested row.
+def report_dataset(df: DataFrame, as_of: datetime, session: DataFrame | None = None, model: DataFrame | None = None) -> DataFrame:
+    """AGG-15: summary, severity, top ten attacks and the newest fifty alerts as one nested row, with the
+    one-row frames of session counters and model metadata when given.
 
     The lists are collected only after their limits, so the row has a fixed maximum size.
     """
@@ -177,6 +178,7 @@ def report_dataset(df: DataFrame, as_of: datetime) -> DataFrame:
     attacks = top_attacks(df, 10).agg(F.sort_array(F.collect_list(F.struct("alert_count", "attack_type", "average_confidence")), False).alias("top_attacks"))
     latest = newest(df, 50).agg(F.sort_array(F.collect_list(F.struct("timestamp", "id", "attack_type", "risk_level")), False).alias("latest"))
     parts = [severity, attacks.withColumn("k", F.lit(1)), latest.withColumn("k", F.lit(1))]
+    parts += [f.limit(1).select(F.struct("*").alias(name), F.lit(1).alias("k")) for name, f in (("session", session), ("model", model)) if f is not None]
     for part in parts:
         summary = summary.join(part, "k")
     return summary.drop("k").withColumn("as_of", F.lit(as_of))

@@ -169,10 +169,12 @@ def constant_columns(spark, folder):
     UNION ALL SELECT 'duplicate_rows_count', t - n FROM d UNION ALL SELECT 'duplicate_rows_percentage', round((t - n) * 100.0::DOUBLE / t, 6) FROM d
     UNION ALL SELECT 'missing_values_count', missing FROM g
     UNION ALL SELECT 'overall_null_percentage', round(missing * 100.0::DOUBLE / (t * {len(DIRTY)}), 6) FROM g, d
-    UNION ALL SELECT 'constant_features_count', 2 UNION ALL SELECT 'duplicate_columns_count', 1
+    UNION ALL SELECT 'constant_features_count', count(*) FILTER (c <= 1) FROM (CONSTANTS)
+    UNION ALL SELECT 'duplicate_columns_count', (count(*) FILTER (quantity_full = quantity_copy) = count(*))::INT FROM dirty
     UNION ALL SELECT 'infinite_values_count', count(*) FILTER (isinf(price)) FROM dirty""".replace(
         _tall_sql(DIRTY, 'count(*) FILTER (X) AS missing', 'dirty'),
-        " UNION ALL ".join(f"SELECT count(*) FILTER {_missing_sql(c)} AS missing FROM dirty" for c in DIRTY)))
+        " UNION ALL ".join(f"SELECT count(*) FILTER {_missing_sql(c)} AS missing FROM dirty" for c in DIRTY)).replace(
+        "CONSTANTS", " UNION ALL ".join(f"SELECT count(DISTINCT CASE WHEN NOT {_missing_sql(c)} THEN {c} END) AS c FROM dirty" for c in DIRTY)))
 def validation_summary(spark, folder):
     return _six(profiling.validation_summary(_dirty(spark, folder)))
 

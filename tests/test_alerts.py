@@ -172,3 +172,10 @@ def test_fan_out_records_failures(spark, tmp_path):
 def test_expand_skips_empty_classes(spark):
     rows = alerts.expand_batch(spark.createDataFrame([("BENIGN", 0), ("Bot", 250_001)], "attack_type string, n bigint"), 0.9, 1.0, 0.1)
     assert rows.count() == 250_001 and rows.agg(F.max("record")).first()[0] == 250_001
+
+
+def test_report_holds_its_parts(spark):
+    df = spark.createDataFrame([ALERT], SCHEMA)
+    model = spark.createDataFrame([("forest", 20)], "name string, features int")
+    row = analytics.report_dataset(df, datetime(2024, 1, 3), analytics.severity_counts(df), model).first()
+    assert (row["summary"]["total"], row["session"]["critical"], row["model"]["name"], row["latest"][0]["id"]) == (1, 1, "forest", "ALT-TEST-0001")
