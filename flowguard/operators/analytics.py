@@ -159,7 +159,7 @@ def running_confidence(df: DataFrame, groups: list[str], order: list[str], rows_
         df, groups, order,
         {"seen": F.lit(1).cast("bigint"), "confidence_sum": F.round(F.col("confidence") * 1_000_000).cast("bigint"),
          "threats": threat.cast("bigint")}, rows_per_task)
-    return summed.withColumn("average_confidence", F.round(F.col("confidence_sum") / 1_000_000 / F.col("seen"), 6)).drop("confidence_sum")
+    return summed.withColumn("average_confidence", F.col("confidence_sum") / 1_000_000 / F.col("seen")).drop("confidence_sum")
 
 
 def indicator_counts(indicators: DataFrame) -> DataFrame:

@@ -126,7 +126,7 @@ def session_counters(spark, folder):
     SELECT id, src_ip, seen, threats, average_confidence FROM (
       SELECT id, src_ip, count(*) OVER w AS seen,
              (sum(CASE WHEN risk_level IN ('High', 'Critical') OR attack_type <> 'BENIGN' THEN 1 ELSE 0 END) OVER w)::BIGINT AS threats,
-             round(sum(round(confidence * 1000000)::BIGINT) OVER w / 1000000.0::DOUBLE / count(*) OVER w, 6) AS average_confidence
+             sum(round(confidence * 1000000)::BIGINT) OVER w / 1000000.0::DOUBLE / count(*) OVER w AS average_confidence
       FROM alerts WINDOW w AS (PARTITION BY src_ip ORDER BY timestamp, event_id ROWS UNBOUNDED PRECEDING))""")
 def running_confidence(spark, folder):
     alerts = views.alerts(spark, folder).select("id", "src_ip", "timestamp", "event_id", "risk_level", "attack_type", "confidence")
