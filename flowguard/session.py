@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,16 +24,28 @@ def build_session(app: str = "flowguard", master: str | None = None, shuffle_par
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a local one only where none is set (tests)."""
+    """The shared folder named by the cluster; only where none is set, a folder of this application on `fs.defaultFS`."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="flowguard-checkpoint-"))
+        context.setCheckpointDir(_application_folder(spark))
     return context.getCheckpointDir()
 
 
+def _application_folder(spark: SparkSession) -> str:
+    """Made on the default file system and removed when the application ends."""
+    context, hadoop = spark.sparkContext, spark._jvm.org.apache.hadoop.fs
+    files = hadoop.FileSystem.get(context._jsc.hadoopConfiguration())
+    if files.getUri().getScheme() == "file" and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir: the default file system is not shared by the executors")
+    folder = files.makeQualified(hadoop.Path(f"/tmp/flowguard-{context.applicationId}"))
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return folder.toString()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise a frame that several later jobs read, so a lost executor never replays its inputs."""
     context = df.sparkSession.sparkContext
