@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowguard.llm import mixing, oracle, sharding, urls
+from flowguard.llm import decontaminate, language, mixing, oracle, quality, sharding, simhash, urls
 from flowguard.llm.common import table
 from flowguard.session import cut_lineage
 
@@ -13,6 +13,15 @@ from flowguard.session import cut_lineage
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 
 
+def op1_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from the labelled rows that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = language.train(docs.where(~F.coalesce(held_out, F.lit(False))))
+    found = language.identify(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op2_shards(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in shards 0 to 23 under the law `rows`."""
     rows = table(spark, folder, "documents").select(
@@ -28,12 +37,32 @@ def op3_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(rows).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that a window of the benchmark hits."""
+    found = decontaminate.find(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+                        decontaminate.contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"))
+
+
 def op5_urls(spark: SparkSession, folder: str) -> DataFrame:
     """Host, path, rule and verdict of every page."""
     return urls.judge_pages(table(spark, folder, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_shards, op3_mix, op5_urls)}
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.group(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and verdict of every document, the classifier fitted on labelled ones."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return quality.judge(docs, quality.train(docs, table(spark, folder, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_language, op2_shards, op3_mix, op4_decontaminate, op5_urls, op6_simhash, op7_quality)}
 
 
 def register(catalog) -> None:
