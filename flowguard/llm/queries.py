@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowguard.llm import decontaminate, language, mixing, oracle, quality, sharding, simhash, urls
+from flowguard.llm import decontaminate, language, mixing, oracle, passages, pii, quality, sharding, simhash, urls, wrappers
 from flowguard.llm.common import table
 from flowguard.session import cut_lineage
 
@@ -62,7 +62,32 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(docs, quality.train(docs, table(spark, folder, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_shards, op3_mix, op4_decontaminate, op5_urls, op6_simhash, op7_quality)}
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every document, by pattern and by what terms reveal."""
+    found = pii.detect(table(spark, folder, "documents").select("doc_id", "text"))
+    base, added = F.col("base"), F.col("added")
+    listed = F.concat_ws(",", F.transform(base, _span_text))
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed, 256).alias("base_sha256"), F.concat_ws(",", F.transform(F.concat(base, added), _span_text)).alias("spans"))
+
+
+def _span_text(span: Column) -> Column:
+    return F.concat_ws(":", span["kind"], span["start"].cast("string"), span["end"].cast("string"))
+
+
+def op9_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the passages that occur earlier, and the spans that were cut."""
+    return passages.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def op10_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return wrappers.extract_pages(table(spark, folder, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES = {f.__name__: f for f in (op1_language, op2_shards, op3_mix, op4_decontaminate, op5_urls, op6_simhash, op7_quality, op8_pii,
+                                  op9_passages, op10_pages)}
 
 
 def register(catalog) -> None:
