@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from flowguard.session import cut_lineage
 
@@ -33,6 +34,29 @@ def uniform(*parts: Column | int | str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double") / float(1 << 53)
 
 
+def carried(docs: DataFrame, text: str, carry: tuple[str, ...]) -> tuple[DataFrame, int, list[str]]:
+    """The carried columns, then the text where it is not among them; the place of the text; the carried columns' types."""
+    columns = [F.col(f"`{c}`") for c in carry]
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
+    if text in carry:
+        return docs.select(*columns), carry.index(text), kinds
+    return docs.select(*columns, F.col(f"`{text}`").alias("__text")), len(carry), kinds
+
+
+def attach(docs: DataFrame, decided: DataFrame, identity: dict[str, Column], columns: list[str]) -> DataFrame:
+    """`row` (a struct of all columns of `docs`) with the decided columns.
+
+    `decided` has the columns named by `identity` and must hold the same rows as `docs` by them, null values included;
+    rows of one identity take the decisions made for it in turn. One exchange by identity serves join and numbering.
+    """
+    keys = [f"__k{i}" for i in range(len(identity))]
+    grouped = decided.groupBy(*[key_of(F.col(c)).alias(k) for c, k in zip(identity, keys, strict=True)]).agg(
+        F.sort_array(F.collect_list(F.struct(*columns))).alias("__all"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[key_of(v).alias(k) for v, k in zip(identity.values(), keys, strict=True)])
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
+    return packed.join(grouped, keys).withColumn("__one", F.get("__all", turn - 1)).select("row", *[F.col(f"__one.{c}") for c in columns])
+
+
 def small_join(big: DataFrame, small: DataFrame, on: list[str], spread: list[str]) -> DataFrame:
     """Left join against a table that is expected to be small.
 

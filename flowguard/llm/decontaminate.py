@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowguard.llm.common import carried
 from flowguard.llm.fmindex import FMIndex
 
 WINDOW = 13
@@ -138,14 +139,12 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", carry: tuple
     Null texts have no words. A null item id is named `null`; items of one id count once. Items without a word are
     ignored. Repeated rows get equal answers; an empty table, or an empty benchmark, gives no hits.
     """
-    rows = docs.select(*[F.col(c) for c in carry], F.col(text).alias("__text"))
+    rows, at, head = carried(docs, text, carry)
     questions = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), F.col(item_text).alias("words"))
     total = questions.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    at = len(carry)
-    head = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    state = ["hits array<array<bigint>>", "items array<string>"]
-    found = rows
+    found, width, state = rows, len(carry), ["__hits array<array<bigint>>", "__items array<string>"]
+    kept_text = [] if text in carry else ["__text string"]
     for block in range(blocks):
         chosen = questions.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).toArrow()
         shared = docs.sparkSession.sparkContext.broadcast(phrases_of(list(zip(chosen["item"].to_pylist(), chosen["words"].to_pylist(), strict=True)), window))
@@ -155,20 +154,21 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", carry: tuple
             for batch in batches:
                 texts = batch.column(at).to_pylist()
                 words = [words_of(t) for t in texts]
-                hits = batch.column(at + 1).to_pylist() if block else [[] for _ in texts]
-                items = batch.column(at + 2).to_pylist() if block else [[] for _ in texts]
+                hits = batch.column("__hits").to_pylist() if block else [[] for _ in texts]
+                items = batch.column("__items").to_pylist() if block else [[] for _ in texts]
                 if shared.value.windows:
                     _search_batch(shared.value, words, hits, items)
-                kept, names = [batch.column(i) for i in range(at)], list(carry)
+                kept, names = [batch.column(i) for i in range(width)], list(carry)
                 if last:
                     counts = [pa.array([len(w) for w in words], pa.int64()), pa.array([sum(b - a for a, b in h) for h in hits], pa.int64()),
                               pa.array(items, pa.list_(pa.string())),
                               pa.array([_offsets(t or "", h) for t, h in zip(texts, hits, strict=True)], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
                     yield pa.RecordBatch.from_arrays([*kept, *counts], names=[*names, "n_words", "n_hit", "items", "spans"])
                 else:
-                    yield pa.RecordBatch.from_arrays([*kept, batch.column(at), pa.array(hits, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))],
-                                                     names=[*names, "__text", "hits", "items"])
-        tail = ["n_words bigint", "n_hit bigint", "items array<string>", "spans array<struct<start:int,end:int>>"] if last else ["__text string", *state]
+                    kept += [batch.column(at)] * len(kept_text)
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(hits, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))],
+                                                     names=[*names, *["__text"] * len(kept_text), "__hits", "__items"])
+        tail = ["n_words bigint", "n_hit bigint", "items array<string>", "spans array<struct<start:int,end:int>>"] if last else [*kept_text, *state]
         found = found.mapInArrow(search, ", ".join([*head, *tail]))
     return found
 

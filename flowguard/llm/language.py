@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowguard.llm import hashed
+from flowguard.llm.common import carried
 
 BITS, SIZES = 14, (2, 3, 4)
 _LETTER = re.compile(r"[^\W\d_]")
@@ -115,14 +116,14 @@ def identify(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str
     Whole texts are read. A text that is null or without a letter is `und` with score 0 and not accepted, as is every
     text where nothing was learned. Repeated rows get equal answers; an empty table gives an empty result.
     """
-    rows = docs.select(*[F.col(c) for c in carry], F.col(text).alias("__text"))
+    rows, at, kinds = carried(docs, text, carry)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # as many rows as slots, one column per language
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + ["lang_pred string", "score double", "accepted boolean"])
+    schema = ", ".join(kinds + ["lang_pred string", "score double", "accepted boolean"])
     names = [*carry, "lang_pred", "score", "accepted"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            answers = [shared.value.predict(t) for t in batch.column(len(carry)).to_pylist()]
+            answers = [shared.value.predict(t) for t in batch.column(at).to_pylist()]
             columns = [pa.array([a[i] for a in answers], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carry))), *columns], names=names)
     return rows.mapInArrow(score, schema)

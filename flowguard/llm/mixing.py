@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flowguard.llm.common import key_of, small_join, uniform
+from flowguard.llm.common import attach, key_of, small_join, uniform
 from flowguard.session import cut_lineage
 
 #: Units that one node of the reduction tree combines.
@@ -127,16 +127,7 @@ def _open(level: DataFrame) -> DataFrame:
     return level.where("state.left >= 0").select("key", "block", unit.withField("m", F.col("state.m")).alias("unit"))
 
 
-def repeat_rows(docs: DataFrame, mixed: DataFrame, identity: list[str]) -> DataFrame:
-    """The rows of `docs`, each as often as `mixed` decided for it.
-
-    Both must hold the same rows by `identity`, null values included; rows of one identity take the decisions made for
-    it in turn. One exchange of the rows by identity serves the join and the numbering.
-    """
-    names = [f"__k{i}" for i in range(len(identity))]
-    decided = mixed.groupBy(*[key_of(F.col(c)).alias(n) for c, n in zip(identity, names, strict=True)]).agg(F.sort_array(F.collect_list("copies")).alias("__copies"))
-    keyed = docs.select("*", *[key_of(F.col(c)).alias(n) for c, n in zip(identity, names, strict=True)])
-    turn = F.row_number().over(Window.partitionBy(*names).orderBy(*names))
-    joined = keyed.join(decided, names).withColumn("__times", F.get("__copies", turn - 1))
-    times = F.sequence(F.lit(1), F.col("__times"))
-    return joined.where("__times > 0").withColumn("__copy", F.explode(times)).select(*docs.columns)
+def repeat_rows(docs: DataFrame, mixed: DataFrame, identity: dict[str, Column]) -> DataFrame:
+    """The rows of `docs`, each as often as `mixed` decided for it."""
+    decided = attach(docs, mixed, identity, ["copies"])
+    return decided.where("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowguard.llm import hashed
+from flowguard.llm.common import carried
 
 BITS = 15
 #: A document is kept when its calibrated probability of good quality reaches this.
@@ -147,16 +148,16 @@ def judge(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str, .
     Whole texts are read, null texts as empty ones. Texts that fail the base rules are not kept and have no probability.
     Repeated rows get equal answers; an empty table gives an empty result.
     """
-    rows = docs.select(*[F.col(c) for c in carry], F.col(text).alias("__text"))
+    rows, at, kinds = carried(docs, text, carry)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + [f"{c} long" for c in counts]
+    schema = ", ".join(kinds + [f"{c} long" for c in counts]
                        + ["base_failed boolean", "kept boolean", "good double"])
     names = [*carry, *counts, "base_failed", "kept", "good"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(carry)).to_pylist()
+            texts = batch.column(at).to_pylist()
             found = [measure(t) for t in texts]
             failed = [base_failed(m[0], m[4]) for m in found]
             good = [None if f else shared.value.good(t) for t, f in zip(texts, failed, strict=True)]
