@@ -34,13 +34,17 @@ def uniform(*parts: Column | int | str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double") / float(1 << 53)
 
 
-def carried(docs: DataFrame, text: str, carry: tuple[str, ...]) -> tuple[DataFrame, int, list[str]]:
-    """The carried columns, then the text where it is not among them; the place of the text; the carried columns' types."""
+def carried(docs: DataFrame, text: str, carry: tuple[str, ...], made: list[str]) -> tuple[DataFrame, int, list[str], list[str]]:
+    """The carried columns, then the text where it is not among them; the place of the text; names and types of the carried.
+
+    Columns named like those that the operator makes are replaced, so they are not carried.
+    """
+    carry = [c for c in carry if c not in made]
     columns = [F.col(f"`{c}`") for c in carry]
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
     if text in carry:
-        return docs.select(*columns), carry.index(text), kinds
-    return docs.select(*columns, F.col(f"`{text}`").alias("__text")), len(carry), kinds
+        return docs.select(*columns), carry.index(text), carry, kinds
+    return docs.select(*columns, F.col(f"`{text}`").alias("__text")), len(carry), carry, kinds
 
 
 def attach(docs: DataFrame, decided: DataFrame, identity: dict[str, Column], columns: list[str]) -> DataFrame:

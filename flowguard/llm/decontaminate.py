@@ -139,7 +139,8 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", carry: tuple
     Null texts have no words. A null item id is named `null`; items of one id count once. Items without a word are
     ignored. Repeated rows get equal answers; an empty table, or an empty benchmark, gives no hits.
     """
-    rows, at, head = carried(docs, text, carry)
+    made = ["n_words", "n_hit", "items", "spans"]
+    rows, at, carry, head = carried(docs, text, carry, made)
     questions = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), F.col(item_text).alias("words"))
     total = questions.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
@@ -163,7 +164,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", carry: tuple
                     counts = [pa.array([len(w) for w in words], pa.int64()), pa.array([sum(b - a for a, b in h) for h in hits], pa.int64()),
                               pa.array(items, pa.list_(pa.string())),
                               pa.array([_offsets(t or "", h) for t, h in zip(texts, hits, strict=True)], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
-                    yield pa.RecordBatch.from_arrays([*kept, *counts], names=[*names, "n_words", "n_hit", "items", "spans"])
+                    yield pa.RecordBatch.from_arrays([*kept, *counts], names=[*names, *made])
                 else:
                     kept += [batch.column(at)] * len(kept_text)
                     yield pa.RecordBatch.from_arrays([*kept, pa.array(hits, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))],

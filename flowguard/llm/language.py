@@ -15,7 +15,7 @@ from flowguard.llm import hashed
 from flowguard.llm.common import carried
 
 BITS, SIZES = 14, (2, 3, 4)
-_LETTER = re.compile(r"[^\W\d_]")
+_PLAIN_LETTER = re.compile(r"[A-Za-z]")
 #: ASCII bytes that are no letters become spaces.
 _LETTERS_ONLY = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -31,7 +31,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, calibrated probability, and whether it reaches the rejection threshold."""
-        if text is None or not self.labels or not _LETTER.search(text):
+        if text is None or not self.labels or not (_PLAIN_LETTER.search(text) or any(map(str.isalpha, text))):
             return "und", 0.0, False
         groups = _groups(text)
         logits = self.bias.astype(np.float64)
@@ -116,14 +116,15 @@ def identify(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str
     Whole texts are read. A text that is null or without a letter is `und` with score 0 and not accepted, as is every
     text where nothing was learned. Repeated rows get equal answers; an empty table gives an empty result.
     """
-    rows, at, kinds = carried(docs, text, carry)
+    made = ["lang_pred", "score", "accepted"]
+    rows, at, kept, kinds = carried(docs, text, carry, made)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # as many rows as slots, one column per language
     schema = ", ".join(kinds + ["lang_pred string", "score double", "accepted boolean"])
-    names = [*carry, "lang_pred", "score", "accepted"]
+    names = [*kept, *made]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             answers = [shared.value.predict(t) for t in batch.column(at).to_pylist()]
             columns = [pa.array([a[i] for a in answers], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carry))), *columns], names=names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *columns], names=names)
     return rows.mapInArrow(score, schema)

@@ -148,12 +148,13 @@ def judge(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str, .
     Whole texts are read, null texts as empty ones. Texts that fail the base rules are not kept and have no probability.
     Repeated rows get equal answers; an empty table gives an empty result.
     """
-    rows, at, kinds = carried(docs, text, carry)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    made = [*counts, "base_failed", "kept", "good"]
+    rows, at, held, kinds = carried(docs, text, carry, made)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
     schema = ", ".join(kinds + [f"{c} long" for c in counts]
                        + ["base_failed boolean", "kept boolean", "good double"])
-    names = [*carry, *counts, "base_failed", "kept", "good"]
+    names = [*held, *made]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,5 +164,5 @@ def judge(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str, .
             good = [None if f else shared.value.good(t) for t, f in zip(texts, failed, strict=True)]
             columns = [pa.array([m[i] for m in found], pa.int64()) for i in range(len(counts))]
             columns += [pa.array(failed, pa.bool_()), pa.array([g is not None and g >= least for g in good], pa.bool_()), pa.array(good, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carry))), *columns], names=names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(held))), *columns], names=names)
     return rows.mapInArrow(score, schema)

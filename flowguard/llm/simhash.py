@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowguard.llm.common import carried
 from flowguard.llm.components import components
 from flowguard.session import cut_lineage
 
@@ -37,13 +38,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE) -> DataFrame:
     """`carry` columns and `fp` (64 bits as a signed integer) of every whole text."""
-    rows = docs.select(*[F.col(c) for c in carry], F.col(text).alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + ["fp bigint"])
+    rows, at, kept, kinds = carried(docs, text, carry, ["fp"])
+    schema, names = ", ".join([*kinds, "fp bigint"]), [*kept, "fp"]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, shingle) for t in batch.column(len(carry)).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carry))), pa.array(found)], names=[*carry, "fp"])
+            found = np.array([fingerprint(t, shingle) for t in batch.column(at).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(found)], names=names)
     return rows.mapInArrow(mark, schema)
 
 
