@@ -21,11 +21,11 @@ def _text(name: str) -> Column:
     return F.col(name).cast("string")
 
 
-def cef_line(vendor: str = "FlowGuard", product: str = "flow-analytics", version: str = "1.0.0") -> Column:
+def cef_line(vendor: str = "FlowGuard", product: str = "flow-analytics", version: str = "1.0.0", event_prefix: str = "ALERT-") -> Column:
     """EXP-06 over the alert columns."""
     attack = F.col("attack_type")
     return F.concat(
-        F.lit(f"CEF:0|{vendor}|{product}|{version}|NIDS-"), attack, F.lit("|"), attack, F.lit(" Intrusion Detected|"),
+        F.lit(f"CEF:0|{vendor}|{product}|{version}|{event_prefix}"), attack, F.lit("|"), attack, F.lit(" Intrusion Detected|"),
         severity_number(F.col("risk_level")).cast("string"),
         F.lit("|src="), F.col("src_ip"), F.lit(" dst="), F.col("dst_ip"), F.lit(" dport="), _text("dst_port"),
         F.lit(" proto="), F.col("protocol"), F.lit(" cn1="), _text("risk_score"),

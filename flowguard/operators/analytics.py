@@ -64,13 +64,13 @@ def top_attacks(df: DataFrame, limit: int = 10) -> DataFrame:
     ).orderBy(F.col("alert_count").desc(), "attack_type").limit(limit)
 
 
-def trend(df: DataFrame, as_of: datetime, time_range: str = "all", points: int = 100) -> DataFrame:
-    """AGG-05: hourly for the last day, else daily; the first 100 points in time order."""
-    return df.where(time_filter(as_of, time_range)).groupBy(
+def trend(df: DataFrame, as_of: datetime, time_range: str = "all", points: int | None = None) -> DataFrame:
+    """AGG-05: hourly for the last day, else daily, in time order; with `points` only the latest so many."""
+    totals = df.where(time_filter(as_of, time_range)).groupBy(
         time_label(F.col("timestamp"), time_range == "24h").alias("time")
     ).agg(
-        F.count("*").alias("total"), F.count_if(_benign()).alias("benign"), F.count_if(~_benign()).alias("attacks"),
-    ).orderBy("time").limit(points)
+        F.count("*").alias("total"), F.count_if(_benign()).alias("benign"), F.count_if(~_benign()).alias("attacks"))
+    return (totals if points is None else totals.orderBy(F.col("time").desc()).limit(points)).orderBy("time")
 
 
 def daily_report(df: DataFrame, day: str) -> DataFrame:

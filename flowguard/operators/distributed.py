@@ -1,7 +1,6 @@
 """Building blocks that keep exact answers while no single task receives a whole group.
 
-Every helper first counts, then either takes the short form (the data is known to fit one task)
-or splits the work into slices whose partial results are combined through a small table.
+The work is split into slices whose partial results are combined through a small table, in the same way at every size.
 """
 
 from __future__ import annotations
@@ -12,38 +11,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from flowguard.session import cut_lineage
+
 SLICE = "_slice"
-MAX_SLICES = 1023
 MIX_PRIME = 2147483647
+#: A dimension is broadcast only below both of these.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 
 def mix(*keys: Column) -> Column:
     """Portable integer mix in [0, 2^31-1) of bigint key columns; equal in any SQL engine."""
     factors = [48271, 69621, 39373, 16807, 30269, 65539]
-    total = sum((F.pmod(k, F.lit(MIX_PRIME)) * F.lit(f) for k, f in zip(keys, factors, strict=False)), F.lit(0).cast("bigint"))
+    factors += [10007 + 1009 * i for i in range(len(keys) - len(factors))]
+    total = sum((F.pmod(k, F.lit(MIX_PRIME)) * F.lit(f) for k, f in zip(keys, factors[:len(keys)], strict=True)), F.lit(0).cast("bigint"))
     return F.pmod(total, F.lit(MIX_PRIME))
 
 
-def is_at_most(df: DataFrame, rows: int) -> bool:
-    """True when the frame has no more than `rows` rows; stops reading once it is proven otherwise."""
-    return df.limit(rows + 1).count() <= rows
+def _fits(df: DataFrame, rows: int, size: int) -> bool:
+    """True when the frame is within both bounds, by one counting job."""
+    texts = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    found = df.agg(F.count("*").alias("n"), F.sum(sum(texts, F.lit(24 * len(df.columns)))).alias("bytes")).first()
+    return found["n"] <= rows and (found["bytes"] or 0) <= size
 
 
-def lookup_join(fact: DataFrame, dimension: DataFrame, on: list[str], how: str = "left",
-                broadcast_rows: int = 200_000, salts: int = 32, hot_share: float = 0.001, hot: DataFrame | None = None) -> DataFrame:
+def lookup_join(fact: DataFrame, dimension: DataFrame, on: list[str], how: str = "left", broadcast_rows: int = BROADCAST_ROWS,
+                broadcast_bytes: int = BROADCAST_BYTES, salts: int = 32, hot_share: float = 0.001, hot: DataFrame | None = None,
+                key_share: float = 0.05) -> DataFrame:
     """Join a large frame to a dimension that is unique on `on`.
 
-    The dimension is broadcast only after its size was checked. A larger one is shuffled; keys that hold
-    more than `hot_share` of the facts (there can be at most 1 / hot_share of them) are spread over
-    `salts` tasks, and only their dimension rows are repeated. A caller that knows the hot keys passes them.
+    The dimension is broadcast only after its rows and bytes were checked. A larger one is shuffled; keys that hold
+    more than `hot_share` of the facts (there can be at most 1 / hot_share of them) are spread over `salts` tasks, and
+    only their dimension rows are repeated. Hot keys come from a sample of the keys, as a missed one costs time and no
+    row; a caller that knows them passes them.
     """
-    if is_at_most(dimension, broadcast_rows):
+    if _fits(dimension, broadcast_rows, broadcast_bytes):
         return fact.join(F.broadcast(dimension), on, how)
     if hot is None:
-        limit = F.lit(fact.count() * hot_share)
-        hot = fact.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
+        counted = cut_lineage(fact.select(*on).sample(key_share, seed=7).groupBy(*on).agg(F.count("*").alias("_n")))
+        total = counted.agg(F.sum("_n")).first()[0] or 0
+        hot = counted.where(F.col("_n") > F.lit(total * hot_share))
     marks = F.broadcast(hot.select(*on, F.lit(True).alias("_hot")))
-    spread = F.pmod(F.spark_partition_id(), F.lit(salts))
+    hashed = [F.col(f"`{f.name}`") for f in fact.schema.fields if "map<" not in f.dataType.simpleString()]
+    spread = F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int")
     salted_fact = fact.join(marks, on, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     salted_dimension = dimension.join(marks, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
@@ -58,26 +67,13 @@ def _join_back(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(renamed, condition, "left").drop(*[f"_r_{k}" for k in keys])
 
 
-def add_slices(df: DataFrame, keys: list[str], slices: int, rows: int) -> DataFrame:
-    """Number of a contiguous range of the sort order; bounds come from a repeatable key sample.
+def add_slices(df: DataFrame, keys: list[str], slices: int) -> DataFrame:
+    """Number of a contiguous range of the sort order, by Spark's range partitioning.
 
-    The sample holds distinct keys only, about 20 per slice, so what the driver sees stays bounded.
+    The rows are written, since a range bound that is sampled again may differ. Equal keys share a slice.
     """
-    slices = min(slices, MAX_SLICES)
-    every = max(1, rows // (slices * 20))
-    sample = (
-        df.where(F.pmod(F.xxhash64(*keys), F.lit(every)) == 0)
-        .select(*keys).distinct().na.drop().limit(slices * 200).collect()
-    )
-    usable = sorted(tuple(r) for r in sample if all(v == v for v in r))
-    picks = sorted({usable[(i * len(usable)) // slices] for i in range(1, slices)}) if usable else []
-    if not picks:
-        return df.withColumn(SLICE, F.lit(0))
-    types = {f.name: f.dataType for f in df.schema.fields}
-    bounds = F.sort_array(F.array(*[
-        F.struct(*[F.lit(v).cast(types[k]).alias(k) for k, v in zip(keys, pick, strict=True)]) for pick in picks
-    ]))
-    return count_below(df, bounds, F.struct(*[F.col(k) for k in keys]), SLICE, len(picks))
+    ranged = df.repartitionByRange(max(1, slices), *[F.col(f"`{k}`") for k in keys])
+    return cut_lineage(ranged.withColumn(SLICE, F.spark_partition_id()))
 
 
 def count_below(df: DataFrame, bounds: Column, value: Column, name: str, size: int, strict: bool = True) -> DataFrame:
@@ -99,15 +95,13 @@ def running_totals(df: DataFrame, groups: list[str], order: list[str], sums: dic
                    rows_per_task: int = 1_000_000) -> DataFrame:
     """Exact inclusive running sums in `order` within each group.
 
-    Beyond `rows_per_task` rows the sort order is cut into slices: each slice sums on its own and adds
-    the totals of the slices before it. `order` should be unique within a group.
+    The sort order is cut into slices of about `rows_per_task` rows, and at least as many as there are shuffle
+    partitions: each slice sums on its own and adds the totals of the slices before it. `order` should be unique within
+    a group.
     """
-    rows = df.count()
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = list(sums)
-    if rows <= rows_per_task:
-        window = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(sums[n]).over(window).alias(n) for n in names])
-    sliced = add_slices(df, [*groups, *order], math.ceil(rows / rows_per_task), rows)
+    sliced = add_slices(df, [*groups, *order], max(least, math.ceil(df.count() / rows_per_task)))
     partial = sliced.groupBy(*groups, SLICE).agg(*[F.sum(sums[n]).alias(f"_total_{n}") for n in names])
     earlier = Window.partitionBy(*groups).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = partial.select(
@@ -143,20 +137,17 @@ def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: Colum
     return _join_back(carried, edges, [*keys, SLICE]).withColumn(name, F.coalesce(F.col(name), F.col("_edge"))).drop("_value", "_edge")
 
 
-def pick_lowest(df: DataFrame, group: str, quotas: dict, mixed: Column, ties: list[str],
-                name: str = "picked", rows_in_one_task: int = 1_000_000) -> DataFrame:
+def pick_lowest(df: DataFrame, group: str, quotas: dict, mixed: Column, ties: list[str], name: str = "picked",
+                rows: int | None = None, rows_in_bucket: int = 50_000) -> DataFrame:
     """Mark exactly `quotas[g]` rows of each group, those with the lowest mixed key.
 
-    Large inputs are counted per (group, mix bucket); whole buckets below the quota are taken without a
-    shuffle and only the single bucket at the quota is sorted.
+    Rows are counted per (group, mix bucket); whole buckets below the quota are taken without a shuffle and only the
+    single bucket at the quota, about `rows_in_bucket` rows, is sorted. A caller that has counted passes `rows`.
     """
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     tagged = df.withColumn("_mix", mixed)
     quota = F.coalesce(F.try_element_at(_literal_map(quotas), F.col(group).cast("string")), F.lit(0).cast("bigint"))
-    if rows <= rows_in_one_task:
-        window = Window.partitionBy(group).orderBy("_mix", *ties)
-        return tagged.withColumn(name, F.row_number().over(window) <= quota).drop("_mix")
-    buckets = min(65_536, max(2, rows // 1000))
+    buckets = max(16, rows // rows_in_bucket)
     tagged = tagged.withColumn("_bucket", F.floor(F.col("_mix") * F.lit(buckets) / F.lit(MIX_PRIME)))
     counted = tagged.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
     upto = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
@@ -195,20 +186,27 @@ def _measure(name: str) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def exact_percentiles(df: DataFrame, columns: list[str], probabilities: list[float],
-                      rows_in_one_task: int = 1_000_000) -> dict[str, list[float | None]]:
-    """Linear-interpolated percentiles of each column, nulls and NaN ignored, at any size.
+def exact_percentiles(df: DataFrame, columns: list[str], probabilities: list[float], rows_per_task: int = 100_000) -> dict[str, list[float | None]]:
+    """Linear-interpolated percentiles of each column, nulls and NaN ignored.
 
-    The value at a rank is found by narrowing: bounded sketches propose pivot values, one counting pass
-    says between which pivots the rank lies, until the interval holds few enough rows to be sorted. No
-    pass shuffles the table: cells shrink to (column, interval) counts before the exchange.
+    One pass counts the cells and proposes pivots next to the wanted ranks by bounded sketches, one pass counts the cells
+    between the pivots, and only the interval that holds a rank is sorted; an interval of more than `rows_per_task` cells
+    is cut again. No pass shuffles the table: cells shrink to (column, interval) counts before the exchange.
     """
     if not columns:
         return {}
-    head = df.agg(*[F.count(_measure(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    sizes = {c: head[f"n{i}"] for i, c in enumerate(columns)}
-    ranks = {c: sorted({r for p in probabilities for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))}) for c, n in sizes.items() if n}
-    values = _values_at(df, columns, ranks, sizes, rows_in_one_task)
+    slack = 3e-4
+    shares = sorted({min(1.0, max(0.0, p + d)) for p in probabilities for d in (-slack, slack)})
+    cells = df.select(*[_measure(c).alias(f"_c{i}") for i, c in enumerate(columns)]).persist()
+    try:
+        head = cells.agg(*[F.struct(F.count(f"_c{i}").alias("n"), F.percentile_approx(f"_c{i}", F.array(*[F.lit(s) for s in shares]), 10_000).alias("at")).alias(f"h{i}")
+                           for i in range(len(columns))]).first()
+        sizes = {c: head[f"h{i}"]["n"] for i, c in enumerate(columns)}
+        pivots = {c: sorted(set(head[f"h{i}"]["at"] or [])) for i, c in enumerate(columns)}
+        ranks = {c: sorted({r for p in probabilities for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))}) for c, n in sizes.items() if n}
+        values = _values_at(cells, columns, ranks, pivots, rows_per_task)
+    finally:
+        cells.unpersist()
     result: dict[str, list[float | None]] = {}
     for c in columns:
         result[c] = []
@@ -224,9 +222,9 @@ def exact_percentiles(df: DataFrame, columns: list[str], probabilities: list[flo
 
 def _slotted(df: DataFrame, columns: list[str], pivots: dict[str, list[float]]) -> DataFrame:
     """One row (column number, slot, value) per cell; slot 2k lies between pivots, slot 2k+1 is pivot k."""
-    out, cells = df.select(*[_measure(c).alias(f"_v{i}") for i, c in enumerate(columns)]), []
+    out, cells = df, []
     for i, c in enumerate(columns):
-        value, marks = F.col(f"_v{i}"), pivots[c]
+        value, marks = F.col(f"_c{i}"), pivots[c]
         slot = F.lit(0)
         if marks:
             bounds = F.array(*[F.lit(m) for m in marks])
@@ -237,19 +235,19 @@ def _slotted(df: DataFrame, columns: list[str], pivots: dict[str, list[float]])
     return out.select(F.inline(F.array(*cells))).where("v IS NOT NULL")
 
 
-def _values_at(df: DataFrame, columns: list[str], ranks: dict[str, list[int]], sizes: dict[str, int], limit: int) -> dict[tuple[str, int], float]:
-    pivots: dict[str, list[float]] = {c: [] for c in columns}
-    counts = {(i, 0): sizes[c] for i, c in enumerate(columns)}
-    places = _locate(columns, ranks, counts)
+def _values_at(df: DataFrame, columns: list[str], ranks: dict[str, list[int]], pivots: dict[str, list[float]], limit: int) -> dict[tuple[str, int], float]:
     while True:
-        wide = {at for at, _ in places.values() if at[1] % 2 == 0 and counts[at] > limit}
-        if not wide:
-            break
-        for i, marks in _propose(df, columns, pivots, ranks, sizes, wide):
-            pivots[columns[i]] = sorted({*pivots[columns[i]], *marks})
         found = _slotted(df, columns, pivots).groupBy("i", "slot").agg(F.count("*").alias("n")).collect()
         counts = {(r["i"], r["slot"]): r["n"] for r in found}
         places = _locate(columns, ranks, counts)
+        wide = sorted({at for at, _ in places.values() if at[1] % 2 == 0 and counts[at] > limit})
+        if not wide:
+            break
+        wanted = F.broadcast(df.sparkSession.createDataFrame(wide, "i int, slot int"))
+        cuts = F.array(*[F.lit(k / 64) for k in range(65)])
+        between = _slotted(df, columns, pivots).join(wanted, ["i", "slot"]).groupBy("i", "slot").agg(F.percentile_approx("v", cuts, 10_000).alias("s"))
+        for r in between.collect():
+            pivots[columns[r["i"]]] = sorted({*pivots[columns[r["i"]]], *r["s"]})
     values = {key: pivots[key[0]][at[1] // 2] for key, (at, _) in places.items() if at[1] % 2}
     left = {key: place for key, place in places.items() if place[0][1] % 2 == 0}
     if left:
@@ -275,24 +273,3 @@ def _locate(columns: list[str], ranks: dict[str, list[int]], counts: dict[tuple[
                 wanted.pop(0)
             before += counts[i, slot]
     return found
-
-
-def _propose(df: DataFrame, columns: list[str], pivots: dict, ranks: dict, sizes: dict, wide: set) -> list[tuple[int, list[float]]]:
-    """New pivots: around the wanted ranks of whole columns at first, then an even cut of each wide slot."""
-    fresh = sorted({i for i, _ in wide if not pivots[columns[i]]})
-    result = []
-    if fresh:
-        slack, sketches = 3e-4, []
-        for i in fresh:
-            c = columns[i]
-            shares = sorted({min(1.0, max(0.0, (r + 0.5) / sizes[c] + d)) for r in ranks[c] for d in (-slack, slack)})
-            sketches.append(F.percentile_approx(_measure(c), F.array(*[F.lit(s) for s in shares]), 10_000).alias(f"s{i}"))
-        row = df.agg(*sketches).first()
-        result += [(i, list(row[f"s{i}"])) for i in fresh]
-    narrow = [at for at in wide if at[0] not in fresh]
-    if narrow:
-        wanted = F.broadcast(df.sparkSession.createDataFrame(narrow, "i int, slot int"))
-        cuts = F.array(*[F.lit(k / 64) for k in range(65)])
-        rows = _slotted(df, columns, pivots).join(wanted, ["i", "slot"]).groupBy("i", "slot").agg(F.percentile_approx("v", cuts, 10_000).alias("s")).collect()
-        result += [(r["i"], list(r["s"])) for r in rows]
-    return result

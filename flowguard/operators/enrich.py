@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from flowguard.functions.net import is_internal, starts_with_any
 from flowguard.operators.alerts import query_alerts
-from flowguard.operators.distributed import lookup_join
+from flowguard.operators.distributed import lookup_join, running_totals
 
 # List precedence (first wins), action and score per list, defaults of a feed entry.
 LIST_PRIORITY = {"whitelist": 1, "blacklist": 2, "malicious_ip": 3}
@@ -162,13 +162,14 @@ def attribute_sockets(flows: DataFrame, inventory: DataFrame, default: str = "un
 def request_bursts(events: DataFrame, client: str = "client_ip", ts: str = "ts", limit: int = 120, seconds: int = 60) -> DataFrame:
     """WIN-05: requests per client in the sliding window that ends at each instant; the far end is open.
 
-    Requests of one instant are merged first. A client's time line is cut into slices as long as the
-    window; a slice sees itself and the one before it, so a client with any share of the log is spread.
+    A request counts from its instant on and is taken back one window later, so the count at any instant is one running
+    total. It is summed by slices of the time line, so a client with any share of the log is spread, and the work does
+    not grow with the requests in a window.
     """
     micros = seconds * 1_000_000
     per_instant = events.groupBy(client, F.unix_micros(ts).alias("_at")).agg(F.count("*").alias("requests"))
-    own = F.floor(F.col("_at") / micros)
-    seen = per_instant.withColumn("_own", own).withColumn("_slice", F.explode(F.array(own, own + 1)))
-    window = Window.partitionBy(client, "_slice").orderBy("_at").rangeBetween(-(micros - 1), 0)
-    counted = seen.withColumn("in_window", F.sum("requests").over(window)).where("_own = _slice")
+    steps = F.array(F.struct(F.col("_at").alias("_at"), F.col("requests").alias("requests"), F.col("requests").alias("_step")),
+                    F.struct((F.col("_at") + micros).alias("_at"), F.lit(0).cast("bigint").alias("requests"), (-F.col("requests")).alias("_step")))
+    merged = per_instant.select(client, F.inline(steps)).groupBy(client, "_at").agg(F.sum("requests").alias("requests"), F.sum("_step").alias("_step"))
+    counted = running_totals(merged, [client], ["_at"], {"in_window": F.col("_step")}).where("requests > 0")
     return counted.select(client, F.timestamp_micros("_at").alias(ts), "requests", "in_window", (F.col("in_window") > limit).alias("limited"))

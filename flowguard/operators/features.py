@@ -68,28 +68,28 @@ def sample_quotas(counts: dict, size: int) -> dict:
     return quotas
 
 
-def stratified_split(df: DataFrame, label: str, mixed: Column, ties: list[str], test_share: float = 0.2, **limits) -> DataFrame:
+def stratified_split(df: DataFrame, label: str, mixed: Column, ties: list[str], test_share: float = 0.2, max_groups: int = 10_000, **limits) -> DataFrame:
     """FE-03: adds `split` = train/test. Stratified unless there is one class or a class of one row."""
-    counts = group_counts(df, label)
+    counts = group_counts(df, label, max_groups)
     group = label
     if len(counts) < 2 or min(counts.values()) < 2:
         df = df.withColumn("_all", F.lit("all"))
         counts, group = {"all": sum(counts.values())}, "_all"
-    marked = pick_lowest(df, group, split_quotas(counts, test_share), mixed, ties, "_test", **limits)
+    marked = pick_lowest(df, group, split_quotas(counts, test_share), mixed, ties, "_test", sum(counts.values()), **limits)
     return marked.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).drop("_test", "_all")
 
 
-def stratified_sample(df: DataFrame, label: str, size: int, mixed: Column, ties: list[str], **limits) -> DataFrame:
+def stratified_sample(df: DataFrame, label: str, size: int, mixed: Column, ties: list[str], max_groups: int = 10_000, **limits) -> DataFrame:
     """FE-04: exactly `size` rows with the class shares of the table."""
-    quotas = sample_quotas(group_counts(df, label), size)
-    return pick_lowest(df, label, quotas, mixed, ties, "_keep", **limits).where("_keep").drop("_keep")
+    counts = group_counts(df, label, max_groups)
+    return pick_lowest(df, label, sample_quotas(counts, size), mixed, ties, "_keep", sum(counts.values()), **limits).where("_keep").drop("_keep")
 
 
-def undersample(df: DataFrame, label: str, mixed: Column, ties: list[str], **limits) -> DataFrame:
+def undersample(df: DataFrame, label: str, mixed: Column, ties: list[str], max_groups: int = 10_000, **limits) -> DataFrame:
     """FE-19: every class cut to the size of the smallest."""
-    counts = group_counts(df, label)
+    counts = group_counts(df, label, max_groups)
     least = min(counts.values())
-    return pick_lowest(df, label, dict.fromkeys(counts, least), mixed, ties, "_keep", **limits).where("_keep").drop("_keep")
+    return pick_lowest(df, label, dict.fromkeys(counts, least), mixed, ties, "_keep", sum(counts.values()), **limits).where("_keep").drop("_keep")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -100,9 +100,9 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
         F.sum("rows").over(everything) / (F.count("*").over(everything) * F.col("rows"))).alias("weight"))
 
 
-def with_sample_weight(df: DataFrame, label: str, output: str = "weight") -> DataFrame:
+def with_sample_weight(df: DataFrame, label: str, output: str = "weight", max_groups: int = 10_000) -> DataFrame:
     """JOIN-05: the class weight on every row. There is one weight per class, so the lookup is a literal map."""
-    counts = group_counts(df, label)
+    counts = group_counts(df, label, max_groups)
     total = sum(counts.values())
     pairs = [F.lit(x) for c, n in counts.items() if c is not None for x in (c, total / (len(counts) * n))]
     return df.withColumn(output, F.try_element_at(F.create_map(*pairs), F.col(label)))
@@ -211,17 +211,14 @@ class Selection:
         return [c for c, r in self.ranks.items() if r == 1]
 
     def summary(self, spark) -> DataFrame:
-        """FE-16: status, reason, score and rank per feature; kept ones first, then by score."""
-        reasons = [("Constant feature (0 variance)", self.constant), ("Low variance", self.low_variance),
-                   ("Duplicate column contents", self.duplicate), ("Highly correlated", self.correlated)]
-        why = {c: reason for reason, names in reversed(reasons) for c in names}
-        rows = []
-        for c in dict.fromkeys([*why, *self.ranks, *self.scores]):
-            kept = c in self.selected
-            reason = why.get(c, "N/A" if kept else "Eliminated by RFE ranking")
-            rows.append((c, "Selected" if kept else "Dropped", reason, float(self.scores.get(c, 0.0)), self.ranks.get(c, 999)))
-        table = spark.createDataFrame(rows, "feature string, status string, reason string, mi_score double, rfe_rank int")
-        return table.orderBy(F.col("status").desc(), F.col("mi_score").desc(), "feature")
+        """FE-16: per feature the stage that dropped it (or `kept`), its score and rank; kept ones first, then by score."""
+        stages = {"constant": self.constant, "low_variance": self.low_variance, "duplicate": self.duplicate, "correlated": self.correlated}
+        dropped = {c: stage for stage in reversed(stages) for c in stages[stage]}
+        names = dict.fromkeys([*dropped, *self.ranks, *self.scores])
+        rows = [(c, c in self.selected, "kept" if c in self.selected else dropped.get(c, "eliminated"), float(self.scores.get(c, 0.0)), self.ranks.get(c))
+                for c in names]
+        table = spark.createDataFrame(rows, "feature string, selected boolean, stage string, mi_score double, rfe_rank int")
+        return table.orderBy(F.col("selected").desc(), F.col("mi_score").desc(), "feature")
 
 
 def select_features(df: DataFrame, columns: list[str], label: str, label_index: str, mixed: Column, ties: list[str],
@@ -256,13 +253,13 @@ def _sql_text(value: str) -> str:
 
 
 def fit_preprocessing(train: DataFrame, features: list[str], label: str, mixed: Column, ties: list[str],
-                      method: str = "standard", keep: int = 20, carry: list[str] | None = None) -> tuple[PipelineModel, Selection]:
+                      method: str = "standard", keep: int = 20, carry: list[str] | None = None, most_values: int = 1000) -> tuple[PipelineModel, Selection]:
     """FE-17: encode, select, scale, assemble, fitted on the training rows only.
 
     The result is an ordinary PipelineModel of SQL projections, saved and loaded by Spark (SNK-10).
     """
     carried = carry or []
-    known = categories(train.select(*[quoted(c) for c in features]))
+    known = categories(train.select(*[quoted(c) for c in features]), most=most_values)
     encoded = one_hot(train.withColumns({f"_tie{i}": F.col(c) for i, c in enumerate(ties)}), known)
     ties = [f"_tie{i}" for i in range(len(ties))]
     indexed = label_indexer(encoded, label).transform(encoded)

@@ -56,18 +56,18 @@ def active_flows(sessions: DataFrame, active_seconds: float = 10.0, idle_seconds
     """
     active, idle = round(active_seconds * MICROS), round(idle_seconds * MICROS)
     reach = active + 2 * idle
-    span = F.struct("key", "start").alias("session")
-    rows = sessions.withColumn("session", span).withColumn("node", F.struct("at", "seq"))
-    bounds = rows.groupBy("session").agg(F.max("at").alias("_end"))
-    long = cut_lineage(bounds.where(F.col("_end") - F.col("session.start.at") > active).select("session"))
+    rows = sessions.withColumn("node", F.struct("at", "seq"))
+    bounds = rows.groupBy("key", "start").agg(F.max("at").alias("_end"))
+    numbered = bounds.where(F.col("_end") - F.col("start.at") > active).select("key", "start", F.monotonically_increasing_id().alias("session"))
+    long = cut_lineage(numbered)  # written, so the numbers stay
     if long.isEmpty():
         return sessions
-    chained = rows.join(long, "session", "left_semi")
+    chained = rows.join(long, ["key", "start"])
     nodes = cut_lineage(chained.select("session", "node"))
-    marks = _chain(_links(nodes, active, reach), nodes, reach)
+    marks = _chain(_links(nodes, active, reach), long.select("session", F.col("start").alias("node")))
     starts = _last_mark(nodes, marks, reach)
     moved = chained.join(starts, ["session", "node"]).withColumn("start", F.col("mark"))
-    kept = rows.join(long, "session", "left_anti")
+    kept = rows.join(long, ["key", "start"], "left_anti")
     return kept.select(*sessions.columns).unionByName(moved.select(*sessions.columns))
 
 
@@ -79,17 +79,17 @@ def _two_slices(nodes: DataFrame, reach: int, offset: int) -> DataFrame:
 
 def _links(nodes: DataFrame, active: int, reach: int) -> DataFrame:
     """node -> the start that follows a flow begun at node: the successor of its closing packet."""
-    seen = _two_slices(nodes, reach, -1).withColumn("_at", F.col("node.at"))
+    seen = _two_slices(nodes, reach, -1).withColumn("_back", -F.col("node.at"))
     order = Window.partitionBy("session", SLICE).orderBy("node")
     followed = seen.withColumn("_next", F.lead("node").over(order))
-    later = Window.partitionBy("session", SLICE).orderBy("_at").rangeBetween(active + 1, Window.unboundedFollowing)
+    # Backwards in time the frame only grows, so each packet enters the minimum once.
+    later = Window.partitionBy("session", SLICE).orderBy("_back").rangeBetween(Window.unboundedPreceding, -(active + 1))
     linked = followed.withColumn("next", F.min_by("_next", "node").over(later))
     return linked.where(F.col("_own") == F.col(SLICE)).where("next IS NOT NULL").select("session", "node", "next")
 
 
-def _chain(links: DataFrame, nodes: DataFrame, reach: int) -> DataFrame:
+def _chain(links: DataFrame, marks: DataFrame) -> DataFrame:
     """Nodes reached from each session start by following links."""
-    marks = nodes.select("session", F.col("session.start").alias("node")).distinct()
     jump = cut_lineage(links)
     while not jump.isEmpty():
         reached = marks.join(jump, ["session", "node"]).select("session", F.col("next").alias("node"))

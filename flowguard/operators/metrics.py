@@ -189,27 +189,24 @@ def model_leaders(ranked: DataFrame) -> DataFrame:
     return tall.groupBy("title").agg(F.max_by("model", F.struct("value", -F.col("rank"))).alias("model"))
 
 
-def strengths_weaknesses(ranked: DataFrame) -> DataFrame:
-    """AGG-18: titles led and threshold remarks per model, a dash when there are none."""
-    leads = model_leaders(ranked).groupBy("model").agg(F.sort_array(F.collect_list("title")).alias("led"))
+# Thresholds of the remarks as (code, metric, comparison, bound, value when the metric is absent).
+STRENGTHS = [("recall_at_least_0.9", "recall_macro", ">=", 0.90, 0.0), ("fpr_at_most_0.001", "fpr", "<=", 0.001, 1.0),
+             ("scored_within_1_s", "prediction_seconds", "<=", 1.0, 99.0)]
+WEAKNESSES = [("f1_below_0.7", "f1_macro", "<", 0.70, 0.0), ("fpr_above_0.01", "fpr", ">", 0.01, 0.0),
+              ("scored_after_5_s", "prediction_seconds", ">", 5.0, 0.0), ("recall_below_0.85", "recall_macro", "<", 0.85, 1.0)]
+
+
+def model_remarks(ranked: DataFrame) -> DataFrame:
+    """AGG-18: per model the titles it leads, then the codes of the thresholds it meets or misses; empty lists when there are none."""
+    compare = {">=": Column.__ge__, "<=": Column.__le__, "<": Column.__lt__, ">": Column.__gt__}
     has = set(ranked.columns)
 
-    def given(name: str, default: float) -> Column:
-        return F.col(name) if name in has else F.lit(default)
-    strong = F.array_compact(F.array(
-        F.when(given("recall_macro", 0.0) >= 0.90, "High intrusion recall (≥ 90%)"),
-        F.when(given("fpr", 1.0) <= 0.001, "Very low false positive rate (≤ 0.1%)"),
-        F.when(given("prediction_seconds", 99.0) <= 1.0, "Fast inference (< 1 s on full test set)")))
-    weak = F.array_compact(F.array(
-        F.when(given("f1_macro", 0.0) < 0.70, "Below-par macro F1 (< 0.70)"),
-        F.when(given("fpr", 0.0) > 0.01, "Elevated false positive rate (> 1%)"),
-        F.when(given("prediction_seconds", 0.0) > 5.0, "Slow inference (> 5 s on full test set)"),
-        F.when(given("recall_macro", 1.0) < 0.85, "Misses some attack classes (Recall < 85%)")))
+    def codes(table: list[tuple]) -> Column:
+        return F.array_compact(F.array(*[
+            F.when(compare[sign](F.col(metric) if metric in has else F.lit(absent), F.lit(bound)), F.lit(code)) for code, metric, sign, bound, absent in table]))
+    leads = model_leaders(ranked).groupBy("model").agg(F.sort_array(F.collect_list("title")).alias("led"))
     joined = ranked.join(leads, "model", "left")
-    strengths = F.concat(F.coalesce("led", F.array().cast("array<string>")), strong)
-    dash = F.array(F.lit("—"))
-    return joined.select("model", F.when(F.size(strengths) > 0, strengths).otherwise(dash).alias("strengths"),
-                         F.when(F.size(weak) > 0, weak).otherwise(dash).alias("weaknesses"))
+    return joined.select("model", F.concat(F.coalesce("led", F.array().cast("array<string>")), codes(STRENGTHS)).alias("strengths"), codes(WEAKNESSES).alias("weaknesses"))
 
 
 def compare_tuned(original: DataFrame, tuned: DataFrame, measures: list[str], duration: str = "fit_seconds") -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -148,6 +149,11 @@ def column_types(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString()) for f in df.schema.fields], "feature string, type string")
 
 
+def type_counts(df: DataFrame) -> DataFrame:
+    """DQ-02: columns per type."""
+    return column_types(df).groupBy("type").agg(F.count("*").alias("columns"))
+
+
 def class_distribution(df: DataFrame, label: str) -> DataFrame:
     """AGG-07: count and share per class, and whether the smallest class is below 5 %."""
     counted = df.groupBy(F.col(label).alias("class")).agg(F.count("*").alias("rows"))
@@ -176,6 +182,12 @@ def key_features(statistics: DataFrame, top: int = 6, least: float = 1e-5) -> Da
     return statistics.where(F.col("variance") > least).orderBy(F.col("variance").desc(), "feature").limit(top)
 
 
+def top_variance_correlations(df: DataFrame, columns: list[str], top: int = 20, least: float = 1e-5) -> DataFrame:
+    """SRT-06: correlations among the columns of largest variance."""
+    leaders = [r["feature"] for r in key_features(feature_statistics(df, columns), top, least).collect()]
+    return matrix_table(df, pearson_matrix(df, leaders))
+
+
 def iqr_bounds(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float, float, float]]:
     """Quartiles and the strict outlier bounds per column."""
     bounds = {}
@@ -205,60 +217,94 @@ def iqr_outliers(df: DataFrame, columns: list[str], whiskers: bool = False) -> D
         "q1", "q3", "iqr", *extra)
 
 
-def pearson_matrix(df: DataFrame, columns: list[str], pairs_per_pass: int = 300) -> dict[tuple[str, str], float | None]:
-    """EDA-03: correlation of every pair (upper triangle) over all rows where both are present."""
-    pairs = list(combinations(columns, 2))
-    found: dict[tuple[str, str], float | None] = {}
-    if len(pairs) > pairs_per_pass:
-        vectors = VectorAssembler(inputCols=columns, outputCol="_vector", handleInvalid="error").transform(df.select(*[quoted(c).cast("double").alias(c) for c in columns]))
-        matrix = Correlation.corr(vectors, "_vector", "pearson").first()[0].toArray()
-        for (i, a), (j, b) in combinations(enumerate(columns), 2):
-            found[a, b] = float(matrix[i, j])
-        return found
-    if pairs:
-        row = df.agg(*[F.corr(quoted(a).cast("double"), quoted(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]).first()
-        found = {pair: row[f"r{i}"] for i, pair in enumerate(pairs)}
+def _present(c: str, types: dict[str, T.DataType]) -> Column:
+    return F.when(~is_missing(c, types[c]), quoted(c).cast("double") + F.lit(0.0))
+
+
+def pearson_matrix(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], float | None]:
+    """EDA-03: correlation of every pair (upper triangle) over all rows where both are present; null where undefined.
+
+    Each task adds up products of whole column blocks, once for all pairs: with absent values set to zero and their
+    absence kept as a second block, the products give every pair its own count, sums and squares. A task sends one row
+    per pair. Values are shifted by their column's mean first, so large offsets cost no digits.
+    """
+    k, types = len(columns), _types(df)
+    if k < 2:
+        return {}
+    values = df.select(*[_present(c, types).alias(f"v{i}") for i, c in enumerate(columns)])
+    means = values.agg(*[F.avg(F.when(~is_infinite(F.col(f"v{i}")), F.col(f"v{i}"))).alias(f"m{i}") for i in range(k)]).first()
+    shift = np.array([means[f"m{i}"] or 0.0 for i in range(k)])
+    first, second = np.triu_indices(k, 1)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums, squares, products, infinite = (np.zeros((k, k)) for _ in range(5))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            there = (~np.isnan(x)).astype(float)
+            endless = np.isinf(x)
+            x = np.where((there > 0) & ~endless, x - shift, 0.0)
+            n += there.T @ there
+            sums += x.T @ there
+            squares += (x * x).T @ there
+            products += x.T @ x
+            infinite += endless.T.astype(float) @ there
+        parts = [n[first, second], sums[first, second], sums[second, first], squares[first, second], squares[second, first], products[first, second],
+                 infinite[first, second] + infinite[second, first]]
+        yield pa.RecordBatch.from_arrays([pa.array(first, pa.int32()), pa.array(second, pa.int32()), *(pa.array(p) for p in parts)],
+                                         names=["i", "j", "n", "a", "b", "aa", "bb", "ab", "endless"])
+
+    added = values.mapInArrow(add, "i int, j int, n double, a double, b double, aa double, bb double, ab double, endless double")
+    rows = added.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "a", "b", "aa", "bb", "ab", "endless")]).collect()  # one row per pair
+    found: dict[tuple[str, str], float | None] = dict.fromkeys(combinations(columns, 2))
+    for r in rows:
+        left, right = r["n"] * r["aa"] - r["a"] ** 2, r["n"] * r["bb"] - r["b"] ** 2
+        flat = left <= 1e-12 * r["n"] * r["aa"] or right <= 1e-12 * r["n"] * r["bb"]
+        if not r["endless"] and not flat:
+            found[columns[r["i"]], columns[r["j"]]] = max(-1.0, min(1.0, (r["n"] * r["ab"] - r["a"] * r["b"]) / math.sqrt(left * right)))
     return found
 
 
-def spearman_matrix(df: DataFrame, columns: list[str], rows_per_task: int = 1_000_000) -> dict[tuple[str, str], float | None]:
-    """EDA-04: correlation of average ranks over rows without missing values.
+def spearman_matrix(df: DataFrame, columns: list[str], rows_per_task: int = 1_000_000, pairs_per_pass: int = 300) -> dict[tuple[str, str], float | None]:
+    """EDA-04: correlation of average ranks, for every pair over the rows where both are present.
 
-    Equal rows are merged with a weight first; then each (column, value) gets its rank from a running
-    count over distinct values, so a value that fills a third of the table is one row, not one task.
+    A column's ranks within a pair depend on the other column only through its gaps, so they are made once over all rows
+    and once for each column with gaps. Each (column, gaps, value) is one row of the rank table, ranked by a running count
+    over distinct values: a value that fills a third of the table is one row, not one task. Ranks go back to the rows by
+    a 64-bit row number.
     """
-    pairs = list(combinations(range(len(columns)), 2))
+    pairs, types = list(combinations(range(len(columns)), 2)), _types(df)
     if not pairs:
         return {}
-    types = _types(df)
-    complete = df
-    for c in columns:
-        complete = complete.where(~is_missing(c, types[c]))
-    merged = cut_lineage(
-        complete.select(F.array(*[quoted(c).cast("double") + F.lit(0.0) for c in columns]).alias("row")).groupBy("row").agg(F.count("*").alias("w")))
-    cells = merged.select("row", "w", F.posexplode("row").alias("i", "v"))
-    counted = cells.groupBy("i", "v").agg(F.sum("w").alias("n"))
-    counted = cut_lineage(counted)
-    size = merged.agg(F.sum("w").alias("n")).first()["n"]
-    ranked = running_totals(counted, ["i"], ["v"], {"upto": F.col("n")}, rows_per_task)
-    ranks = cut_lineage(ranked.select("i", "v", (F.col("upto") - (F.col("n") - 1) / 2.0).alias("rank")))
-    hot = counted.where(F.col("n") > (size or 0) / 1000).select("i", "v")
-    placed = lookup_join(cells, ranks, ["i", "v"], hot=hot)
-    by_row = placed.groupBy("row").agg(F.first("w").alias("w"), *[
-        F.max(F.when(F.col("i") == i, F.col("rank"))).alias(f"r{i}") for i in range(len(columns))])
-    if not size:
-        return dict.fromkeys(((columns[a], columns[b]) for a, b in pairs))
-    centre = (size + 1) / 2.0
-    weight = F.col("w")
-
-    def moment(a: int, b: int) -> Column:
-        return F.sum(weight * (F.col(f"r{a}") - centre) * (F.col(f"r{b}") - centre))
-    row = by_row.agg(*[moment(a, a).alias(f"s{a}") for a in range(len(columns))],
-                     *[moment(a, b).alias(f"c{a}_{b}") for a, b in pairs]).first()
-    found = {}
-    for a, b in pairs:
-        scale = math.sqrt(row[f"s{a}"] * row[f"s{b}"])
-        found[columns[a], columns[b]] = row[f"c{a}_{b}"] / scale if scale else None
+    base = cut_lineage(df.select(F.monotonically_increasing_id().alias("id"), *[_present(c, types).alias(f"v{i}") for i, c in enumerate(columns)]))
+    gaps = base.agg(*[F.count_if(F.col(f"v{i}").isNull()).alias(f"g{i}") for i in range(len(columns))]).first()
+    holed = [i for i in range(len(columns)) if gaps[f"g{i}"]]
+    slots = [(i, g) for i in range(len(columns)) for g in [-1, *[h for h in holed if h != i]]]
+    cells = base.select("id", F.inline(F.array(*[
+        F.struct(F.lit(k).alias("k"), (F.col(f"v{i}") if g < 0 else F.when(F.col(f"v{g}").isNotNull(), F.col(f"v{i}"))).alias("v"))
+        for k, (i, g) in enumerate(slots)]))).where("v IS NOT NULL")
+    counted = cut_lineage(cells.groupBy("k", "v").agg(F.count("*").alias("n")))
+    sizes = {r["k"]: r["n"] for r in counted.groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    ranked = running_totals(counted, ["k"], ["v"], {"upto": F.col("n")}, rows_per_task)
+    ranks = cut_lineage(ranked.select("k", "v", (F.col("upto") - (F.col("n") - 1) / 2.0).alias("rank")))
+    hot = counted.where(F.col("n") > max(sizes.values(), default=0) / 1000).select("k", "v")
+    placed = lookup_join(cells, ranks, ["k", "v"], hot=hot)
+    by_row = placed.groupBy("id").agg(*[
+        F.max(F.when(F.col("k") == k, F.col("rank") - (sizes.get(k, 0) + 1) / 2.0)).alias(f"r{k}") for k in range(len(slots))])
+    number = {slot: k for k, slot in enumerate(slots)}
+    by_row = by_row.persist() if len(pairs) > pairs_per_pass else by_row
+    found: dict[tuple[str, str], float | None] = {}
+    for at in range(0, len(pairs), pairs_per_pass):
+        part, sums = pairs[at:at + pairs_per_pass], []
+        for n, (i, j) in enumerate(part):
+            a, b = F.col(f"r{number[i, j if j in holed else -1]}"), F.col(f"r{number[j, i if i in holed else -1]}")
+            both = a.isNotNull() & b.isNotNull()
+            sums.append(F.struct(F.sum(a * b).alias("ab"), F.sum(F.when(both, a * a)).alias("aa"), F.sum(F.when(both, b * b)).alias("bb")).alias(f"s{n}"))
+        row = by_row.agg(*sums).first()
+        for n, (i, j) in enumerate(part):
+            s = row[f"s{n}"]
+            scale = math.sqrt(s["aa"] * s["bb"]) if s["aa"] and s["bb"] else 0.0
+            found[columns[i], columns[j]] = s["ab"] / scale if scale else None
+    by_row.unpersist()
     return found
 
 
@@ -324,10 +370,10 @@ def density(df: DataFrame, columns: list[str], bins: int = 30, points: int = 50,
         "part", "feature", "point", "x").agg(F.sum(kernel).alias("density"))
 
 
-def missingness_matrix(df: DataFrame, key: list[str], rows: int | None = 10_000, fallback: int = 15) -> DataFrame:
+def missingness_matrix(df: DataFrame, key: list[str], rows: int | None = None, fallback: int = 15) -> DataFrame:
     """EDA-09: null flags per row; columns with gaps, else the first fifteen.
 
-    The row limit is the feature, a repeatable sample for a picture of 10,000 rows; None keeps every row.
+    Every row by default; `rows` asks for a repeatable sample of a picture's size.
     """
     gaps = [r["feature"] for r in missing_values(df.drop(*key)).where("missing > 0").collect()]
     shown = gaps or [c for c in df.columns if c not in key][:fallback]

@@ -59,7 +59,7 @@ def severity_counts(spark, folder):
 TREND_SQL = """
     SELECT strftime(timestamp, '{fmt}') AS time, count(*) AS total, count(*) FILTER (attack_type = 'BENIGN') AS benign,
            count(*) FILTER (attack_type <> 'BENIGN') AS attacks
-    FROM alerts {where} GROUP BY 1 ORDER BY 1 LIMIT 100"""
+    FROM alerts {where} GROUP BY 1"""
 
 
 @query("trend_hourly", "alerts", TREND_SQL.format(fmt="%Y-%m-%d %H:00", where=f"WHERE timestamp >= {AS_OF_SQL} - INTERVAL 1 DAY"))

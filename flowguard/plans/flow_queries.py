@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from flowguard.functions.net import is_internal
 from flowguard.operators import alerts as alert_ops
 from flowguard.operators import analytics, enrich, flows, respond
 from flowguard.plans.catalog import query
+from flowguard.session import checkpoint_root
 from flowguard.sources import stores, views
 from flowguard.streaming import feed
 from flowguard.streaming import flows as stream
@@ -102,12 +104,25 @@ def flow_features_active(spark, folder):
     return _printed(flows.flow_features(views.packets(spark, folder), IDLE, ACTIVE, 24 * HOUR))
 
 
-def _event_stream(spark, folder):
-    return feed.read_stream(spark, folder, views.table(spark, folder, "events").schema, glob="events.parquet")
+PARTS = 4
+_SPLIT: dict[tuple, str] = {}
+
+
+def event_stream(spark, folder):
+    """The event log as four files in order of time, each a micro-batch. They are written once per folder."""
+    events, place = views.table(spark, folder, "events"), (spark.sparkContext.applicationId, folder)
+    if place not in _SPLIT:
+        path = f"{checkpoint_root(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+        at = F.unix_micros(F.col("ts").cast("timestamp"))
+        cuts = events.select(at.cast("double").alias("at")).approxQuantile("at", [k / PARTS for k in range(1, PARTS)], 0.01)
+        for low, high in zip([float("-inf"), *cuts], [*cuts, float("inf")], strict=True):
+            events.where((at > low) & (at <= high)).coalesce(1).write.mode("append").parquet(path)
+        _SPLIT[place] = path
+    return feed.read_stream(spark, _SPLIT[place], events.schema)
 
 
 def _streamed(spark, folder, active):
-    packets = views.packet_columns(_event_stream(spark, folder))
+    packets = views.packet_columns(event_stream(spark, folder))
     closed, state = stream.run_to_table(stream.closed_flows(packets, IDLE, active, "1 hour"))
     return _printed(stream.state_features(closed.unionByName(stream.open_flows(spark, state))))
 
@@ -126,14 +141,14 @@ def stream_flows_active(spark, folder):
 
 
 def _alert_stream(spark, folder):
-    return views.alert_columns(_event_stream(spark, folder))
+    return views.alert_columns(event_stream(spark, folder))
 
 
 @query("stream_trends", "alerts", """
     SELECT strftime(date_trunc('hour', timestamp), '%Y-%m-%d %H:%M') AS start, count(*) AS total, count(*) FILTER (attack_type = 'BENIGN') AS benign,
            count(*) FILTER (attack_type <> 'BENIGN') AS attacks FROM alerts GROUP BY 1""")
 def stream_trends(spark, folder):
-    table, _ = stream.run_to_table(feed.trend(_alert_stream(spark, folder)), "complete")
+    table, _ = stream.run_to_table(feed.trend(_alert_stream(spark, folder)), "update", ["start"])
     return table.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
 
 
@@ -141,7 +156,7 @@ def stream_trends(spark, folder):
     WITH w AS (SELECT attack_type, epoch_us(alerts.timestamp) // 10000000 + unnest(range(1, 7)) AS slot FROM alerts)
     SELECT slot * 10 AS at, attack_type, count(*) AS alerts, round(count(*) / 60.0::DOUBLE, 6) AS per_second FROM w GROUP BY ALL""")
 def stream_rates(spark, folder):
-    table, _ = stream.run_to_table(feed.rates(_alert_stream(spark, folder)), "complete")
+    table, _ = stream.run_to_table(feed.rates(_alert_stream(spark, folder)), "update", ["at", "attack_type"])
     return table.select(F.unix_seconds("at").alias("at"), "attack_type", "alerts", F.round("per_second", 6).alias("per_second"))
 
 
@@ -163,9 +178,17 @@ def stream_session(spark, folder):
     return table
 
 
-@query("stream_limiter")
+@query("stream_limiter", "", f"""
+    WITH RECURSIVE q AS (SELECT '10.1.0.' || (user_id % 250) AS client, event_id AS seq, epoch_us(ts) AS us FROM events),
+    r AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY us, seq) AS i FROM q),
+    l AS (SELECT client, seq, us, i, [us] AS times, true AS admitted FROM r WHERE i = 1
+          UNION ALL
+          SELECT client, seq, us, i, CASE WHEN len(f) < 3 THEN list_append(f, us) ELSE f END, len(f) < 3
+          FROM (SELECT r.client, r.seq, r.us, r.i, list_filter(l.times, lambda x: r.us - x < {12 * HOUR * 1_000_000}) AS f
+                FROM l JOIN r ON r.client = l.client AND r.i = l.i + 1))
+    SELECT client, seq, us AS "at", admitted FROM l""")
 def stream_limiter(spark, folder):
-    requests = _event_stream(spark, folder).select(
+    requests = event_stream(spark, folder).select(
         F.concat(F.lit("10.1.0."), (F.col("user_id") % 250).cast("string")).alias("client"), F.col("event_id").alias("seq"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     table, _ = stream.run_to_table(feed.admitted_requests(requests, 3, 12 * HOUR))
@@ -289,7 +312,7 @@ NUMBER_SQL = "CASE risk_level WHEN 'Low' THEN 1 WHEN 'Medium' THEN 4 WHEN 'High'
 
 @query("siem_lines", "alerts", f"""
     WITH a AS (SELECT *, {NUMBER_SQL} AS num, round(risk_score, 1)::VARCHAR AS score, round(confidence, 3)::VARCHAR AS conf FROM alerts)
-    SELECT id, 'CEF:0|FlowGuard|flow-analytics|1.0.0|NIDS-' || attack_type || '|' || attack_type || ' Intrusion Detected|' || num || '|src=' || src_ip || ' dst=' || dst_ip
+    SELECT id, 'CEF:0|FlowGuard|flow-analytics|1.0.0|ALERT-' || attack_type || '|' || attack_type || ' Intrusion Detected|' || num || '|src=' || src_ip || ' dst=' || dst_ip
              || ' dport=' || dst_port || ' proto=' || protocol || ' cn1=' || score || ' cn1Label=RiskScore msg=Confidence: ' || conf AS cef,
            'LEEF:1.0|FlowGuard|flow-analytics|1.0.0|' || attack_type || '|devTime=' || {STAMP} || chr(9) || 'src=' || src_ip || chr(9) || 'dst=' || dst_ip || chr(9)
              || 'dstPort=' || dst_port || chr(9) || 'proto=' || protocol || chr(9) || 'sev=' || num || chr(9) || 'riskScore=' || score AS leef,

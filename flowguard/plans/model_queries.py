@@ -144,34 +144,51 @@ def model_ranking(spark, folder):
     return metrics.rank_models(_six(metrics.metric_suite(_scored(spark, folder)))).select("model", "rank", "f1_macro", "recall_macro", "fpr")
 
 
-@query("model_leaders", "scored", SUITE_RANK + " UNION ALL ".join(
-    f" SELECT '{title}' AS title, arg_max(model, {'-' if up else ''}{c}) AS model FROM k" for title, c, up in metrics.LEADERS
-    if c not in ("prediction_seconds", "roc_auc")))
+AREA_SQL = STEP_SQL.removeprefix(SCORED_SQL) + """,
+    ar AS (SELECT model, class, sum(pos * (tp / (tp + fp)::DOUBLE)) / max(PP) AS ap,
+                  sum(neg * (tp - pos + pos / 2.0::DOUBLE)) / (max(PP)::DOUBLE * max(NN)) AS auc FROM st GROUP BY ALL),
+    aa AS (SELECT model, round(avg(auc), 6) AS roc_auc FROM ar GROUP BY model)"""
+LEADER_SQL = SUITE_RANK + AREA_SQL + f""",
+    kk AS (SELECT k.*, aa.roc_auc, CASE k.model WHEN 'alpha' THEN 0.5 ELSE 6.0 END::DOUBLE AS prediction_seconds FROM k JOIN aa ON k.model = aa.model),
+    le AS ({" UNION ALL ".join(f"SELECT '{title}' AS title, arg_max(model, {'-' if up else ''}{c}) AS model FROM kk" for title, c, up in metrics.LEADERS)})"""
+
+
+def _ranked(spark, folder):
+    """All metrics of the two models; alpha scores in half a second, beta in six."""
+    scored = _scored(spark, folder)
+    suite = metrics.metric_suite(scored).join(metrics.area_scores(metrics.score_steps(scored)).select("model", "roc_auc"), "model")
+    return metrics.rank_models(_six(suite.withColumn("prediction_seconds", F.when(F.col("model") == "alpha", 0.5).otherwise(6.0))))
+
+
+@query("model_leaders", "scored", f"{LEADER_SQL} SELECT title, model FROM le")
 def model_leaders(spark, folder):
-    return metrics.model_leaders(metrics.rank_models(_six(metrics.metric_suite(_scored(spark, folder)))))
+    return metrics.model_leaders(_ranked(spark, folder))
 
 
-@query("model_remarks", "scored", f"""{SUITE_RANK}
-    SELECT model, CASE WHEN f1_macro < 0.7 THEN 'Below-par macro F1 (< 0.70)' ELSE '' END AS below_par,
-           CASE WHEN fpr > 0.01 THEN 1 ELSE 0 END + CASE WHEN f1_macro < 0.7 THEN 1 ELSE 0 END + CASE WHEN recall_macro < 0.85 THEN 1 ELSE 0 END AS weaknesses
-    FROM k""")
+def _codes_sql(table):
+    return ", ".join(f"CASE WHEN {metric} {sign} {bound} THEN '{code}' END" for code, metric, sign, bound, _ in table)
+
+
+@query("model_remarks", "scored", f"""{LEADER_SQL}
+    SELECT kk.model, concat_ws('|', led, {_codes_sql(metrics.STRENGTHS)}) AS strengths, concat_ws('|', {_codes_sql(metrics.WEAKNESSES)}) AS weaknesses
+    FROM kk LEFT JOIN (SELECT model, string_agg(title, '|' ORDER BY title) AS led FROM le GROUP BY model) USING (model)""")
 def model_remarks(spark, folder):
-    remarks = metrics.strengths_weaknesses(metrics.rank_models(_six(metrics.metric_suite(_scored(spark, folder)))))
-    below = "Below-par macro F1 (< 0.70)"
-    return remarks.select("model", F.when(F.array_contains("weaknesses", below), below).otherwise("").alias("below_par"),
-                          F.size(F.array_remove("weaknesses", "—")).alias("weaknesses"))
+    remarks = metrics.model_remarks(_ranked(spark, folder))
+    return remarks.select("model", F.array_join("strengths", "|").alias("strengths"), F.array_join("weaknesses", "|").alias("weaknesses"))
+
+
+COMPARED = ["accuracy", "f1_macro", "recall_macro", "fpr"]
 
 
 @query("tuned_comparison", "scored", f"""{SUITE_RANK}
-    SELECT 'net' AS model, a.accuracy AS original_accuracy, b.accuracy AS tuned_accuracy, round(b.accuracy - a.accuracy, 6) AS delta_accuracy,
+    SELECT 'net' AS model, {', '.join(f"a.{m} AS original_{m}, b.{m} AS tuned_{m}, round(b.{m} - a.{m}, 6) AS delta_{m}" for m in COMPARED)},
            0.0::DOUBLE AS original_fit_seconds, 2.0::DOUBLE AS tuned_fit_seconds
     FROM k a, k b WHERE a.model = 'alpha' AND b.model = 'beta'""")
 def tuned_comparison(spark, folder):
     suite = _six(metrics.metric_suite(_scored(spark, folder)))
     original = suite.where("model = 'alpha'").withColumns({"model": F.lit("net"), "fit_seconds": F.lit(None).cast("double")})
     tuned = suite.where("model = 'beta'").withColumns({"model": F.lit("net"), "fit_seconds": F.lit(2.0)})
-    return _six(metrics.compare_tuned(original, tuned, ["accuracy"])).select(
-        "model", "original_accuracy", "tuned_accuracy", "delta_accuracy", "original_fit_seconds", "tuned_fit_seconds")
+    return _six(metrics.compare_tuned(original, tuned, COMPARED))
 
 
 OUTCOME_SQL = """CASE WHEN y = 0 AND pred = 0 THEN 'normal' WHEN y <> 0 AND pred = y THEN 'attack'
@@ -246,8 +263,15 @@ def _training_rows(spark, folder):
     return ready.where("split = 'train'"), ready.where("split = 'test'")
 
 
-def _forest(train_rows):
-    return training.build("random_forest", numTrees=5, maxDepth=6).fit(train_rows)
+_FITTED: dict[tuple, object] = {}
+
+
+def _forest(train_rows, folder):
+    """The registry's forest on the training rows; one fit serves all queries of a folder in an application."""
+    key = (train_rows.sparkSession.sparkContext.applicationId, folder)
+    if key not in _FITTED:
+        _FITTED[key] = training.build("random_forest").fit(train_rows)
+    return _FITTED[key]
 
 
 CLASSES = ["BENIGN", "DDoS", "PortScan"]
@@ -256,101 +280,122 @@ CLASSES = ["BENIGN", "DDoS", "PortScan"]
 @query("train_compare")
 def train_compare(spark, folder):
     rows, test = _training_rows(spark, folder)
-    quick = {"random_forest": {"numTrees": 5, "maxDepth": 6}, "extra_trees": {"numTrees": 5, "maxDepth": 6},
-             "boosted_trees": {"maxIter": 3, "maxDepth": 4}, "decision_tree": {"maxDepth": 6}, "logistic_regression": {"maxIter": 20}}
-    _, ranked = training.train_and_rank(list(quick), rows, test, weighted=True, settings=quick)
+    _, ranked = training.train_and_rank(list(training.REGISTRY), rows, test, weighted=True)
     return ranked
 
 
 @query("grid_search")
 def grid_search(spark, folder):
     rows, _ = _training_rows(spark, folder)
-    folded = cut_lineage(training.with_folds(features.stratified_sample(rows, "label_index", 50_000, views.flow_mix(), KEY), 3, views.flow_mix(), KEY))
-    space = {"maxDepth": [3, 6], "minInstancesPerNode": [1, 4]}
-    return training.search("decision_tree", folded, 3, "grid", space=space)[1]
+    folded = cut_lineage(training.with_folds(features.stratified_sample(rows, "label_index", 50_000, views.flow_mix(), KEY), 5, KEY))
+    return training.search("decision_tree", folded, 5, "grid", space={"maxDepth": [5, 10], "minInstancesPerNode": [1, 4]})[1]
 
 
 @query("tune_refit")
 def tune_refit(spark, folder):
     rows, test = _training_rows(spark, folder)
-    return training.tune("decision_tree", rows, test, views.flow_mix(), KEY, folds=3, space={"maxDepth": [2, 4, 8]}, draws=2)[1]
+    return training.tune("decision_tree", rows, test, views.flow_mix(), KEY, space={"maxDepth": [5, 10, 15], "minInstancesPerNode": [1, 2, 4]})[1]
 
 
 @query("batch_scoring")
 def batch_scoring(spark, folder):
     rows, test = _training_rows(spark, folder)
-    scored = training.predict(_forest(rows), test)
+    scored = training.predict(_forest(rows, folder), rows.unionByName(test))
     table = training.prediction_table(scored, "random_forest", CLASSES, KEY)
     return table.withColumn("Class_Probabilities", F.to_json("Class_Probabilities"))
 
 
+@query("prediction_rows", "scored", f"""
+    WITH n AS (SELECT *, ['BENIGN', 'DDoS', 'PortScan'][pred + 1] AS attack, greatest(p0, p1, p2) AS confidence FROM scored),
+         r AS (SELECT *, CASE attack WHEN 'BENIGN' THEN round_even((1.0::DOUBLE - confidence) * 20.0::DOUBLE * 100.0::DOUBLE, 0) / 100.0::DOUBLE
+                    ELSE round_even((CASE attack WHEN 'PortScan' THEN 50.0 ELSE 90.0 END)::DOUBLE * (0.5::DOUBLE + 0.5::DOUBLE * confidence) * 100.0::DOUBLE, 0) / 100.0::DOUBLE END AS risk FROM n)
+    SELECT {', '.join(KEY)}, attack AS "Attack_Type", confidence AS "Prediction_Confidence", risk AS "Risk_Score",
+           CASE WHEN risk < 25 THEN 'Low' WHEN risk < 50 THEN 'Medium' WHEN risk < 75 THEN 'High' ELSE 'Critical' END AS "Risk_Level",
+           round_even(p0, 4) AS benign, round_even(p1, 4) AS ddos, round_even(p2, 4) AS portscan, 'given' AS "Model_Name", 1.5::DOUBLE AS "Prediction_Time_ms" FROM r""")
+def prediction_rows(spark, folder):
+    given = views.scored(spark, folder).withColumn("probabilities", F.array("p0", "p1", "p2"))
+    table = training.prediction_table(given, "given", CLASSES, KEY, 1.5)
+    shares = [F.try_element_at("Class_Probabilities", F.lit(c)).alias(c.lower()) for c in CLASSES]
+    return table.select(*KEY, "Attack_Type", "Prediction_Confidence", "Risk_Score", "Risk_Level", *shares, "Model_Name", "Prediction_Time_ms")
+
+
 @query("early_stopping")
 def early_stopping(spark, folder):
     rows, test = _training_rows(spark, folder)
-    watch = rows.withColumn("is_validation", views.flow_mix() % 10 == 0)
-    model = training.build("boosted_trees", early_stopping=True, maxIter=6, maxDepth=3).fit(watch)
+    watch = features.stratified_split(rows.drop("split"), "label_index", views.flow_mix(), KEY, 0.1).withColumn("is_validation", F.col("split") == "test")
+    model = training.build("boosted_trees", early_stopping=True, maxDepth=3).fit(watch)
     return training.evaluate([training.Trained("boosted_trees", model, 0.0)], test)
 
 
 @query("class_presets")
 def class_presets(spark, folder):
     rows, test = _training_rows(spark, folder)
-    return explain.class_presets(training.predict(_forest(rows), test), "id", [1, 2], ["quantity", "discount"])
+    return explain.class_presets(training.predict(_forest(rows, folder), rows.unionByName(test)), "id", [1, 2], ["quantity", "discount"])
 
 
 @query("permutation_importance")
 def permutation_importance(spark, folder):
     rows, test = _training_rows(spark, folder)
-    # The report explains a sample of 5000 rows.
-    sample = features.stratified_sample(test, "label_index", 5000, views.flow_mix(), KEY)
-    model = _forest(rows)
-    shuffled = explain.permutation_importance(model, sample, "id", INPUTS, "random_forest", 3)
+    model = _forest(rows, folder)
+    shuffled = explain.permutation_importance(model, test, "id", INPUTS, "random_forest")
     return explain.join_importances(explain.tree_importance(spark, model, INPUTS, "random_forest"), shuffled)
 
 
 @query("partial_dependence")
 def partial_dependence(spark, folder):
     rows, test = _training_rows(spark, folder)
-    sample = features.stratified_sample(test, "label_index", 2000, views.flow_mix(), KEY)
-    return explain.partial_dependence(_forest(rows), sample, INPUTS, ["quantity", "price"])
+    return explain.partial_dependence(_forest(rows, folder), test, INPUTS, INPUTS)
 
 
-def _shapley(spark, folder):
+def _shapley(spark, folder, explained):
+    """Contributions against a fixed background of 20 training rows, the baseline of the method."""
     rows, test = _training_rows(spark, folder)
-    # The report explains 200 rows against a background of 20.
-    sample = features.stratified_sample(test, "label_index", 200, views.flow_mix(), KEY)
     background = features.stratified_sample(rows, "label_index", 20, views.flow_mix(), KEY)
-    return explain.shapley_values(_forest(rows), sample, "id", background, "id", INPUTS)
+    return explain.shapley_values(_forest(rows, folder), explained(test), "id", background, "id", INPUTS)
 
 
 @query("shapley_global")
 def shapley_global(spark, folder):
-    return explain.global_explanation(_shapley(spark, folder))
+    return explain.global_explanation(_shapley(spark, folder, lambda test: test))
 
 
 @query("shapley_local")
 def shapley_local(spark, folder):
-    return explain.local_explanation(_shapley(spark, folder))
+    # A local explanation shows ten rows.
+    return explain.local_explanation(_shapley(spark, folder, lambda test: test.orderBy("id").limit(10)))
 
 
 @query("learning_curve")
 def learning_curve(spark, folder):
     rows, _ = _training_rows(spark, folder)
-    sample = cut_lineage(features.stratified_sample(rows, "label_index", 20_000, views.flow_mix(), KEY))
-    return training.learning_curve("decision_tree", sample, views.flow_mix(), KEY, settings={"maxDepth": 5})
+    return training.learning_curve("decision_tree", rows, views.flow_mix(), KEY, settings={"maxDepth": 5})
 
 
 @query("validation_curve")
 def validation_curve(spark, folder):
     rows, _ = _training_rows(spark, folder)
-    sample = cut_lineage(features.stratified_sample(rows, "label_index", 20_000, views.flow_mix(), KEY))
-    return training.validation_curve("decision_tree", sample, "maxDepth", [2, 4, 6], views.flow_mix(), KEY)
+    return training.validation_curve("decision_tree", rows, "maxDepth", [2, 4, 6], KEY)
+
+
+SMOTE_SQL = """
+    WITH h AS (SELECT CASE WHEN quantity * discount > 2.0 THEN 'DDoS' WHEN price > 60000 THEN 'PortScan' ELSE 'BENIGN' END AS label,
+                      l_orderkey, l_partkey, l_suppkey, l_linenumber, price, l_shipdate, m FROM flows),
+         c AS (SELECT label, count(*) - floor(0.2::DOUBLE * count(*) + 0.5)::BIGINT AS n FROM h GROUP BY label),
+         x AS (SELECT *, max(n) OVER () AS most FROM c)
+    SELECT label, false AS synthetic, n AS rows, 0::BIGINT AS outside FROM x UNION ALL SELECT label, true, most - n, 0 FROM x WHERE n < most"""
 
 
-@query("smote")
+@query("smote", "flows", SMOTE_SQL)
 def smote(spark, folder):
     rows, _ = _training_rows(spark, folder)
     scaled = rows.select("id", "label", vector_to_array("features").alias("v"))
     scaler = features.fit_scaler(scaled.select(*[F.get("v", F.lit(i)).alias(c) for i, c in enumerate(INPUTS)]), INPUTS)
     shaped = scaled.withColumn("v", F.array(*[(F.get("v", F.lit(i)) - scaler[c][0]) / scaler[c][1] for i, c in enumerate(INPUTS)]))
-    return resample.smote(shaped, "label", "v").groupBy("label", "synthetic").agg(F.count("*").alias("rows"))
+    made = resample.smote(shaped, "label", "v")
+    # Every new vector lies between two of its class, so no coordinate leaves the class's range.
+    sides = made.where("NOT synthetic").groupBy("label").agg(*[F.struct(F.min(F.get("vector", F.lit(i))).alias("lo"), F.max(F.get("vector", F.lit(i))).alias("hi")).alias(f"b{i}")
+                                                               for i in range(len(INPUTS))])
+    inside = F.lit(True)
+    for i in range(len(INPUTS)):
+        inside = inside & F.get("vector", F.lit(i)).between(F.col(f"b{i}.lo") - 1e-9, F.col(f"b{i}.hi") + 1e-9)
+    return made.join(F.broadcast(sides), "label").groupBy("label", "synthetic").agg(F.count("*").alias("rows"), F.count_if(~inside).alias("outside"))  # one row per class

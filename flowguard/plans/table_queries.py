@@ -63,9 +63,9 @@ def clean_rows(spark, folder):
     return repaired.agg(F.count("*").alias("rows"), F.count_distinct("Label").alias("classes"), F.count_if(F.col("price").isNull()).alias("gaps"))
 
 
-@query("drop_duplicates", "dirty", "SELECT DISTINCT l_orderkey, l_partkey, quantity, linetext, discount, one FROM dirty")
+@query("drop_duplicates", "dirty", "SELECT DISTINCT l_orderkey, l_partkey, quantity, price, linetext, discount, tax, one, quantity_full, quantity_copy, price_linear, empty, label FROM dirty")
 def drop_duplicates(spark, folder):
-    return views.dirty_flows(spark, folder).select("l_orderkey", "l_partkey", "quantity", "linetext", "discount", "one").dropDuplicates()
+    return views.dirty_flows(spark, folder).withColumnRenamed(" Label ", "label").dropDuplicates()
 
 
 @query("align_features", "dirty", """
@@ -152,14 +152,17 @@ def duplicate_columns(spark, folder):
 def _constant_sql(c):
     value = f"(CASE WHEN NOT {_missing_sql(c)} THEN {c} END)"
     low = "false"
-    if c in DIRTY_DOUBLES | {"l_orderkey", "l_partkey"} and c not in ("price", "price_linear"):
+    if c == "price":
+        value = f"(CASE WHEN isfinite(price) THEN price END)"
+        low = f"bool_or(isinf(price)) OR var_samp({value}) < 0.000001"
+    elif c in DIRTY_DOUBLES | {"l_orderkey", "l_partkey"} and c != "price_linear":
         low = f"count(DISTINCT {value}) > 1 AND (var_samp({value}) IS NULL OR var_samp({value}) < 0.000001)"
     return f"SELECT '{c}' AS feature, count(DISTINCT {value}) <= 1 AS is_constant, {low} AS is_low_variance FROM dirty"
 
 
-@query("constant_columns", "dirty", " UNION ALL ".join(_constant_sql(c) for c in DIRTY if c != "price"))
+@query("constant_columns", "dirty", " UNION ALL ".join(_constant_sql(c) for c in DIRTY))
 def constant_columns(spark, folder):
-    return profiling.constant_columns(_dirty(spark, folder).drop("price"))
+    return profiling.constant_columns(_dirty(spark, folder))
 
 
 @query("validation_summary", "dirty", f"""
@@ -271,16 +274,72 @@ def spearman_pairs(spark, folder):
     return _six(profiling.strong_pairs(profiling.matrix_table(df, profiling.spearman_matrix(df, CORRELATED))))
 
 
+GAPPY = ["quantity", "discount", "tax", "quantity_full", "price_linear", "empty"]
+
+
+def _gappy_sql(ranked):
+    """Every pair over the rows where both are present, null and NaN being absent."""
+    lines = []
+    for i, a in enumerate(GAPPY):
+        for b in GAPPY[i + 1:]:
+            rows = f"SELECT {a}::DOUBLE AS a, {b}::DOUBLE AS b FROM dirty WHERE NOT {_missing_sql(a)} AND NOT {_missing_sql(b)}"
+            if ranked:
+                rows = "SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE AS {c}" for c in "ab") + f" FROM ({rows})"
+            lines.append(f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, round(corr(a, b), 6) AS coefficient FROM ({rows})")
+    return " UNION ALL ".join(lines)
+
+
+@query("pearson_dirty", "dirty", _gappy_sql(False))
+def pearson_dirty(spark, folder):
+    df = _dirty(spark, folder)
+    return _six(profiling.matrix_table(df, profiling.pearson_matrix(df, GAPPY)))
+
+
+@query("spearman_dirty", "dirty", _gappy_sql(True))
+def spearman_dirty(spark, folder):
+    df = _dirty(spark, folder)
+    return _six(profiling.matrix_table(df, profiling.spearman_matrix(df, GAPPY)))
+
+
+WIDE = [f"w{i}" for i in range(28)]
+WIDE_SQL = ", ".join(f"CASE WHEN m % {i + 5} <> 0 THEN quantity * {i % 5} + discount * {i * i % 7 * 100} + tax * {(i * 3) % 11 * 100} + linenumber END AS w{i}" for i in range(28))
+
+
+def _wide_flows(spark, folder):
+    m = views.flow_mix()
+    return views.flows(spark, folder).select(*[F.when(m % (i + 5) != 0, F.col("quantity") * (i % 5) + F.col("discount") * (i * i % 7 * 100)
+                                                      + F.col("tax") * ((i * 3) % 11 * 100) + F.col("linenumber")).alias(f"w{i}") for i in range(28)])
+
+
+@query("pearson_wide", "flows", f"WITH w AS (SELECT {WIDE_SQL} FROM flows) " + " UNION ALL ".join(
+    f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, round(corr({a}, {b}), 6) AS coefficient FROM w" for i, a in enumerate(WIDE) for b in WIDE[i + 1:]))
+def pearson_wide(spark, folder):
+    df = _wide_flows(spark, folder)
+    return _six(profiling.matrix_table(df, profiling.pearson_matrix(df, WIDE)))
+
+
+@query("top_variance_matrix", "flows", """
+    SELECT feature_1, feature_2, coefficient FROM (
+      SELECT 'price' AS feature_1, 'supp' AS feature_2, round(corr(price, supp), 6) AS coefficient FROM flows
+      UNION ALL SELECT 'price', 'quantity', round(corr(price, quantity), 6) FROM flows
+      UNION ALL SELECT 'supp', 'quantity', round(corr(supp, quantity), 6) FROM flows)""")
+def top_variance_matrix(spark, folder):
+    table = profiling.top_variance_correlations(views.flows(spark, folder), NUMBERS, 3)
+    first = F.when((F.col("feature_1") == "price") | (F.col("feature_2") == "price"), F.lit("price")).otherwise(F.lit("supp"))
+    second = F.when(F.col("feature_1") == first, F.col("feature_2")).otherwise(F.col("feature_1"))
+    return _six(table.select(first.alias("feature_1"), second.alias("feature_2"), "coefficient"))
+
+
 def _bars_sql(part="'all'"):
     return " UNION ALL ".join(
         f"SELECT {part} AS part, '{c}' AS feature, least(29, floor(({c} - lo) / w))::INT AS bin, lo, w, count(*) AS rows FROM flows,"
-        f" (SELECT min({c}) AS lo, (max({c}) - min({c})) / 30 AS w FROM flows) GROUP BY ALL" for c in ["quantity", "price"])
+        f" (SELECT min({c}) AS lo, (max({c}) - min({c})) / 30 AS w FROM flows) GROUP BY ALL" for c in NUMBERS)
 
 
 @query("histogram30", "flows", f"""
     SELECT part, feature, bin, round(lo + bin * w, 6) AS bin_start, round(lo + (bin + 1) * w, 6) AS bin_end, rows FROM ({_bars_sql()})""")
 def histogram30(spark, folder):
-    return _six(profiling.histogram(views.flows(spark, folder), ["quantity", "price"]))
+    return _six(profiling.histogram(views.flows(spark, folder), NUMBERS))
 
 
 @query("density_grid", "flows", f"""
@@ -295,7 +354,7 @@ def histogram30(spark, folder):
     FROM g JOIN bars USING (part, feature) GROUP BY ALL""".replace("GROUP BY ALL\"", "GROUP BY ALL"))
 def density_grid(spark, folder):
     split = F.when(F.col("label") == "N", "Benign").otherwise("Malicious")
-    table = profiling.density(views.flows(spark, folder), ["quantity", "price"], 30, 20, split)
+    table = profiling.density(views.flows(spark, folder), NUMBERS, 30, 20, split)
     return table.select("part", "feature", "point", F.round("x", 4).alias("x"), F.round("density", 9).alias("density"))
 
 
@@ -369,13 +428,13 @@ def sample_weights(spark, folder):
 
 
 def _scale_sql(centre, spread):
-    cells = ", ".join(f"round(({c} - (SELECT {centre.format(c=c)} FROM flows)) / (SELECT {spread.format(c=c)} FROM flows), 6) AS {c}" for c in ("quantity", "discount", "tax"))
+    cells = ", ".join(f"round(({c} - (SELECT {centre.format(c=c)} FROM flows)) / (SELECT {spread.format(c=c)} FROM flows), 6) AS {c}" for c in NUMBERS)
     return f"SELECT l_orderkey, l_partkey, {cells} FROM flows"
 
 
 def _scaled(spark, folder, method):
-    df = views.flows(spark, folder).select("l_orderkey", "l_partkey", "quantity", "discount", "tax")
-    return df, features.fit_scaler(df, ["quantity", "discount", "tax"], method)
+    df = views.flows(spark, folder).select("l_orderkey", "l_partkey", *NUMBERS)
+    return df, features.fit_scaler(df, NUMBERS, method)
 
 
 @query("scale_standard", "flows", _scale_sql("avg({c})", "stddev_pop({c})"))
@@ -393,7 +452,7 @@ def scale_robust(spark, folder):
     return _six(features.scale(*_scaled(spark, folder, "robust")))
 
 
-@query("inverse_scale", "flows", "SELECT l_orderkey, l_partkey, quantity, discount, tax FROM flows")
+@query("inverse_scale", "flows", f"SELECT l_orderkey, l_partkey, {', '.join(f'round({c}, 6) AS {c}' for c in NUMBERS)} FROM flows")
 def inverse_scale(spark, folder):
     df, scaler = _scaled(spark, folder, "standard")
     return _six(features.unscale(features.scale(df, scaler), scaler))

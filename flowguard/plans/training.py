@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -15,7 +16,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from flowguard.functions.constants import ATTACK_NAMES
 from flowguard.functions.risk import risk_level, risk_score, round_half_even
@@ -55,26 +55,48 @@ def extra_trees(seed: int, weighted: bool, **given) -> Estimator:
 
 
 class BoostedTrees(Estimator):
-    """ML-06 and ML-09: boosted trees, one against the rest, as one fitted pipeline.
+    """ML-06 and ML-09: boosted trees, one against the rest, as one fitted pipeline; classes are fitted side by side.
 
-    With `early_stopping` a row whose `is_validation` is true only watches the loss (ML-09).
+    With `early_stopping` a row whose `is_validation` is true only watches the loss: a class stops at the round of its
+    lowest loss once `patience` further rounds brought no lower one (ML-09).
     """
 
-    def __init__(self, seed: int, weighted: bool, early_stopping: bool = False, **given):
+    def __init__(self, seed: int, weighted: bool, early_stopping: bool = False, patience: int = 10, parallelism: int = 4, **given):
         super().__init__()
-        self.settings = _common(seed, weighted, maxIter=50, stepSize=0.1, maxDepth=6, subsamplingRate=0.8, validationTol=0.01) | given
-        self.early_stopping = early_stopping
+        self.settings = _common(seed, weighted, maxIter=50, stepSize=0.1, maxDepth=6, subsamplingRate=0.8) | given
+        self.early_stopping, self.patience, self.parallelism = early_stopping, patience, parallelism
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
-        classes = [int(r[0]) for r in dataset.select(LABEL).distinct().orderBy(LABEL).collect()]
-        stages = []
-        for k in range(max(classes) + 1):
-            tree = GBTClassifier(**(self.settings | {"labelCol": "_is_class", "predictionCol": f"prediction_{k}"}))
-            tree = tree.setRawPredictionCol(f"raw_{k}").setProbabilityCol(f"probability_{k}")
-            if self.early_stopping:
-                tree = tree.setValidationIndicatorCol("is_validation")
-            stages.append(tree.fit(dataset.withColumn("_is_class", (F.col(LABEL) == k).cast("double"))))
-        return PipelineModel(stages)
+        classes = int(dataset.agg(F.max(LABEL)).first()[0])
+        rows = dataset.persist()
+        try:
+            with ThreadPoolExecutor(self.parallelism) as pool:
+                return PipelineModel(list(pool.map(lambda k: self._one(rows, k), range(classes + 1))))
+        finally:
+            rows.unpersist()
+
+    def _one(self, rows: DataFrame, k: int):
+        tree = GBTClassifier(**(self.settings | {"labelCol": "_is_class", "predictionCol": f"prediction_{k}"}))
+        tree = tree.setRawPredictionCol(f"raw_{k}").setProbabilityCol(f"probability_{k}")
+        marked = rows.withColumn("_is_class", (F.col(LABEL) == k).cast("double"))
+        if not self.early_stopping:
+            return tree.fit(marked)
+        learned = marked.where("NOT is_validation")
+        model = tree.fit(learned)
+        watched = marked.where("is_validation").withColumns({"features": F.col(FEATURES), "label": F.col("_is_class")})
+        rounds = best_round(list(model.evaluateEachIteration(watched)), self.patience)
+        return model if rounds == model.getNumTrees else tree.setMaxIter(rounds).fit(learned)  # the same seed grows the same first trees
+
+
+def best_round(losses: list[float], patience: int) -> int:
+    """How many rounds to keep: up to the lowest loss seen before `patience` rounds passed without a lower one."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
 
 
 REGISTRY: dict[str, Callable[..., Estimator]] = {
@@ -88,10 +110,15 @@ REGISTRY: dict[str, Callable[..., Estimator]] = {
 
 def build(name: str, seed: int = 42, weighted: bool = False, **settings) -> Estimator:
     """ML-01: an estimator by name; an unknown name is an error. Users add their own to REGISTRY (UDF-01)."""
-    key = name.lower().strip()
-    if key not in REGISTRY:
-        raise ValueError(f"unknown model {name!r}; known: {sorted(REGISTRY)}")
-    return REGISTRY[key](seed, weighted, **settings)
+    return REGISTRY[_key(name, REGISTRY)](seed, weighted, **settings)
+
+
+def _key(name: str, table: dict) -> str:
+    """The entry of a table that a user means, whatever the case and outer spaces."""
+    found = {k: k for k in table}.get(name.strip().lower())
+    if found is None:
+        raise ValueError(f"{name!r} is none of {sorted(table)}")
+    return found
 
 
 # ---- scoring -----------------------------------------------------------------------------------
@@ -242,13 +269,6 @@ SEARCH_SPACES = {
 }
 
 
-def search_space(name: str) -> dict[str, list]:
-    key = name.lower().strip()
-    if key not in SEARCH_SPACES:
-        raise ValueError(f"no search space for model {name!r}")
-    return SEARCH_SPACES[key]
-
-
 def candidates(space: dict[str, list], method: str = "random", draws: int = 5, seed: int = 42) -> list[dict]:
     """The whole grid, or a repeatable draw of settings from it without repetition."""
     names = list(space)
@@ -277,10 +297,10 @@ class MacroF1(Evaluator):
         return True
 
 
-def with_folds(sample: DataFrame, folds: int, mixed: Column, ties: list[str]) -> DataFrame:
-    """ML-08: stratified folds. Meant for a search sample of known size, so a class fits a task."""
-    order = Window.partitionBy(LABEL).orderBy(mixed, *ties)
-    return sample.withColumn("fold", ((F.row_number().over(order) - 1) % folds).cast("int"))
+def with_folds(sample: DataFrame, folds: int, key: list[str]) -> DataFrame:
+    """ML-08: the fold of each row, by a hash of its key: a row stays in its fold whatever else is in the sample, and no
+    class meets in one task. Classes are spread evenly but for chance."""
+    return sample.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), *key), F.lit(folds)).cast("int"))
 
 
 def search(name: str, sample: DataFrame, folds: int = 5, method: str = "random", draws: int = 5, seed: int = 42,
@@ -290,7 +310,7 @@ def search(name: str, sample: DataFrame, folds: int = 5, method: str = "random",
     Tree and linear models go through CrossValidator; the boosted model is cross-validated by setting, as its
     parameters belong to one inner model per class.
     """
-    tried = candidates(space or search_space(name), method, draws, seed)
+    tried = candidates(space or SEARCH_SPACES[_key(name, SEARCH_SPACES)], method, draws, seed)
     if name == "boosted_trees":
         scores = [_fold_mean(build(name, seed, **((fixed or {}) | s)), sample, folds) for s in tried]
     else:
@@ -311,7 +331,7 @@ def _fold_mean(estimator: Estimator, sample: DataFrame, folds: int) -> float:
 def tune(name: str, train_rows: DataFrame, test_rows: DataFrame, mixed: Column, ties: list[str], sample_size: int = 50_000,
          folds: int = 5, **options) -> tuple[Trained, DataFrame]:
     """ML-10: search on a stratified sample, refit the winner on all training rows, compare with the default."""
-    sample = cut_lineage(with_folds(stratified_sample(train_rows, LABEL, sample_size, mixed, ties), folds, mixed, ties))
+    sample = cut_lineage(with_folds(stratified_sample(train_rows, LABEL, sample_size, mixed, ties), folds, ties))
     settings, _ = search(name, sample, folds, **options)
     original, _ = train([name], train_rows)
     tuned, _ = train([name], train_rows, settings={name: settings})
@@ -344,15 +364,15 @@ def learning_curve(name: str, sample: DataFrame, mixed: Column, ties: list[str],
     shares = sizes or [0.1 + 0.9 * i / 7 for i in range(8)]
     total, rows = sample.count(), []
     for share in shares:
-        part = cut_lineage(with_folds(stratified_sample(sample, LABEL, max(folds, round(total * share)), mixed, ties), folds, mixed, ties))
+        part = cut_lineage(with_folds(stratified_sample(sample, LABEL, max(folds, round(total * share)), mixed, ties), folds, ties))
         for kind, (mean, std) in _fold_scores(build(name, **(settings or {})), part, folds).items():
             rows.append((f"{share:.4f}", round(total * share), kind, mean, std))
     return _curve(rows, sample.sparkSession)
 
 
-def validation_curve(name: str, sample: DataFrame, parameter: str, values: list, mixed: Column, ties: list[str], folds: int = 3, settings: dict | None = None) -> DataFrame:
+def validation_curve(name: str, sample: DataFrame, parameter: str, values: list, key: list[str], folds: int = 3, settings: dict | None = None) -> DataFrame:
     """ML-13: macro F1 over one parameter."""
-    part, rows = cut_lineage(with_folds(sample, folds, mixed, ties)), []
+    part, rows = cut_lineage(with_folds(sample, folds, key)), []
     size = sample.count()
     for value in values:
         for kind, (mean, std) in _fold_scores(build(name, **((settings or {}) | {parameter: value})), part, folds).items():
@@ -371,10 +391,9 @@ def save_model(trained: Trained, folder: str, tuned: bool = False) -> str:
     return path
 
 
-def load_model(folder: str, name: str) -> PipelineModel:
-    """ML-15: the tuned version when there is one, else the original."""
+def load_model(spark: SparkSession, folder: str, name: str) -> PipelineModel:
+    """ML-15: the tuned version when there is one, else the original. A tuned model that cannot be read is an error."""
     root = folder.rstrip("/")
-    try:
-        return PipelineModel.load(f"{root}/{name}_tuned")
-    except Exception:  # noqa: BLE001 - any unreadable tuned model falls back
-        return PipelineModel.load(f"{root}/{name}")
+    tuned = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}_tuned")
+    there = tuned.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(tuned)
+    return PipelineModel.load(f"{root}/{name}{'_tuned' if there else ''}")

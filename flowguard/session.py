@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -46,6 +50,21 @@ def _application_folder(spark: SparkSession) -> str:
     return folder.toString()
 
 
+@contextmanager
+def scratch_folder(spark: SparkSession) -> Iterator[str]:
+    """A new folder below the checkpoint folder, removed at the end; what is read from it must be written elsewhere before."""
+    folder = f"{checkpoint_root(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    try:
+        yield folder
+    finally:
+        remove_folder(spark, folder)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise a frame that several later jobs read, so a lost executor never replays its inputs."""
     context = df.sparkSession.sparkContext

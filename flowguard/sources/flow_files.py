@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 from pathlib import PurePosixPath
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowguard.operators.cleaning import strip_names
+from flowguard.operators.profiling import duplicate_names
 
 
 def _files(spark: SparkSession, path: str, recursive: bool) -> list[str]:
@@ -18,23 +20,33 @@ def _files(spark: SparkSession, path: str, recursive: bool) -> list[str]:
     return sorted(r[0] for r in reader.load(path).select("path").collect())
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """The path and its file system, whatever the scheme."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def scan_directory(spark: SparkSession, folder: str) -> list[str]:
     """SRC-01: the CSV files directly in a folder; an error when there are none."""
-    found = [f for f in _files(spark, folder, False) if str(PurePosixPath(f).parent).endswith(folder.rstrip("/"))]
+    found = _files(spark, folder, False)
     if not found:
         raise FileNotFoundError(f"no CSV files in {folder}")
     return found
 
 
 def find_csv_files(spark: SparkSession, path: str) -> list[str]:
-    """SRC-02: one CSV file, or all below a folder; another suffix is an error."""
-    suffix = PurePosixPath(path).suffix.lower()
-    if suffix and suffix != ".csv":
+    """SRC-02: one CSV file, or all below a folder of any name; a file with another suffix is an error."""
+    place, files = _hadoop(spark, path)
+    if not files.exists(place):
+        raise FileNotFoundError(path)
+    if files.getFileStatus(place).isDirectory():
+        found = _files(spark, path, True)
+        if not found:
+            raise FileNotFoundError(f"no CSV files below {path}")
+        return found
+    if PurePosixPath(path).suffix.lower() != ".csv":
         raise ValueError(f"{path} is not a CSV file")
-    found = [path] if suffix else _files(spark, path, True)
-    if not found:
-        raise FileNotFoundError(f"no CSV files below {path}")
-    return found
+    return [path]
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None) -> DataFrame:
@@ -44,7 +56,15 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType |
 
 
 def header_of(spark: SparkSession, path: str) -> list[str]:
-    return read_csv(spark, path).columns
+    """The names as the file's first line gives them, repeated ones included. One line is read and no job runs."""
+    place, files = _hadoop(spark, path)
+    java = spark._jvm.java.io
+    reader = java.BufferedReader(java.InputStreamReader(files.open(place), "UTF-8"))
+    try:
+        line = reader.readLine()
+    finally:
+        reader.close()
+    return next(csv.reader([line.removeprefix("\ufeff")])) if line else []
 
 
 def check_headers(headers: list[list[str]]) -> None:
@@ -69,10 +89,16 @@ def loose_union(parts: list[DataFrame]) -> DataFrame:
 
 
 def load_merged(spark: SparkSession, files: list[str], strict: bool = True) -> DataFrame:
-    """SRC-03 or SRC-04 over files. Files that share one header are read by a single scan."""
+    """SRC-03 or SRC-04 over files. Files that share one header are read by a single scan.
+
+    A name that one header repeats is an error (DQ-05), since its columns could not be told apart.
+    """
     by_header: dict[tuple[str, ...], list[str]] = {}
     for f in files:
         by_header.setdefault(tuple(header_of(spark, f)), []).append(f)
+    for header, names in by_header.items():
+        if repeated := duplicate_names(list(header)):
+            raise ValueError(f"{names[0]} repeats the columns {repeated}")
     if strict:
         check_headers([list(h) for h in by_header])
     parts = [read_csv(spark, names) for names in by_header.values()]

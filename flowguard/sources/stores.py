@@ -12,8 +12,8 @@ from pyspark.sql.utils import AnalysisException
 
 from flowguard.functions.constants import DEFAULT_BLACKLIST, DEFAULT_MALICIOUS, DEFAULT_WHITELIST
 from flowguard.operators.alerts import newest
+from flowguard.session import cut_lineage
 
-EXPORT_LIMIT = 100_000
 INDICATOR_SCHEMA = "ip string, list_type string, category string, threat_score int, first_seen string, seq bigint"
 INDICATOR_FILE = T.StructType([
     T.StructField("whitelist", T.ArrayType(T.StringType())),
@@ -48,22 +48,22 @@ def read_alerts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def append_alerts(batch: DataFrame, path: str, same_day_ids: bool = False) -> DataFrame:
-    """SNK-02: append alerts whose id is new; of equal ids the first wins. Returns the rows written.
+def append_alerts(batch: DataFrame, path: str, same_day_ids: bool = True) -> DataFrame:
+    """SNK-02: append alerts whose id is new; of equal ids the first wins. Returns the rows written, which are settled.
 
-    Only the id column of the stored table is read. With `same_day_ids`, set where an id carries its time
-    (as built by `build_alerts`), only the days that occur in the batch are read.
+    Only the id column of the stored table is read, and only for the days that occur in the batch, as ids of
+    `build_alerts` carry their time. With ids that may return on another day, `same_day_ids=False` reads all stored ids.
     """
     columns = batch.columns
     first = batch.groupBy("id").agg(F.min_by(F.struct(*columns), F.struct("timestamp", *[c for c in columns if c not in ("id", "timestamp")])).alias("a")).select("a.*")
-    fresh = first.withColumn("day", F.to_date("timestamp"))
+    fresh = cut_lineage(first.withColumn("day", F.to_date("timestamp")))
     stored = _read_if_present(batch.sparkSession, path)
     if stored is not None:
         known = stored.select("id", "day")
         if same_day_ids:
             days = [r[0] for r in fresh.select("day").distinct().collect()]
             known = known.where(F.col("day").isin(days))
-        fresh = fresh.join(known.select("id"), "id", "left_anti")
+        fresh = cut_lineage(fresh.join(known.select("id"), "id", "left_anti"))
     fresh.select(*columns, "day").write.mode("append").partitionBy("day").parquet(path)
     return fresh.drop("day")
 
@@ -73,12 +73,12 @@ def append_csv(batch: DataFrame, path: str) -> None:
     batch.write.mode("append").option("header", True).option("escape", '"').csv(path)
 
 
-def export_alerts(df: DataFrame, condition: Column, path: str, kind: str = "csv", limit: int = EXPORT_LIMIT) -> None:
-    """SNK-04 and SNK-05: the newest matching alerts, at most 100,000 as the export promises.
+def export_alerts(df: DataFrame, condition: Column, path: str, kind: str = "csv", limit: int | None = None) -> None:
+    """SNK-04 and SNK-05: all matching alerts, or with `limit` the newest so many.
 
     CSV leaves out the probabilities and still has its header when nothing matches.
     """
-    rows = newest(df.where(condition), limit)
+    rows = df.where(condition) if limit is None else newest(df.where(condition), limit)
     if kind == "csv":
         rows.drop("class_probabilities").write.mode("overwrite").option("header", True).csv(path)
     elif kind == "json":
@@ -157,8 +157,9 @@ def audit_details(df: DataFrame, fields: list[str]) -> DataFrame:
 def fan_out(batch: DataFrame, targets: dict[str, Callable[[DataFrame], None]]) -> DataFrame:
     """SNK-13: write one alert batch to every target and return a status row per alert and target.
 
-    A target that fails is recorded and does not stop the others.
+    A target that fails is recorded and does not stop the others. The batch is computed once for all of them.
     """
+    batch = batch.persist()
     ids = batch.select(F.col("id").alias("alert_id"), "timestamp")
     status = None
     for name, write in targets.items():
@@ -171,4 +172,6 @@ def fan_out(batch: DataFrame, targets: dict[str, Callable[[DataFrame], None]]) -
         status = rows if status is None else status.unionByName(rows)
     if status is None:
         raise ValueError("no targets configured")
-    return status
+    settled = cut_lineage(status)
+    batch.unpersist()
+    return settled

@@ -5,9 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from flowguard.functions.risk import per_second
@@ -31,42 +33,48 @@ NAMES = [n for n, _ in STATE]
 OUTPUT_SCHEMA = "protocol string, " + STATE_SCHEMA
 
 
-def _opened(row) -> dict:
-    return {
-        "opener_ip": row.src_ip, "opener_port": int(row.src_port), "answerer_ip": row.dst_ip, "answerer_port": int(row.dst_port),
-        "first_at": int(row.at), "last_at": int(row.at), "last_fwd": -1, "fwd_gap_min": -1,
-        "fwd_packets": 0, "bwd_packets": 0, "fwd_bytes": 0, "bwd_bytes": 0, "fwd_max": 0, "bwd_max": 0,
-        "gaps": 0, "gap_mean": 0.0, "gap_m2": 0.0, "fwd_header": 0, "bwd_header": 0, "fin": 0, "psh": 0,
-        "fwd_window": 0, "bwd_window": 0, "data_packets": 0, "min_segment": 20,
-    }
-
-
-def _add(flow: dict, row) -> None:
-    at, length, header = int(row.at), int(row.length), int(row.header_len)
-    gap = (at - flow["last_at"]) / MICROS
-    if gap > 0:
-        flow["gaps"] += 1
-        shift = gap - flow["gap_mean"]
-        flow["gap_mean"] += shift / flow["gaps"]
-        flow["gap_m2"] += shift * (gap - flow["gap_mean"])
-    flow["last_at"] = max(at, flow["last_at"])
-    flow["fin"] += "F" in row.flags
-    flow["psh"] += "P" in row.flags
-    forward = (row.src_ip, int(row.src_port)) == (flow["opener_ip"], flow["opener_port"])
-    side = "fwd" if forward else "bwd"
-    if flow[f"{side}_packets"] == 0:
-        flow[f"{side}_window"] = int(row.window)
-    flow[f"{side}_packets"] += 1
-    flow[f"{side}_bytes"] += length
-    flow[f"{side}_max"] = max(flow[f"{side}_max"], length)
-    flow[f"{side}_header"] += header
-    if forward:
-        if flow["last_fwd"] >= 0:
-            step = at - flow["last_fwd"]
-            flow["fwd_gap_min"] = step if flow["fwd_gap_min"] < 0 else min(flow["fwd_gap_min"], step)
-        flow["last_fwd"] = at
-        flow["data_packets"] += length - (20 + header) > 0
-        flow["min_segment"] = min(flow["min_segment"], header)
+def _opened(rows: pd.DataFrame, i: int) -> dict:
+    """An empty flow opened by packet i."""
+    row = rows.iloc[i]
+    return dict.fromkeys(NAMES, 0) | {
+        "opener_ip": row["src_ip"], "opener_port": int(row["src_port"]), "answerer_ip": row["dst_ip"], "answerer_port": int(row["dst_port"]),
+        "first_at": int(row["at"]), "last_at": int(row["at"]), "last_fwd": -1, "fwd_gap_min": -1, "gap_mean": 0.0, "gap_m2": 0.0, "min_segment": 20}
+
+
+def _add(flow: dict, rows: pd.DataFrame) -> None:
+    """Add packets of one flow, in order of time, with array sums; deviations are merged by Chan's formula."""
+    at, length, header = (rows[c].to_numpy(np.int64) for c in ("at", "length", "header_len"))
+    gaps = np.diff(np.concatenate(([flow["last_at"]], at))) / MICROS
+    gaps = gaps[gaps > 0]
+    if len(gaps):
+        n, mean = flow["gaps"] + len(gaps), float(gaps.mean())
+        shift = mean - flow["gap_mean"]
+        flow["gap_m2"] += float(((gaps - mean) ** 2).sum()) + shift * shift * flow["gaps"] * len(gaps) / n
+        flow["gap_mean"] += shift * len(gaps) / n
+        flow["gaps"] = n
+    flow["last_at"] = max(int(at[-1]), flow["last_at"])
+    flow["fin"] += int(rows["flags"].str.contains("F", regex=False).sum())
+    flow["psh"] += int(rows["flags"].str.contains("P", regex=False).sum())
+    forward = ((rows["src_ip"] == flow["opener_ip"]) & (rows["src_port"] == flow["opener_port"])).to_numpy()
+    window = rows["window"].to_numpy()
+    for side, mask in (("fwd", forward), ("bwd", ~forward)):
+        if not mask.any():
+            continue
+        if flow[f"{side}_packets"] == 0:
+            flow[f"{side}_window"] = int(window[mask][0])
+        flow[f"{side}_packets"] += int(mask.sum())
+        flow[f"{side}_bytes"] += int(length[mask].sum())
+        flow[f"{side}_max"] = max(flow[f"{side}_max"], int(length[mask].max()))
+        flow[f"{side}_header"] += int(header[mask].sum())
+    if forward.any():
+        times = at[forward] if flow["last_fwd"] < 0 else np.concatenate(([flow["last_fwd"]], at[forward]))
+        steps = np.diff(times)
+        if len(steps):
+            least = int(steps.min())
+            flow["fwd_gap_min"] = least if flow["fwd_gap_min"] < 0 else min(flow["fwd_gap_min"], least)
+        flow["last_fwd"] = int(at[forward][-1])
+        flow["data_packets"] += int((length[forward] - (20 + header[forward]) > 0).sum())
+        flow["min_segment"] = min(flow["min_segment"], int(header[forward].min()))
 
 
 class FlowProcessor(StatefulProcessor):
@@ -83,19 +91,28 @@ class FlowProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # A micro-batch holds a bounded number of packets; arrival order inside it is not event order.
-        batch = pd.concat(list(rows)).sort_values(["at", "seq"])
+        batch = pd.concat(list(rows)).sort_values(["at", "seq"], ignore_index=True)
+        at = batch["at"].to_numpy(np.int64)
+        pauses = np.flatnonzero(np.diff(at) > self.idle) + 1
         open_flow = dict(zip(NAMES, self.flow.get(), strict=True)) if self.flow.exists() else None
-        closed = []
-        for row in batch.itertuples(index=False):
-            if open_flow is not None and int(row.at) - open_flow["last_at"] > self.idle:
+        closed, i = [], 0
+        while i < len(at):  # one round per flow, not per packet
+            if open_flow is not None and at[i] - open_flow["last_at"] > self.idle:
                 closed.append(open_flow)
                 open_flow = None
             if open_flow is None:
-                open_flow = _opened(row)
-            _add(open_flow, row)
-            if self.active is not None and int(row.at) - open_flow["first_at"] > self.active:
+                open_flow = _opened(batch, i)
+            place = int(np.searchsorted(pauses, i, side="right"))
+            end, full = int(pauses[place]) if place < len(pauses) else len(at), False
+            if self.active is not None:
+                late = i + int(np.searchsorted(at[i:], open_flow["first_at"] + self.active, side="right"))
+                full = late < end
+                end = min(end, late + 1)
+            _add(open_flow, batch.iloc[i:end])
+            if full:
                 closed.append(open_flow)
                 open_flow = None
+            i = end
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if open_flow is None:
@@ -167,9 +184,11 @@ def state_features(flows: DataFrame) -> DataFrame:
         (F.col("fwd_packets") + F.col("bwd_packets")).alias("_packets"))
 
 
-def run_to_table(stream: DataFrame, mode: str = "append") -> tuple[DataFrame, str]:
+def run_to_table(stream: DataFrame, mode: str = "append", key: list[str] | None = None) -> tuple[DataFrame, str]:
     """Run a stream over everything available into a table below the checkpoint folder.
 
+    Append mode writes each row once. Update mode writes the changed rows of every micro-batch into a folder of their
+    own, and the table shows the latest row of each `key`. Complete mode, for results of a few rows, rewrites the table.
     Returns the table and the query's checkpoint. Rows go from executors to files, never through the driver.
     """
     spark = stream.sparkSession
@@ -177,11 +196,19 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> tuple[DataFrame, st
     writer = stream.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{root}/rows").outputMode("append").start()
+    elif mode == "update":
+        query = writer.outputMode("update").foreachBatch(
+            lambda rows, batch: rows.write.mode("overwrite").parquet(f"{root}/rows/batch={batch}")).start()
     else:
         query = writer.outputMode(mode).foreachBatch(
             lambda rows, batch: rows.write.mode("overwrite").parquet(f"{root}/rows")).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/rows"), f"{root}/state"
+    table = spark.read.schema(stream.schema).parquet(f"{root}/rows")
+    if mode == "update":
+        numbered = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{root}/rows")
+        latest = numbered.groupBy(*key).agg(F.max_by(F.struct(*stream.columns), "batch").alias("row"))
+        table = latest.select("row.*")
+    return table, f"{root}/state"
 
 
 def score_stream(flows: DataFrame, score: Callable[[DataFrame], DataFrame], store: Callable[[DataFrame], object], checkpoint: str):

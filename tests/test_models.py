@@ -76,8 +76,8 @@ def test_preprocessing(spark, mixed_frame, tmp_path):
     fitted.write().overwrite().save(str(tmp_path / "pre"))
     again = PipelineModel.load(str(tmp_path / "pre")).transform(mixed_frame)
     assert [str(r) for r in again.collect()] == [str(r) for r in fitted.transform(mixed_frame).collect()]
-    reasons = {r["feature"]: (r["status"], r["reason"], r["rfe_rank"]) for r in selection.summary(spark).collect()}
-    assert reasons["constant_col"] == ("Dropped", "Constant feature (0 variance)", 999)
+    reasons = {r["feature"]: (r["selected"], r["stage"], r["rfe_rank"]) for r in selection.summary(spark).collect()}
+    assert reasons["constant_col"] == (False, "constant", None)
     with pytest.raises(ValueError):
         features.select_features(features.label_indexer(mixed_frame, "target").transform(mixed_frame), ["constant_col"], "target", "label_index", by_id(), ["id"])
 
@@ -122,8 +122,9 @@ def test_confusion_edges(spark):
 def test_ranking_skips_missing_columns(spark):
     df = spark.createDataFrame([("a", 0.5, 0.2), ("b", 0.5, 0.1)], "model string, f1_macro double, fpr double")
     assert [r["model"] for r in metrics.rank_models(df).orderBy("rank").collect()] == ["b", "a"]
-    notes = {r["model"]: r for r in metrics.strengths_weaknesses(metrics.rank_models(df)).collect()}
-    assert "Lowest FPR" in notes["b"]["strengths"] and "Best F1" in notes["b"]["strengths"] and notes["a"]["strengths"] == ["—"]
+    notes = {r["model"]: r for r in metrics.model_remarks(metrics.rank_models(df)).collect()}
+    assert "Lowest FPR" in notes["b"]["strengths"] and "Best F1" in notes["b"]["strengths"] and notes["a"]["strengths"] == []
+    assert notes["a"]["weaknesses"] == ["f1_below_0.7", "fpr_above_0.01"]
 
 
 @pytest.fixture(scope="module")
@@ -151,13 +152,13 @@ def test_unknown_model():
     with pytest.raises(ValueError):
         training.build("absent")
     with pytest.raises(ValueError):
-        training.search_space("absent")
+        training.search("absent", None)
 
 
 def test_scoring_saving_and_external(spark, learnable, tmp_path):
     fitted = training.Trained("decision_tree", training.build("decision_tree", maxDepth=4).fit(learnable), 0.0)
     training.save_model(fitted, str(tmp_path))
-    scored = training.predict(training.load_model(str(tmp_path), "decision_tree"), learnable)
+    scored = training.predict(training.load_model(spark, str(tmp_path), "decision_tree"), learnable)
     assert scored.select(F.max(F.abs(F.aggregate("probabilities", F.lit(0.0), lambda a, x: a + x) - 1))).first()[0] < 1e-9
     table = training.prediction_table(scored, "decision_tree", ["BENIGN", "DDoS"], ["id"])
     assert table.columns[1:] == ["Attack_Type", "Prediction_Confidence", "Risk_Score", "Risk_Level", "Class_Probabilities", "Model_Name", "Prediction_Time_ms"]
@@ -174,16 +175,28 @@ def test_boosted_probabilities_sum_to_one(learnable):
     assert scored.select(F.max(F.abs(F.aggregate("probabilities", F.lit(0.0), lambda a, x: a + x) - 1))).first()[0] < 1e-9
 
 
+def test_best_round_waits_for_its_patience():
+    assert training.best_round([5, 4, 3, 3.5, 3.4, 2, 1], 3) == 7
+    assert training.best_round([5, 4, 3, 3.5, 3.4, 3.2, 1], 3) == 3
+    assert training.best_round([1.0], 10) == 1 and training.best_round([3, 2, 1], 10) == 3
+
+
+def test_boosting_stops_at_the_best_round(learnable):
+    noise = learnable.withColumn("label_index", (F.xxhash64("id") % 2 == 0).cast("double")).withColumn("is_validation", F.col("id") % 3 == 0)
+    model = training.build("boosted_trees", early_stopping=True, maxIter=15, maxDepth=4, patience=2).fit(noise)
+    assert all(1 <= s.getNumTrees < 15 for s in model.stages)
+
+
 def test_search(learnable):
-    folded = training.with_folds(learnable, 3, by_id(), ["id"])
-    sizes = [r["count"] for r in folded.groupBy("label_index", "fold").count().orderBy("label_index", "fold").collect()]
-    assert all(max(sizes[i:i + 3]) - min(sizes[i:i + 3]) <= 1 for i in range(0, len(sizes), 3))
+    folded = training.with_folds(learnable, 3, ["id"])
+    assert {r["id"]: r["fold"] for r in folded.collect()} == {r["id"]: r["fold"] for r in training.with_folds(learnable.where("id < 600").repartition(5), 3, ["id"]).collect()}
+    assert {r["fold"] for r in folded.collect()} == {0, 1, 2}
     best, table = training.search("decision_tree", folded, 3, "grid", space={"maxDepth": [1, 4]})
     assert best == {"maxDepth": 4} and table.where("best").count() == 1
     boosted, _ = training.search("boosted_trees", folded, 3, "random", 1, space={"maxIter": [1], "maxDepth": [2, 3]})
     assert set(boosted) == {"maxIter", "maxDepth"}
-    draws = training.candidates(training.search_space("random_forest"), draws=5)
-    assert len({str(d) for d in draws}) == 5 and draws == training.candidates(training.search_space("random_forest"), draws=5)
+    draws = training.candidates(training.SEARCH_SPACES["random_forest"], draws=5)
+    assert len({str(d) for d in draws}) == 5 and draws == training.candidates(training.SEARCH_SPACES["random_forest"], draws=5)
 
 
 def test_explanations(spark, learnable):
