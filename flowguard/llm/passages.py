@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowguard.session import cut_lineage
+
 #: Repeated units are removed where so many words of them follow each other, or where they fill a line of so many words.
 RUN_WORDS, LINE_WORDS = 25, 8
 _STOP = re.compile(r"[.!?]+\s+")
@@ -35,9 +37,8 @@ def units(text: str) -> list[tuple[int, int, int, str]]:
     return found
 
 
-def removals(text: str, repeated: set[int], run_words: int = RUN_WORDS, line_words: int = LINE_WORDS) -> list[tuple[int, int]]:
-    """Spans to cut (code points, end exclusive), given the numbers of the units that occur earlier elsewhere."""
-    found = units(text)
+def removals(found: list[tuple[int, int, int, str]], repeated: set[int], run_words: int = RUN_WORDS, line_words: int = LINE_WORDS) -> list[tuple[int, int]]:
+    """Spans to cut (code points, end exclusive) from a text of these units, given the numbers of those that occur earlier elsewhere."""
     words = [u[3].count(" ") + 1 for u in found]
     whole: dict[int, list[int]] = {}
     for i, u in enumerate(found):
@@ -110,7 +111,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", identity: str = "doc_id"
     docs = docs.drop("n_units", "n_repeated", "n_removed_chars", "removed")
     found = _digests(docs, text, identity)
     place = F.struct(F.col("id").isNull().alias("none"), "id", "body", "unit")
-    firsts = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
+    # Written, so that both sides of the join are plain exchanges, which Spark can split where a digest is hot.
+    firsts = cut_lineage(found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").drop("n"))
     later = found.join(firsts, "digest").where(~place.eqNullSafe(F.col("first")))
     marked = later.groupBy("id", "body").agg(F.collect_set("unit").alias("__units")).withColumnsRenamed({"id": "__id", "body": "__body"})
     rows = docs.withColumn("__hash", F.xxhash64(F.col(text)))
@@ -124,11 +126,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", identity: str = "doc_id"
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, marks = batch.column(at).to_pylist(), batch.column(last).to_pylist()
-            spans = [removals(t, set(m), run_words, line_words) if t and m else [] for t, m in zip(texts, marks, strict=True)]
+            found = [units(t) if t else [] for t in texts]
+            spans = [removals(u, set(m), run_words, line_words) if m else [] for u, m in zip(found, marks, strict=True)]
+            left = [t if t is None else without(t, s) for t, s in zip(texts, spans, strict=True)]
             columns = [batch.column(i) for i in range(last)]
-            columns[at] = pa.array([t if t is None else without(t, s) for t, s in zip(texts, spans, strict=True)], pa.string())
-            columns += [pa.array([len(units(t)) if t else 0 for t in texts], pa.int32()), pa.array([len(m or ()) for m in marks], pa.int32()),
-                        pa.array([0 if t is None else len(t) - len(without(t, s)) for t, s in zip(texts, spans, strict=True)], pa.int32()),
+            columns[at] = pa.array(left, pa.string())
+            columns += [pa.array([len(u) for u in found], pa.int32()), pa.array([len(m or ()) for m in marks], pa.int32()),
+                        pa.array([0 if t is None else len(t) - len(x) for t, x in zip(texts, left, strict=True)], pa.int32()),
                         pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
     return joined.mapInArrow(cut, schema)

@@ -314,7 +314,7 @@ def test_repeats_are_cut_but_for_the_earliest(spark):
     found = {r.doc_id: r for r in passages.remove_repeats(docs).collect()}
     marked = brute_repeats(texts)
     for i, t in enumerate(texts):
-        spans = passages.removals(t or "", marked[i])
+        spans = passages.removals(passages.units(t or ""), marked[i])
         assert [(s.start, s.end) for s in found[i].removed] == spans
         assert found[i].text == (t if t is None else passages.without(t, spans))
         assert found[i].n_repeated == len(marked[i])
