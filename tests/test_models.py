@@ -238,7 +238,7 @@ def _class_rows(spark, copies):
 @pytest.mark.parametrize("copies", [False, True])
 def test_neighbours_are_exact(spark, copies):
     df, rows = _class_rows(spark, copies)
-    found = {r["id"]: r["neighbours"] for r in resample.nearest_in_class(df, "y", "v", 5, block_rows=7).collect()}
+    found = {r["id"]: r["neighbours"] for r in resample.nearest_in_class(df, "y", "v", 5, block_rows=7, fan=3).collect()}
     for i, y, point in rows:
         best = sorted(np.hypot(point[0] - q[0], point[1] - q[1]) for j, z, q in rows if z == y and j != i)[:5]
         assert np.allclose(sorted(np.hypot(point[0] - q[0], point[1] - q[1]) for q in found[i]), best)
