@@ -17,6 +17,8 @@ from flowguard.session import cut_lineage
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Members of a bucket that are compared by an equality join; the members of larger buckets are indexed again.
 BUCKET = 24
+#: Fingerprints whose variants one task makes.
+NODES_PER_TASK = 50_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -58,7 +60,9 @@ def links(marks: DataFrame, bucket: int = BUCKET) -> DataFrame:
     at most two bits, and a point has at most 65 members, which are linked to the smallest. Nothing is left out.
     """
     nodes = cut_lineage(marks.select("fp").distinct())
-    keys = nodes.select("fp", F.expr(
+    # The few bytes of a node become 64 keys, so the nodes are dealt by their count and not by their bytes.
+    tasks = max(int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() // NODES_PER_TASK)
+    keys = nodes.repartition(tasks, "fp").select("fp", F.expr(
         "explode(transform(sequence(0, 63), j -> shiftleft(cast(j as bigint), 32)"
         " | (shiftrightunsigned(fp, if(j < 32, 0, 32)) & 4294967295L & ~shiftleft(1L, j % 32)))) as key"))
     sizes = cut_lineage(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1"))
