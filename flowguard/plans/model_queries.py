@@ -249,7 +249,18 @@ def importance_fallback(spark, folder):
 INPUTS = ["quantity", "price", "discount", "tax", "linenumber", "supp"]
 
 
+_READY: dict[tuple, tuple] = {}
+
+
 def _training_rows(spark, folder):
+    """Train and test rows, prepared and written once per folder in an application."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _READY:
+        _READY[key] = _prepared_rows(spark, folder)
+    return _READY[key]
+
+
+def _prepared_rows(spark, folder):
     """Flows whose label follows from the features, split and assembled. The test tables carry labels
     that no feature explains, so a label is derived that a model can learn."""
     flows = views.flows(spark, folder)

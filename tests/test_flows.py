@@ -139,3 +139,13 @@ def test_limiter_counts_only_admitted(spark, tmp_path):
         assert found[seq] == (len(times[client]) < 5)
         if len(times[client]) < 5:
             times[client].append(at)
+
+
+def test_a_busy_conversation_ends_soon(spark):
+    """200,000 packets of one conversation inside one slice; the active timeout splits them."""
+    n = F.col("id")
+    rows = spark.range(200_000).select(
+        n.alias("seq"), F.timestamp_micros(n * 500).alias("ts"), F.lit("A").alias("src_ip"), F.lit(1).alias("src_port"), F.lit("B").alias("dst_ip"),
+        F.lit(80).alias("dst_port"), F.lit("TCP").alias("protocol"), F.lit(60).alias("length"), F.lit("A").alias("flags"), F.lit(9).alias("window"), F.lit(20).alias("header_len"))
+    table = flows.flow_features(rows, 2.0, 60.0).orderBy("_start_time").collect()
+    assert [f["_packets"] for f in table] == [120_002, 79_998]

@@ -56,3 +56,22 @@ def test_packets_become_stored_alerts(spark, tmp_path):
     enriched = enrich.enrich_alerts(stored, stores.default_indicators(spark))
     assert enriched.where("is_malicious").count() == stored.count()
     assert respond.decide(enriched).count() == stored.count()
+
+
+def test_tail_starts_at_the_current_end_and_dispatch_logs_every_target(spark, tmp_path):
+    path, schema = str(tmp_path / "alerts"), "id string, timestamp timestamp"
+    write = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    write([("a", START), ("b", START + timedelta(seconds=9))])
+    kind = spark.createDataFrame([], schema).schema
+    tail = feed.alert_tail(spark, path, kind)
+    write([("c", START + timedelta(seconds=5)), ("d", START + timedelta(seconds=10))])
+    assert [r["id"] for r in stream.run_to_table(tail)[0].collect()] == ["d"]
+
+    def broken(batch):
+        raise RuntimeError("down")
+    targets = {"good": lambda batch: batch.write.mode("append").parquet(str(tmp_path / "good")), "bad": broken}
+    writer = feed.dispatch(feed.read_stream(spark, path, kind), targets, str(tmp_path / "log"), str(tmp_path / "state"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert log.count() == 8 and log.where("success").count() == 4 and log.select("batch").distinct().count() == 2
+    assert spark.read.parquet(str(tmp_path / "good")).count() == 4

@@ -1,10 +1,12 @@
 """Loading, cleaning, validation and profiling of small traffic tables with answers worked out by hand."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from flowguard.functions.constants import FLOW_FEATURES
-from flowguard.operators import cleaning, profiling
+from flowguard.operators import analytics, cleaning, profiling
 from flowguard.sources import flow_files
 
 DAY_1 = """ Destination Port, Flow Duration, Total Fwd Packets,Flow Bytes/s, Label
@@ -154,3 +156,28 @@ def test_density_integrates_to_one(spark):
     area = sum((b["x"] - a["x"]) * (a["density"] + b["density"]) / 2 for a, b in zip(curve, curve[1:]))
     assert 0.85 < area <= 1.01
 
+
+
+def test_folders_with_dots_and_repeated_headers(spark, tmp_path):
+    folder = tmp_path / "raw.v2" / "deep"
+    folder.mkdir(parents=True)
+    (folder / "a.csv").write_text("x, y\n1,2\n")
+    (tmp_path / "raw.v2" / "b.csv").write_text("x, y\n3,4\n")
+    root = str(tmp_path / "raw.v2")
+    assert len(flow_files.scan_directory(spark, root)) == 1
+    found = flow_files.find_csv_files(spark, root)
+    assert len(found) == 2
+    assert sorted(tuple(r) for r in flow_files.load_merged(spark, found).collect()) == [("1", "2"), ("3", "4")]
+    (folder / "c.csv").write_text('"x",y, x\n1,2,3\n')
+    assert profiling.duplicate_names(flow_files.header_of(spark, str(folder / "c.csv"))) == ["x"]
+    with pytest.raises(ValueError):
+        flow_files.load_merged(spark, flow_files.find_csv_files(spark, root))
+    with pytest.raises(FileNotFoundError):
+        flow_files.find_csv_files(spark, str(tmp_path / "absent"))
+
+
+def test_trend_keeps_every_point_and_the_latest_on_request(spark):
+    rows = spark.range(150).selectExpr("timestamp'2024-01-01' + make_interval(0, 0, 0, cast(id as int)) as timestamp", "'BENIGN' as attack_type")
+    assert analytics.trend(rows, datetime(2024, 9, 1)).count() == 150
+    latest = [r["time"] for r in analytics.trend(rows, datetime(2024, 9, 1), points=2).collect()]
+    assert latest == ["2024-05-28", "2024-05-29"]
