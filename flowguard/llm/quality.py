@@ -14,8 +14,8 @@ from flowguard.llm import hashed
 from flowguard.llm.common import carried
 
 BITS = 15
-#: A document is kept when its calibrated probability of good quality reaches this.
-LEAST_GOOD = 0.5
+#: A document is kept when its calibrated probability of good quality reaches this: only clear cases are rejected.
+LEAST_GOOD = 0.2
 WINDOW, FEWEST_WORDS, MOST_REPEATED = 8, 20, 30
 _SPACES, _SYMBOLS = " \t\n\r\x0b\x0c", "#*$%&|<>"
 #: Digits count alike.
