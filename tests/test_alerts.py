@@ -138,7 +138,7 @@ def test_generic_playbook(spark, score, actions):
 
 def test_lines(spark):
     row = spark.createDataFrame([ALERT], SCHEMA).select(text.cef_line("V", "P").alias("c"), text.leef_line("V", "P").alias("l"), text.rfc5424_line("h", "app", "7", "e").alias("r")).first()
-    assert row["c"] == "CEF:0|V|P|1.0.0|NIDS-DoS Hulk|DoS Hulk Intrusion Detected|10|src=185.220.101.5 dst=10.0.0.1 dport=80 proto=TCP cn1=90.0 cn1Label=RiskScore msg=Confidence: 0.999"
+    assert row["c"] == "CEF:0|V|P|1.0.0|ALERT-DoS Hulk|DoS Hulk Intrusion Detected|10|src=185.220.101.5 dst=10.0.0.1 dport=80 proto=TCP cn1=90.0 cn1Label=RiskScore msg=Confidence: 0.999"
     assert row["l"].split("\t")[-2:] == ["sev=10", "riskScore=90.0"]
     assert row["r"] == '<134>1 2024-01-02 03:04:05 h app 7 ALT-TEST-0001 [e attack="DoS Hulk" risk="90.0"] Threat Alert: DoS Hulk from 185.220.101.5 targeting 10.0.0.1:80'
 
