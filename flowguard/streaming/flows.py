@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -33,19 +34,39 @@ NAMES = [n for n, _ in STATE]
 OUTPUT_SCHEMA = "protocol string, " + STATE_SCHEMA
 
 
-def _opened(rows: pd.DataFrame, i: int) -> dict:
+@dataclass
+class _Packets:
+    """Columns of one conversation's packets in order of time."""
+    at: np.ndarray
+    length: np.ndarray
+    header: np.ndarray
+    window: np.ndarray
+    fin: np.ndarray
+    psh: np.ndarray
+    source: list[tuple[str, int]]
+    target: list[tuple[str, int]]
+
+    @classmethod
+    def of(cls, frame: pd.DataFrame) -> _Packets:
+        numbers = [frame[c].to_numpy(np.int64) for c in ("at", "length", "header_len", "window")]
+        flags = frame["flags"].tolist()
+        ends = [list(zip(frame[f"{side}_ip"].tolist(), frame[f"{side}_port"].tolist(), strict=True)) for side in ("src", "dst")]
+        return cls(*numbers, np.array(["F" in f for f in flags], bool), np.array(["P" in f for f in flags], bool), *ends)
+
+
+def _opened(p: _Packets, i: int) -> dict:
     """An empty flow opened by packet i."""
-    row = rows.iloc[i]
+    at = int(p.at[i])
     return dict.fromkeys(NAMES, 0) | {
-        "opener_ip": row["src_ip"], "opener_port": int(row["src_port"]), "answerer_ip": row["dst_ip"], "answerer_port": int(row["dst_port"]),
-        "first_at": int(row["at"]), "last_at": int(row["at"]), "last_fwd": -1, "fwd_gap_min": -1, "gap_mean": 0.0, "gap_m2": 0.0, "min_segment": 20}
+        "opener_ip": p.source[i][0], "opener_port": p.source[i][1], "answerer_ip": p.target[i][0], "answerer_port": p.target[i][1],
+        "first_at": at, "last_at": at, "last_fwd": -1, "fwd_gap_min": -1, "gap_mean": 0.0, "gap_m2": 0.0, "min_segment": 20}
 
 
-def _add(flow: dict, rows: pd.DataFrame) -> None:
-    """Add packets of one flow, in order of time, with array sums; deviations are merged by Chan's formula."""
-    at, length, header = (rows[c].to_numpy(np.int64) for c in ("at", "length", "header_len"))
-    gaps = np.diff(np.concatenate(([flow["last_at"]], at))) / MICROS
-    gaps = gaps[gaps > 0]
+def _add(flow: dict, p: _Packets, i: int, end: int) -> None:
+    """Add packets i to end - 1 of one flow with array sums; deviations are merged by Chan's formula."""
+    at, length, header = p.at[i:end], p.length[i:end], p.header[i:end]
+    gaps = np.diff(at, prepend=flow["last_at"])
+    gaps = gaps[gaps > 0] / MICROS
     if len(gaps):
         n, mean = flow["gaps"] + len(gaps), float(gaps.mean())
         shift = mean - flow["gap_mean"]
@@ -53,24 +74,23 @@ def _add(flow: dict, rows: pd.DataFrame) -> None:
         flow["gap_mean"] += shift * len(gaps) / n
         flow["gaps"] = n
     flow["last_at"] = max(int(at[-1]), flow["last_at"])
-    flow["fin"] += int(rows["flags"].str.contains("F", regex=False).sum())
-    flow["psh"] += int(rows["flags"].str.contains("P", regex=False).sum())
-    forward = ((rows["src_ip"] == flow["opener_ip"]) & (rows["src_port"] == flow["opener_port"])).to_numpy()
-    window = rows["window"].to_numpy()
+    flow["fin"] += int(p.fin[i:end].sum())
+    flow["psh"] += int(p.psh[i:end].sum())
+    opener = (flow["opener_ip"], flow["opener_port"])
+    forward = np.array([s == opener for s in p.source[i:end]], bool)
     for side, mask in (("fwd", forward), ("bwd", ~forward)):
         if not mask.any():
             continue
         if flow[f"{side}_packets"] == 0:
-            flow[f"{side}_window"] = int(window[mask][0])
+            flow[f"{side}_window"] = int(p.window[i:end][mask][0])
         flow[f"{side}_packets"] += int(mask.sum())
         flow[f"{side}_bytes"] += int(length[mask].sum())
         flow[f"{side}_max"] = max(flow[f"{side}_max"], int(length[mask].max()))
         flow[f"{side}_header"] += int(header[mask].sum())
     if forward.any():
         times = at[forward] if flow["last_fwd"] < 0 else np.concatenate(([flow["last_fwd"]], at[forward]))
-        steps = np.diff(times)
-        if len(steps):
-            least = int(steps.min())
+        if len(times) > 1:
+            least = int(np.diff(times).min())
             flow["fwd_gap_min"] = least if flow["fwd_gap_min"] < 0 else min(flow["fwd_gap_min"], least)
         flow["last_fwd"] = int(at[forward][-1])
         flow["data_packets"] += int((length[forward] - (20 + header[forward]) > 0).sum())
@@ -91,8 +111,9 @@ class FlowProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # A micro-batch holds a bounded number of packets; arrival order inside it is not event order.
-        batch = pd.concat(list(rows)).sort_values(["at", "seq"], ignore_index=True)
-        at = batch["at"].to_numpy(np.int64)
+        parts = list(rows)
+        packets = _Packets.of((parts[0] if len(parts) == 1 else pd.concat(parts)).sort_values(["at", "seq"]))
+        at = packets.at
         pauses = np.flatnonzero(np.diff(at) > self.idle) + 1
         open_flow = dict(zip(NAMES, self.flow.get(), strict=True)) if self.flow.exists() else None
         closed, i = [], 0
@@ -101,14 +122,14 @@ class FlowProcessor(StatefulProcessor):
                 closed.append(open_flow)
                 open_flow = None
             if open_flow is None:
-                open_flow = _opened(batch, i)
+                open_flow = _opened(packets, i)
             place = int(np.searchsorted(pauses, i, side="right"))
             end, full = int(pauses[place]) if place < len(pauses) else len(at), False
             if self.active is not None:
                 late = i + int(np.searchsorted(at[i:], open_flow["first_at"] + self.active, side="right"))
                 full = late < end
                 end = min(end, late + 1)
-            _add(open_flow, batch.iloc[i:end])
+            _add(open_flow, packets, i, end)
             if full:
                 closed.append(open_flow)
                 open_flow = None
