@@ -20,17 +20,28 @@ ITEMS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd
          "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "thead": ({"tbody", "tr", "td", "th"}, {"table"}),
          "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"})}
 
+#: Words in an id, class or role that say what an element is: not the article, the article, or its place in the layout.
+#: Others, such as numbered ids, differ from page to page and are left out, so that pages of a host share their shapes.
+ASIDE_WORDS = frozenset(("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
+                         "popup modal overlay newsletter subscribe subscription signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs "
+                         "footer header masthead topbar comment comments reply replies discussion disqus share sharing social related recommended "
+                         "recommendations widget pagination pager toolbar alert contentinfo complementary search").split())
+ARTICLE_WORDS = frozenset("article main post entry story".split())
+LAYOUT_WORDS = frozenset("content body text page wrapper container left right column section block title meta author date summary lead caption list item top bottom".split())
+KNOWN_WORDS = ASIDE_WORDS | ARTICLE_WORDS | LAYOUT_WORDS
 #: Elements nested deeper still end a block, but their text belongs to the last one above.
 DEEPEST = 150
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
+#: Words are parted by signs, digits and inner capitals.
+_LABEL_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
 
 @dataclass
 class Element:
-    """A block element: its signature names the tag and its id, classes and role; children are elements and texts."""
+    """A block element: its signature names the tag and the known words of its id, classes and role; children are elements and texts."""
     name: str
     labels: tuple[str, ...] = ()
     children: list = field(default_factory=list)
@@ -43,11 +54,11 @@ class Element:
 def _labels(rest: str) -> tuple[str, ...]:
     if "=" not in rest:
         return ()
-    found = []
+    found: set[str] = set()
     for name, value in _ATTRIBUTE.findall(rest):
         if name.lower() in ("class", "id", "role") and value:
-            found += html.unescape(value.strip("\"'")).lower().split()
-    return tuple(sorted(set(found)))
+            found.update(w.lower() for w in _LABEL_WORD.findall(html.unescape(value)))
+    return tuple(sorted(found & KNOWN_WORDS))
 
 
 def parse(page: str) -> Element:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,34 +10,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowguard.llm.common import small_join
-from flowguard.llm.markup import Element, parse
+from flowguard.llm.markup import ARTICLE_WORDS, ASIDE_WORDS, Element, parse
 from flowguard.llm.urls import host_and_path
 from flowguard.session import cut_lineage
 
-#: Element names and words in id, class or role that mark what is not the article.
+#: Elements that are not the article, or are it, by name.
 ASIDE_NAMES = frozenset("nav header footer aside form menu dialog button select head fieldset".split())
-ASIDE_WORDS = frozenset(("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
-                         "popup modal overlay newsletter subscribe subscription signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs "
-                         "footer header masthead topbar comment comments reply replies discussion disqus share sharing social related recommended "
-                         "recommendations widget pagination pager toolbar alert contentinfo complementary search").split())
-ARTICLE_NAMES, ARTICLE_WORDS = frozenset({"article"}), frozenset({"article", "main", "post", "entry", "story"})
+ARTICLE_NAMES = frozenset({"article"})
 #: Wrappers that one task aligns at once.
 FAN = 64
 #: Pairs of nodes that an alignment weighs; what lies between the common ends of longer ones becomes optional unweighed.
 MOST_PAIRS = 1 << 18
 MARKS = ("+", "?", "*")
-_SPLIT = re.compile(r"[^a-z0-9]+")
 
 # A wrapper is nested lists: ["#"] a text slot; ["e", signature, [..]] an element; ["+", [..]] a repeated, ["?", [..]] an optional
 # and ["*", [..]] an optional repeated group.
 
 
-def _words(labels: tuple[str, ...]) -> set[str]:
-    return {w for label in labels for w in _SPLIT.split(label) if w}
-
-
 def is_aside(element: Element) -> bool:
-    return element.name in ASIDE_NAMES or bool(_words(element.labels) & ASIDE_WORDS)
+    return element.name in ASIDE_NAMES or not ASIDE_WORDS.isdisjoint(element.labels)
 
 
 def _key(node: list) -> str:
@@ -179,7 +169,7 @@ def article_paths(nodes: list[list], masses: dict[str, int]) -> list[str]:
         elements = [_element(s) for s in path]
         if not any(map(is_aside, elements)):
             clear.append((path, elements[-1]))
-    for fits in (lambda e: e.name in ARTICLE_NAMES, lambda e: e.name == "main" or "main" in e.labels, lambda e: bool(_words(e.labels) & ARTICLE_WORDS)):
+    for fits in (lambda e: e.name in ARTICLE_NAMES, lambda e: e.name == "main" or "main" in e.labels, lambda e: not ARTICLE_WORDS.isdisjoint(e.labels)):
         found = {path for path, e in clear if fits(e)}
         outer = sorted(">".join(p) for p in found if not any(p[:k] in found for k in range(1, len(p))))
         if outer:

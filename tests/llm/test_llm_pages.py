@@ -28,6 +28,7 @@ CASES = [
     ("<article><p>x</p></article><article><p>y</p></article>", "x\n\ny"),
     ("<article><![CDATA[raw & data]]></article>", "raw & data"),
     ("<article><div class='cookie-notice'>c</div><div class=adventure>kept</div><section id=share-bar>s</section></article>", "kept"),
+    ("<div id=post-17><p>kept</p><div class=commentList>c</div><div class='ad2 x'>a</div></div><div class=footerBox>f</div>", "kept"),
     ("<ARTICLE><P>Upper</P></ARTICLE>", "Upper"),
     ("<article title='a > b'><p title=\"x>y\">q</p></article>", "q"),
 ]
@@ -56,6 +57,12 @@ def test_all_pages_of_a_host_share_a_wrapper(spark):
     assert len(texts) == 42
 
 
+def test_numbered_ids_do_not_part_the_pages_of_a_host(spark):
+    rows = [("h", f"<div id=post-{i} class='css-{i}x'><p id=p{i}>text {i}</p></div><div class='side bar{i}'>s</div>") for i in range(50)]
+    row = wrappers.infer(spark.createDataFrame(rows, "host string, html string")).first()
+    assert (row.pages, row.expression, row.paths) == (50, "<div.post><p>#</p></div><div>#</div>", ["div.post"])
+
+
 def test_alignment_generalises():
     shape = lambda page: wrappers.shape(markup.parse(page))
     a, b = shape("<div><p>x</p><p>y</p></div>"), shape("<div><h2>t</h2><p>x</p></div>")
