@@ -264,7 +264,8 @@ def pearson_matrix(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], f
     return found
 
 
-def spearman_matrix(df: DataFrame, columns: list[str], rows_per_task: int = 1_000_000, pairs_per_pass: int = 300) -> dict[tuple[str, str], float | None]:
+def spearman_matrix(df: DataFrame, columns: list[str], rows_per_task: int = 1_000_000, pairs_per_pass: int = 300,
+                    few_values: int = 20_000) -> dict[tuple[str, str], float | None]:
     """EDA-04: correlation of average ranks, for every pair over the rows where both are present.
 
     A column's ranks within a pair depend on the other column only through its gaps, so they are made once over all rows
@@ -283,11 +284,16 @@ def spearman_matrix(df: DataFrame, columns: list[str], rows_per_task: int = 1_00
         F.struct(F.lit(k).alias("k"), (F.col(f"v{i}") if g < 0 else F.when(F.col(f"v{g}").isNotNull(), F.col(f"v{i}"))).alias("v"))
         for k, (i, g) in enumerate(slots)]))).where("v IS NOT NULL")
     counted = cut_lineage(cells.groupBy("k", "v").agg(F.count("*").alias("n")))
-    sizes = {r["k"]: r["n"] for r in counted.groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    totals = counted.groupBy("k").agg(F.sum("n").alias("n"), F.count("*").alias("values")).collect()
+    sizes, few = {r["k"]: r["n"] for r in totals}, [r["k"] for r in totals if r["values"] <= few_values]
     ranked = running_totals(counted, ["k"], ["v"], {"upto": F.col("n")}, rows_per_task)
     ranks = cut_lineage(ranked.select("k", "v", (F.col("upto") - (F.col("n") - 1) / 2.0).alias("rank")))
     hot = counted.where(F.col("n") > max(sizes.values(), default=0) / 1000).select("k", "v")
-    placed = lookup_join(cells, ranks, ["k", "v"], hot=hot)
+    # Columns of few values need no exchange of their cells, as their ranks are a small table; lookup_join checks its size.
+    scarce = F.col("k").isin(few)
+    placed = lookup_join(cells.where(~scarce), ranks.where(~scarce), ["k", "v"], hot=hot.where(~scarce))
+    if few:
+        placed = placed.unionByName(lookup_join(cells.where(scarce), ranks.where(scarce), ["k", "v"], hot=hot.where(scarce)))
     by_row = placed.groupBy("id").agg(*[
         F.max(F.when(F.col("k") == k, F.col("rank") - (sizes.get(k, 0) + 1) / 2.0)).alias(f"r{k}") for k in range(len(slots))])
     number = {slot: k for k, slot in enumerate(slots)}

@@ -98,8 +98,8 @@ def test_group_counts_refuses_keys(skewed):
 def test_spearman_with_ties_and_split(spark, skewed):
     frame = skewed.select("v", F.col("w").cast("double").alias("w"), (F.col("v") + F.col("w")).alias("s"))
     pandas = frame.toPandas().corr(method="spearman")
-    for limit in (1_000_000, 100):
-        found = profiling.spearman_matrix(frame, ["v", "w", "s"], rows_per_task=limit)
+    for limit, few in ((1_000_000, 20_000), (100, 1500), (100, 0)):
+        found = profiling.spearman_matrix(frame, ["v", "w", "s"], rows_per_task=limit, few_values=few)
         assert all(abs(r - pandas.loc[a, b]) < 1e-9 for (a, b), r in found.items())
 
 
