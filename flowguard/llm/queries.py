@@ -78,7 +78,7 @@ def _span_text(span: Column) -> Column:
 
 def op9_passages(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the passages that occur earlier, and the spans that were cut."""
-    return passages.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return passages.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"), anchored=True)
 
 
 def op10_pages(spark: SparkSession, folder: str) -> DataFrame:

@@ -328,6 +328,29 @@ def test_repeats_are_cut_but_for_the_earliest(spark):
     assert found[9].text == "unique\n"
 
 
+def test_no_fifty_words_that_stand_earlier_stay(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 9)))
+    prose = lambda n: "".join(word() + rng.choice([" "] * 12 + [". ", ", ", "\n"]) for _ in range(n))
+    shared = [prose(n).strip(" .,\n") for n in (51, 60, 81, 200)] + [" ".join(word() for _ in range(n)) for n in (51, 90)]
+    texts = [f"{prose(rng.randint(3, 90))}opening{i} {s} closing{i} {prose(rng.randint(3, 90))}" for i, s in enumerate(shared * 4)]
+    texts += [texts[0], texts[3].upper().replace(" ", "\n"), "again " * 400, prose(60) * 3, None, ""]
+    found = {r.doc_id: r for r in passages.remove_repeats(frame(spark, texts), anchored=True).collect()}
+    runs = lambda words: {" ".join(words[i:i + 50]) for i in range(len(words) - 49)}
+    earlier = set()
+    for i, t in enumerate(texts):
+        left = re.findall(r"\w+", (found[i].text or "").lower())
+        assert not runs(left) & earlier, i
+        earlier |= runs(re.findall(r"\w+", (t or "").lower()))
+        if i < len(shared):
+            assert found[i].text == t and found[i].removed == []  # the earliest stays
+        elif i < 4 * len(shared):  # cut to the true ends, not a word more
+            assert [re.findall(r"\w+", t[s.start:s.end]) for s in found[i].removed] == [re.findall(r"\w+", shared[i % len(shared)])]
+            assert f"opening{i} closing{i}" in found[i].text
+    assert found[24].text == "" and found[25].text == "" and found[28].text is None and found[29].text == ""
+    assert 0 < found[26].text.count("again") < 50 and len(found[27].text) >= len(texts[27]) // 3 - 2
+
+
 def test_repeats_of_nothing_nulls_and_clashing_columns(spark):
     assert passages.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     line = "a b c d e f g h i j"
