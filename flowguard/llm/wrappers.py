@@ -17,6 +17,10 @@ from flowguard.session import cut_lineage
 #: Elements that are not the article, or are it, by name.
 ASIDE_NAMES = frozenset("nav header footer aside form menu dialog button select head fieldset".split())
 ARTICLE_NAMES = frozenset({"article"})
+#: Elements that hold the page or the article; a word of their classes (has-sidebar, comments-open) makes them no aside.
+FRAME_NAMES = frozenset("html body main article".split())
+#: Elements of running text, which are parts of an article and never the whole of it.
+PART_NAMES = frozenset("p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd table caption colgroup col thead tbody tfoot tr td th blockquote pre figure figcaption address hr".split())
 #: Wrappers that one task aligns at once.
 FAN = 64
 #: Pairs of nodes that an alignment weighs; what lies between the common ends of longer ones becomes optional unweighed.
@@ -27,8 +31,11 @@ MARKS = ("+", "?", "*")
 # and ["*", [..]] an optional repeated group.
 
 
-def is_aside(element: Element) -> bool:
-    return element.name in ASIDE_NAMES or not ASIDE_WORDS.isdisjoint(element.labels)
+def is_aside(element: Element, nested: bool = False) -> bool:
+    """By name or by a word of its labels; a frame by such a word only if `nested` in an article, as reader comments are."""
+    if element.name in ASIDE_NAMES:
+        return True
+    return (nested or element.name not in FRAME_NAMES) and not ASIDE_WORDS.isdisjoint(element.labels)
 
 
 def _key(node: list) -> str:
@@ -158,27 +165,47 @@ def _element(signature: str) -> Element:
     return Element(name, tuple(labels))
 
 
-def article_paths(nodes: list[list], masses: dict[str, int]) -> list[str]:
-    """Paths of the elements that hold the article, joined by `>`; outermost only, none inside an aside.
-
-    Elements named `article` come first, then `main`, then those whose id or class says so. Where the wrapper has none,
-    the deepest element that holds at least three fifths of the text outside asides, over all pages of the host.
-    """
-    clear = []
+def _clear(nodes: list[list]) -> list[tuple[tuple[str, ...], Element]]:
+    """Paths that lead through no aside, with their last elements."""
+    found = []
     for path in _paths(nodes):
         elements = [_element(s) for s in path]
-        if not any(map(is_aside, elements)):
-            clear.append((path, elements[-1]))
+        if not any(is_aside(e, any(above.name in ARTICLE_NAMES for above in elements[:i])) for i, e in enumerate(elements)):
+            found.append((path, elements[-1]))
+    return found
+
+
+def _named(clear: list[tuple[tuple[str, ...], Element]]) -> list[list[str]]:
+    """Paths of the elements named `article`, then `main`, then those whose id or class says so; outermost only."""
+    tiers = []
     for fits in (lambda e: e.name in ARTICLE_NAMES, lambda e: e.name == "main" or "main" in e.labels, lambda e: not ARTICLE_WORDS.isdisjoint(e.labels)):
         found = {path for path, e in clear if fits(e)}
         outer = sorted(">".join(p) for p in found if not any(p[:k] in found for k in range(1, len(p))))
         if outer:
-            return outer
+            tiers.append(outer)
+    return tiers
+
+
+def article_tiers(nodes: list[list], masses: dict[str, int]) -> list[list[str]]:
+    """Paths of the elements that hold the article, joined by `>`, none inside an aside; a page takes the first tier that gives it a text.
+
+    Elements that name or label marks come first. For pages without such marks follows the deepest container that holds
+    at least three fifths of the text outside asides, over all such pages of the host (`masses`), and the whole page last.
+    """
+    clear = _clear(nodes)
+    tiers = _named(clear)
     names = {">".join(path) for path, _ in clear}
-    inside = {name: sum(m for p, m in masses.items() if (p == name or p.startswith(name + ">")) and p in names) for name in names}
+    inside = {">".join(path): 0 for path, e in clear if e.name not in PART_NAMES and not any(_element(s).name in PART_NAMES for s in path)}
+    for name in inside:
+        inside[name] = sum(m for p, m in masses.items() if (p == name or p.startswith(name + ">")) and p in names)
     everything = sum(m for p, m in masses.items() if p in names or p == "")
     rich = [name for name, m in inside.items() if m and 5 * m >= 3 * everything]
-    return [max(rich, key=lambda p: (p.count(">"), p))] if rich else [""]
+    return [*tiers, *([[max(rich, key=lambda p: (p.count(">"), p))]] if rich else []), [""]]
+
+
+def article_paths(nodes: list[list], masses: dict[str, int]) -> list[str]:
+    """The first tier."""
+    return article_tiers(nodes, masses)[0]
 
 
 def _masses(element: Element, above: str = "", found: dict[str, int] | None = None) -> dict[str, int]:
@@ -192,29 +219,33 @@ def _masses(element: Element, above: str = "", found: dict[str, int] | None = No
     return found
 
 
-def blocks(element: Element, inside: bool, paths: frozenset[str], above: str = "") -> Iterator[str]:
+def blocks(element: Element, inside: bool, paths: frozenset[str], above: str = "", nested: bool = False) -> Iterator[str]:
     """Texts of the blocks of the article in page order, asides left out."""
     for child in element.children:
         if isinstance(child, Element):
-            if not is_aside(child):
+            if not is_aside(child, nested):
                 path = f"{above}>{child.signature}" if above else child.signature
-                yield from blocks(child, inside or path in paths, paths, path)
+                yield from blocks(child, inside or path in paths, paths, path, nested or child.name in ARTICLE_NAMES)
         elif inside:
             piece = " ".join(child.split())
             if piece:
                 yield piece
 
 
-def extract(page: str | None, paths: list[str] | None) -> str:
-    """Main text of one page: blocks joined by two line breaks."""
+def extract(page: str | None, tiers: list[list[str]] | None) -> str:
+    """Main text of one page: blocks joined by two line breaks, from the first tier of paths that gives any."""
     if not page:
         return ""
-    chosen = frozenset(paths or [""])
-    return "\n\n".join(blocks(parse(page), "" in chosen, chosen))
+    tree = parse(page)
+    for paths in tiers or [[""]]:
+        text = "\n\n".join(blocks(tree, "" in paths, frozenset(paths)))
+        if text:
+            return text
+    return ""
 
 
 def infer(pages: DataFrame, host: str = "host", page: str = "html", fan: int = FAN) -> DataFrame:
-    """One wrapper per host: `host`, `pages`, `wrapper` (nodes as JSON), `expression` and `paths` of the article.
+    """One wrapper per host: `host`, `pages`, `wrapper` (nodes as JSON), `expression`, `paths` of the article and `tiers` of such paths.
 
     Every page takes part. Pages of equal shape are counted first, so a host with a third of all pages is a few rows;
     different shapes are aligned `fan` at a time, level by level, until one wrapper per host is left.
@@ -226,8 +257,14 @@ def infer(pages: DataFrame, host: str = "host", page: str = "html", fan: int = F
                 if not p:
                     continue
                 tree = parse(p)
-                entry = counts.setdefault((h, json.dumps(shape(tree), separators=(",", ":"))), [0, {}])
+                nodes = shape(tree)
+                key = h, json.dumps(nodes, separators=(",", ":"))
+                if key not in counts:
+                    counts[key] = [0, {}, bool(_named(_clear(nodes)))]
+                entry = counts[key]
                 entry[0] += 1
+                if entry[2]:  # a template that names its article; the others of its host are weighed without it
+                    continue
                 for path, n in _masses(tree).items():
                     entry[1][path] = entry[1].get(path, 0) + n
             yield pa.RecordBatch.from_arrays(
@@ -261,17 +298,19 @@ def infer(pages: DataFrame, host: str = "host", page: str = "html", fan: int = F
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wrappers = [json.loads(w) for w in batch["wrapper"].to_pylist()]
-            paths = [article_paths(w, dict(m or ())) for w, m in zip(wrappers, batch["masses"].to_pylist(), strict=True)]
+            tiers = [article_tiers(w, dict(m or ())) for w, m in zip(wrappers, batch["masses"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["host"], batch["pages"], batch["wrapper"], pa.array(list(map(expression, wrappers)), pa.string()),
-                                              pa.array(paths, pa.list_(pa.string()))], names=["host", "pages", "wrapper", "expression", "paths"])
+                                              pa.array([t[0] for t in tiers], pa.list_(pa.string())), pa.array(tiers, pa.list_(pa.list_(pa.string())))],
+                                             names=["host", "pages", "wrapper", "expression", "paths", "tiers"])
     both = shapes.select("host", "pages", "wrapper").join(listed, "host", "left")
-    return both.mapInArrow(finish, "host string, pages bigint, wrapper string, expression string, paths array<string>")
+    return both.mapInArrow(finish, "host string, pages bigint, wrapper string, expression string, paths array<string>, tiers array<array<string>>")
 
 
 def extract_pages(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """Every row of `pages` with `text` (main text) and `n_chars` (its code points), replacing columns of those names.
 
-    The wrapper of a page's host names the elements that hold the article. Menus, headers, footers, sidebars, notices,
+    The wrapper of a page's host names the elements that hold the article, in tiers: a page of another template, which
+    has none of the first tier, takes the next one that gives it a text. Menus, headers, footers, sidebars, notices,
     adverts, forms and reader comments inside it are left out, as are scripts, styles and markup. Character references
     are decoded, white space in a block becomes one space, blocks are joined by two line breaks, nothing else is cut.
     Null and empty pages give an empty text; null urls and urls without a host share one wrapper. Equal rows get equal
@@ -280,8 +319,8 @@ def extract_pages(pages: DataFrame, url: str = "url", page: str = "html") -> Dat
     pages = pages.drop("text", "n_chars")
     hosted = pages.withColumn("__host", host_and_path(F.col(url))[0])
     wrappers = infer(hosted.select(F.col("__host").alias("host"), F.col(page).alias("html"))).select(
-        F.col("host").alias("__host"), F.to_json("paths").alias("__paths"))
-    joined = small_join(hosted, wrappers, ["__host"], [url]).select(*pages.columns, "__paths")
+        F.col("host").alias("__host"), F.to_json("tiers").alias("__tiers"))
+    joined = small_join(hosted, wrappers, ["__host"], [url]).select(*pages.columns, "__tiers")
     at, last, names = pages.columns.index(page), len(pages.columns), [*pages.columns, "text", "n_chars"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields] + ["text string, n_chars bigint"])
 

@@ -63,6 +63,19 @@ def test_numbered_ids_do_not_part_the_pages_of_a_host(spark):
     assert (row.pages, row.expression, row.paths) == (50, "<div.post><p>#</p></div><div>#</div>", ["div.post"])
 
 
+def test_templates_of_one_host_keep_their_whole_articles(spark):
+    plain = "<html><body><div><h1>Head {0}</h1><p>one long paragraph of the article number {0}</p><ul><li>item</li></ul><blockquote>quote</blockquote></div></body></html>"
+    whole = "Head {0}\n\none long paragraph of the article number {0}\n\nitem\n\nquote"
+    cases = [("<html><body><article><p>a {0}</p></article><p>out</p></body></html>", "a {0}"), ("<html><body><main><p>m {0}</p></main><p>out</p></body></html>", "m {0}"),
+             ("<html><body><div id=entry-{0}><p>d {0}</p></div><p>out</p></body></html>", "d {0}"), (plain, whole),
+             ("<html><body class='has-sidebar'><article class='post comments-open'><p>b {0}</p><article class=comment>c</article></article></body></html>", "b {0}")]
+    rows = [(10 * k + i, host, page.format(i)) for k, (page, _) in enumerate(cases) for i in range(3) for host in ("http://mixed.com/",)]
+    rows += [(100, "http://plain.com/", plain.format(1)), (101, "http://plain.com/", plain.format(2)), (102, "http://class.com/", cases[4][0].format(0))]
+    found = {r.page_id: r.text for r in wrappers.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: t for i, t in found.items() if i < 100} == {10 * k + i: want.format(i) for k, (_, want) in enumerate(cases) for i in range(3)}
+    assert (found[100], found[101], found[102]) == (whole.format(1), whole.format(2), "b 0")
+
+
 def test_alignment_generalises():
     shape = lambda page: wrappers.shape(markup.parse(page))
     a, b = shape("<div><p>x</p><p>y</p></div>"), shape("<div><h2>t</h2><p>x</p></div>")
