@@ -290,6 +290,18 @@ def test_disclosure_shares_equal_their_definition(spark):
     assert all(found[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_terms_of_whole_documents_and_of_single_ones(spark):
+    filler = " ".join(f"common{i}" for i in range(30))
+    texts = [filler] * 200 + [f"Quill {filler} write to lone@mail.com {filler} quill"]  # one document only, far from the entity
+    texts += [f"zed@mail.com {filler} number Marlow {filler} marlow"] * 3 + [f"{filler} marlow"]
+    found = {r.doc_id: r for r in pii.detect(frame(spark, texts)).collect()}
+    terms = lambda i: [texts[i][s.start:s.end] for s in found[i].added]
+    assert terms(200) == ["Quill", "write", "to", "quill"]
+    assert all(s.share == pytest.approx(1 - 1 / np.log2(len(texts))) for s in found[200].added)
+    assert terms(201) == terms(203) == ["number", "Marlow", "marlow"] and not found[0].added and not found[204].added
+    assert found[201].added[1].share == pytest.approx(np.log2(len(texts) / 4) / np.log2(len(texts) / 3))
+
+
 def test_personal_data_of_nothing_and_clashing_columns(spark):
     assert pii.detect(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     docs = spark.createDataFrame([(None, "a@b.co x", 5, "t"), (None, "a@b.co x", 5, "t")], "doc_id long, text string, base int, term string")
