@@ -89,4 +89,35 @@ SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGIN
 FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-SQL = {"op4_decontaminate": DECONTAMINATE, "op2_shards": SHARDS, "op5_urls": URLS}
+
+
+def _vectors(rounds: int) -> str:
+    """Plain Lloyd rounds, one block of tables per round."""
+    steps = ["""
+WITH kept AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+numbered AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS row FROM kept),
+parts AS (SELECT row, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] AS w FROM numbered, range(4) r(p)),
+book0 AS (SELECT p, row - 1 AS entry, w FROM parts WHERE row <= 256)"""]
+    for k in range(rounds + 1):
+        steps.append(f"""
+near{k} AS (
+    SELECT row, x.p, any_value(x.w) AS w, min({{'d': list_inner_product(x.w, x.w) + list_inner_product(b.w, b.w) - 2 * list_inner_product(x.w, b.w), 'e': entry}}) AS m
+    FROM parts x JOIN book{k} b ON x.p = b.p GROUP BY row, x.p)""")
+        if k < rounds:
+            steps.append(f"""
+mean{k} AS (
+    SELECT p, e, list(floor(s / n) ORDER BY i) AS w
+    FROM (SELECT p, m.e AS e, i, sum(w[i]) AS s, count(*) AS n FROM near{k}, range(1, len(w) + 1) r(i) GROUP BY ALL) GROUP BY p, e),
+book{k + 1} AS (SELECT b.p, b.entry, coalesce(c.w, b.w) AS w FROM book{k} b LEFT JOIN mean{k} c ON b.p = c.p AND b.entry = c.e)""")
+    steps.append(f"""
+listed AS (SELECT sha256(string_agg(array_to_string(list_transform(w, lambda x: x::BIGINT), ','), ',' ORDER BY p, entry)) AS codebooks_sha256 FROM book{rounds}),
+coded AS (
+    SELECT row, string_agg(printf('%02x', m.e::INTEGER), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM near{rounds} GROUP BY row)
+SELECT vec_id, code, error, label, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN numbered USING (row), listed""")
+    return ",".join(steps[:-1]) + "," + steps[-1]
+
+
+SQL = {"op4_decontaminate": DECONTAMINATE, "op2_shards": SHARDS, "op5_urls": URLS, "op11_codes": _vectors(4)}

@@ -1,11 +1,11 @@
-"""The ten corpus queries on the whole tables, each through its operator, and the SQL of those that SQL can express."""
+"""The corpus queries on the whole tables, each through its operator, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowguard.llm import decontaminate, language, mixing, oracle, passages, pii, quality, sharding, simhash, urls, wrappers
+from flowguard.llm import decontaminate, language, mixing, oracle, passages, pii, quality, sharding, simhash, urls, vectors, wrappers
 from flowguard.llm.common import table
 from flowguard.session import cut_lineage
 
@@ -86,8 +86,13 @@ def op10_pages(spark: SparkSession, folder: str) -> DataFrame:
     return wrappers.extract_pages(table(spark, folder, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Codes of all vectors from codebooks trained on all of them."""
+    return vectors.compress(table(spark, folder, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_language, op2_shards, op3_mix, op4_decontaminate, op5_urls, op6_simhash, op7_quality, op8_pii,
-                                  op9_passages, op10_pages)}
+                                  op9_passages, op10_pages, op11_codes)}
 
 
 def register(catalog) -> None:
