@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowguard.llm import decontaminate, language, mixing, oracle, passages, pii, quality, sharding, simhash, urls, vectors, wrappers
+from flowguard.llm import decontaminate, dialogue, language, mixing, oracle, passages, pii, quality, sharding, simhash, urls, vectors, wrappers
 from flowguard.llm.common import table
 from flowguard.session import cut_lineage
 
@@ -91,8 +91,14 @@ def op11_codes(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.compress(table(spark, folder, "embeddings"))
 
 
+def op12_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every damaged conversation."""
+    found = dialogue.digests(dialogue.repair(dialogue.damage(table(spark, folder, "conversations"))))
+    return found.withColumnRenamed("conversation", "conv_id")
+
+
 QUERIES = {f.__name__: f for f in (op1_language, op2_shards, op3_mix, op4_decontaminate, op5_urls, op6_simhash, op7_quality, op8_pii,
-                                  op9_passages, op10_pages, op11_codes)}
+                                  op9_passages, op10_pages, op11_codes, op12_conversations)}
 
 
 def register(catalog) -> None:
