@@ -120,4 +120,15 @@ FROM coded JOIN numbered USING (row), listed""")
     return ",".join(steps[:-1]) + "," + steps[-1]
 
 
-SQL = {"op4_decontaminate": DECONTAMINATE, "op2_shards": SHARDS, "op5_urls": URLS, "op11_codes": _vectors(4)}
+WARC = """
+WITH coded AS (SELECT page_id, url, coalesce(html, '') AS body, sha1(encode(coalesce(html, ''))) AS x FROM pages),
+told AS (SELECT *, array_to_string(flatten(list_transform(range(8), lambda i: list_transform(range(4),
+             lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, 5 * i + 1, 5))::BIGINT >> (15 - 5 * j)) & 31) + 1)::INTEGER, 1)))), '') AS digest
+         FROM coded),
+ranked AS (SELECT *, row_number() OVER w AS place, first_value(page_id) OVER w AS first FROM told WINDOW w AS (PARTITION BY body ORDER BY page_id, url))
+SELECT page_id, octet_length(encode(body)) AS payload_bytes, digest AS payload_digest, CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN place > 1 THEN first END AS refers_to
+FROM ranked
+"""
+
+SQL = {"op4_decontaminate": DECONTAMINATE, "op2_shards": SHARDS, "op5_urls": URLS, "op11_codes": _vectors(4), "op13_warc": WARC}

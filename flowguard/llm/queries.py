@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowguard.llm import decontaminate, dialogue, language, mixing, oracle, passages, pii, quality, sharding, simhash, urls, vectors, wrappers
+from flowguard.llm import decontaminate, dialogue, language, mixing, oracle, passages, pii, quality, sharding, simhash, urls, vectors, warc, wrappers
 from flowguard.llm.common import table
-from flowguard.session import cut_lineage
+from flowguard.session import cut_lineage, scratch_folder
 
 #: Words between ASCII white space.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
@@ -97,8 +97,18 @@ def op12_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("conversation", "conv_id")
 
 
+def op13_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as an archived record, read back from the archives."""
+    with scratch_folder(spark) as archives:
+        warc.write_archives(warc.plan_records(table(spark, folder, "pages")), archives)
+        found = cut_lineage(warc.read_archives(spark, archives, payloads=False))
+    refers = F.regexp_extract("refers_to", "^<urn:page:([^:]*):", 1)
+    return found.select(F.col("identity").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"),
+                        F.when(refers != "", refers).cast("bigint").alias("refers_to"))
+
+
 QUERIES = {f.__name__: f for f in (op1_language, op2_shards, op3_mix, op4_decontaminate, op5_urls, op6_simhash, op7_quality, op8_pii,
-                                  op9_passages, op10_pages, op11_codes, op12_conversations)}
+                                  op9_passages, op10_pages, op11_codes, op12_conversations, op13_warc)}
 
 
 def register(catalog) -> None:
