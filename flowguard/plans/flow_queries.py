@@ -13,7 +13,7 @@ from flowguard.functions.net import is_internal
 from flowguard.operators import alerts as alert_ops
 from flowguard.operators import analytics, enrich, flows, respond
 from flowguard.plans.catalog import query
-from flowguard.session import checkpoint_root
+from flowguard.session import checkpoint_root, table_state
 from flowguard.sources import stores, views
 from flowguard.streaming import feed
 from flowguard.streaming import flows as stream
@@ -105,20 +105,28 @@ def flow_features_active(spark, folder):
 
 
 PARTS = 4
-_SPLIT: dict[tuple, str] = {}
+ROWS_PER_FILE = 1_000_000
+_SPLIT: dict[tuple, tuple[str, int]] = {}
 
 
 def event_stream(spark, folder):
-    """The event log as four files in order of time, each a micro-batch. They are written once per folder."""
-    events, place = views.table(spark, folder, "events"), (spark.sparkContext.applicationId, folder)
+    """The event log as four micro-batches in order of time, null times first.
+
+    Each holds as many files as its size asks for, dealt in turn. They are written once for the present state of the files.
+    """
+    events, place = views.table(spark, folder, "events"), (spark.sparkContext.applicationId, table_state(spark, f"{folder}/events.parquet"))
     if place not in _SPLIT:
         path = f"{checkpoint_root(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
         at = F.unix_micros(F.col("ts").cast("timestamp"))
         cuts = events.select(at.cast("double").alias("at")).approxQuantile("at", [k / PARTS for k in range(1, PARTS)], 0.01)
-        for low, high in zip([float("-inf"), *cuts], [*cuts, float("inf")], strict=True):
-            events.where((at > low) & (at <= high)).coalesce(1).write.mode("append").parquet(path)
-        _SPLIT[place] = path
-    return feed.read_stream(spark, _SPLIT[place], events.schema)
+        files = -(-events.count() // (PARTS * ROWS_PER_FILE)) or 1
+        for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+            below = F.lit(True) if high is None else at <= high
+            inside = at.isNull() | below if low is None else (at > low) & below
+            events.where(inside).repartition(files).write.mode("append").parquet(path)
+        _SPLIT[place] = (path, files)
+    path, files = _SPLIT[place]
+    return feed.read_stream(spark, path, events.schema, files)
 
 
 def _streamed(spark, folder, active):

@@ -65,6 +65,16 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def table_state(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files of a table: what was derived from it is out of date when this differs."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files, found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(place, True), []
+    while files.hasNext():
+        status = files.next()
+        found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise a frame that several later jobs read, so a lost executor never replays its inputs."""
     context = df.sparkSession.sparkContext

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,71 +34,132 @@ NAMES = [n for n, _ in STATE]
 OUTPUT_SCHEMA = "protocol string, " + STATE_SCHEMA
 
 
-@dataclass
-class _Packets:
-    """Columns of one conversation's packets in order of time."""
-    at: np.ndarray
-    length: np.ndarray
-    header: np.ndarray
-    window: np.ndarray
-    fin: np.ndarray
-    psh: np.ndarray
-    source: list[tuple[str, int]]
-    target: list[tuple[str, int]]
-
-    @classmethod
-    def of(cls, frame: pd.DataFrame) -> _Packets:
-        numbers = [frame[c].to_numpy(np.int64) for c in ("at", "length", "header_len", "window")]
-        flags = frame["flags"].tolist()
-        ends = [list(zip(frame[f"{side}_ip"].tolist(), frame[f"{side}_port"].tolist(), strict=True)) for side in ("src", "dst")]
-        return cls(*numbers, np.array(["F" in f for f in flags], bool), np.array(["P" in f for f in flags], bool), *ends)
-
-
-def _opened(p: _Packets, i: int) -> dict:
-    """An empty flow opened by packet i."""
-    at = int(p.at[i])
+#: What a worker keeps of each packet that a cut may still divide.
+PACKED = np.dtype([("at", "<i8"), ("length", "<i4"), ("header", "<i4"), ("window", "<i4"), ("marks", "u1")])
+SIDE, FIN, PSH = 1, 2, 4
+#: A run of packets without an idle gap inside one time slice; sides are the lower and the higher end of the conversation,
+#: as the run does not know which of them opened the flow.
+RUN = [("first_at", "bigint"), ("last_at", "bigint"), ("first_side", "bigint"), ("gaps", "bigint"), ("gap_mean", "double"), ("gap_m2", "double"),
+       ("fin", "bigint"), ("psh", "bigint")]
+SIDED = ["packets", "bytes", "most", "header", "window", "first", "last", "least_gap", "data", "least_header"]
+RUN += [(f"{n}_{side}", "bigint") for side in (0, 1) for n in SIDED]
+NEVER = np.iinfo(np.int64).max
+
+
+def summarise_runs(p: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts, sums, extremes and gaps of consecutive runs of packets, which begin at `starts`; -1 where there is none."""
+    n, at = len(p), p["at"]
+    lengths = np.diff(np.append(starts, n))
+    run = np.repeat(np.arange(len(starts)), lengths)
+    gap = np.diff(at, prepend=0)
+    gap[starts] = 0
+    seconds = np.where(gap > 0, gap, 0) / MICROS
+    count = np.add.reduceat((gap > 0).astype(np.int64), starts)
+    mean = np.add.reduceat(seconds, starts) / np.maximum(count, 1)
+    off = np.where(gap > 0, seconds - mean[run], 0.0)
+    marks = p["marks"]
+    out = {"first_at": at[starts], "last_at": at[starts + lengths - 1], "first_side": (marks[starts] & SIDE).astype(np.int64), "gaps": count, "gap_mean": mean,
+           "gap_m2": np.add.reduceat(off * off, starts), "fin": np.add.reduceat((marks & FIN > 0).astype(np.int64), starts),
+           "psh": np.add.reduceat((marks & PSH > 0).astype(np.int64), starts)}
+    for side in (0, 1):
+        mine = (marks & SIDE) == side
+        places = np.flatnonzero(mine)
+        first = np.minimum.reduceat(np.where(mine, np.arange(n), n), starts)
+        last = np.maximum.reduceat(np.where(mine, np.arange(n), -1), starts)
+        held = last >= 0
+        least = np.full(len(starts), NEVER)
+        same = run[places[1:]] == run[places[:-1]]
+        np.minimum.at(least, run[places[1:]][same], np.diff(at[places])[same])
+
+        def total(values: np.ndarray) -> np.ndarray:
+            return np.add.reduceat(np.where(mine, values, 0).astype(np.int64), starts)
+
+        def at_places(values: np.ndarray, index: np.ndarray, none: int) -> np.ndarray:
+            return np.where(held, values[np.where(held, index, 0)].astype(np.int64), none)
+        out |= {f"packets_{side}": total(np.ones(n, np.int64)), f"bytes_{side}": total(p["length"]),
+                f"most_{side}": np.maximum.reduceat(np.where(mine, p["length"], 0).astype(np.int64), starts), f"header_{side}": total(p["header"]),
+                f"window_{side}": at_places(p["window"], first, 0), f"first_{side}": at_places(at, first, -1), f"last_{side}": at_places(at, last, -1),
+                f"least_gap_{side}": np.where(least == NEVER, -1, least), f"data_{side}": total(p["length"] - (20 + p["header"]) > 0),
+                f"least_header_{side}": np.minimum.reduceat(np.where(mine, p["header"], 20).astype(np.int64), starts)}
+    return out
+
+
+def _only_run(p: np.ndarray) -> dict:
+    return {n: v[0].item() for n, v in summarise_runs(p, np.zeros(1, np.int64)).items()}
+
+
+def cut_into_runs(idle: int, packed: bool):
+    """Runs of a worker's packets. All packets of one (conversation, slice) are in one worker, and many of them share it."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)  # the worker's share of one micro-batch
+        if not sum(map(len, held)):
+            return
+        rows = pa.Table.from_batches(held).to_pandas()
+        group = rows.groupby([*KEY, "slice"], sort=False).ngroup().to_numpy()
+        order = np.lexsort((rows["seq"].to_numpy(), rows["at"].to_numpy(), group))
+        p = np.empty(len(rows), PACKED)
+        for name, column in (("at", "at"), ("length", "length"), ("header", "header_len"), ("window", "window"), ("marks", "marks")):
+            p[name] = rows[column].to_numpy()[order]
+        group = group[order]
+        starts = np.flatnonzero((np.diff(group, prepend=-1) != 0) | (np.diff(p["at"], prepend=0) > idle))
+        out = rows[KEY].iloc[order[starts]].reset_index(drop=True)
+        found = summarise_runs(p, starts)
+        ends = np.append(starts[1:], len(p))
+        body = [p[i:j].tobytes() for i, j in zip(starts, ends)] if packed else [None] * len(starts)
+        table = pa.Table.from_pandas(out, preserve_index=False)
+        stamp = pa.array(found["last_at"]).cast(pa.timestamp("us", "UTC"))
+        columns = [*table.columns, stamp, *[pa.array(found[n]) for n, _ in RUN], pa.array(body, pa.binary())]
+        yield from pa.table(columns, names=[*KEY, "ts", *[n for n, _ in RUN], "body"]).to_batches()
+    return cut
+
+
+def _opened(key: tuple, side: int, at: int) -> dict:
+    """An empty flow opened by a packet of one side of the conversation."""
+    ends = [(key[1], key[2]), (key[3], key[4])]
     return dict.fromkeys(NAMES, 0) | {
-        "opener_ip": p.source[i][0], "opener_port": p.source[i][1], "answerer_ip": p.target[i][0], "answerer_port": p.target[i][1],
+        "opener_ip": ends[side][0], "opener_port": ends[side][1], "answerer_ip": ends[1 - side][0], "answerer_port": ends[1 - side][1],
         "first_at": at, "last_at": at, "last_fwd": -1, "fwd_gap_min": -1, "gap_mean": 0.0, "gap_m2": 0.0, "min_segment": 20}
 
 
-def _add(flow: dict, p: _Packets, i: int, end: int) -> None:
-    """Add packets i to end - 1 of one flow with array sums; deviations are merged by Chan's formula."""
-    at, length, header = p.at[i:end], p.length[i:end], p.header[i:end]
-    gaps = np.diff(at, prepend=flow["last_at"])
-    gaps = gaps[gaps > 0] / MICROS
-    if len(gaps):
-        n, mean = flow["gaps"] + len(gaps), float(gaps.mean())
-        shift = mean - flow["gap_mean"]
-        flow["gap_m2"] += float(((gaps - mean) ** 2).sum()) + shift * shift * flow["gaps"] * len(gaps) / n
-        flow["gap_mean"] += shift * len(gaps) / n
-        flow["gaps"] = n
-    flow["last_at"] = max(int(at[-1]), flow["last_at"])
-    flow["fin"] += int(p.fin[i:end].sum())
-    flow["psh"] += int(p.psh[i:end].sum())
-    opener = (flow["opener_ip"], flow["opener_port"])
-    forward = np.array([s == opener for s in p.source[i:end]], bool)
-    for side, mask in (("fwd", forward), ("bwd", ~forward)):
-        if not mask.any():
+def _add_gaps(flow: dict, n: int, mean: float, m2: float) -> None:
+    """Chan's formula for the deviation of two lots."""
+    if n:
+        total, shift = flow["gaps"] + n, mean - flow["gap_mean"]
+        flow["gap_m2"] += m2 + shift * shift * flow["gaps"] * n / total
+        flow["gap_mean"] += shift * n / total
+        flow["gaps"] = total
+
+
+def _add(flow: dict, run: dict, opener: int) -> None:
+    """Append a run to a flow whose opener is the given side."""
+    between = run["first_at"] - flow["last_at"]
+    if between > 0:
+        _add_gaps(flow, 1, between / MICROS, 0.0)
+    _add_gaps(flow, run["gaps"], run["gap_mean"], run["gap_m2"])
+    flow["last_at"] = max(run["last_at"], flow["last_at"])
+    flow["fin"] += run["fin"]
+    flow["psh"] += run["psh"]
+    for name, side in (("fwd", opener), ("bwd", 1 - opener)):
+        if not run[f"packets_{side}"]:
             continue
-        if flow[f"{side}_packets"] == 0:
-            flow[f"{side}_window"] = int(p.window[i:end][mask][0])
-        flow[f"{side}_packets"] += int(mask.sum())
-        flow[f"{side}_bytes"] += int(length[mask].sum())
-        flow[f"{side}_max"] = max(flow[f"{side}_max"], int(length[mask].max()))
-        flow[f"{side}_header"] += int(header[mask].sum())
-    if forward.any():
-        times = at[forward] if flow["last_fwd"] < 0 else np.concatenate(([flow["last_fwd"]], at[forward]))
-        if len(times) > 1:
-            least = int(np.diff(times).min())
-            flow["fwd_gap_min"] = least if flow["fwd_gap_min"] < 0 else min(flow["fwd_gap_min"], least)
-        flow["last_fwd"] = int(at[forward][-1])
-        flow["data_packets"] += int((length[forward] - (20 + header[forward]) > 0).sum())
-        flow["min_segment"] = min(flow["min_segment"], int(header[forward].min()))
+        if flow[f"{name}_packets"] == 0:
+            flow[f"{name}_window"] = run[f"window_{side}"]
+        flow[f"{name}_packets"] += run[f"packets_{side}"]
+        flow[f"{name}_bytes"] += run[f"bytes_{side}"]
+        flow[f"{name}_max"] = max(flow[f"{name}_max"], run[f"most_{side}"])
+        flow[f"{name}_header"] += run[f"header_{side}"]
+    if run[f"packets_{opener}"]:
+        gaps = [g for g in (run[f"least_gap_{opener}"], flow["fwd_gap_min"]) if g >= 0]
+        if flow["last_fwd"] >= 0:
+            gaps.append(run[f"first_{opener}"] - flow["last_fwd"])
+        flow["fwd_gap_min"] = min(gaps, default=-1)
+        flow["last_fwd"] = run[f"last_{opener}"]
+        flow["data_packets"] += run[f"data_{opener}"]
+        flow["min_segment"] = min(flow["min_segment"], run[f"least_header_{opener}"])
 
 
 class FlowProcessor(StatefulProcessor):
-    """One open flow per conversation. A gap beyond the idle timeout closes it, by the next packet or by a
+    """One open flow per conversation, fed with runs. A gap beyond the idle timeout closes it, by the next packet or by a
     timer; a packet beyond the active timeout closes it and belongs to it."""
 
     def __init__(self, idle_seconds: float, active_seconds: float | None):
@@ -110,30 +171,30 @@ class FlowProcessor(StatefulProcessor):
         self.flow = handle.getValueState("flow", STATE_SCHEMA)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # A micro-batch holds a bounded number of packets; arrival order inside it is not event order.
-        parts = list(rows)
-        packets = _Packets.of((parts[0] if len(parts) == 1 else pd.concat(parts)).sort_values(["at", "seq"]))
-        at = packets.at
-        pauses = np.flatnonzero(np.diff(at) > self.idle) + 1
+        # Runs of a micro-batch arrive in any order. A run is added whole; only one that a timeout cuts is looked into.
+        runs = [r for part in rows for r in part.to_dict("records")]
+        runs.sort(key=lambda r: r["first_at"])
         open_flow = dict(zip(NAMES, self.flow.get(), strict=True)) if self.flow.exists() else None
-        closed, i = [], 0
-        while i < len(at):  # one round per flow, not per packet
-            if open_flow is not None and at[i] - open_flow["last_at"] > self.idle:
+        closed = []
+        for run in runs:
+            if open_flow is not None and run["first_at"] - open_flow["last_at"] > self.idle:
                 closed.append(open_flow)
                 open_flow = None
             if open_flow is None:
-                open_flow = _opened(packets, i)
-            place = int(np.searchsorted(pauses, i, side="right"))
-            end, full = int(pauses[place]) if place < len(pauses) else len(at), False
-            if self.active is not None:
-                late = i + int(np.searchsorted(at[i:], open_flow["first_at"] + self.active, side="right"))
-                full = late < end
-                end = min(end, late + 1)
-            _add(open_flow, packets, i, end)
-            if full:
-                closed.append(open_flow)
-                open_flow = None
-            i = end
+                open_flow = _opened(key, run["first_side"], run["first_at"])
+            if self.active is not None and run["last_at"] > open_flow["first_at"] + self.active:
+                packets, i = np.frombuffer(run["body"], PACKED), 0
+                while i < len(packets):  # one round per flow, not per packet
+                    if open_flow is None:
+                        open_flow = _opened(key, int(packets["marks"][i]) & SIDE, int(packets["at"][i]))
+                    late = i + int(np.searchsorted(packets["at"][i:], open_flow["first_at"] + self.active, side="right"))
+                    _add(open_flow, _only_run(packets[i:late + 1]), self._side(key, open_flow))
+                    if late < len(packets):
+                        closed.append(open_flow)
+                        open_flow = None
+                    i = late + 1
+            else:
+                _add(open_flow, run, self._side(key, open_flow))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if open_flow is None:
@@ -153,6 +214,10 @@ class FlowProcessor(StatefulProcessor):
     def close(self) -> None:
         pass
 
+    @staticmethod
+    def _side(key, flow: dict) -> int:
+        return 0 if (flow["opener_ip"], flow["opener_port"]) == (key[1], key[2]) else 1
+
     @staticmethod
     def _frame(key, flows: list[dict]) -> pd.DataFrame:
         frame = pd.DataFrame(flows, columns=NAMES)
@@ -160,18 +225,30 @@ class FlowProcessor(StatefulProcessor):
         return frame
 
 
-def _keyed(packets: DataFrame) -> DataFrame:
-    rows = network_packets(packets)
+def _keyed(packets: DataFrame, slice_seconds: float) -> DataFrame:
+    rows = network_packets(packets).where("at IS NOT NULL")
+    marks = F.when(F.col("src") != F.col("key.low"), SIDE).otherwise(0) + F.when(F.col("flags").contains("F"), FIN).otherwise(0) + F.when(
+        F.col("flags").contains("P"), PSH).otherwise(0)
     return rows.select(
         "protocol", F.col("key.low.ip").alias("low_ip"), F.col("key.low.port").alias("low_port"), F.col("key.high.ip").alias("high_ip"),
-        F.col("key.high.port").alias("high_port"), "ts", "at", "seq", "src_ip", "src_port", "dst_ip", "dst_port", "length", "flags", "window", "header_len")
+        F.col("key.high.port").alias("high_port"), F.floor(F.col("at") / round(slice_seconds * MICROS)).alias("slice"), "at", "seq", "length", "header_len", "window",
+        marks.alias("marks"))
+
 
+def closed_flows(packets: DataFrame, idle_seconds: float = 2.0, active_seconds: float | None = 10.0, watermark: str = "5 seconds",
+                 slice_seconds: float = 1.0) -> DataFrame:
+    """Raw flow states as they close; `packets` is a stream with an event-time column `ts`.
 
-def closed_flows(packets: DataFrame, idle_seconds: float = 2.0, active_seconds: float | None = 10.0, watermark: str = "5 seconds") -> DataFrame:
-    """Raw flow states as they close; `packets` is a stream with an event-time column `ts`."""
+    The packets of a micro-batch are dealt by (conversation, time slice) and summed to runs there, so a busy conversation
+    is spread over as many workers as it has slices. The stateful step sees one row per run. Where an active timeout
+    may cut a run, the row also carries 21 bytes of each packet. A run is late if its last packet is; packets without
+    a time belong to no flow.
+    """
     packets.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    keyed = _keyed(packets).withWatermark("ts", watermark)
-    return keyed.groupBy(*KEY).transformWithStateInPandas(
+    kinds = "protocol string, low_ip string, low_port int, high_ip string, high_port int, ts timestamp, " + ", ".join(f"{n} {t}" for n, t in RUN) + ", body binary"
+    runs = (_keyed(packets, slice_seconds).repartition(*KEY, "slice")
+            .mapInArrow(cut_into_runs(round(idle_seconds * MICROS), active_seconds is not None), kinds).withWatermark("ts", watermark))
+    return runs.groupBy(*KEY).transformWithStateInPandas(
         statefulProcessor=FlowProcessor(idle_seconds, active_seconds), outputStructType=OUTPUT_SCHEMA, outputMode="Append", timeMode="EventTime")
 
 

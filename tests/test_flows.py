@@ -149,3 +149,47 @@ def test_a_busy_conversation_ends_soon(spark):
         F.lit(80).alias("dst_port"), F.lit("TCP").alias("protocol"), F.lit(60).alias("length"), F.lit("A").alias("flags"), F.lit(9).alias("window"), F.lit(20).alias("header_len"))
     table = flows.flow_features(rows, 2.0, 60.0).orderBy("_start_time").collect()
     assert [f["_packets"] for f in table] == [120_002, 79_998]
+
+
+def _busy(spark, n):
+    """Nine of ten packets belong to one conversation, one every 500 microseconds; the rest to 200 others."""
+    i = F.col("id")
+    other = i % 10 == 9
+    return spark.range(n).select(
+        i.alias("seq"), F.timestamp_micros(i * 500).alias("ts"), F.when(other, F.concat(F.lit("C"), (i / 10 % 200).cast("int").cast("string"))).otherwise(
+            F.when(i % 3 == 1, "B").otherwise("A")).alias("src_ip"), F.when(~other & (i % 3 == 1), 80).otherwise(1000).alias("src_port"),
+        F.when(~other & (i % 3 == 1), "A").otherwise("B").alias("dst_ip"), F.when(~other & (i % 3 == 1), 1000).otherwise(80).alias("dst_port"), F.lit("TCP").alias("protocol"),
+        (60 + i % 100).cast("int").alias("length"), F.when(i % 50 == 0, "FA").otherwise("PA").alias("flags"), (i % 1000).cast("int").alias("window"),
+        (20 + i % 3 * 4).cast("int").alias("header_len"))
+
+
+def test_a_busy_conversation_is_spread_over_tasks(spark, tmp_path):
+    """2,000,000 packets in one micro-batch: no task of the first step and no state of the second reads a tenth of them."""
+    packets = _busy(spark, 2_000_000)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        dealt = stream._keyed(packets, 1.0).repartition(64, *stream.KEY, "slice")
+        read = [r["n"] for r in dealt.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert sum(read) == 2_000_000 and max(read) < 200_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    packets.coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = feed.read_stream(spark, str(tmp_path / "in"), packets.schema)
+    closed, state = stream.run_to_table(stream.closed_flows(source, 2.0, 60.0))
+    flows_ = closed.unionByName(stream.open_flows(spark, state))
+    busy = sorted(r["n"] for r in flows_.where("'A' IN (opener_ip, answerer_ip)").select((F.col("fwd_packets") + F.col("bwd_packets")).alias("n")).collect())
+    # Every flow of the busy conversation ends with the first packet later than a minute.
+    assert sum(busy) == 1_800_000 and len(busy) == 17 and set(busy[1:]) <= {108_001, 108_002}
+    progress = flows_.agg(F.sum("fwd_bytes"), F.sum("bwd_bytes")).first()
+    assert progress[0] + progress[1] == packets.agg(F.sum("length")).first()[0]
+
+
+def test_runs_are_few_and_carry_packets_only_for_a_timeout(spark):
+    packets = _busy(spark, 100_000)
+    for active in (None, 60.0):
+        cut = stream.cut_into_runs(2_000_000, active is not None)
+        kinds = "protocol string, low_ip string, low_port int, high_ip string, high_port int, ts timestamp, " + ", ".join(f"{n} {t}" for n, t in stream.RUN) + ", body binary"
+        runs = stream._keyed(packets, 1.0).repartition(*stream.KEY, "slice").mapInArrow(cut, kinds)
+        hot = runs.where("low_ip = 'A'").agg(F.count("*").alias("n"), F.sum(F.octet_length("body")).alias("bytes"), F.sum(F.expr("packets_0 + packets_1")).alias("packets")).first()
+        assert hot["n"] == 50 and hot["packets"] == 90_000
+        assert hot["bytes"] == (None if active is None else 21 * 90_000)
