@@ -175,6 +175,29 @@ def stream_dedup(spark, folder):
     return table.select("id", "attack_type")
 
 
+@query("stream_tail", "alerts", f"""
+    WITH n AS (SELECT max(alerts.timestamp) AS newest FROM alerts WHERE event_id % 5 < 3)
+    SELECT id, {STAMP} AS timestamp, CASE WHEN timestamp < newest THEN 'late' WHEN timestamp = newest THEN 'equal' ELSE 'after' END AS place
+    FROM alerts, n WHERE event_id % 5 >= 3
+    UNION ALL SELECT 'again-' || id, {STAMP}, 'equal' FROM alerts, n WHERE event_id % 5 < 3 AND timestamp = newest""")
+def stream_tail(spark, folder):
+    # Three fifths of the alerts are stored before the tail starts; the others, most of them older than the newest
+    # stored one, and copies of the newest under another id come after it.
+    alerts = views.alerts(spark, folder).select("id", "timestamp", "event_id")
+    root = f"{checkpoint_root(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+    store, cursor = f"{root}/alerts", f"{root}/cursor"
+    first = alerts.where("event_id % 5 < 3")
+    first.write.parquet(store)
+    feed.mark_end(spark, store, alerts.schema, cursor)
+    newest = spark.read.parquet(store).agg(F.max("timestamp")).first()[0]
+    alerts.where("event_id % 5 >= 3").write.mode("append").parquet(store)
+    first.where(F.col("timestamp") == F.lit(newest)).withColumn("id", F.concat(F.lit("again-"), "id")).write.mode("append").parquet(store)
+    table, _ = stream.run_to_table(feed.arrivals(spark, store, alerts.schema, cursor))
+    at = F.col("timestamp")
+    place = F.when(at < F.lit(newest), "late").when(at == F.lit(newest), "equal").otherwise("after")
+    return table.select("id", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), place.alias("place"))
+
+
 @query("stream_session", "alerts", f"""
     SELECT count(*) AS prediction_count, count(*) FILTER (attack_type <> 'BENIGN') AS attack_count, count(*) FILTER (attack_type = 'BENIGN') AS benign_count,
            round(avg(prediction_time_ms), 3) AS average_latency_ms, round(avg(confidence), 4) AS average_confidence,

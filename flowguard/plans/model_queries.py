@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from flowguard.operators import features, metrics, resample
 from flowguard.plans import explain, training
 from flowguard.plans.catalog import query
-from flowguard.session import cut_lineage
+from flowguard.session import cut_lineage, table_state
 from flowguard.sources import views
 
 KEY = views.FLOW_KEY
@@ -249,12 +249,16 @@ def importance_fallback(spark, folder):
 INPUTS = ["quantity", "price", "discount", "tax", "linenumber", "supp"]
 
 
+def _state(spark, folder):
+    return spark.sparkContext.applicationId, table_state(spark, f"{folder}/lineitem.parquet")
+
+
 _READY: dict[tuple, tuple] = {}
 
 
 def _training_rows(spark, folder):
-    """Train and test rows, prepared and written once per folder in an application."""
-    key = (spark.sparkContext.applicationId, folder)
+    """Train and test rows, prepared and written once for the present state of the files."""
+    key = _state(spark, folder)
     if key not in _READY:
         _READY[key] = _prepared_rows(spark, folder)
     return _READY[key]
@@ -278,8 +282,8 @@ _FITTED: dict[tuple, object] = {}
 
 
 def _forest(train_rows, folder):
-    """The registry's forest on the training rows; one fit serves all queries of a folder in an application."""
-    key = (train_rows.sparkSession.sparkContext.applicationId, folder)
+    """The registry's forest on the training rows; one fit serves all queries while the files stay as they are."""
+    key = _state(train_rows.sparkSession, folder)
     if key not in _FITTED:
         _FITTED[key] = training.build("random_forest").fit(train_rows)
     return _FITTED[key]
@@ -302,6 +306,13 @@ def grid_search(spark, folder):
     return training.search("decision_tree", folded, 5, "grid", space={"maxDepth": [5, 10], "minInstancesPerNode": [1, 4]})[1]
 
 
+@query("folds", "flows", f"""
+    SELECT {', '.join(KEY)}, label, ((row_number() OVER (PARTITION BY label ORDER BY m, {', '.join(KEY)}) - 1) % 5)::INT AS fold FROM flows""")
+def folds(spark, folder):
+    rows = views.flows(spark, folder).select(*KEY, "label", F.col("label").alias("label_index"))
+    return training.with_folds(rows, 5, KEY, views.flow_mix()).drop("label_index")
+
+
 @query("tune_refit")
 def tune_refit(spark, folder):
     rows, test = _training_rows(spark, folder)

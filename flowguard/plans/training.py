@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from flowguard.functions.constants import ATTACK_NAMES
 from flowguard.functions.risk import risk_level, risk_score, round_half_even
 from flowguard.operators import metrics
+from flowguard.operators.distributed import running_totals
 from flowguard.operators.features import stratified_sample
 from flowguard.session import cut_lineage
 
@@ -32,11 +33,25 @@ def _common(seed: int, weighted: bool, **given) -> dict:
     return {"featuresCol": FEATURES, "labelCol": LABEL, "seed": seed} | ({"weightCol": WEIGHT} if weighted else {}) | given
 
 
-def logistic_regression(seed: int, weighted: bool, rows: int = 1_000_000, c: float = 1.0, **given) -> Estimator:
-    """ML-02. The inverse strength C of a summed loss is 1 / (C * rows) of a mean loss."""
-    settings = _common(seed, weighted, maxIter=100, regParam=1.0 / (c * rows), family="multinomial") | given
+class SummedLogistic(LogisticRegression):
+    """Logistic regression with the inverse strength C of a summed loss. Spark minimises the mean loss, whose penalty is
+    1 / (C * weight of all rows); the rows are counted when the model is fitted."""
+
+    def __init__(self, c: float = 1.0, **settings):
+        super().__init__(**settings)
+        self.c = c
+
+    def _fit(self, dataset: DataFrame) -> Model:
+        weighted = self.isDefined(self.weightCol) and self.getWeightCol()
+        mass = dataset.agg(F.sum(self.getWeightCol()) if weighted else F.count(F.lit(1))).first()[0]
+        return super(SummedLogistic, self.copy({self.regParam: 1.0 / (self.c * max(mass or 0, 1))}))._fit(dataset)
+
+
+def logistic_regression(seed: int, weighted: bool, c: float = 1.0, **given) -> Estimator:
+    """ML-02. A penalty that is given as `regParam` is taken as it is."""
+    settings = _common(seed, weighted, maxIter=100, family="multinomial") | given
     settings.pop("seed")
-    return LogisticRegression(**settings)
+    return LogisticRegression(**settings) if "regParam" in settings else SummedLogistic(c, **settings)
 
 
 def decision_tree(seed: int, weighted: bool, **given) -> Estimator:
@@ -110,12 +125,12 @@ REGISTRY: dict[str, Callable[..., Estimator]] = {
 
 def build(name: str, seed: int = 42, weighted: bool = False, **settings) -> Estimator:
     """ML-01: an estimator by name; an unknown name is an error. Users add their own to REGISTRY (UDF-01)."""
-    return REGISTRY[_key(name, REGISTRY)](seed, weighted, **settings)
+    return _entry(name, REGISTRY)(seed, weighted, **settings)
 
 
-def _key(name: str, table: dict) -> str:
+def _entry(name: str, table: dict):
     """The entry of a table that a user means, whatever the case and outer spaces."""
-    found = {k: k for k in table}.get(name.strip().lower())
+    found = table.get(name.strip().lower())
     if found is None:
         raise ValueError(f"{name!r} is none of {sorted(table)}")
     return found
@@ -297,10 +312,16 @@ class MacroF1(Evaluator):
         return True
 
 
-def with_folds(sample: DataFrame, folds: int, key: list[str]) -> DataFrame:
-    """ML-08: the fold of each row, by a hash of its key: a row stays in its fold whatever else is in the sample, and no
-    class meets in one task. Classes are spread evenly but for chance."""
-    return sample.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), *key), F.lit(folds)).cast("int"))
+def with_folds(sample: DataFrame, folds: int, key: list[str], mixed: Column | None = None) -> DataFrame:
+    """ML-08: stratified folds. The rows of a class are ranked in a repeatable mixed order and dealt in turn, so the fold
+    sizes of a class differ by at most one, also for a class of few rows.
+
+    Ranks are running counts over slices of the order, so no class meets in one task. `mixed` defaults to a hash of
+    `key`, which should identify a row; equal rows are interchangeable.
+    """
+    order = F.xxhash64(F.lit("fold"), *key) if mixed is None else mixed
+    ranked = running_totals(sample.withColumn("_mixed", order), [LABEL], ["_mixed", *key], {"_rank": F.lit(1)})
+    return ranked.withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(folds)).cast("int")).drop("_mixed", "_rank")
 
 
 def search(name: str, sample: DataFrame, folds: int = 5, method: str = "random", draws: int = 5, seed: int = 42,
@@ -310,7 +331,7 @@ def search(name: str, sample: DataFrame, folds: int = 5, method: str = "random",
     Tree and linear models go through CrossValidator; the boosted model is cross-validated by setting, as its
     parameters belong to one inner model per class.
     """
-    tried = candidates(space or SEARCH_SPACES[_key(name, SEARCH_SPACES)], method, draws, seed)
+    tried = candidates(space or _entry(name, SEARCH_SPACES), method, draws, seed)
     if name == "boosted_trees":
         scores = [_fold_mean(build(name, seed, **((fixed or {}) | s)), sample, folds) for s in tried]
     else:

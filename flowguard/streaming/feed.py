@@ -8,6 +8,7 @@ from datetime import datetime
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,14 +26,36 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
 
 
 def alert_tail(spark: SparkSession, path: str, schema: T.StructType, since: datetime | None = None, files_per_trigger: int = 50) -> DataFrame:
-    """STR-07: alerts stored after `since`, by default after the newest that is stored now; what is new is tracked by
-    the query's checkpoint."""
+    """Alerts whose event time is after `since`, by default after the newest that is stored now. `arrivals` follows the
+    order in which alerts are stored instead."""
     if since is None:
         since = spark.read.schema(schema).parquet(path).agg(F.max("timestamp")).first()[0]
     rows = read_stream(spark, path, schema, files_per_trigger)
     return rows if since is None else rows.where(F.col("timestamp") > F.lit(since))
 
 
+def mark_end(spark: SparkSession, path: str, schema: T.StructType, cursor: str) -> None:
+    """Write the present end of an alert table, the names of the files it shows now, to the folder `cursor`, once.
+
+    A cursor that is already there stays, so that a query which starts again from its checkpoint goes on where it was.
+    Names and not times tell what is new: a file may be written early and shown late.
+    """
+    files = spark.read.schema(schema).parquet(path).select(F.col("_metadata.file_path").alias("file")).distinct()
+    try:
+        files.write.mode("errorifexists").parquet(cursor)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_ALREADY_EXISTS":
+            raise
+
+
+def arrivals(spark: SparkSession, path: str, schema: T.StructType, cursor: str, files_per_trigger: int = 50) -> DataFrame:
+    """STR-07: every alert stored after `mark_end` wrote `cursor`, whatever its event time: late alerts and alerts of the
+    same instant as stored ones are shown too. What has been shown since is tracked by the query's checkpoint."""
+    rows = read_stream(spark, path, schema, files_per_trigger).withColumn("_file", F.col("_metadata.file_path"))
+    seen = spark.read.schema("file string").parquet(cursor).select(F.col("file").alias("_file"), F.lit(True).alias("_seen"))
+    return rows.join(seen, "_file", "left").where("_seen IS NULL").select(*schema.names)
+
+
 def distinct_feed(alerts: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """STR-09: the first row of each id within the watermark."""
     return alerts.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["id"])

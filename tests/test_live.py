@@ -75,3 +75,22 @@ def test_tail_starts_at_the_current_end_and_dispatch_logs_every_target(spark, tm
     log = spark.read.parquet(str(tmp_path / "log"))
     assert log.count() == 8 and log.where("success").count() == 4 and log.select("batch").distinct().count() == 2
     assert spark.read.parquet(str(tmp_path / "good")).count() == 4
+
+
+def test_arrivals_show_late_and_equal_alerts_and_go_on_after_a_restart(spark, tmp_path):
+    path, cursor, schema = str(tmp_path / "alerts"), str(tmp_path / "cursor"), "id string, timestamp timestamp"
+    write = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    kind = spark.createDataFrame([], schema).schema
+    write([("a", START), ("b", START + timedelta(seconds=9))])
+    feed.mark_end(spark, path, kind, cursor)
+    write([("late", START - timedelta(days=1)), ("same", START + timedelta(seconds=9))])
+
+    def run():
+        feed.mark_end(spark, path, kind, cursor)  # starting again does not move the cursor
+        tail = feed.arrivals(spark, path, kind, cursor)
+        tail.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(
+            availableNow=True).start().awaitTermination()
+        return sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert run() == ["late", "same"]
+    write([("old", START - timedelta(days=2)), ("nulled", None)])  # stored between two runs
+    assert run() == ["late", "nulled", "old", "same"]

@@ -257,3 +257,31 @@ def test_smote_balances(spark):
 def test_smote_of_a_single_row_class(spark):
     df = spark.createDataFrame([(i, "one" if i == 0 else "many", [float(i)]) for i in range(20)], "id bigint, y string, v array<double>")
     assert resample.smote(df, "y", "v").count() == 2
+
+
+def test_folds_of_every_class_differ_by_at_most_one(spark):
+    rows = [(i, float(0 if i < 7 else 1 if i < 400 else 2)) for i in range(900)] + [(i, None) for i in range(3)]
+    df = spark.createDataFrame(rows, "id bigint, label_index double")
+    found = training.with_folds(df, 5, ["id"])
+    counts = {}
+    for r in found.groupBy("label_index", "fold").count().collect():
+        counts.setdefault(r["label_index"], {})[r["fold"]] = r["count"]
+    for label, n in ((0.0, 7), (1.0, 393), (2.0, 500), (None, 3)):
+        sizes = [counts[label].get(k, 0) for k in range(5)]
+        assert sum(sizes) == n and max(sizes) - min(sizes) <= 1
+    again = {(r["id"], r["label_index"]): r["fold"] for r in training.with_folds(df.repartition(3), 5, ["id"]).collect()}
+    assert again == {(r["id"], r["label_index"]): r["fold"] for r in found.collect()}
+
+
+def test_logistic_penalty_follows_the_rows(spark, learnable):
+    """The penalty of a summed loss does not weaken when every row is doubled; weights count as rows."""
+    few = learnable.limit(100).cache()
+    assert training.build("logistic_regression").fit(few).getRegParam() == 1 / 100
+    doubled = few.unionByName(few)
+    assert training.build("logistic_regression").fit(doubled).getRegParam() == 1 / 200
+    heavy = few.withColumn("weight", F.lit(2.0))
+    assert training.build("logistic_regression", weighted=True, c=4.0).fit(heavy).getRegParam() == 1 / 800
+    same = training.build("logistic_regression").fit(doubled).coefficientMatrix.toArray()
+    # The same loss but for rounding: both end within the tolerance of the optimiser.
+    assert np.allclose(same, training.build("logistic_regression", weighted=True).fit(heavy).coefficientMatrix.toArray(), atol=0.05)
+    assert training.build("logistic_regression", regParam=0.5).fit(few).getRegParam() == 0.5
