@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -253,10 +254,10 @@ def _state(spark, folder):
     return spark.sparkContext.applicationId, table_state(spark, f"{folder}/lineitem.parquet")
 
 
-_READY: dict[tuple, tuple] = {}
+_READY: dict[tuple, DataFrame] = {}
 
 
-def _training_rows(spark, folder):
+def _all_rows(spark, folder):
     """Train and test rows, prepared and written once for the present state of the files."""
     key = _state(spark, folder)
     if key not in _READY:
@@ -264,6 +265,11 @@ def _training_rows(spark, folder):
     return _READY[key]
 
 
+def _training_rows(spark, folder):
+    ready = _all_rows(spark, folder)
+    return ready.where("split = 'train'"), ready.where("split = 'test'")
+
+
 def _prepared_rows(spark, folder):
     """Flows whose label follows from the features, split and assembled. The test tables carry labels
     that no feature explains, so a label is derived that a model can learn."""
@@ -273,9 +279,9 @@ def _prepared_rows(spark, folder):
     weighted = features.with_sample_weight(labelled, "label")
     indexed = features.label_indexer(weighted, "label").transform(weighted)
     ready = VectorAssembler(inputCols=INPUTS, outputCol="features").transform(indexed)
-    ready = cut_lineage(ready.select(*KEY, "features", "label", "label_index", "weight", "split", "quantity", "discount",
-                                     F.xxhash64(*KEY).alias("id")))
-    return ready.where("split = 'train'"), ready.where("split = 'test'")
+    ready = ready.select(*KEY, "features", "label", "label_index", "weight", "split", "quantity", "discount", F.xxhash64(*KEY).alias("id"))
+    # Fits and scoring cost far more per byte than the shuffles whose small partitions adaptive execution joins.
+    return cut_lineage(ready.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id"))
 
 
 _FITTED: dict[tuple, object] = {}
@@ -321,8 +327,8 @@ def tune_refit(spark, folder):
 
 @query("batch_scoring")
 def batch_scoring(spark, folder):
-    rows, test = _training_rows(spark, folder)
-    scored = training.predict(_forest(rows, folder), rows.unionByName(test))
+    rows, _ = _training_rows(spark, folder)
+    scored = training.predict(_forest(rows, folder), _all_rows(spark, folder))
     table = training.prediction_table(scored, "random_forest", CLASSES, KEY)
     return table.withColumn("Class_Probabilities", F.to_json("Class_Probabilities"))
 

@@ -22,6 +22,7 @@ from flowguard.functions.risk import risk_level, risk_score, round_half_even
 from flowguard.operators import metrics
 from flowguard.operators.distributed import running_totals
 from flowguard.operators.features import stratified_sample
+from flowguard.plans import forest
 from flowguard.session import cut_lineage
 
 FEATURES, LABEL, WEIGHT = "features", "label_index", "weight"
@@ -157,7 +158,11 @@ def with_probabilities(scored: DataFrame) -> DataFrame:
 
 
 def predict(model: Transformer, df: DataFrame) -> DataFrame:
-    return with_probabilities(model.transform(df))
+    """Class probabilities and the predicted class; trees and forests are walked on whole batches."""
+    if isinstance(model, PipelineModel) and forest.is_tree(model.stages[-1]):
+        return predict(model.stages[-1], PipelineModel(model.stages[:-1]).transform(df))
+    scored = forest.predict(model, df)
+    return with_probabilities(model.transform(df)) if scored is None else scored
 
 
 def external_model(scorer: Callable[[pd.DataFrame], tuple], columns: list[str], carry_schema: str) -> Callable[[DataFrame], DataFrame]:

@@ -285,3 +285,17 @@ def test_logistic_penalty_follows_the_rows(spark, learnable):
     # The same loss but for rounding: both end within the tolerance of the optimiser.
     assert np.allclose(same, training.build("logistic_regression", weighted=True).fit(heavy).coefficientMatrix.toArray(), atol=0.05)
     assert training.build("logistic_regression", regParam=0.5).fit(few).getRegParam() == 0.5
+
+
+@pytest.mark.parametrize("name, settings", [("decision_tree", {}), ("random_forest", {"maxDepth": 9}), ("extra_trees", {}), ("decision_tree", {"maxDepth": 0})])
+def test_batch_walk_equals_the_model(spark, learnable, name, settings):
+    """The same shares to the last bit, also for absent values; and through a pipeline."""
+    model = training.build(name, **settings).fit(learnable)
+    odd = learnable.withColumn("a", F.when(F.col("id") % 7 == 0, float("nan")).otherwise(F.col("a"))).drop("features")
+    vectors = VectorAssembler(inputCols=list("abcd"), outputCol="features", handleInvalid="keep")
+    for some in (learnable, vectors.transform(odd)):
+        want = {r["id"]: (list(r["probabilities"]), r["pred"]) for r in training.with_probabilities(model.transform(some)).collect()}
+        assert {r["id"]: (list(r["probabilities"]), r["pred"]) for r in training.predict(model, some).collect()} == want
+    piped = training.predict(PipelineModel([vectors, model]), odd)
+    assert {r["id"]: (list(r["probabilities"]), r["pred"]) for r in piped.collect()} == want
+    assert training.predict(model, learnable.limit(0)).collect() == []
