@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import random
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.ml import Estimator, Model, PipelineModel, Transformer
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier)
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,41 +73,74 @@ def extra_trees(seed: int, weighted: bool, **given) -> Estimator:
 
 
 class BoostedTrees(Estimator):
-    """ML-06 and ML-09: boosted trees, one against the rest, as one fitted pipeline; classes are fitted side by side.
+    """ML-06 and ML-09: boosted trees for all classes together, grown round by round.
 
-    With `early_stopping` a row whose `is_validation` is true only watches the loss: a class stops at the round of its
-    lowest loss once `patience` further rounds brought no lower one (ML-09).
+    Every row has a margin per class. A round fits one Spark regression tree per class, side by side, to the Newton step of
+    the softmax loss (residual over p(1 - p), weighted by it, cut at `MOST_STEP`) and adds `stepSize` of it. With
+    `early_stopping` a row whose `is_validation` is true only watches the loss: once `patience` rounds brought no lower
+    one, no further tree is fitted and the rounds after the lowest are dropped. Margins are written every few rounds.
+    The fitted model is a pipeline of one boosted ensemble per class, which add up to the columns `margin_0`, `margin_1`, ...
     """
+    MOST_STEP, WRITTEN_EVERY = 4.0, 5
 
-    def __init__(self, seed: int, weighted: bool, early_stopping: bool = False, patience: int = 10, parallelism: int = 4, **given):
+    def __init__(self, seed: int, weighted: bool, early_stopping: bool = False, patience: int = 10, parallelism: int = 4,
+                 maxIter: int = 50, stepSize: float = 0.1, **given):
         super().__init__()
-        self.settings = _common(seed, weighted, maxIter=50, stepSize=0.1, maxDepth=6, subsamplingRate=0.8) | given
+        self.rounds, self.step, self.seed, self.weighted = maxIter, stepSize, seed, weighted
+        self.tree = {"maxDepth": 6, "subsamplingRate": 0.8, "featureSubsetStrategy": "all"} | given | {"numTrees": 1, "bootstrap": False}
         self.early_stopping, self.patience, self.parallelism = early_stopping, patience, parallelism
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
-        classes = int(dataset.agg(F.max(LABEL)).first()[0])
-        rows = dataset.persist()
-        try:
-            with ThreadPoolExecutor(self.parallelism) as pool:
-                return PipelineModel(list(pool.map(lambda k: self._one(rows, k), range(classes + 1))))
-        finally:
-            rows.unpersist()
-
-    def _one(self, rows: DataFrame, k: int):
-        tree = GBTClassifier(**(self.settings | {"labelCol": "_is_class", "predictionCol": f"prediction_{k}"}))
-        tree = tree.setRawPredictionCol(f"raw_{k}").setProbabilityCol(f"probability_{k}")
-        marked = rows.withColumn("_is_class", (F.col(LABEL) == k).cast("double"))
-        if not self.early_stopping:
-            return tree.fit(marked)
-        learned = marked.where("NOT is_validation")
-        model = tree.fit(learned)
-        watched = marked.where("is_validation").withColumns({"features": F.col(FEATURES), "label": F.col("_is_class")})
-        rounds = best_round(list(model.evaluateEachIteration(watched)), self.patience)
-        return model if rounds == model.getNumTrees else tree.setMaxIter(rounds).fit(learned)  # the same seed grows the same first trees
+        classes = int(dataset.agg(F.max(LABEL)).first()[0] or 0) + 1
+        kept = [FEATURES, LABEL, *([WEIGHT] if self.weighted else []), *(["is_validation"] if self.early_stopping else [])]
+        margins = [f"margin_{k}" for k in range(classes)]
+        rows = cut_lineage(dataset.select(*kept, *[F.lit(0.0).alias(m) for m in margins]))
+        grown: list[list[Model]] = []
+        losses: list[float] = []
+        with ThreadPoolExecutor(self.parallelism) as pool:
+            while len(grown) < self.rounds and len(losses) - best_round(losses, self.patience) < self.patience:
+                learned = rows.where("NOT is_validation") if self.early_stopping else rows
+                grown.append(list(pool.map(lambda k: self._tree(learned, margins, k, len(grown)), range(classes))))
+                for k, tree in enumerate(grown[-1]):
+                    rows = tree.setPredictionCol("_step").transform(rows).withColumn(margins[k], F.col(margins[k]) + self.step * F.col("_step")).drop("_step")
+                if len(grown) % self.WRITTEN_EVERY == 0:
+                    rows = cut_lineage(rows)
+                if self.early_stopping:
+                    losses.append(rows.where("is_validation").agg(F.avg(-F.log(_share(margins, F.col(LABEL).cast("int"))))).first()[0] or 0.0)
+        keep = best_round(losses, self.patience) if losses else len(grown)
+        return PipelineModel([self._ensemble([trees[k] for trees in grown[:keep]], margins[k]) for k in range(classes)])
+
+    def _tree(self, rows: DataFrame, margins: list[str], k: int, number: int) -> Model:
+        share = _share(margins, F.lit(k))
+        bend = F.greatest(share * (1 - share), F.lit(1e-6))
+        target = ((F.col(LABEL) == k).cast("double") - share) / bend
+        weight = bend * F.col(WEIGHT) if self.weighted else bend
+        made = rows.select(FEATURES, F.greatest(F.least(target, F.lit(self.MOST_STEP)), F.lit(-self.MOST_STEP)).alias("_target"), weight.alias("_bend"))
+        forest_ = RandomForestRegressor(featuresCol=FEATURES, labelCol="_target", weightCol="_bend", seed=self.seed + 1000 * number + k, **self.tree)
+        return forest_.fit(made).trees[0]
+
+    def _ensemble(self, trees: list[Model], margin: str) -> GBTRegressionModel:
+        context = SparkSession.active().sparkContext
+        jvm, gateway = context._jvm, context._gateway
+        members = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(trees))
+        weights = gateway.new_array(gateway.jvm.double, len(trees))
+        for i, tree in enumerate(trees):
+            members[i], weights[i] = tree._java_obj, self.step
+        made = GBTRegressionModel(jvm.org.apache.spark.ml.regression.GBTRegressionModel(f"boosted_{uuid.uuid4().hex[:12]}", members, weights))
+        return made.setFeaturesCol(FEATURES).setPredictionCol(margin)
+
+
+def _share(margins: list[str], k: Column) -> Column:
+    """The softmax share of one class."""
+    most = F.greatest(*margins) if len(margins) > 1 else F.col(margins[0])
+    parts = F.array(*[F.exp(F.col(m) - most) for m in margins])
+    return F.greatest(F.get(parts, k) / sum((F.exp(F.col(m) - most) for m in margins[1:]), F.exp(F.col(margins[0]) - most)), F.lit(1e-12))
 
 
 def best_round(losses: list[float], patience: int) -> int:
     """How many rounds to keep: up to the lowest loss seen before `patience` rounds passed without a lower one."""
+    if not losses:
+        return 0
     best = 0
     for i, loss in enumerate(losses):
         if loss < losses[best]:
@@ -141,8 +176,12 @@ def _entry(name: str, table: dict):
 
 
 def with_probabilities(scored: DataFrame) -> DataFrame:
-    """Add `probabilities` (array by class) and `pred`. Boosted one-against-rest shares are scaled to sum 1;
-    a model without probabilities leaves them null."""
+    """Add `probabilities` (array by class) and `pred`. Margins of boosted trees give softmax shares; shares of older
+    one-against-rest models are scaled to sum 1; a model without probabilities leaves them null."""
+    margins = sorted((c for c in scored.columns if c.startswith("margin_")), key=lambda c: int(c.rsplit("_", 1)[1]))
+    if margins:
+        scored = scored.withColumn("probabilities", F.array(*[_share(margins, F.lit(k)) for k in range(len(margins))]))
+        return scored.withColumn("pred", F.array_position("probabilities", F.array_max("probabilities")).cast("int") - 1)
     shares = [c for c in scored.columns if c.startswith("probability_")]
     if shares:
         ordered = sorted(shares, key=lambda c: int(c.rsplit("_", 1)[1]))

@@ -299,3 +299,29 @@ def test_batch_walk_equals_the_model(spark, learnable, name, settings):
     piped = training.predict(PipelineModel([vectors, model]), odd)
     assert {r["id"]: (list(r["probabilities"]), r["pred"]) for r in piped.collect()} == want
     assert training.predict(model, learnable.limit(0)).collect() == []
+
+
+def test_no_tree_is_fitted_after_the_patience_ran_out(learnable, monkeypatch):
+    noise = learnable.withColumn("label_index", F.pmod(F.xxhash64("id"), F.lit(3)).cast("double")).withColumn("is_validation", F.col("id") % 3 == 0)
+    fitted = []
+    grow = training.BoostedTrees._tree
+    monkeypatch.setattr(training.BoostedTrees, "_tree", lambda self, rows, margins, k, number: fitted.append((number, k)) or grow(self, rows, margins, k, number))
+    model = training.build("boosted_trees", early_stopping=True, maxIter=30, maxDepth=4, patience=3).fit(noise)
+    kept = {s.getNumTrees for s in model.stages}
+    assert len(kept) == 1 and len(model.stages) == 3
+    assert max(n for n, _ in fitted) + 1 == kept.pop() + 3 and len(fitted) == len(set(fitted))
+
+
+def test_boosting_learns_as_well_as_one_against_the_rest(spark, learnable, tmp_path):
+    model = training.build("boosted_trees", maxIter=10, maxDepth=3).fit(learnable)
+    f1 = training.MacroF1().evaluate(model.transform(learnable))
+    from pyspark.ml.classification import GBTClassifier
+    shares = learnable
+    for k in range(3):
+        one = GBTClassifier(labelCol="_is", maxIter=10, stepSize=0.1, maxDepth=3, subsamplingRate=0.8, seed=42, predictionCol=f"p{k}")
+        one = one.setRawPredictionCol(f"r{k}").setProbabilityCol(f"probability_{k}")
+        shares = one.fit(learnable.withColumn("_is", (F.col("label_index") == k).cast("double"))).transform(shares)
+    assert f1 >= training.MacroF1().evaluate(shares) - 1e-9
+    path = training.save_model(training.Trained("boosted_trees", model, 0.0), str(tmp_path))
+    assert path and [r["pred"] for r in training.predict(training.load_model(spark, str(tmp_path), "boosted_trees"), learnable).orderBy("id").collect()] == [
+        r["pred"] for r in training.predict(model, learnable).orderBy("id").collect()]
