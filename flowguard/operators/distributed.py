@@ -6,7 +6,10 @@ The work is split into slices whose partial results are combined through a small
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -186,90 +189,126 @@ def _measure(name: str) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+SIGN = (1 << 63) - 1
+
+
+def ordered_bits(values: np.ndarray) -> np.ndarray:
+    """64-bit integers in the order of the doubles."""
+    bits = (values + 0.0).view(np.int64)
+    return np.where(bits < 0, bits ^ SIGN, bits)
+
+
+def from_bits(bits: int) -> float:
+    return float(np.array([bits ^ SIGN if bits < 0 else bits], np.int64).view(np.float64)[0])
+
+
+def _add_counters(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Counters (bucket, cells, lowest, highest) of several lots as one lot, one per bucket."""
+    bucket, n, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(bucket, kind="stable")
+    starts = np.flatnonzero(np.diff(bucket[order], prepend=bucket[order[0]] - 1)) if len(order) else order
+    if not len(order):
+        return bucket, n, low, high
+    return bucket[order][starts], np.add.reduceat(n[order], starts), np.minimum.reduceat(low[order], starts), np.maximum.reduceat(high[order], starts)
+
+
+def _count_buckets(wanted: list[np.ndarray], shift: int, held: int):
+    """Cells per bucket of 16 further bits, below the wanted prefixes of each column; one lot of counters per column and task."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lots: list[list[tuple[np.ndarray, ...]]] = [[] for _ in wanted]
+        for batch in batches:
+            for i, prefixes in enumerate(wanted):
+                if not len(prefixes):
+                    continue
+                values = batch.column(i).to_numpy(zero_copy_only=False)
+                bits = ordered_bits(values[~np.isnan(values)])
+                if shift < 48:
+                    bits = bits[np.isin(bits >> (shift + 16), prefixes)]
+                bits = np.sort(bits)
+                bucket = bits >> shift
+                starts = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1)) if len(bits) else np.zeros(0, np.int64)
+                ends = np.append(starts[1:], len(bits)) - 1 if len(bits) else starts
+                lots[i].append((bucket[starts], ends - starts + 1, bits[starts], bits[ends]))
+                if sum(len(lot[0]) for lot in lots[i]) > held:
+                    lots[i] = [_add_counters(lots[i])]
+        for i, lot in enumerate(lots):
+            if lot:
+                bucket, n, low, high = _add_counters(lot)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), i, np.int32)), pa.array(bucket >> 16 if shift < 48 else np.zeros(len(bucket), np.int64)),
+                                                  pa.array(bucket), pa.array(n.astype(np.int64)), pa.array(low), pa.array(high)],
+                                                 names=["i", "parent", "bucket", "n", "low", "high"])
+    return count
+
+
 def exact_percentiles(df: DataFrame, columns: list[str], probabilities: list[float], rows_per_task: int = 100_000) -> dict[str, list[float | None]]:
     """Linear-interpolated percentiles of each column, nulls and NaN ignored.
 
-    One pass counts the cells and proposes pivots next to the wanted ranks by bounded sketches, one pass counts the cells
-    between the pivots, and only the interval that holds a rank is sorted; an interval of more than `rows_per_task` cells
-    is cut again. No pass shuffles the table: cells shrink to (column, interval) counts before the exchange.
+    Radix selection on the bits of the doubles, in an order that keeps theirs: a pass counts the cells per bucket of 16
+    bits, the next one looks only below the buckets that hold a wanted rank. After at most four passes the bits are the
+    value; a bucket whose lowest and highest cell agree is one at once. A task keeps one lot of counters per column, adds
+    them up whenever there are more than `rows_per_task`, and sends nothing else; cells never leave their task.
     """
     if not columns:
         return {}
-    slack = 3e-4
-    shares = sorted({min(1.0, max(0.0, p + d)) for p in probabilities for d in (-slack, slack)})
     cells = df.select(*[_measure(c).alias(f"_c{i}") for i, c in enumerate(columns)]).persist()
     try:
-        head = cells.agg(*[F.struct(F.count(f"_c{i}").alias("n"), F.percentile_approx(f"_c{i}", F.array(*[F.lit(s) for s in shares]), 10_000).alias("at")).alias(f"h{i}")
-                           for i in range(len(columns))]).first()
-        sizes = {c: head[f"h{i}"]["n"] for i, c in enumerate(columns)}
-        pivots = {c: sorted(set(head[f"h{i}"]["at"] or [])) for i, c in enumerate(columns)}
-        ranks = {c: sorted({r for p in probabilities for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))}) for c, n in sizes.items() if n}
-        values = _values_at(cells, columns, ranks, pivots, rows_per_task)
+        everything = [np.zeros(1, np.int64)] * len(columns)
+        top = _counters(cells, everything, 48, rows_per_task).orderBy("i", "bucket").collect()  # at most 65,536 a column
+        sizes = [0] * len(columns)
+        for r in top:
+            sizes[r["i"]] += r["n"]
+        ranks = [sorted({r for p in probabilities for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))}) if n else [] for n in sizes]
+        values: dict[tuple[int, int], float] = {}
+        open_ = _settle([(i, rank, rank) for i, some in enumerate(ranks) for rank in some], {i: [r for r in top if r["i"] == i] for i in range(len(columns))}, values)
+        for shift in (32, 16, 0):
+            if not open_:
+                break
+            open_ = _narrow(cells, open_, shift, len(columns), rows_per_task, values)
     finally:
         cells.unpersist()
     result: dict[str, list[float | None]] = {}
-    for c in columns:
+    for i, c in enumerate(columns):
         result[c] = []
         for p in probabilities:
-            place = p * (sizes[c] - 1)
-            if sizes[c]:
-                low, high = values[c, math.floor(place)], values[c, math.ceil(place)]
+            place = p * (sizes[i] - 1)
+            if sizes[i]:
+                low, high = values[i, math.floor(place)], values[i, math.ceil(place)]
                 result[c].append(low if low == high else low + (high - low) * (place - math.floor(place)))
             else:
                 result[c].append(None)
     return result
 
 
-def _slotted(df: DataFrame, columns: list[str], pivots: dict[str, list[float]]) -> DataFrame:
-    """One row (column number, slot, value) per cell; slot 2k lies between pivots, slot 2k+1 is pivot k."""
-    out, cells = df, []
-    for i, c in enumerate(columns):
-        value, marks = F.col(f"_c{i}"), pivots[c]
-        slot = F.lit(0)
-        if marks:
-            bounds = F.array(*[F.lit(m) for m in marks])
-            out = count_below(out, bounds, value, f"_b{i}", len(marks))
-            below = F.col(f"_b{i}")
-            slot = below * 2 + F.when(value == F.get(bounds, below), 1).otherwise(0)
-        cells.append(F.struct(F.lit(i).alias("i"), slot.alias("slot"), value.alias("v")))
-    return out.select(F.inline(F.array(*cells))).where("v IS NOT NULL")
-
-
-def _values_at(df: DataFrame, columns: list[str], ranks: dict[str, list[int]], pivots: dict[str, list[float]], limit: int) -> dict[tuple[str, int], float]:
-    while True:
-        found = _slotted(df, columns, pivots).groupBy("i", "slot").agg(F.count("*").alias("n")).collect()
-        counts = {(r["i"], r["slot"]): r["n"] for r in found}
-        places = _locate(columns, ranks, counts)
-        wide = sorted({at for at, _ in places.values() if at[1] % 2 == 0 and counts[at] > limit})
-        if not wide:
-            break
-        wanted = F.broadcast(df.sparkSession.createDataFrame(wide, "i int, slot int"))
-        cuts = F.array(*[F.lit(k / 64) for k in range(65)])
-        between = _slotted(df, columns, pivots).join(wanted, ["i", "slot"]).groupBy("i", "slot").agg(F.percentile_approx("v", cuts, 10_000).alias("s"))
-        for r in between.collect():
-            pivots[columns[r["i"]]] = sorted({*pivots[columns[r["i"]]], *r["s"]})
-    values = {key: pivots[key[0]][at[1] // 2] for key, (at, _) in places.items() if at[1] % 2}
-    left = {key: place for key, place in places.items() if place[0][1] % 2 == 0}
-    if left:
-        targets = df.sparkSession.createDataFrame([(*at, offset, key[0], key[1]) for key, (at, offset) in left.items()],
-                                                  "i int, slot int, offset bigint, column string, rank bigint")
-        wanted = F.broadcast(targets.select("i", "slot").distinct())
-        counted = _slotted(df, columns, pivots).join(wanted, ["i", "slot"]).groupBy("i", "slot", "v").agg(F.count("*").alias("n"))
-        upto = F.sum("n").over(Window.partitionBy("i", "slot").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-        summed = counted.withColumn("upto", upto).join(F.broadcast(targets), ["i", "slot"])
-        hits = summed.where((F.col("upto") > F.col("offset")) & (F.col("upto") - F.col("n") <= F.col("offset")))
-        values |= {(r["column"], r["rank"]): r["v"] for r in hits.select("column", "rank", "v").collect()}
-    return values
-
-
-def _locate(columns: list[str], ranks: dict[str, list[int]], counts: dict[tuple[int, int], int]) -> dict:
-    """(column, rank) -> (slot key, rank within the slot)."""
-    found = {}
-    for i, c in enumerate(columns):
-        wanted, before = list(ranks.get(c, [])), 0
-        for slot in sorted(s for j, s in counts if j == i):
-            while wanted and wanted[0] < before + counts[i, slot]:
-                found[c, wanted[0]] = ((i, slot), wanted[0] - before)
-                wanted.pop(0)
-            before += counts[i, slot]
-    return found
+def _counters(cells: DataFrame, wanted: list[np.ndarray], shift: int, held: int) -> DataFrame:
+    counted = cells.mapInArrow(_count_buckets(wanted, shift, held), "i int, parent bigint, bucket bigint, n bigint, low bigint, high bigint")
+    return counted.groupBy("i", "parent", "bucket").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def _settle(targets: list[tuple[int, int, int]], counters: dict, values: dict) -> list[tuple[int, int, int, int]]:
+    """Targets (column, rank, place) in sorted counters: known values are noted, the others are (column, rank, bucket, place)."""
+    left = []
+    for i, rank, place in targets:
+        for r in counters[i]:
+            if place < r["n"]:
+                if r["low"] == r["high"]:
+                    values[i, rank] = from_bits(r["low"])
+                else:
+                    left.append((i, rank, r["bucket"], place))
+                break
+            place -= r["n"]
+    return left
+
+
+def _narrow(cells: DataFrame, targets: list[tuple[int, int, int, int]], shift: int, width: int, held: int, values: dict) -> list[tuple[int, int, int, int]]:
+    """One more pass for the targets whose bucket holds several values."""
+    wanted = [np.array(sorted({b for j, _, b, _ in targets if j == i}), np.int64) for i in range(width)]
+    sought = cells.sparkSession.createDataFrame(targets, "i int, rank bigint, parent bigint, place bigint")
+    upto = F.sum("n").over(Window.partitionBy("i", "parent").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))  # at most 65,536 buckets
+    summed = _counters(cells, wanted, shift, held).withColumn("upto", upto).join(F.broadcast(sought), ["i", "parent"])
+    left = []
+    for r in summed.where("upto > place AND upto - n <= place").collect():  # one row per target
+        if r["low"] == r["high"]:
+            values[r["i"], r["rank"]] = from_bits(r["low"])
+        else:
+            left.append((r["i"], r["rank"], r["bucket"], r["place"] - (r["upto"] - r["n"])))
+    return left

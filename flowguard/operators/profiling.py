@@ -335,23 +335,25 @@ def value_ranges(df: DataFrame, columns: list[str]) -> dict[str, tuple[float | N
 def histogram(df: DataFrame, columns: list[str], bins: int = 30, split: Column | None = None) -> DataFrame:
     """EDA-06: equal-width bins per feature, the last one closed; optionally split by a group.
 
-    Only (feature, bin) pairs are shuffled after partial counting.
+    A cell becomes one number, its feature and bin; they are counted before anything is shuffled and named afterwards.
     """
     ranges = {c: r for c, r in value_ranges(df, columns).items() if r[0] is not None}
     types = _types(df)
     group = split if split is not None else F.lit("all")
-    cells = []
-    for c, (low, high) in ranges.items():
+    codes, names = [], []
+    for i, (c, (low, high)) in enumerate(ranges.items()):
         value = quoted(c).cast("double")
         width = (high - low) / bins
         place = F.least(F.lit(bins - 1), F.floor((value - low) / width)).cast("int") if width else F.lit(0)
-        cells.append(F.when(~is_missing(c, types[c]), F.struct(
-            F.lit(c).alias("feature"), place.alias("bin"), F.lit(low).alias("low"), F.lit(width).alias("width"))))
-    counted = df.select(group.alias("part"), F.explode(F.array_compact(F.array(*cells))).alias("c")).groupBy(
-        "part", "c.feature", "c.bin", "c.low", "c.width").agg(F.count("*").alias("rows"))
-    return counted.select(
-        "part", "feature", "bin", (F.col("low") + F.col("bin") * F.col("width")).alias("bin_start"),
-        (F.col("low") + (F.col("bin") + 1) * F.col("width")).alias("bin_end"), "rows")
+        codes.append(F.when(~is_missing(c, types[c]), F.lit(i * bins) + place))
+        names.append(F.struct(F.lit(c).alias("feature"), F.lit(low).alias("low"), F.lit(width).alias("width")))
+    if not codes:
+        return df.sparkSession.createDataFrame([], f"part {df.select(group).schema[0].dataType.simpleString()}, feature string, bin int, bin_start double, bin_end double, rows bigint")
+    counted = df.select(group.alias("part"), F.explode(F.array(*codes)).alias("code")).where("code IS NOT NULL").groupBy("part", "code").agg(F.count("*").alias("rows"))
+    named = counted.select("part", F.get(F.array(*names), F.expr(f"code div {bins}").cast("int")).alias("c"), (F.col("code") % bins).alias("bin"), "rows")
+    return named.select(
+        "part", "c.feature", "bin", (F.col("c.low") + F.col("bin") * F.col("c.width")).alias("bin_start"),
+        (F.col("c.low") + (F.col("bin") + 1) * F.col("c.width")).alias("bin_end"), "rows")
 
 
 def density(df: DataFrame, columns: list[str], bins: int = 30, points: int = 50, split: Column | None = None) -> DataFrame:

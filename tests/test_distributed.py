@@ -142,3 +142,27 @@ def test_bursts_against_brute_force(spark):
     for client, s in set(rows):
         n = sum(c == client and s - 60 < t <= s for c, t in rows)
         assert found[client, s] == (n, n > 70)
+
+
+@pytest.mark.parametrize("held", [3, 100_000])
+def test_percentiles_by_bits(spark, held):
+    """Signs, zeros, infinities, neighbours in the last bit, and one value that fills a third of the column."""
+    rng = np.random.default_rng(2)
+    near = 1.0
+    column = [0.0, -0.0, float("inf"), float("-inf"), 1e-310, -1e-310, 1e308, -1e308, None, float("nan")] + [2.5] * 300
+    for _ in range(200):
+        column.append(near)
+        near = float(np.nextafter(near, 2))
+    column += [float(x) for x in rng.normal(size=400) * 10.0 ** rng.integers(-9, 9, 400)]
+    df = spark.createDataFrame([(v, float(i % 3), i) for i, v in enumerate(column)], "v double, few double, whole bigint").repartition(5)
+    probabilities = [i / 40 for i in range(41)]
+    found = d.exact_percentiles(df, ["v", "few", "whole"], probabilities, rows_per_task=held)
+    kept = sorted(v for v in column if v is not None and v == v)
+    for p, got in zip(probabilities, found["v"]):
+        place = p * (len(kept) - 1)
+        low, high = kept[int(np.floor(place))], kept[int(np.ceil(place))]
+        want = low if low == high else low + (high - low) * (place - np.floor(place))
+        assert got == want or (got != got and want != want)
+    assert found["whole"] == list(np.quantile(np.arange(len(column)), probabilities)) and set(found["few"]) == {0.0, 1.0, 2.0}
+    bits = d.ordered_bits(np.array(kept))
+    assert (np.diff(bits) >= 0).all() and [d.from_bits(int(b)) for b in bits] == kept
