@@ -8,13 +8,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from flowguard.functions.numbers import is_infinite, is_missing, numeric_columns, quoted, text_columns, to_number
-from flowguard.operators.distributed import exact_percentiles, lookup_join, running_totals
+from flowguard.operators.distributed import exact_percentiles, lookup_join
 from flowguard.session import cut_lineage
 
 
@@ -264,56 +265,155 @@ def pearson_matrix(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], f
     return found
 
 
-def spearman_matrix(df: DataFrame, columns: list[str], rows_per_task: int = 1_000_000, pairs_per_pass: int = 300,
-                    few_values: int = 20_000) -> dict[tuple[str, str], float | None]:
+#: Entries of the rank tables that every task may hold: values times gap patterns, over all columns of few values.
+MOST_RANKS = 4_000_000
+
+
+def spearman_matrix(df: DataFrame, columns: list[str], rows_per_task: int = 1_000_000, few_values: int = 1_000_000) -> dict[tuple[str, str], float | None]:
     """EDA-04: correlation of average ranks, for every pair over the rows where both are present.
 
-    A column's ranks within a pair depend on the other column only through its gaps, so they are made once over all rows
-    and once for each column with gaps. Each (column, gaps, value) is one row of the rank table, ranked by a running count
-    over distinct values: a value that fills a third of the table is one row, not one task. Ranks go back to the rows by
-    a 64-bit row number.
+    A column's ranks within a pair depend on the other column only through its gaps. So a value of a column is counted
+    once for each column with gaps, over the rows where that one is present: each task sends an array of counts per value it
+    saw, and ranks are running sums over the values. Columns of few values, whose rank arrays together have at most
+    `MOST_RANKS` entries, are looked up where the rows lie. Cells of the others get their array by a join on the value, hot
+    values spread, and go back to their row by its number. Products of all pairs are added up per task as blocks.
     """
-    pairs, types = list(combinations(range(len(columns)), 2)), _types(df)
-    if not pairs:
+    k, types = len(columns), _types(df)
+    if k < 2:
         return {}
-    base = cut_lineage(df.select(F.monotonically_increasing_id().alias("id"), *[_present(c, types).alias(f"v{i}") for i, c in enumerate(columns)]))
-    gaps = base.agg(*[F.count_if(F.col(f"v{i}").isNull()).alias(f"g{i}") for i in range(len(columns))]).first()
-    holed = [i for i in range(len(columns)) if gaps[f"g{i}"]]
-    slots = [(i, g) for i in range(len(columns)) for g in [-1, *[h for h in holed if h != i]]]
-    cells = base.select("id", F.inline(F.array(*[
-        F.struct(F.lit(k).alias("k"), (F.col(f"v{i}") if g < 0 else F.when(F.col(f"v{g}").isNotNull(), F.col(f"v{i}"))).alias("v"))
-        for k, (i, g) in enumerate(slots)]))).where("v IS NOT NULL")
-    counted = cut_lineage(cells.groupBy("k", "v").agg(F.count("*").alias("n")))
-    totals = counted.groupBy("k").agg(F.sum("n").alias("n"), F.count("*").alias("values")).collect()
-    sizes, few = {r["k"]: r["n"] for r in totals}, [r["k"] for r in totals if r["values"] <= few_values]
-    ranked = running_totals(counted, ["k"], ["v"], {"upto": F.col("n")}, rows_per_task)
-    ranks = cut_lineage(ranked.select("k", "v", (F.col("upto") - (F.col("n") - 1) / 2.0).alias("rank")))
-    hot = counted.where(F.col("n") > max(sizes.values(), default=0) / 1000).select("k", "v")
-    # Columns of few values need no exchange of their cells, as their ranks are a small table; lookup_join checks its size.
-    scarce = F.col("k").isin(few)
-    placed = lookup_join(cells.where(~scarce), ranks.where(~scarce), ["k", "v"], hot=hot.where(~scarce))
+    names = [f"v{i}" for i in range(k)]
+    base = cut_lineage(df.select(F.monotonically_increasing_id().alias("id"), *[_present(c, types).alias(n) for c, n in zip(columns, names)]))
+    seen = base.agg(F.count("*").alias("rows"), *[F.struct(F.count(n).alias("n"), F.approx_count_distinct(n).alias("values")).alias(n) for n in names]).first()
+    holed = [i for i in range(k) if seen[names[i]]["n"] < seen["rows"]]
+    slot = np.array([1 + holed.index(i) if i in holed else 0 for i in range(k)])  # slot 0 counts all rows
+    width = len(holed) + 1
+    few, held = [], 0
+    for i in sorted(range(k), key=lambda i: seen[names[i]]["values"]):
+        held += seen[names[i]]["values"] * width
+        if seen[names[i]]["values"] <= few_values and held <= MOST_RANKS:
+            few.append(i)
+    many = [i for i in range(k) if i not in few]
+    counts = [f"n{s}" for s in range(width)]
+    schema = ", ".join(["i int, v double", *[f"{c} bigint" for c in counts]])
+    tables = {}
     if few:
-        placed = placed.unionByName(lookup_join(cells.where(scarce), ranks.where(scarce), ["k", "v"], hot=hot.where(scarce)))
-    by_row = placed.groupBy("id").agg(*[
-        F.max(F.when(F.col("k") == k, F.col("rank") - (sizes.get(k, 0) + 1) / 2.0)).alias(f"r{k}") for k in range(len(slots))])
-    number = {slot: k for k, slot in enumerate(slots)}
-    by_row = by_row.persist() if len(pairs) > pairs_per_pass else by_row
-    found: dict[tuple[str, str], float | None] = {}
-    for at in range(0, len(pairs), pairs_per_pass):
-        part, sums = pairs[at:at + pairs_per_pass], []
-        for n, (i, j) in enumerate(part):
-            a, b = F.col(f"r{number[i, j if j in holed else -1]}"), F.col(f"r{number[j, i if i in holed else -1]}")
-            both = a.isNotNull() & b.isNotNull()
-            sums.append(F.struct(F.sum(a * b).alias("ab"), F.sum(F.when(both, a * a)).alias("aa"), F.sum(F.when(both, b * b)).alias("bb")).alias(f"s{n}"))
-        row = by_row.agg(*sums).first()
-        for n, (i, j) in enumerate(part):
-            s = row[f"s{n}"]
-            scale = math.sqrt(s["aa"] * s["bb"]) if s["aa"] and s["bb"] else 0.0
-            found[columns[i], columns[j]] = s["ab"] / scale if scale else None
-    by_row.unpersist()
+        known = base.select(*names).mapInArrow(_count_values(few, holed), schema).groupBy("i", "v").agg(*[F.sum(c).alias(c) for c in counts]).orderBy("i", "v")
+        for i, part in known.toPandas().groupby("i"):
+            n = part[counts].to_numpy(float)
+            tables[i] = (part["v"].to_numpy(), n.cumsum(axis=0) - (n - 1) / 2 - (n.sum(axis=0) + 1) / 2)
+    rows = base
+    if many:
+        ranks, hot = _ranks_of_many(base.select(*names).mapInArrow(_count_values(many, holed), schema), counts, -(-seen["rows"] * len(many) // rows_per_task), seen["rows"])
+        # The first column's cells also carry the row, so that nothing has to be joined back to it.
+        whole = F.struct(*names)
+        cells = base.select("id", F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(names[i]).alias("v"), (whole if i == many[0] else F.lit(None)).alias("row"))
+                                                     for i in many]))).where(F.col("v").isNotNull() | F.col("row").isNotNull())
+        ranked = F.when(F.col("rank").isNotNull(), F.struct("i", "rank"))
+        rows = lookup_join(cells, ranks, ["i", "v"], hot=hot).groupBy("id").agg(F.collect_list("row").alias("row"), F.collect_list(ranked).alias("ranks")).select(
+            F.col("row")[0].alias("row"), "ranks").select("row.*", "ranks")
+    work = _rank_products(k, df.sparkSession.sparkContext.broadcast(tables), many, slot, width)
+    added = rows.select(*names, *(["ranks"] if many else [])).mapInArrow(work, "i int, j int, ab double, aa double, bb double")
+    found: dict[tuple[str, str], float | None] = dict.fromkeys(combinations(columns, 2))
+    for r in added.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("ab", "aa", "bb")]).collect():  # one row per pair
+        scale = math.sqrt(r["aa"] * r["bb"])
+        found[columns[r["i"]], columns[r["j"]]] = r["ab"] / scale if scale else None
     return found
 
 
+def _count_values(wanted: list[int], holed: list[int]):
+    """Per batch and wanted column: how often each value occurs in all rows and in those where each column with gaps is present."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            there = ~np.isnan(x)
+            beside = np.column_stack([np.ones(len(x), np.int64), there[:, holed].astype(np.int64)])
+            for i in wanted:
+                order = np.flatnonzero(there[:, i])
+                yield _value_batch(i, *_summed(x[order, i], beside[order]))
+    return count
+
+
+def _summed(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order and the sums of their counts."""
+    if not len(values):
+        return values, counts
+    order = np.argsort(values, kind="stable")
+    values = values[order]
+    starts = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    return values[starts], np.add.reduceat(counts[order], starts, axis=0)
+
+
+def _value_batch(i: int, values: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(np.full(len(values), i, np.int32)), pa.array(values), *[pa.array(np.ascontiguousarray(c)) for c in counts.T]]
+    return pa.RecordBatch.from_arrays(columns, names=["i", "v", *[f"n{s}" for s in range(counts.shape[1])]])
+
+
+def _ranks_of_many(counted: DataFrame, counts: list[str], slices: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Centred ranks (`i`, `v`, `rank`) per value, and the values that fill a thousandth of the rows.
+
+    Counts are range-sorted once; a slice adds up equal values and sums on its own, and the totals of the slices before it,
+    one row per column and slice, are added afterwards. A hot value is one row per task that saw it.
+    """
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if sum(map(len, held)):
+            part = pa.Table.from_batches(held)
+            column, value = part.column(0).to_numpy(), part.column(1).to_numpy()
+            n = np.column_stack([part.column(2 + s).to_numpy() for s in range(len(counts))])
+            for i in np.unique(column):
+                yield _value_batch(int(i), *_summed(value[column == i], n[column == i]))
+
+    spark = counted.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), slices)
+    sliced = cut_lineage(counted.repartitionByRange(parts, "i", "v").mapInArrow(total, counted.schema).withColumn("slice", F.spark_partition_id()))
+    sums = sliced.groupBy("i", "slice").agg(*[F.sum(c).alias(f"t{c}") for c in counts])
+    earlier = Window.partitionBy("i").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("i", "slice", *[(F.coalesce(F.sum(f"t{c}").over(earlier), F.lit(0)) - (F.sum(f"t{c}").over(Window.partitionBy("i")) + 1) / 2.0).alias(f"o{c}") for c in counts])
+    local = Window.partitionBy("i", "slice").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    rank = F.array(*[F.sum(c).over(local) - (F.col(c) - 1) / 2.0 + F.col(f"o{c}") for c in counts])
+    ranks = sliced.join(F.broadcast(offsets), ["i", "slice"]).select("i", "v", rank.alias("rank"))  # one row per column and slice
+    return cut_lineage(ranks), sliced.where(F.col("n0") > rows / 1000).select("i", "v")
+
+
+def _rank_products(k: int, shared: Broadcast, many: list[int], slot: np.ndarray, width: int):
+    """Sums of products of centred ranks over the rows of a task, for all pairs at once."""
+    first, second = np.triu_indices(k, 1)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = shared.value
+        products, squares = np.zeros((k, k)), np.zeros((k, k))
+        for batch in batches:
+            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(k)]).astype(float)
+            there = ~np.isnan(x)
+            joined = {}
+            if many:
+                lists = batch.column(k)
+                row = np.repeat(np.arange(len(x)), np.diff(lists.offsets.to_numpy()))
+                flat = lists.flatten()
+                which, ranks = flat.field("i").to_numpy(), flat.field("rank").flatten().to_numpy().reshape(-1, width)
+                joined = {i: (row[which == i], ranks[which == i]) for i in many}
+            step = max(1, (1 << 21) // (k * k))
+            for at in range(0, len(x), step):
+                n = min(step, len(x) - at)
+                block = np.zeros((n, k, k))
+                for i in range(k):
+                    mine = np.zeros((n, width))
+                    if i in tables:
+                        held = np.flatnonzero(there[at:at + n, i])
+                        mine[held] = tables[i][1][np.searchsorted(tables[i][0], x[at + held, i])]
+                    elif i in joined:
+                        low, high = np.searchsorted(joined[i][0], [at, at + n])
+                        mine[joined[i][0][low:high] - at] = joined[i][1][low:high]
+                    block[:, i, :] = mine[:, slot]
+                both = there[at:at + n, :, None] & there[at:at + n, None, :]
+                block *= both
+                products += np.einsum("nij,nji->ij", block, block)
+                squares += np.einsum("nij,nij->ij", block, block)
+        yield pa.RecordBatch.from_arrays([pa.array(first, pa.int32()), pa.array(second, pa.int32()), pa.array(products[first, second]), pa.array(squares[first, second]),
+                                          pa.array(squares[second, first])], names=["i", "j", "ab", "aa", "bb"])
+    return add
+
+
 def matrix_table(df: DataFrame, matrix: dict[tuple[str, str], float | None]) -> DataFrame:
     rows = [(a, b, None if v is None or math.isnan(v) else float(v)) for (a, b), v in matrix.items()]
     return df.sparkSession.createDataFrame(rows, "feature_1 string, feature_2 string, coefficient double")

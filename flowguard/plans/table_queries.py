@@ -318,6 +318,27 @@ def pearson_wide(spark, folder):
     return _six(profiling.matrix_table(df, profiling.pearson_matrix(df, WIDE)))
 
 
+HOLED = [f"h{i}" for i in range(28)]
+HOLED_SQL = ", ".join(f"CASE WHEN (m // {i + 3}) % {i + 5} > 0 THEN {c} END AS {h}" for i, (c, h) in enumerate(zip([NUMBERS[i % len(NUMBERS)] for i in range(28)], HOLED)))
+
+
+def _ranked_pair_sql(a, b):
+    def rank(c):
+        return f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE"
+    return (f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, round(corr(x, y), 6) AS coefficient FROM (SELECT {rank(a)} AS x, {rank(b)} AS y FROM w"
+            f" WHERE {a} IS NOT NULL AND {b} IS NOT NULL)")
+
+
+@query("spearman_wide", "flows", f"WITH w AS MATERIALIZED (SELECT {HOLED_SQL} FROM flows) " + " UNION ALL ".join(
+    _ranked_pair_sql(a, b) for i, a in enumerate(HOLED) for b in HOLED[i + 1:]))
+def spearman_wide(spark, folder):
+    # 28 columns, all with gaps: every pair has ranks of its own.
+    m = views.flow_mix()
+    df = views.flows(spark, folder).select(*[
+        F.when(F.floor(m / (i + 3)) % (i + 5) > 0, F.col(NUMBERS[i % len(NUMBERS)])).alias(h) for i, h in enumerate(HOLED)])
+    return _six(profiling.matrix_table(df, profiling.spearman_matrix(df, HOLED)))
+
+
 @query("top_variance_matrix", "flows", """
     SELECT feature_1, feature_2, coefficient FROM (
       SELECT 'price' AS feature_1, 'supp' AS feature_2, round(corr(price, supp), 6) AS coefficient FROM flows
