@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowguard.functions.risk import traffic_type
-from flowguard.operators import cleaning, features, profiling
+from flowguard.operators import cleaning, features, neighbours, profiling
 from flowguard.plans.catalog import query
 from flowguard.sources import flow_files, views
 
@@ -516,6 +516,26 @@ def mutual_information(spark, folder):
     return table.select("feature", F.round("mi_score", 8).alias("mi_score"))
 
 
+@query("neighbour_information", "flows", f"""
+    WITH f AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, label AS y, {c} AS v FROM flows" for c in NUMBERS)}),
+         d AS (SELECT feature, y, v, least({', '.join(f"greatest(coalesce(v - lag(v, {j}) OVER w, 'inf'::DOUBLE), coalesce(lead(v, {3 - j}) OVER w - v, 'inf'::DOUBLE))" for j in range(4))}) AS r
+               FROM f WINDOW w AS (PARTITION BY feature, y ORDER BY v)),
+         u AS (SELECT feature, y, v, min(r) AS r, count(*) AS n FROM d GROUP BY ALL),
+         c AS (SELECT feature, v, sum(n) OVER (PARTITION BY feature ORDER BY v) AS upto FROM (SELECT feature, v, sum(n) AS n FROM u GROUP BY ALL)),
+         q AS (SELECT *, CASE WHEN r > 0 THEN v + r ELSE v END AS below, CASE WHEN r > 0 THEN v - r ELSE v END AS most FROM u),
+         a AS (SELECT q.*, coalesce(c.upto, 0) AS strict FROM q ASOF LEFT JOIN c ON q.feature = c.feature AND q.below > c.v),
+         b AS (SELECT a.*, coalesce(c.upto, 0) AS loose FROM a ASOF LEFT JOIN c ON a.feature = c.feature AND a.most >= c.v),
+         m AS (SELECT feature, y, n, (CASE WHEN r > 0 THEN strict - loose ELSE loose - strict END)::BIGINT AS m FROM b),
+         h AS (SELECT k, -0.5772156649015329::DOUBLE + coalesce(sum(1.0::DOUBLE / k) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS psi
+               FROM range(1, (SELECT count(*) + 1 FROM flows)) t(k)),
+         s AS (SELECT feature, y, sum(n)::BIGINT AS rows, sum(n * psi) AS inner_psi FROM m JOIN h ON m.m = h.k GROUP BY ALL),
+         t AS (SELECT feature, sum(s.rows)::BIGINT AS rows, sum(inner_psi) AS inner_psi, sum(s.rows * (h.psi - (SELECT psi FROM h WHERE k = 3))) AS classes FROM s JOIN h ON s.rows = h.k GROUP BY feature)
+    SELECT feature, round(greatest(0.0, psi - (classes + inner_psi) / t.rows), 6) AS mi_score FROM t JOIN h ON t.rows = h.k""")
+def neighbour_information(spark, folder):
+    table = neighbours.neighbour_information(views.flows(spark, folder), NUMBERS, "label")
+    return table.select("feature", F.round("mi_score", 6).alias("mi_score"))
+
+
 @query("rfe_select")
 def rfe_select(spark, folder):
     df = _wide(spark, folder)

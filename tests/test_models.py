@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from flowguard.operators import features, metrics, resample
+from flowguard.operators import features, metrics, neighbours, resample
 from flowguard.operators.distributed import mix
 from flowguard.plans import explain, training
 
@@ -325,3 +325,38 @@ def test_boosting_learns_as_well_as_one_against_the_rest(spark, learnable, tmp_p
     path = training.save_model(training.Trained("boosted_trees", model, 0.0), str(tmp_path))
     assert path and [r["pred"] for r in training.predict(training.load_model(spark, str(tmp_path), "boosted_trees"), learnable).orderBy("id").collect()] == [
         r["pred"] for r in training.predict(model, learnable).orderBy("id").collect()]
+
+
+def _ross(x, y, k):
+    """The estimate row by row."""
+    from math import inf
+    psi = lambda n: -0.5772156649015329 + sum(1 / i for i in range(1, n))
+    kept = [i for i in range(len(x)) if sum(z == y[i] for z in y) > 1]
+    total = 0.0
+    for i in kept:
+        same = sorted(abs(x[j] - x[i]) for j in kept if y[j] == y[i] and j != i)
+        near, size = min(k, len(same)), len(same) + 1
+        r = same[near - 1]
+        m = sum((x[i] - r < x[j] < x[i] + r) if r > 0 else x[j] == x[i] for j in kept)
+        total += psi(near) - psi(size) - psi(m)
+    return max(0.0, psi(len(kept)) + total / len(kept)) if kept else -inf
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_neighbour_information_equals_brute_force(spark, parts):
+    rng = random.Random(parts)
+    rows = []
+    for i in range(240):
+        y = rng.choice(["a", "b", "b", "c"]) if i else "alone"
+        rows.append((y, rng.gauss(0, 1) + (y == "b"), float(rng.randrange(5)) + (y == "c"), None if rng.random() < 0.3 else rng.random(), 7.0))
+    rows += [(None, 1.0, 1.0, 1.0, 7.0), ("a", float("nan"), float("inf"), 0.5, 7.0)]
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        df = spark.createDataFrame(rows, "y string, smooth double, few double, gaps double, one double")
+        found = {r["feature"]: r["mi_score"] for r in neighbours.neighbour_information(df, ["smooth", "few", "gaps", "one"], "y").collect()}
+        for at, name in enumerate(["smooth", "few", "gaps", "one"], 1):
+            kept = [r for r in rows if r[0] is not None and r[at] is not None and abs(r[at]) < float("inf")]
+            assert found[name] == pytest.approx(_ross([r[at] for r in kept], [r[0] for r in kept], 3), abs=1e-9), name
+        assert [r["mi_score"] for r in neighbours.neighbour_information(df.limit(0), ["few"], "y").collect()] == [0.0]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
