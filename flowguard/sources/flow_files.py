@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import csv
+import re
+from collections.abc import Iterator
 from functools import reduce
 from pathlib import PurePosixPath
+from urllib.parse import unquote
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,6 +72,46 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
     return next(csv.reader([line.removeprefix("\ufeff")])) if line else []
 
 
+def _first_lines(enough: int):
+    """The first line of every file that begins in a task. A block of at least `enough` bytes is alone in its task, which
+    stops after its first lines."""
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = None
+        for batch in batches:
+            files, starts, lengths, lines = (batch.column(i) for i in range(4))
+            names = files.to_numpy(zero_copy_only=False)
+            for at in np.flatnonzero(np.append(True, names[1:] != names[:-1])):
+                if names[at] != seen and starts[at].as_py() == 0:
+                    yield pa.RecordBatch.from_arrays([pa.array([names[at]]), lines.slice(at, 1)], names=["file", "line"])
+                seen = names[at]
+            if lengths[0].as_py() >= enough:
+                return
+    return first
+
+
+def headers_of(spark: SparkSession, files: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """The files of each header, by one job over all files, in the order given.
+
+    Tasks read the small files they hold and the first lines of each block of a large one. A file whose first line was not
+    met (an empty one, or a large block that shared its task) is opened from here.
+    """
+    block = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    meta = [F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_block_start", "file_block_length")]
+    lines = spark.read.text(files).select(*meta, "value").mapInArrow(_first_lines(block // 2), "file string, line string")
+    known = {_name(f): r["line"] for r in lines.groupBy("line").agg(F.collect_list("file").alias("files")).collect() for f in r["files"]}
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for f in files:
+        line = known.get(_name(f))
+        names = header_of(spark, f) if line is None else next(csv.reader([line.removeprefix("\ufeff")]))
+        by_header.setdefault(tuple(names), []).append(f)
+    return by_header
+
+
+def _name(path: str) -> str:
+    """A path as text that agrees between listings and scans: without the slashes behind the scheme, escapes resolved."""
+    return re.sub(r"^([a-zA-Z0-9+.-]+:)/+", r"\1/", unquote(path) if ":" in path else f"file:{path}")
+
+
 def check_headers(headers: list[list[str]]) -> None:
     """SET-02 and the strict rule of SRC-03: as many columns, and the same names in any order."""
     first = [h.strip() for h in headers[0]]
@@ -93,9 +138,7 @@ def load_merged(spark: SparkSession, files: list[str], strict: bool = True) -> D
 
     A name that one header repeats is an error (DQ-05), since its columns could not be told apart.
     """
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for f in files:
-        by_header.setdefault(tuple(header_of(spark, f)), []).append(f)
+    by_header = headers_of(spark, files)
     for header, names in by_header.items():
         if repeated := duplicate_names(list(header)):
             raise ValueError(f"{names[0]} repeats the columns {repeated}")

@@ -181,3 +181,24 @@ def test_trend_keeps_every_point_and_the_latest_on_request(spark):
     assert analytics.trend(rows, datetime(2024, 9, 1)).count() == 150
     latest = [r["time"] for r in analytics.trend(rows, datetime(2024, 9, 1), points=2).collect()]
     assert latest == ["2024-05-28", "2024-05-29"]
+
+
+def test_headers_of_many_files_by_one_job(spark, tmp_path):
+    """Thousands of small files, some odd names, an empty one, and large files whose later blocks begin with data."""
+    for i in range(2000):
+        (tmp_path / f"f {i}%20.csv").write_text("\ufeffa,b\n1,2\n" if i % 3 else 'b,"c, d"\n3,4\n')
+    (tmp_path / "empty.csv").write_text("")  # listings leave empty files out
+    (tmp_path / "large.csv").write_text("x,y\n" + "7,8\n" * 400_000)
+    files = flow_files.scan_directory(spark, str(tmp_path))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    opened = []
+    plain = flow_files.header_of
+    flow_files.header_of = lambda session, f: opened.append(f) or plain(session, f)
+    try:
+        found = flow_files.headers_of(spark, files)
+    finally:
+        flow_files.header_of = plain
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {h: len(f) for h, f in found.items()} == {("a", "b"): 1333, ("b", "c, d"): 667, ("x", "y"): 1}
+    assert sorted(f for some in found.values() for f in some) == files
+    assert len(opened) <= 1  # at most the large one
