@@ -98,18 +98,19 @@ def headers_of(spark: SparkSession, files: list[str]) -> dict[tuple[str, ...], l
     block = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     meta = [F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_block_start", "file_block_length")]
     lines = spark.read.text(files).select(*meta, "value").mapInArrow(_first_lines(block // 2), "file string, line string")
-    known = {_name(f): r["line"] for r in lines.groupBy("line").agg(F.collect_list("file").alias("files")).collect() for f in r["files"]}
+    known = {_name(unquote(f)): r["line"] for r in lines.groupBy("line").agg(F.collect_list("file").alias("files")).collect() for f in r["files"]}
     by_header: dict[tuple[str, ...], list[str]] = {}
     for f in files:
-        line = known.get(_name(f))
+        place, system = (None, None) if ":" in f else _hadoop(spark, f)
+        line = known.get(_name(f if place is None else system.makeQualified(place).toString()))
         names = header_of(spark, f) if line is None else next(csv.reader([line.removeprefix("\ufeff")]))
         by_header.setdefault(tuple(names), []).append(f)
     return by_header
 
 
 def _name(path: str) -> str:
-    """A path as text that agrees between listings and scans: without the slashes behind the scheme, escapes resolved."""
-    return re.sub(r"^([a-zA-Z0-9+.-]+:)/+", r"\1/", unquote(path) if ":" in path else f"file:{path}")
+    """A path without the slashes behind its scheme, whose number differs between listings and scans."""
+    return re.sub(r"^([a-zA-Z0-9+.-]+:)/+", r"\1/", path)
 
 
 def check_headers(headers: list[list[str]]) -> None:
