@@ -25,6 +25,7 @@ from flowguard.operators import metrics
 from flowguard.operators.distributed import running_totals
 from flowguard.operators.features import stratified_sample
 from flowguard.plans import forest
+from flowguard.plans.extra import ExtraTrees
 from flowguard.session import cut_lineage
 
 FEATURES, LABEL, WEIGHT = "features", "label_index", "weight"
@@ -68,8 +69,8 @@ def random_forest(seed: int, weighted: bool, **given) -> Estimator:
 
 
 def extra_trees(seed: int, weighted: bool, **given) -> Estimator:
-    """ML-05, nearest form: no bootstrap, random feature subsets; split points are still searched, not drawn."""
-    return RandomForestClassifier(**(_common(seed, weighted, numTrees=30, maxDepth=15, bootstrap=False, featureSubsetStrategy="sqrt") | given))
+    """ML-05."""
+    return ExtraTrees(**(_common(seed, weighted, numTrees=30, maxDepth=15, bootstrap=False, featureSubsetStrategy="sqrt") | given))
 
 
 class BoostedTrees(Estimator):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flowguard.operators import features, metrics, neighbours, resample
 from flowguard.operators.distributed import mix
-from flowguard.plans import explain, training
+from flowguard.plans import explain, forest, training
 
 
 def by_id():
@@ -360,3 +360,55 @@ def test_neighbour_information_equals_brute_force(spark, parts):
         assert [r["mi_score"] for r in neighbours.neighbour_information(df.limit(0), ["few"], "y").collect()] == [0.0]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def _node_rows(model, rows):
+    """Every inner node of every tree: feature, threshold, and the rows that reach it."""
+    flat = forest.flatten(model)
+    out = []
+    for root in flat.roots:
+        stack = [(int(root), np.arange(len(rows)))]
+        while stack:
+            node, at = stack.pop()
+            step = int(flat.steps[node])
+            left, feature, cut = step >> 32, (step >> 16) & 0xFFFF, step & 0xFFFF
+            if left == node:
+                continue
+            threshold = flat.thresholds[feature][cut]
+            below = rows[at, feature] <= threshold
+            out.append((feature, threshold, at))
+            stack += [(left, at[below]), (left + 1, at[~below])]
+    return out
+
+
+def test_extra_trees_draw_their_thresholds(spark, learnable):
+    settings = {"numTrees": 8, "maxDepth": 6, "minInstancesPerNode": 3, "featureSubsetStrategy": "2"}
+    model = training.build("extra_trees", **settings).fit(learnable)
+    again = training.build("extra_trees", **settings).fit(learnable.repartition(5))
+    assert model.toDebugString.split("\n")[1:] == again.toDebugString.split("\n")[1:] and model.getNumTrees == 8
+    assert training.build("extra_trees", seed=1, **settings).fit(learnable).toDebugString.split("\n")[1:] != model.toDebugString.split("\n")[1:]
+    data = learnable.orderBy("id").toPandas()
+    x, y = data[list("abcd")].to_numpy(), data["label_index"].to_numpy()
+    inner = _node_rows(model, x)
+    optimal = 0
+    for feature, threshold, at in inner:
+        v = x[at, feature]
+        assert v.min() <= threshold < v.max() and 3 <= (v <= threshold).sum() <= len(at) - 3
+
+        def cost(cut):
+            sides = [y[at][v <= cut], y[at][v > cut]]
+            return sum(len(s) - sum((s == c).sum() ** 2 for c in range(3)) / max(1, len(s)) for s in sides)
+        optimal += cost(threshold) <= min(cost(c) for c in np.unique(v)[:-1]) + 1e-9
+    assert len(inner) > 100 and optimal < len(inner) / 2
+    assert len({f for f, _, at in inner if len(at) == 600}) > 1  # trees differ from the root on
+    assert training.MacroF1().evaluate(training.build("extra_trees", numTrees=20, maxDepth=12).fit(learnable).transform(learnable)) > 0.9
+    one = learnable.withColumn("label_index", F.lit(1.0))
+    assert training.build("extra_trees", numTrees=2).fit(one).totalNumNodes == 2
+
+
+def test_extra_trees_count_weights(spark):
+    rows = [(float(i % 10), float(i % 2), 1.0 if i % 2 else 3.0) for i in range(60)]
+    df = VectorAssembler(inputCols=["v"], outputCol="features").transform(spark.createDataFrame(rows, "v double, label_index double, weight double"))
+    model = training.build("extra_trees", weighted=True, numTrees=1, maxDepth=1).fit(df)
+    flat = forest.flatten(model)
+    assert np.allclose(flat.shares[flat.roots[0]], [0.75, 0.25])
