@@ -24,4 +24,4 @@ def query(name: str, views: str = "", sql: str | None = None) -> Callable[[Query
 
 def load() -> None:
     """Import the modules that register queries."""
-    from flowguard.plans import alert_queries, flow_queries, model_queries, store_queries, table_queries  # noqa: F401
+    from flowguard.plans import alert_queries, flow_queries, model_queries, small_queries, store_queries, table_queries  # noqa: F401
