@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowguard.llm import decontaminate, dialogue, language, mixing, oracle, passages, pii, quality, sharding, simhash, urls, vectors, warc, wrappers
+from flowguard.llm import decontaminate, dialogue, language, mixing, oracle, paragraphs, pii, quality, sharding, simhash, urls, vectors, warc, wrappers
 from flowguard.llm.common import table
 from flowguard.session import cut_lineage, scratch_folder
 
@@ -78,7 +78,7 @@ def _span_text(span: Column) -> Column:
 
 def op9_passages(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the passages that occur earlier, and the spans that were cut."""
-    return passages.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"), anchored=True)
+    return paragraphs.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
 
 
 def op10_pages(spark: SparkSession, folder: str) -> DataFrame:
