@@ -86,8 +86,8 @@ def test_cuts_depend_on_the_words_alone():
         before = prose(rng, rng.randint(1, 40)).replace("\n", " ")
         units = paragraphs.Units(before + " " + passage + " " + prose(rng, 9))
         start = len(words(before))
-        # The first cut that the words make is in the first half; a cut looks one word further to the right.
-        inside = {int(f) - start for f in units.first if start + 30 <= f < start + len(words(passage)) - paragraphs.REACH - 1}
+        # From the first cut that the words make on; a cut looks one word further to the right.
+        inside = {int(f) - start for f in units.first if start + 16 <= f < start + len(words(passage)) - paragraphs.REACH - 1}
         seen.append(inside)
         assert (units.last - units.first).max() <= paragraphs.MOST_WORDS and units.first[0] == 0
         assert (units.first[1:] == units.last[:-1]).all()
