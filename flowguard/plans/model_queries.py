@@ -427,3 +427,19 @@ def smote(spark, folder):
     for i in range(len(INPUTS)):
         inside = inside & F.get("vector", F.lit(i)).between(F.col(f"b{i}.lo") - 1e-9, F.col(f"b{i}.hi") + 1e-9)
     return made.join(F.broadcast(sides), "label").groupBy("label", "synthetic").agg(F.count("*").alias("rows"), F.count_if(~inside).alias("outside"))  # one row per class
+
+
+@query("smote_neighbours", "flows", """
+    WITH p AS (SELECT l_orderkey * 10 + l_linenumber AS id, min(quantity) AS a, min(round(discount * 100)) AS b, min(round(tax * 100)) AS c, min(supp) AS d, min(m) AS m FROM flows GROUP BY 1),
+         q AS (SELECT * FROM p WHERE m % 40 = 0)
+    SELECT x.id, array_to_string(list_sort(list(((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b) + (x.c - y.c) * (x.c - y.c) + (x.d - y.d) * (x.d - y.d))::BIGINT))[1:5], ',') AS squares
+    FROM q x JOIN q y ON x.id <> y.id GROUP BY x.id""")
+def smote_neighbours(spark, folder):
+    """Squared distances to the five neighbours from which new rows of the smallest class are made."""
+    flows = views.flows(spark, folder).withColumn("m", views.flow_mix())
+    least = [F.min(c).cast("double") for c in (F.col("quantity"), F.round(F.col("discount") * 100), F.round(F.col("tax") * 100), F.col("supp"))]
+    rows = flows.groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).agg(F.array(*least).alias("v"), F.min("m").alias("m"))
+    named = rows.withColumn("label", F.when(F.col("m") % 40 == 0, "rare").when(F.col("m") % 40 < 9, "few").otherwise("most")).where("label <> 'most'")
+    found = resample.nearest_in_class(named, "label", "v", 5).where("label = 'rare'")
+    square = F.transform("neighbours", lambda n: F.aggregate(F.zip_with("vector", n, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x).cast("bigint"))
+    return found.select("id", F.array_join(F.transform(F.array_sort(square), lambda s: s.cast("string")), ",").alias("squares"))
