@@ -144,14 +144,13 @@ def summary_files(spark, folder):
     UNION ALL SELECT ip, 'malicious_ip', max_by(category, seq), max_by(coalesce(threat_score, 0), seq) FROM ioc WHERE list_type = 'malicious_ip' GROUP BY ip""")
 def indicator_file(spark, folder):
     listed = views.ioc(spark, folder)
-    entry = F.struct(F.col("category"), F.col("threat_score"), F.col("first_seen"))
     feed_rows = listed.where("list_type = 'malicious_ip'").groupBy("ip").agg(
         F.max_by("category", "seq").alias("category"), F.max_by(F.coalesce("threat_score", F.lit(0)), "seq").alias("threat_score"), F.first("first_seen").alias("first_seen"))
-    document = feed_rows.agg(F.map_from_entries(F.collect_list(F.struct("ip", entry))).alias("known_malicious_ips"))  # an indicator file is one JSON document
-    for name in ("whitelist", "blacklist"):
-        document = document.join(listed.agg(F.collect_set(F.when(F.col("list_type") == name, F.col("ip"))).alias(name)))
+    entry = F.to_json(F.create_map("ip", F.struct("category", "threat_score", "first_seen")))
+    members = {name: listed.where(F.col("list_type") == name).select(F.concat(F.lit('"'), "ip", F.lit('"')).alias("text")).distinct() for name in ("whitelist", "blacklist")}
+    members["known_malicious_ips"] = feed_rows.select(entry.substr(F.lit(2), F.length(entry) - 2).alias("text"))
     with scratch_folder(spark) as place:
-        flow_files.write_json(document, place)
+        stores.write_document(members, place, ("known_malicious_ips",))
         return cut_lineage(stores.read_indicators(spark, place).select("ip", "list_type", "category", "threat_score"))
 
 
@@ -167,7 +166,7 @@ def history_file(spark, folder):
                           "struct<ip:string,rule_name:string,duration_sec:int>").alias("details")))
     records = views.table(spark, folder, "supplier").select(F.struct(F.lit("generic").alias("playbook"), actions.alias("actions_taken")).alias("r"))
     with scratch_folder(spark) as place:
-        flow_files.write_json(records.agg(F.collect_list("r").alias("history")), place)  # a history file is one JSON document
+        stores.write_document({"history": records.select(F.to_json("r").alias("text"))}, place)
         return cut_lineage(stores.read_history(spark, place).select("ip", "rule_name", "duration_sec", "action", "step"))
 
 

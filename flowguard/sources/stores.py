@@ -13,6 +13,7 @@ from pyspark.sql.utils import AnalysisException
 from flowguard.functions.constants import DEFAULT_BLACKLIST, DEFAULT_MALICIOUS, DEFAULT_WHITELIST
 from flowguard.operators.alerts import newest
 from flowguard.session import cut_lineage
+from flowguard.sources.documents import entries
 
 INDICATOR_SCHEMA = "ip string, list_type string, category string, threat_score int, first_seen string, seq bigint"
 INDICATOR_FILE = T.StructType([
@@ -95,33 +96,57 @@ def default_indicators(spark: SparkSession) -> DataFrame:
 
 
 def read_indicators(spark: SparkSession, path: str | None) -> DataFrame:
-    """SRC-09: indicator lists of a JSON file as one tall table; the defaults when there is no file."""
+    """SRC-09: indicator lists of a JSON file as one tall table, read by many tasks; the defaults when there is no file."""
     if path is None:
         return default_indicators(spark)
     try:
-        file = spark.read.schema(INDICATOR_FILE).option("multiLine", True).json(path)
+        found = entries(spark, path)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return default_indicators(spark)
         raise
-    none = F.lit(None)
-    lists = [
-        file.select(F.explode(name).alias("ip"), F.lit(name).alias("list_type"), none.cast("string").alias("category"),
-                    none.cast("int").alias("threat_score"), none.cast("string").alias("first_seen"))
-        for name in ("whitelist", "blacklist")]
-    feed = file.select(F.explode("known_malicious_ips").alias("ip", "e")).select("ip", F.lit("malicious_ip").alias("list_type"), "e.category", "e.threat_score", "e.first_seen")
-    return lists[0].unionByName(lists[1]).unionByName(feed).withColumn("seq", F.lit(0).cast("bigint"))
+    none, member = F.lit(None), F.col("member")
+    plain = F.get_json_object(F.concat(F.lit('{"v":'), "text", F.lit("}")), "$.v")
+    listed = found.where(member.isin("whitelist", "blacklist")).select(
+        plain.alias("ip"), member.alias("list_type"), none.cast("string").alias("category"), none.cast("int").alias("threat_score"), none.cast("string").alias("first_seen"))
+    one = F.from_json(F.concat(F.lit("{"), "text", F.lit("}")), INDICATOR_FILE["known_malicious_ips"].dataType)
+    feed = found.where(member == "known_malicious_ips").select(F.explode(one).alias("ip", "e")).select(
+        "ip", F.lit("malicious_ip").alias("list_type"), "e.category", "e.threat_score", "e.first_seen")
+    return listed.unionByName(feed).withColumn("seq", F.lit(0).cast("bigint"))
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-10: mitigation history, one row per action with its block details."""
-    records = spark.read.schema(HISTORY_FILE).option("multiLine", True).json(path).select(F.inline("history"))
+    """SRC-10: mitigation history, one row per action with its block details; the file is read by many tasks."""
+    record = F.from_json("text", HISTORY_FILE["history"].dataType.elementType)
+    records = entries(spark, path).where("member = 'history'").select(record.alias("r")).select("r.*")
     return records.select("timestamp", "playbook", "attack_type", "target_ip", "status", F.posexplode("actions_taken").alias("step", "a")).select(
         "timestamp", "playbook", "attack_type", "target_ip", "status", "step", "a.action", "a.target_port", "a.limit", "a.details.*"
     ).toDF("timestamp", "playbook", "attack_type", "target_ip", "status", "step", "action", "target_port", "limit",
            "ip", "rule_name", "reason", "blocked_at", "duration_sec", "block_status")
 
 
+def write_document(members: dict[str, DataFrame], path: str, named: tuple[str, ...] = ()) -> None:
+    """One JSON document with an array per member, or an object for the `named` ones, whose entries are the rows' `text`.
+
+    The entries are sorted and written line by line; nothing is gathered in memory. One file is written by one task.
+    """
+    lines = None
+    for number, (name, rows) in enumerate(members.items()):
+        ends = ("{", "}") if name in named else ("[", "]")
+        first = rows.agg(F.min("text").alias("first"))  # one row
+        body = rows.groupBy("text").agg(F.count("*").alias("n")).join(first).select(
+            F.lit(3 * number + 1).alias("part"), F.when(F.col("text") == F.col("first"), F.col("text")).otherwise(F.concat(F.lit(","), "text")).alias("value"),
+            (F.col("text") != F.col("first")).alias("later"), "n")
+        again = body.select("part", F.when(F.col("later"), F.col("value")).otherwise(F.concat(F.lit(","), "value")).alias("value"), F.lit(True).alias("later"), (F.col("n") - 1).alias("n"))
+        body = body.withColumn("n", F.lit(1).cast("bigint")).unionByName(again.where("n > 0")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")))
+        frame = rows.sparkSession.createDataFrame([(3 * number, f'{"," if number else "{"}{json.dumps(name)}: {ends[0]}', False), (3 * number + 2, ends[1], False)],
+                                                  "part int, value string, later boolean")
+        part = frame.unionByName(body.select("part", "value", "later"))
+        lines = part if lines is None else lines.unionByName(part)
+    lines = lines.unionByName(lines.sparkSession.createDataFrame([(3 * len(members), "}", False)], "part int, value string, later boolean"))
+    lines.repartition(1).sortWithinPartitions("part", "later", "value").select("value").write.mode("overwrite").text(path)
+
+
 # ---- audit -------------------------------------------------------------------------------------
 
 AUDIT_SCHEMA = "id string, timestamp timestamp, event_type string, username string, ip_address string, action string, status string, details string"

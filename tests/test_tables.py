@@ -1,5 +1,6 @@
 """Loading, cleaning, validation and profiling of small traffic tables with answers worked out by hand."""
 
+import json
 from datetime import datetime
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from flowguard.functions.constants import FLOW_FEATURES
 from flowguard.operators import analytics, cleaning, profiling
-from flowguard.sources import flow_files
+from flowguard.sources import documents, flow_files, stores
 
 DAY_1 = """ Destination Port, Flow Duration, Total Fwd Packets,Flow Bytes/s, Label
 80,100,2,2000,BENIGN
@@ -202,3 +203,41 @@ def test_headers_of_many_files_by_one_job(spark, tmp_path):
     assert {h: len(f) for h, f in found.items()} == {("a", "b"): 1333, ("b", "c, d"): 667, ("x", "y"): 1}
     assert sorted(f for some in found.values() for f in some) == files
     assert len(opened) <= 1  # at most the large one
+
+
+@pytest.mark.parametrize("width", [17, 64, 1000, 100_000])
+def test_one_document_read_in_ranges(spark, tmp_path, width):
+    """Commas, brackets, quotes and escapes inside strings, nested values, and ranges that begin anywhere."""
+    odd = ['a,b', 'x\\y', 'he said "no, {never}"', "[,]", "é,ü", "", "\\", '",', "1}"]
+    document = {"whitelist": odd, "empty": [], "one": {"k,1": {"v": odd, "n": [1, {"z": 2.5}]}, 'q"': {"v": [], "n": []}}, "none": {}, "flat": [1, True, None, -2.5e3, [1, 2]],
+                "history": [{"a": i, "s": odd[i % len(odd)], "t": [{"u": odd}]} for i in range(60)], "scalar": 5, "last": "text, [ more"}
+    (tmp_path / "a.json").write_text(json.dumps(document, indent=2 if width % 2 else None, ensure_ascii=width == 64))
+    for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        spark.conf.set(key, str(width if "max" in key else 0))
+    try:
+        found = documents.entries(spark, str(tmp_path / "a.json"))
+        tasks = found.rdd.getNumPartitions()
+        rows = found.collect()
+    finally:
+        for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            spark.conf.unset(key)
+    assert tasks > 4 or width > 1000
+    for member, value in document.items():
+        mine = [r["text"] for r in rows if r["member"] == member]
+        if isinstance(value, list):
+            assert sorted(json.dumps(json.loads(t)) for t in mine) == sorted(map(json.dumps, value)), member
+        elif isinstance(value, dict):
+            assert {k: v for t in mine for k, v in json.loads("{" + t + "}").items()} == value, member
+        else:
+            assert not mine
+
+
+def test_documents_are_written_and_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([(f'"10.0.0.{i % 7}"',) for i in range(20)], "text string")
+    stores.write_document({"whitelist": rows, "blacklist": rows.limit(0), "known_malicious_ips": spark.createDataFrame([('"1.2.3.4": {"category": "x, y", "threat_score": 9}',)], "text string")},
+                          str(tmp_path / "d"), ("known_malicious_ips",))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "d").glob("part-*")))
+    assert {k: len(v) for k, v in json.loads(text).items()} == {"whitelist": 20, "blacklist": 0, "known_malicious_ips": 1}
+    back = stores.read_indicators(spark, str(tmp_path / "d")).collect()
+    assert sorted(r["ip"] for r in back) == sorted(["1.2.3.4", *[f"10.0.0.{i % 7}" for i in range(20)]])
+    assert [(r["category"], r["threat_score"]) for r in back if r["list_type"] == "malicious_ip"] == [("x, y", 9)]
