@@ -16,7 +16,7 @@ from flowguard.session import cut_lineage
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Vectors under one set of trees, and points of a leaf.
-BLOCK, LEAF = 8192, 32
+BLOCK, LEAF = 8192, 128
 #: Components stay below this, so that no squared distance leaves 64 bits.
 LARGEST = 1 << 27
 
