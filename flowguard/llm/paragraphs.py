@@ -116,7 +116,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", identity: str = "doc_id"
     rows = docs.toDF(*kept).withColumn("hash", F.xxhash64(f"c{at}")).withColumn("name", key_of(F.col(key)))
     # Texts are told apart by their hash only under identities that have several, so that it costs no room in the others' units.
     several = rows.where(f"c{at} is not null").groupBy("name").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a <> b").select("name", F.lit(True).alias("several"))
-    rows = small_join(rows, several, ["name"], ["hash"]).withColumn("hash", F.when(F.col("several"), F.col("hash")).otherwise(0).cast("bigint")).drop("name", "several")
+    body = F.when(F.col("several"), F.col("hash")).otherwise(0).cast("bigint")
+    rows = small_join(rows, several, ["name"], ["hash"]).withColumn("hash", F.when(F.col(f"c{at}").isNotNull(), body)).drop("name", "several")
     found = _digests(rows.select(F.col(key).alias("id"), F.col("hash").alias("body"), F.col(f"c{at}").alias("text")).where("text is not null"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "body", "unit")
     # Written, so that both sides of the join are plain exchanges, which Spark can split where a digest is hot.
