@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -53,52 +54,108 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(features: list[tuple[np.ndarray, np.ndarray]], labels: list[str], dim: int = 16, epochs: int = 8, rate: float = 4.0,
-        precision: float = 0.99, seed: int = 5) -> Model:
-    """Stochastic gradient descent on four fifths of the rows; temperature and rejection threshold on the last fifth.
+Features = list[tuple[np.ndarray, np.ndarray]]
 
-    The temperature minimises the log loss there. The threshold is the lowest probability at which at least `precision`
-    of the accepted rows are right. Rows must come in an order that does not depend on the cluster.
-    """
-    names = sorted(set(labels))
-    if not names:
-        return Model([], np.zeros((1, 1), np.float32), np.zeros(1), 1.0, 1.0)
-    y = np.array([names.index(x) for x in labels])
+
+def _descend(features: Features, y: np.ndarray, rows: np.ndarray, classes: int, dim: int, epochs: int, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Logits per slot and class, and the bias, by stochastic gradient descent. Slots that no row showed say nothing."""
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(y))
-    held, train = order[:len(y) // 5], order[len(y) // 5:]
     embed = rng.normal(0, 0.1, (len(SIZES) << BITS, dim)).astype(np.float32)
-    out, bias = rng.normal(0, 0.1, (dim, len(names))).astype(np.float32), np.zeros(len(names), np.float32)
-    steps, done = max(1, epochs * len(train)), 0
+    out, bias = rng.normal(0, 0.1, (dim, classes)).astype(np.float32), np.zeros(classes, np.float32)
+    steps, done, seen = max(1, epochs * len(rows)), 0, np.zeros(len(embed), bool)
+    for i in rows:
+        seen[features[i][0]] = True
     for _ in range(epochs):
-        for i in rng.permutation(train):
+        for i in rng.permutation(rows):
             slots, share = features[i]
             lr, done = rate * (1 - done / steps), done + 1
             if not len(slots):
                 continue
-            rows = embed[slots]
-            hidden = share @ rows
+            held = embed[slots]
+            hidden = share @ held
             error = _softmax(hidden @ out + bias)
             error[y[i]] -= 1
             back = out @ error
             out -= np.float32(lr * 0.1) * np.outer(hidden, error)
             bias -= np.float32(lr * 0.01) * error
-            embed[slots] = rows - np.float32(lr) * share[:, None] * back
-    table = embed @ out
-    logits = np.array([(share @ table[slots] if len(slots) else 0) + bias for slots, share in (features[i] for i in held)]).reshape(len(held), len(names))
-    temperature, least = 1.0, 0.0
-    if len(held) > 1:
-        def loss(t: float) -> float:
-            return float(-np.log(_softmax(logits / t)[np.arange(len(held)), y[held]] + 1e-12).mean())
-        temperature = float(min(np.geomspace(0.05, 20, 121), key=loss))
-        p = _softmax(logits / temperature)
-        top, right = p.max(axis=1), p.argmax(axis=1) == y[held]
-        ranks = np.argsort(-top, kind="stable")
-        good = np.cumsum(right[ranks]) / np.arange(1, len(held) + 1) >= precision
-        least = float(top[ranks][np.flatnonzero(good)[-1]]) if good.any() else 1.0
+            embed[slots] = held - np.float32(lr) * share[:, None] * back
+    return np.where(seen[:, None], embed @ out, np.float32(0)), bias
+
+
+def _logits(table: np.ndarray, bias: np.ndarray, features: Features, rows: np.ndarray) -> np.ndarray:
+    return np.array([(share @ table[slots] if len(slots) else 0) + bias for slots, share in (features[i] for i in rows)]).reshape(len(rows), len(bias))
+
+
+def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
+    """The divisor, 1 at least, of least log loss against smoothed targets: a class of n rows is right in (n + 1) of (n + classes)
+    cases, so rows that the logits tell apart without an error do not make every answer certain."""
+    if not len(y):
+        return 1.0
+    classes = logits.shape[1]
+    n = np.bincount(y, minlength=classes)[y][:, None]
+    target = np.full(logits.shape, 1.0) / (n + classes)
+    target[np.arange(len(y)), y] = ((n + 1) / (n + classes))[:, 0]
+
+    def loss(t: float) -> float:
+        return float(-(target * np.log(_softmax(logits / t) + 1e-300)).sum(axis=1).mean())
+    return float(min(np.geomspace(1, 1000, 241), key=loss))
+
+
+def _content(features: Features, labels: list[str]) -> list[int]:
+    """Places of the rows in an order that depends on nothing but the rows."""
+    return sorted(range(len(labels)), key=lambda i: (labels[i], hashlib.sha256(features[i][0].tobytes() + features[i][1].tobytes()).digest()))
+
+
+def fit(features: Features, labels: list[str], dim: int = 16, epochs: int = 8, rate: float = 4.0, precision: float = 0.99, seed: int = 5, left_out: int = 4) -> Model:
+    """Gradient descent on four fifths of the rows; temperature and rejection threshold by the last fifth.
+
+    The temperature fits the probabilities to smoothed targets. What an unknown language looks like is learned by leaving
+    known ones out: the languages are dealt into `left_out` groups, and a model that was fitted without a group scores it. The
+    threshold parts the right answers of the last fifth from these as well as can be, and is no lower than the least
+    probability at which `precision` of the accepted rows of the last fifth are right. The same rows in any order give the
+    same model. Without rows, or with a single language, nothing can be told: every text is `und`, or is not accepted.
+    """
+    names = sorted(set(labels))
+    if not names:
+        return Model([], np.zeros((1, 1), np.float32), np.zeros(1), 1.0, 1.0)
+    order = _content(features, labels)
+    features, y = [features[i] for i in order], np.array([names.index(labels[i]) for i in order])
+    mixed = np.random.default_rng(seed).permutation(len(y))
+    held, rows = mixed[:len(y) // 5], mixed[len(y) // 5:]
+    table, bias = _descend(features, y, rows, len(names), dim, epochs, rate, seed)
+    logits = _logits(table, bias, features, held)
+    temperature = _temperature(logits, y[held])
+    p = _softmax(logits / temperature)
+    top, right = p.max(axis=1, initial=0), p.argmax(axis=1) == y[held]
+    strange = []
+    for group in range(min(left_out, len(names)) if len(names) > 2 else 0):
+        out = np.arange(len(names)) % min(left_out, len(names)) == group
+        kept = np.cumsum(~out) - 1  # numbers of the remaining languages
+        inside = rows[~out[y[rows]]]
+        other = _descend(features, np.where(out[y], 0, kept[y]), inside, int((~out).sum()), dim, epochs, rate, seed)
+        known = held[~out[y[held]]]
+        scale = _temperature(_logits(*other, features, known), kept[y[known]])
+        strange.append(_softmax(_logits(*other, features, np.flatnonzero(out[y])) / scale).max(axis=1, initial=0))
+    least = _threshold(top, right, np.concatenate(strange) if strange else np.zeros(0), precision)
     return Model(names, table, bias, temperature, least)
 
 
+def _threshold(top: np.ndarray, right: np.ndarray, strange: np.ndarray, precision: float) -> float:
+    if not right.any():
+        return 1.0
+    ranks = np.argsort(-top, kind="stable")
+    good = np.cumsum(right[ranks]) / np.arange(1, len(top) + 1) >= precision
+    least = float(top[ranks][np.flatnonzero(good)[-1]]) if good.any() else 1.0
+    if not len(strange):
+        return least
+    marks = np.unique(np.concatenate([top[right], strange]))
+    sure, odd = np.sort(top[right]), np.sort(strange)
+    apart = np.searchsorted(odd, marks) / len(odd) - np.searchsorted(sure, marks) / len(sure)
+    at = int(apart.argmax())
+    # Half way between the two scores that the best cut lies between.
+    return max(least, float((marks[at] + marks[max(0, at - 1)]) / 2))
+
+
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", identity: str = "doc_id", per_label: int = 1000,
           labels: int = 200, seed: int = 5) -> Model:
     """Fit on a bounded sample: about `per_label` rows of each of the `labels` most frequent languages."""
