@@ -23,6 +23,25 @@ def plain(df: DataFrame, *wanted: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in wanted])
 
 
+def plain_names(df: DataFrame, made: list[str]) -> tuple[DataFrame, list[str], dict[str, str]]:
+    """The columns that an operator keeps, all but those it makes, as c0, c1, ...; their own names in order; and which became which.
+
+    Whatever a column is called, dots and backticks included, it cannot clash with a name used inside.
+    """
+    kept = [c for c in df.columns if c not in made]
+    numbered = {c: f"c{i}" for i, c in enumerate(kept)}
+    return df.select(*[F.col("`" + c.replace("`", "``") + "`").alias(n) for c, n in numbered.items()]), kept, numbered
+
+
+def copies(df: DataFrame, name: str, lot: int = 4096) -> DataFrame:
+    """The rows with a number, 0 to n - 1 among n equal ones. Equal rows are counted and made again, in lots that are dealt
+    to tasks, so no task holds them all; rows should be slim and their columns sortable."""
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n"))
+    lots = counted.withColumn("__lot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(__n - 1) div {lot}"))))
+    last = F.least(F.col("__n"), (F.col("__lot") + 1) * lot) - 1
+    return lots.withColumn(name, F.explode(F.sequence(F.col("__lot") * lot, last))).drop("__n", "__lot")
+
+
 def key_of(column: Column) -> Column:
     """A text key that is never null, so that rows without a value form a group of their own."""
     return F.when(column.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), column.cast("string")))

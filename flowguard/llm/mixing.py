@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flowguard.llm.common import attach, key_of, small_join, uniform
+from flowguard.llm.common import attach, copies, key_of, plain_names, small_join, uniform
 from flowguard.session import cut_lineage
 
 #: Units that one node of the reduction tree combines.
@@ -49,15 +49,19 @@ def mix(rows: DataFrame, source: str = "source", size: str = "size", identity: t
     in the next node until one per source is left, which is taken if at least half of its mass remains. All draws are
     hashes, so a rerun or a repeated task decides alike.
 
+    Equal rows are counted first and numbered, and leaves are dealt by identity, size and number, so neither a missing
+    identity nor many equal rows fill a leaf.
+
     Rows of null or zero size hold no mass and get floor(c) copies. Null sources form one source. Rows that agree in
     identity and size are interchangeable. Empty tables give empty results. Existing columns of the added names are
     replaced. Columns must be sortable, and should be slim: rows are written once between leaves and tree.
     """
-    rows = rows.drop("source_size", "target", "copies")
+    rows, names, of = plain_names(rows, ["source_size", "target", "copies"])
+    source, size, identity = of[source], of[size], tuple(of[c] for c in identity)
     sources = cut_lineage(targets(rows, source, size, weights, cap))
-    units = rows.select(F.struct(*rows.columns).alias("row"), key_of(F.col(source)).alias("key"),
-                        F.coalesce(F.col(size), F.lit(0)).cast("double").alias("z"),
-                        F.xxhash64(F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in identity]).alias("h"))
+    drawn = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in identity]
+    units = copies(rows, "copy").select(F.struct(*rows.columns).alias("row"), key_of(F.col(source)).alias("key"), F.coalesce(F.col(size), F.lit(0)).cast("double").alias("z"),
+                                        F.xxhash64(F.lit(seed), *drawn, F.coalesce(F.col(size), F.lit(0)), "copy").alias("h"))
     units = small_join(units, sources, ["key"], ["h"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     leaf = F.pmod(F.col("h"), F.ceil(F.col("n") / fan).cast("long"))
@@ -76,7 +80,8 @@ def mix(rows: DataFrame, source: str = "source", size: str = "size", identity: t
     decided = closed[0]
     for part in closed[1:]:
         decided = decided.unionByName(part)
-    return decided.select("unit.row.*", "unit.source_size", "unit.target", (F.col("unit.whole") + F.col("more")).alias("copies"))
+    return decided.select("unit.row.*", "unit.source_size", "unit.target", (F.col("unit.whole") + F.col("more")).alias("copies")).toDF(
+        *names, "source_size", "target", "copies")
 
 
 def _node(units: DataFrame, seed: int) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowguard.llm.common import key_of, small_join
+from flowguard.llm.common import key_of, plain_names, small_join
 from flowguard.llm.passages import _letters, _mixed, _span_hashes, without, words_of
 from flowguard.session import cut_lineage
 
@@ -110,10 +110,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", identity: str = "doc_id"
     Columns of the added names are replaced; any other names are kept, dots included.
     """
     made = ["n_units", "n_repeated", "n_removed_chars", "removed"]
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in made])
-    kept = [f"c{i}" for i in range(len(docs.columns))]
-    at, key = docs.columns.index(text), f"c{docs.columns.index(identity)}"
-    rows = docs.toDF(*kept).withColumn("hash", F.xxhash64(f"c{at}")).withColumn("name", key_of(F.col(key)))
+    plain, own, of = plain_names(docs, made)
+    kept, at, key = plain.columns, own.index(text), of[identity]
+    rows = plain.withColumn("hash", F.xxhash64(f"c{at}")).withColumn("name", key_of(F.col(key)))
     # Texts are told apart by their hash only under identities that have several, so that it costs no room in the others' units.
     several = rows.where(f"c{at} is not null").groupBy("name").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a <> b").select("name", F.lit(True).alias("several"))
     body = F.when(F.col("several"), F.col("hash")).otherwise(0).cast("bigint")
@@ -125,7 +124,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", identity: str = "doc_id"
     later = found.join(firsts, ["low", "high"]).where(~place.eqNullSafe(F.col("first")))
     marked = later.groupBy("id", "body").agg(F.collect_set("unit").alias("units"))
     joined = rows.join(marked, F.col(key).eqNullSafe(F.col("id")) & (F.col("hash") == F.col("body")), "left").select(*kept, "units")
-    schema = ", ".join([f"{c} {f.dataType.simpleString()}" for c, f in zip(kept, docs.schema.fields)]
+    schema = ", ".join([f"{c} {f.dataType.simpleString()}" for c, f in zip(kept, plain.schema.fields)]
                        + ["n_units int, n_repeated int, n_removed_chars int, removed array<struct<start:int,end:int>>"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,4 +142,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", identity: str = "doc_id"
             columns += [pa.array([c[i] for c in counts], pa.int32()) for i in range(3)]
             columns.append(pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *made])
-    return joined.mapInArrow(cut, schema).toDF(*docs.columns, *made)
+    return joined.mapInArrow(cut, schema).toDF(*own, *made)

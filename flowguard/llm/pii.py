@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowguard.llm.common import plain_names
 from flowguard.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -224,7 +225,8 @@ def detect(docs: DataFrame, text: str = "text", identity: str = "doc_id", near:
     that agree in identity and text get equal spans; empty tables give empty results; columns named `base` or `added` are
     replaced.
     """
-    docs = docs.drop("base", "added")
+    docs, own, of = plain_names(docs, ["base", "added"])
+    text, identity = of[text], of[identity]
     counts = cut_lineage(_entity_counts(docs, text)), cut_lineage(_term_counts(docs, text, _terms_of_holders(docs, text)))
     met = cut_lineage(_occurrences(docs, text, identity, near, (*counts, threshold) if 0 <= threshold <= 1 else None))
     telling = cut_lineage(disclosures(docs, met, text, support, threshold, counts, smooth=True))
@@ -247,7 +249,7 @@ def detect(docs: DataFrame, text: str = "text", identity: str = "doc_id", near:
                 base.append([{"kind": k, "start": a, "end": b, "share": 1.0} for k, a, b in found])
                 more.append([{"kind": "term", "start": a, "end": b, "share": shares[w]} for w, a, b in _words(t, found) if w in shares] if shares else [])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(last)), pa.array(base, kind), pa.array(more, kind)], names=names)
-    return joined.mapInArrow(match, schema)
+    return joined.mapInArrow(match, schema).toDF(*own, "base", "added")
 
 
 def sanitise(found: DataFrame, text: str = "text", remove: float = REMOVE) -> DataFrame:

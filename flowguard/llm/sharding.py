@@ -4,50 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from flowguard.llm.common import key_of
+from flowguard.llm.common import key_of, plain_names, small_join
+from flowguard.operators.distributed import running_totals
 from flowguard.session import cut_lineage
 
-#: Slices of the hash order and of the fractional ranks. Results do not depend on them; a slice is one task's sort.
-SLICES = 4096
+#: Rows that one task sorts.
+ROWS_PER_TASK = 1_000_000
 
 
 def assign_shards(rows: DataFrame, shards: int, stratum: str = "source", identity: tuple[str, ...] = ("doc_id",),
-                  seed: str = "shards", slices: int = SLICES) -> DataFrame:
+                  seed: str = "shards", rows_per_task: int = ROWS_PER_TASK, slices: int | None = None) -> DataFrame:
     """Adds `shard` (0 to shards - 1) and `slot` (gapless from 0 within the shard) to every row.
 
     Rows are shuffled by a seeded hash of their identity and ranked within their stratum; the table is ordered by the
     fractional rank (2 * rank - 1) / (2 * rows of the stratum) and cut into shards whose row counts differ by at most one.
-    Each stratum is spread evenly, so any shard has its share of every stratum to within one row.
+    Each stratum is spread evenly, so any shard has its share of every stratum but for rounding at its two ends.
 
     Null strata form one stratum. Equal identities are ordered by their remaining columns; rows that agree in all
     columns are interchangeable. An empty table gives an empty result. Columns named `shard` or `slot` are replaced.
-    No stratum meets in one task: ranks are counted per (stratum, slice of the hash order) and added up over slices.
-    The rows are written once before and once after ranking, so they should be slim (no texts).
+    Neither a stratum nor an identity meets in one task: ranks are running counts over slices of the sort order, whose
+    bounds are chosen by rows (about `rows_per_task` each, or `slices` of them), and equal rows are parted by a number. Rows are written between the steps, so they should
+    be slim (no texts).
     """
     if shards < 1:
         raise ValueError("at least one shard is needed")
-    rows = rows.drop("shard", "slot")
-    order = F.md5(F.concat_ws(":", F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in identity]))
-    packed = cut_lineage(rows.select(F.struct(*rows.columns).alias("row"), key_of(F.col(stratum)).alias("stratum"), order.alias("order"))
-                         .withColumn("slice", F.pmod(F.conv(F.substring("order", 1, 8), 16, 10).cast("long") * slices / (1 << 32), F.lit(slices)).cast("int")))
-    counts = packed.groupBy("stratum", "slice").count()
-    before = Window.partitionBy("stratum").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    cells = counts.select("stratum", "slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("earlier"),
-                          F.sum("count").over(Window.partitionBy("stratum")).alias("n"))
-    inside = Window.partitionBy("stratum", "slice").orderBy("order", "row")
-    rank = F.col("earlier") + F.row_number().over(inside)
-    ranked = packed.join(cells, ["stratum", "slice"]).select("row", "order", (2 * rank - 1).alias("odd"), F.col("n"))
-    ranked = cut_lineage(ranked.withColumn("part", F.expr(f"odd * {slices} div (2 * n)").cast("int"))
-                         .withColumn("fraction", F.col("odd") / (2 * F.col("n"))))
-    parts = ranked.groupBy("part").count()
-    running = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select("part", F.coalesce(F.sum("count").over(running), F.lit(0)).alias("start"),
-                          F.sum("count").over(Window.partitionBy()).alias("total"))
-    place = F.col("start") + F.row_number().over(Window.partitionBy("part").orderBy("fraction", "order", "row")) - 1
-    return (ranked.join(F.broadcast(starts), "part")  # as many rows as there are slices
-            .withColumn("place", place)
-            .withColumn("shard", F.expr(f"place * {shards} div total").cast("int"))
-            .withColumn("slot", F.expr(f"place - (shard * total + {shards - 1}) div {shards}"))
-            .select("row.*", "shard", "slot"))
+    rows, names, of = plain_names(rows, ["shard", "slot"])
+    order = F.md5(F.concat_ws(":", F.lit(seed), *[F.coalesce(F.col(of[c]).cast("string"), F.lit("")) for c in identity]))
+    packed = cut_lineage(rows.select(F.struct(*rows.columns).alias("row"), key_of(F.col(of[stratum])).alias("stratum"), order.alias("order"),
+                                     F.monotonically_increasing_id().alias("tie")))
+    total = packed.count()
+    rows_per_task = max(1, -(-total // slices)) if slices else rows_per_task
+    ranked = running_totals(packed, ["stratum"], ["order", "row", "tie"], {"rank": F.lit(1)}, rows_per_task)
+    sizes = packed.groupBy("stratum").agg(F.count("*").alias("n"))
+    odd = 2 * F.col("rank") - 1
+    placed = small_join(ranked, sizes, ["stratum"], ["tie"]).withColumn("fraction", odd / (2 * F.col("n")))
+    placed = running_totals(cut_lineage(placed.select("row", "order", "tie", "fraction")), [], ["fraction", "order", "row", "tie"], {"upto": F.lit(1)}, rows_per_task)
+    return (placed.withColumn("place", F.col("upto") - 1)
+            .withColumn("shard", F.expr(f"place * {shards} div {max(1, total)}").cast("int"))
+            .withColumn("slot", F.expr(f"place - (cast(shard as bigint) * {total} + {shards - 1}) div {shards}"))
+            .select("row.*", "shard", "slot").toDF(*names, "shard", "slot"))

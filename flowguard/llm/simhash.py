@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowguard.llm.common import carried
+from flowguard.llm.common import carried, plain_names
 from flowguard.llm.components import components
 from flowguard.session import cut_lineage
 
@@ -95,10 +95,18 @@ def group(docs: DataFrame, text: str = "text", identity: str = "doc_id", shingle
 
 
 def one_of_each(docs: DataFrame, text: str = "text", identity: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """The row with the smallest identity of every group, all columns kept; of equal rows one stays."""
-    groups = group(docs, text, identity, shingle)
-    stays = groups.groupBy("root").agg(F.min(F.struct(F.col(identity).isNull().alias("none"), F.col(identity).alias("id"), F.col("digest"))).alias("s"))
-    kept = stays.select(F.col("s.id").alias("__id"), F.col("s.digest").alias("__digest"))
-    rows = docs.withColumn("__digest", F.xxhash64(F.col(text))).alias("d")
-    same = F.col(f"d.{identity}").eqNullSafe(F.col("k.__id")) & (F.col("d.__digest") == F.col("k.__digest"))
-    return rows.join(kept.alias("k"), same, "left_semi").dropDuplicates([identity, "__digest"]).drop("__digest")
+    """The row with the smallest identity of every group (null last, then by the text's hash), all columns kept.
+
+    Of rows that agree in identity and text but differ elsewhere the least by their other columns stays, so a rerun
+    chooses alike; of equal rows one stays. Columns of any name are kept; an empty table gives an empty result.
+    """
+    rows, names, of = plain_names(docs, [])
+    key, body = of[identity], of[text]
+    groups = group(rows.select(key, body), body, key, shingle)
+    stays = groups.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("digest"))).alias("s"))
+    kept = stays.select(F.col("s.id").alias("id"), F.col("s.digest").alias("digest"))
+    hashed = rows.withColumn("hash", F.xxhash64(F.col(body)))
+    met = hashed.join(kept, F.col(key).eqNullSafe(F.col("id")) & (F.col("hash") == F.col("digest")), "left_semi")
+    sortable = [c for c, f in zip(rows.columns, rows.schema.fields) if c != body and "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    one = met.groupBy(key, "hash").agg(F.min_by(F.struct(*rows.columns), F.struct(*sortable)).alias("row"))
+    return one.select("row.*").toDF(*names)

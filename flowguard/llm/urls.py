@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowguard.llm.common import small_join
+from flowguard.llm.common import plain_names, small_join
 from flowguard.session import cut_lineage
 
 
@@ -110,7 +110,9 @@ def judge_pages(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "u
     one half, else allowed. Null urls and urls without `://` have empty host and path and are judged like a host of
     their own. Repeated rows get equal verdicts; an empty table gives an empty result.
     """
-    pages = pages.drop("host", "path", "rule", "verdict")
+    made = ["host", "path", "rule", "verdict"]
+    pages, names, of = plain_names(pages, made)
+    url = of[url]
     host, path = host_and_path(F.col(url))
     parsed = pages.withColumn("host", host).withColumn("path", path)
     text, verdict = best_rule(F.col("host"), F.col("path"), rules)
@@ -119,4 +121,4 @@ def judge_pages(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "u
     known = reputations(parsed.select("host", suffix.alias("suffix"), domain.alias("domain"), "verdict"))
     learned = known.select("host", F.when(F.col("low") > BLOCK_RATE, F.lit("block")).otherwise(F.lit("allow")).alias("__learned"))
     joined = small_join(parsed, learned, ["host"], [url])
-    return joined.withColumn("verdict", F.coalesce("verdict", "__learned")).drop("__learned").select(*pages.columns, "host", "path", "rule", "verdict")
+    return joined.withColumn("verdict", F.coalesce("verdict", "__learned")).drop("__learned").select(*pages.columns, *made).toDF(*names, *made)

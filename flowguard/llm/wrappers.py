@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowguard.llm.common import small_join
+from flowguard.llm.common import plain_names, small_join
 from flowguard.llm.markup import ARTICLE_WORDS, ASIDE_WORDS, Element, parse
 from flowguard.llm.urls import host_and_path
 from flowguard.session import cut_lineage
@@ -316,17 +316,18 @@ def extract_pages(pages: DataFrame, url: str = "url", page: str = "html") -> Dat
     Null and empty pages give an empty text; null urls and urls without a host share one wrapper. Equal rows get equal
     texts; an empty table gives an empty result.
     """
-    pages = pages.drop("text", "n_chars")
+    pages, names, of = plain_names(pages, ["text", "n_chars"])
+    url, page = of[url], of[page]
     hosted = pages.withColumn("__host", host_and_path(F.col(url))[0])
     wrappers = infer(hosted.select(F.col("__host").alias("host"), F.col(page).alias("html"))).select(
         F.col("host").alias("__host"), F.to_json("tiers").alias("__tiers"))
     joined = small_join(hosted, wrappers, ["__host"], [url]).select(*pages.columns, "__tiers")
-    at, last, names = pages.columns.index(page), len(pages.columns), [*pages.columns, "text", "n_chars"]
+    at, last, made = pages.columns.index(page), len(pages.columns), [*pages.columns, "text", "n_chars"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields] + ["text string, n_chars bigint"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [extract(p, json.loads(w) if w else None) for p, w in zip(batch.column(at).to_pylist(), batch.column(last).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(last)), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                                             names=names)
-    return joined.mapInArrow(read, schema)
+                                             names=made)
+    return joined.mapInArrow(read, schema).toDF(*names, "text", "n_chars")
