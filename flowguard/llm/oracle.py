@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from flowguard.llm.urls import DOUBLE_SUFFIXES
+
 SHARDS = """
 WITH nibble AS (
     SELECT list(list_reduce([n, 0, 1, 2, 3], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) ORDER BY n) AS t
@@ -40,9 +42,11 @@ fits AS (
 judged AS (
     SELECT p.*, f.rule, f.verdict, string_split(p.host, '.') AS labels FROM parsed p LEFT JOIN fits f ON p.page_id = f.page_id AND f.place = 1),
 hosts AS (
-    SELECT host, labels[-1] AS suffix, CASE WHEN len(labels) >= 2 THEN labels[-2] || '.' || labels[-1] ELSE host END AS domain,
+    SELECT host, CASE WHEN double THEN labels[-2] || '.' || labels[-1] ELSE labels[-1] END AS suffix,
+           CASE WHEN len(labels) < 2 OR (double AND len(labels) = 2) THEN host WHEN double THEN labels[-3] || '.' || labels[-2] || '.' || labels[-1]
+                ELSE labels[-2] || '.' || labels[-1] END AS domain,
            count(verdict)::DOUBLE AS n, count(*) FILTER (verdict = 'block')::DOUBLE AS k
-    FROM judged GROUP BY ALL),
+    FROM (SELECT *, len(labels) >= 2 AND labels[-2] || '.' || labels[-1] IN (SUFFIXES) AS double FROM judged) GROUP BY ALL),
 overall AS (SELECT (sum(k) + 1) / (sum(n) + 2) AS prior FROM hosts),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(prior) AS prior FROM hosts, overall GROUP BY suffix),
 s1 AS (SELECT sum(n * (k / n - prior) * (k / n - prior)) AS scatter, sum(prior * (1 - prior)) AS binomial, sum(n * prior * (1 - prior)) AS spread
@@ -67,6 +71,8 @@ SELECT j.page_id, j.host, j.path, j.rule,
 FROM judged j JOIN posterior USING (host)
 """
 
+URLS = URLS.replace("SUFFIXES", ", ".join(f"'{s}'" for s in DOUBLE_SUFFIXES))
+
 DECONTAMINATE = """
 WITH words AS (
     SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
