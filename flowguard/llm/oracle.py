@@ -137,4 +137,77 @@ SELECT page_id, octet_length(encode(body)) AS payload_bytes, digest AS payload_d
 FROM ranked
 """
 
-SQL = {"op4_decontaminate": DECONTAMINATE, "op2_shards": SHARDS, "op5_urls": URLS, "op11_codes": _vectors(4), "op13_warc": WARC}
+#: More than any conversation costs.
+FAR = 10**15
+
+
+def _conversations() -> str:
+    """The cheapest edits by a pass over the rows of a conversation with one best (cost, audit) per place."""
+    def then(place: int, cost: str, letter: str) -> str:
+        return f"{{'c': acc.s{place}.c + {cost}, 'a': acc.s{place}.a || '{letter}'}}"
+
+    def least(*ways: str) -> str:
+        return f"list_min([{', '.join(ways)}])"
+
+    def kept(place: int, initial: str) -> str:
+        return f"{{'c': acc.s{place}.c + CASE WHEN x.f = 3 THEN 3 WHEN x.f > 0 THEN {FAR} ELSE 0 END + CASE WHEN x.i = '{initial}' THEN 0 ELSE {FAR} END, 'a': acc.s{place}.a || 'K'}}"
+
+    def told(place: int) -> str:
+        return then(place, f"3 + CASE WHEN x.f = 3 THEN 3 WHEN x.f > 0 THEN {FAR} ELSE 0 END", "R")
+    inserted = ["acc.s0", "acc.s1", least("acc.s2", then(0, "3", "I"), then(1, "3", "I"), then(3, "3", "I")), least("acc.s3", then(2, "3", "I"))]
+    read = [then(0, "4", "D"), least(then(1, "4", "D"), kept(0, "s")), least(then(2, "4", "D"), *[w for p in (0, 1, 3) for w in (kept(p, "u"), told(p))]),
+            least(then(3, "4", "D"), kept(2, "a"), told(2))]
+    none = f"{{'c': {FAR}::BIGINT, 'a': ''}}"
+
+    def element(op: str, initial: str, fault: str, places: list[str]) -> str:
+        return "{" + f"'op': {op}, 'i': {initial}, 'f': {fault}, " + ", ".join(f"'s{k}': {v}" for k, v in enumerate(places)) + "}"
+    insert = element("'I'", "''", "0", [none] * 4)
+    row = element("'R'", "i", "fault", [none] * 4)
+    start = element("''", "''", "0", ["{'c': 0::BIGINT, 'a': ''}", none, none, none])
+    step = f"CASE WHEN x.op = 'I' THEN {element(chr(39) * 2, chr(39) * 2, '0', inserted)} ELSE {element(chr(39) * 2, chr(39) * 2, '0', read)} END"
+    return f"""
+WITH nibble AS (
+    SELECT list(list_reduce([n, 0, 1, 2, 3], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) ORDER BY n) AS t
+    FROM range(16) r(n)),
+keyed AS (
+    SELECT conv_id, coalesce(conv_id::VARCHAR, ' ') AS key, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))) AS x FROM conversations),
+dealt AS (
+    SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(len(x) // 2),
+               lambda i: [instr('123456789ABCDEF', x[2 * i + 2])::BIGINT, instr('123456789ABCDEF', x[2 * i + 1])::BIGINT]))),
+               lambda c, v: xor(c >> 4, t[(xor(c, v) & 15) + 1])), 4294967295::BIGINT) % 20 AS deal
+    FROM keyed, nibble),
+damaged AS (
+    SELECT key, turn, CASE WHEN deal = 4 THEN 'user' ELSE role END AS role,
+           CASE deal WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM dealt, (SELECT unnest([1, 2]) AS copy) WHERE deal <> 0 AND (copy = 1 OR deal = 3)),
+numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, text) AS r, left(role, 1) AS i,
+           rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM damaged),
+faulty AS (
+    SELECT *, CASE WHEN body = '' THEN 1 WHEN row_number() OVER (PARTITION BY key, role, text ORDER BY r) > 1 THEN 2 WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+           lag(i) OVER (PARTITION BY key ORDER BY r) || i NOT IN ('su', 'ua', 'au') AS wrong FROM numbered),
+counted AS (
+    SELECT key, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+           count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (r > 1 AND wrong) AS illegal,
+           list_concat([{insert}, {insert}], flatten(list([{row}, {insert}, {insert}] ORDER BY r))) AS steps
+    FROM faulty GROUP BY key),
+reached AS (SELECT *, list_reduce(list_prepend({start}, steps), lambda acc, x: {step}) AS e FROM counted),
+best AS (SELECT *, list_min([e.s0, e.s3]) AS b FROM reached),
+edits AS (SELECT key, unnest(string_split(b.a, '')) AS letter, generate_subscripts(string_split(b.a, ''), 1) AS k FROM best WHERE b.a <> ''),
+placed AS (
+    SELECT *, count(*) FILTER (letter <> 'I') OVER w AS r, count(*) FILTER (letter <> 'D') OVER w AS o FROM edits WINDOW w AS (PARTITION BY key ORDER BY k)),
+said AS (
+    SELECT p.key, p.o, p.letter, n.role, n.i, CASE WHEN p.letter = 'I' THEN '' ELSE n.text END AS text, first(p.letter = 'K' AND n.i = 's') OVER (PARTITION BY p.key ORDER BY p.o) AS led
+    FROM placed p LEFT JOIN numbered n ON p.key = n.key AND p.r = n.r WHERE p.letter <> 'D'),
+repaired AS (
+    SELECT key, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN (o - led::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY o)) AS digest
+    FROM said GROUP BY key),
+named AS (SELECT DISTINCT conv_id, key FROM keyed)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(b.c, 0) AS cost, coalesce(b.a, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM named LEFT JOIN best USING (key) LEFT JOIN repaired USING (key)
+"""
+
+
+SQL = {"op4_decontaminate": DECONTAMINATE, "op2_shards": SHARDS, "op5_urls": URLS, "op11_codes": _vectors(4), "op12_conversations": _conversations(), "op13_warc": WARC}
