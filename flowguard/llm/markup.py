@@ -29,7 +29,11 @@ ASIDE_WORDS = frozenset(("ad ads advert adverts advertisement advertising sponso
 ARTICLE_WORDS = frozenset("article main post entry story".split())
 LAYOUT_WORDS = frozenset("content body text page wrapper container left right column section block title meta author date summary lead caption list item top bottom".split())
 KNOWN_WORDS = ASIDE_WORDS | ARTICLE_WORDS | LAYOUT_WORDS
-#: Elements nested deeper still end a block, but their text belongs to the last one above.
+#: Words that turn round what the rest of a class says: `has-sidebar`, `no-sidebar`, `ad-free`.
+TURNING_WORDS = frozenset("has no not with without free".split())
+#: Elements that are not the article by name.
+ASIDE_NAMES = frozenset("nav header footer aside form menu dialog button select head fieldset".split())
+#: Elements nested deeper still end a block, but their text belongs to the last one above, unless their names say that it is no article.
 DEEPEST = 150
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -57,7 +61,9 @@ def _labels(rest: str) -> tuple[str, ...]:
     found: set[str] = set()
     for name, value in _ATTRIBUTE.findall(rest):
         if name.lower() in ("class", "id", "role") and value:
-            found.update(w.lower() for w in _LABEL_WORD.findall(html.unescape(value)))
+            for token in html.unescape(value).strip("\"'").split():
+                words = {w.lower() for w in _LABEL_WORD.findall(token)}
+                found |= words if words.isdisjoint(TURNING_WORDS) else words - ASIDE_WORDS
     return tuple(sorted(found & KNOWN_WORDS))
 
 
@@ -69,7 +75,7 @@ def parse(page: str) -> Element:
     at = 0
 
     def text(piece: str) -> None:
-        if piece:
+        if piece and ASIDE_NAMES.isdisjoint(deeper):
             children = stack[-1].children
             if children and isinstance(children[-1], str):
                 children[-1] += piece

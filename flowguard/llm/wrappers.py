@@ -10,12 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowguard.llm.common import plain_names, small_join
-from flowguard.llm.markup import ARTICLE_WORDS, ASIDE_WORDS, Element, parse
+from flowguard.llm.markup import ARTICLE_WORDS, ASIDE_NAMES, ASIDE_WORDS, Element, parse
 from flowguard.llm.urls import host_and_path
 from flowguard.session import cut_lineage
 
-#: Elements that are not the article, or are it, by name.
-ASIDE_NAMES = frozenset("nav header footer aside form menu dialog button select head fieldset".split())
+#: Elements that are the article by name.
 ARTICLE_NAMES = frozenset({"article"})
 #: Elements that hold the page or the article; a word of their classes (has-sidebar, comments-open) makes them no aside.
 FRAME_NAMES = frozenset("html body main article".split())
@@ -219,13 +218,14 @@ def _masses(element: Element, above: str = "", found: dict[str, int] | None = No
     return found
 
 
-def blocks(element: Element, inside: bool, paths: frozenset[str], above: str = "", nested: bool = False) -> Iterator[str]:
-    """Texts of the blocks of the article in page order, asides left out."""
+def blocks(element: Element, inside: bool, paths: frozenset[str], above: str = "", nested: bool = False, weighed: int = 0) -> Iterator[str]:
+    """Texts of the blocks of the article in page order, asides left out. With `weighed`, the text of the page, an element
+    that holds more than half of it is no aside."""
     for child in element.children:
         if isinstance(child, Element):
-            if not is_aside(child, nested):
+            if not is_aside(child, nested) or (weighed and (child.name == "form" or child.name not in ASIDE_NAMES) and 2 * _mass(child) > weighed):
                 path = f"{above}>{child.signature}" if above else child.signature
-                yield from blocks(child, inside or path in paths, paths, path, nested or child.name in ARTICLE_NAMES)
+                yield from blocks(child, inside or path in paths, paths, path, nested or child.name in ARTICLE_NAMES, weighed)
         elif inside:
             piece = " ".join(child.split())
             if piece:
@@ -241,7 +241,16 @@ def extract(page: str | None, tiers: list[list[str]] | None) -> str:
         text = "\n\n".join(blocks(tree, "" in paths, frozenset(paths)))
         if text:
             return text
-    return ""
+    # No rule may empty a page: what holds most of the text outside named asides is none, whatever its classes say.
+    everything = _mass(tree)
+    if not everything:
+        return ""
+    return "\n\n".join(blocks(tree, True, frozenset(), weighed=everything))
+
+
+def _mass(element: Element) -> int:
+    """Characters of text outside asides by name; a form counts, as whole pages stand in one."""
+    return sum(len(c.strip()) if isinstance(c, str) else 0 if c.name in ASIDE_NAMES and c.name != "form" else _mass(c) for c in element.children)
 
 
 def infer(pages: DataFrame, host: str = "host", page: str = "html", fan: int = FAN) -> DataFrame:
