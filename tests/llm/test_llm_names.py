@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from flowguard.llm import common, mixing, paragraphs, pii, sharding, simhash, urls, wrappers
+from flowguard.llm import common, mixing, paragraphs, sharding, simhash, urls, wrappers
 
 ODD = ["a.b", "__id", "__digest", "__hash", "__terms", "row", "hash", "order", "key", "unit", "c0", "tick`ed", "copies_", "stratum"]
 LONG = "one two three four five six seven eight nine ten. "
@@ -19,7 +19,7 @@ def docs(spark):
 
 @pytest.mark.parametrize("name, run", [
     ("shards", lambda d: sharding.assign_shards(d, 3)), ("mix", lambda d: mixing.mix(d)), ("urls", lambda d: urls.judge_pages(d)), ("pages", lambda d: wrappers.extract_pages(d.drop("text"))),
-    ("pii", lambda d: pii.detect(d)), ("passages", lambda d: paragraphs.remove_repeats(d)), ("near", lambda d: simhash.one_of_each(d))])
+    ("passages", lambda d: paragraphs.remove_repeats(d)), ("near", lambda d: simhash.one_of_each(d))])
 def test_any_column_names(docs, name, run):
     found = run(docs)
     assert set(ODD) <= set(found.columns) and len(set(found.columns)) == len(found.columns)
