@@ -412,3 +412,30 @@ def test_extra_trees_count_weights(spark):
     model = training.build("extra_trees", weighted=True, numTrees=1, maxDepth=1).fit(df)
     flat = forest.flatten(model)
     assert np.allclose(flat.shares[flat.roots[0]], [0.75, 0.25])
+
+
+def test_moves_are_scored_where_the_rows_lie(spark, learnable, monkeypatch):
+    """Dependence, contributions and swaps of a forest: no row is multiplied in Spark, and the results are those of the general way."""
+    model = training.build("random_forest", numTrees=4, maxDepth=6).fit(learnable)
+    some, base = learnable.where("id < 90").cache(), learnable.where("id >= 300 AND id < 305")
+
+    def found():
+        curve = explain.partial_dependence(model, some, list("abcd"), ["a", "c"], 6)
+        values = explain.shapley_values(model, some, "id", base, "id", list("abcd"))
+        swaps = explain.permutation_importance(model, some, "id", list("abcd"), "f", repeats=2)
+        plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (curve, values)]
+        return plans, ({(r["feature"], r["value"], r["class"]): r["average"] for r in curve.collect()},
+                       {(r["key"], r["feature"], r["class"], r["value"]): r["contribution"] for r in values.collect()},
+                       {r["feature"]: r["permutation_mean"] for r in swaps.collect()})
+    plans, fast = found()
+    assert "explode(" not in plans[0] and "lag(" not in plans[1]
+    monkeypatch.setattr(forest, "flatten", lambda model: None)
+    for a, b in zip(fast, found()[1]):
+        assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in b)
+
+
+def test_contributions_of_a_repeated_row_add_up(learnable):
+    model = training.build("random_forest", numTrees=4, maxDepth=4).fit(learnable)
+    rows, base = learnable.where("id < 5"), learnable.where("id >= 300 AND id < 310")
+    once, twice = (explain.shapley_values(model, some, "id", base, "id", list("abcd")) for some in (rows, rows.unionByName(rows)))
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect()))
