@@ -244,6 +244,18 @@ def test_neighbours_are_exact(spark, copies):
         assert np.allclose(sorted(np.hypot(point[0] - q[0], point[1] - q[1]) for q in found[i]), best)
 
 
+def test_blocks_follow_the_distance_not_the_spread_of_values(spark):
+    """One wide dimension beside two narrow ones: blocks are cut along the wide one, so few of them are within reach."""
+    rng = np.random.default_rng(5)
+    points = np.column_stack([rng.integers(0, 60_000, 4000), rng.integers(0, 11, 4000), rng.integers(0, 9, 4000)]).astype(float)
+    rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id bigint, v array<double>")
+    boxes = resample._box_order(rows, "v", 3, 4000, 100).groupBy("z").agg(F.count("*").alias("n"), *[(F.max(F.col("v")[d]) - F.min(F.col("v")[d])).alias(f"s{d}") for d in range(3)]).collect()
+    assert sum(b["n"] for b in boxes) == 4000 and len(boxes) >= 40 and max(b["n"] for b in boxes) < 400
+    assert max(b["s0"] for b in boxes) < 60_000 / 16  # an equal share of cuts for each dimension leaves 60,000 / 8 or more
+    odd = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [float("nan"), 1.0]), (4, [3.0, 4.0])], "id bigint, v array<double>")
+    assert resample._box_order(odd, "v", 2, 4, 1).where("z IS NULL").count() == 0
+
+
 def test_smote_balances(spark):
     df, rows = _class_rows(spark, False)
     out = resample.smote(df, "y", "v", block_rows=11)
