@@ -166,3 +166,12 @@ def test_percentiles_by_bits(spark, held):
     assert found["whole"] == list(np.quantile(np.arange(len(column)), probabilities)) and set(found["few"]) == {0.0, 1.0, 2.0}
     bits = d.ordered_bits(np.array(kept))
     assert (np.diff(bits) >= 0).all() and [d.from_bits(int(b)) for b in bits] == kept
+
+
+def test_pick_several_agrees_with_single_picks(skewed):
+    sets = {"a": {"hot": 3, "cold": 1}, "b": {"hot": 40, "cold": 10_000}, "c": {}}
+    mixed = d.mix(F.col("id"))
+    for held in (1, 50_000):
+        found = {r["id"]: r for r in d.pick_several(skewed, "g", sets, mixed, ["id"], rows_in_bucket=held).collect()}
+        for name, quotas in sets.items():
+            assert {i for i, r in found.items() if r[name]} == {r["id"] for r in d.pick_lowest(skewed, "g", quotas, mixed, ["id"]).where("picked").collect()}

@@ -457,3 +457,17 @@ def test_contributions_of_a_repeated_row_are_those_of_the_general_way(learnable,
     monkeypatch.setattr(forest, "flatten", lambda model: None)
     slow = found()
     assert fast.keys() == slow.keys() and all(fast[k] == pytest.approx(slow[k], abs=1e-12) for k in slow)
+
+
+def test_learning_curve_moves_the_rows_once(learnable, monkeypatch):
+    """Folds of every size as if each had its own sample and sort, from one sort of the rows."""
+    ties, sizes, mixed = ["id"], [0.1, 0.37, 1.0], F.pmod(F.col("id") * 48271, F.lit(2147483647))
+    total = learnable.count()
+    want = [{(r["id"], r["fold"]) for r in training.with_folds(features.stratified_sample(learnable, "label_index", max(3, round(total * s)), mixed, ties), 3, ties).collect()}
+            for s in sizes]
+    sorts, seen, sort = [], [], training.running_totals
+    monkeypatch.setattr(training, "running_totals", lambda *given, **more: sorts.append(1) or sort(*given, **more))
+    monkeypatch.setattr(training, "_fold_scores", lambda estimator, rows, folds: seen.append({(r["id"], r["fold"]) for r in rows.collect()}) or {"test": (0.5, 0.0)})
+    curve = training.learning_curve("decision_tree", learnable, mixed, ties, sizes)
+    assert seen == want and [len(s) for s in seen] == [round(total * s) for s in sizes]
+    assert len(sorts) == 1 and curve.count() == 3
