@@ -30,6 +30,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"\w+")
+#: What every text with an entity contains, as a pattern that Spark runs: an email's @, an address's dots, 16 digits of a card, a phone's +.
+MAY_HOLD = r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9]([ -]?[0-9]){15}|\+[0-9]"
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -220,7 +222,8 @@ def detect(docs: DataFrame, text: str = "text", identity: str = "doc_id", near:
     `base` lists emails, addresses, cards and phones by pattern; `added` every occurrence of the terms (kind `term`) that
     reveal at least `threshold` of the information of an entity of the document, with the share. Terms of whole documents
     are weighed, or those within `near` words. Whole texts are read; null and empty texts have no spans. Terms are joined
-    by entity and term, never gathered per entity, so a value that a third of all documents hold is no hot group. Rows
+    by entity and term, never gathered per entity, so a value that a third of all documents hold is no hot group. Texts
+    that cannot hold an entity have no terms and stay where they lie; only the others are moved to meet theirs. Rows
     that agree in identity and text get equal spans; empty tables give empty results; columns named `base` or `added` are
     replaced.
     """
@@ -230,9 +233,11 @@ def detect(docs: DataFrame, text: str = "text", identity: str = "doc_id", near:
     telling = cut_lineage(disclosures(docs, met, text, support, threshold, counts, smooth=True))
     added = (met.join(telling, ["entity", "term"]).groupBy("id", "body", "term").agg(F.max("share").alias("share"))
              .groupBy("id", "body").agg(F.collect_list(F.struct("term", "share")).alias("__terms")).withColumnsRenamed({"id": "__id", "body": "__body"}))
-    rows = docs.withColumn("__hash", F.xxhash64(F.col(text)))
+    may = F.coalesce(F.col(text).rlike(MAY_HOLD), F.lit(False))
+    rows = docs.where(may).withColumn("__hash", F.xxhash64(F.col(text)))
     same = F.col(identity).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__body"))
     joined = rows.join(added, same, "left").select(*docs.columns, "__terms")
+    joined = joined.unionByName(docs.where(~may).withColumn("__terms", F.lit(None).cast(added.schema["__terms"].dataType)))
     at, last, names = docs.columns.index(text), len(docs.columns), [*docs.columns, "base", "added"]
     spans = "array<struct<kind:string,start:int,end:int,share:double>>"
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"base {spans}", f"added {spans}"])

@@ -386,3 +386,17 @@ def test_very_long_texts(spark):
     assert simhash.group(docs).count() == 3
     assert [len(r.text) for r in passages.remove_repeats(docs).orderBy("doc_id").collect()][:2] == [len(LONG), 0]
     assert hashlib.sha256(pii.detect(docs).first().text.encode()).hexdigest() == hashlib.sha256(LONG.encode()).hexdigest()
+
+
+def test_texts_that_hold_no_entity_are_not_moved(spark):
+    """The pattern lets no entity pass, and only texts it finds meet the terms."""
+    rng, plain = random.Random(8), re.compile(pii.MAY_HOLD)
+    parts = ["a", "@", ".", "-", " ", "1", "4111111111111111", "10.0.0.1", "+", "(", ")", "é", "\n", "b.c", "999", "٣"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 14))) for _ in range(20_000)]
+    held = [t for t in texts if pii.base_spans(t)]
+    assert len(held) > 1000 and all(plain.search(t) for t in held)
+    docs = spark.createDataFrame(list(enumerate([*held[:40], "no such thing", "", None])), "doc_id long, text string")
+    found = pii.detect(docs)
+    assert {r.doc_id: len(r.base) for r in found.collect()} == {i: len(pii.base_spans(t)) for i, t in enumerate([*held[:40], "no such thing", "", None])}
+    moved = docs.where(F.col("text").rlike(pii.MAY_HOLD))
+    assert moved.count() == 40 and "Union" in found._jdf.queryExecution().optimizedPlan().toString()
