@@ -403,7 +403,8 @@ def learning_curve(spark, folder):
 @query("validation_curve")
 def validation_curve(spark, folder):
     rows, _ = _training_rows(spark, folder)
-    return training.validation_curve("decision_tree", rows, "maxDepth", [2, 4, 6], KEY)
+    # The folds move the rows, so only what they and the fits read goes along.
+    return training.validation_curve("decision_tree", rows.select(*KEY, "features", "label_index"), "maxDepth", [2, 4, 6], KEY)
 
 
 SMOTE_SQL = """
