@@ -496,3 +496,11 @@ def test_learning_curve_moves_the_rows_once(learnable, monkeypatch):
     curve = training.learning_curve("decision_tree", learnable, mixed, ties, sizes)
     assert seen == want and [len(s) for s in seen] == [round(total * s) for s in sizes]
     assert len(sorts) == 1 and curve.count() == 3
+
+
+def test_forest_is_fitted_in_few_tasks_with_sparks_trees(spark, learnable):
+    many = learnable.repartition(64, "id")
+    few = many.coalesce(2 * spark.sparkContext.defaultParallelism)
+    ours = training.build("random_forest", numTrees=4, maxDepth=6).fit(many)
+    plain = training.RandomForestClassifier(featuresCol="features", labelCol="label_index", seed=42, numTrees=4, maxDepth=6).fit(few)
+    assert ours.toDebugString.splitlines()[1:] == plain.toDebugString.splitlines()[1:]
