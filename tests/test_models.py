@@ -504,3 +504,12 @@ def test_forest_is_fitted_in_few_tasks_with_sparks_trees(spark, learnable):
     ours = training.build("random_forest", numTrees=4, maxDepth=6).fit(many)
     plain = training.RandomForestClassifier(featuresCol="features", labelCol="label_index", seed=42, numTrees=4, maxDepth=6).fit(few)
     assert ours.toDebugString.splitlines()[1:] == plain.toDebugString.splitlines()[1:]
+
+
+def test_class_presets_sort_no_rows(spark):
+    rows = [(7, None, 1.0, 1), (3, 5.0, None, 1), (3, 6.0, 2.0, 1), (1, 9.0, 9.0, 0), (4, None, 8.0, 2)]
+    found = explain.class_presets(spark.createDataFrame(rows, "id bigint, a double, b double, pred int").coalesce(1), "id", [1, 2], ["a", "b"])
+    assert "SortAggregate" not in found._jdf.queryExecution().toString()
+    normal, tied, last = sorted(map(tuple, found.collect()))
+    assert normal == (0, 1, None, None, None) and last == (2, 1, 4, None, 8.0)
+    assert tied in [(1, 3, 3, 5.0, None), (1, 3, 3, 6.0, 2.0)]  # of equal ids one whole row
